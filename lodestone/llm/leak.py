@@ -27,6 +27,8 @@ LENGTH = 9
 WIDTH = 5
 MAX_ITEMS = 20_000
 MAX_BYTES = 32 << 20
+#: words handled at once
+_CHUNK = 100_000
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,49 +92,66 @@ class Index:
             self.classes.append((np.uint64(64 - bits), tables))
 
     def candidates(self, shingles: np.ndarray) -> np.ndarray:
-        """Positions whose shingle is the MinHash value of some passage under the first function, where the second has one too."""
+        """Positions whose shingle is the MinHash value of some passage under the first function, where the second has one near."""
         found = [np.zeros(0, np.int64)]
-        for shift, ((first, front1), (second, front2)) in self.classes:
-            at = np.flatnonzero(front1[(shingles >> shift).astype(np.int64)])
-            at = at[np.isin(shingles[at], first)]
+        reach = np.arange(self.width - self.length, self.length - self.width + 1)
+        for shift, ((first, front), (second, _)) in self.classes:
+            at = np.flatnonzero(front[(shingles >> shift).view(np.int64)])
+            at = at[_among(shingles[at], first)]
             if len(at):
-                near = shingles * _SECOND
-                near = np.flatnonzero(front2[(near >> shift).astype(np.int64)])
-                near = near[np.isin(shingles[near] * _SECOND, second)]
-                # both values of a passage lie within length - width of each other
-                reach = self.length - self.width
-                lo = np.searchsorted(near, at - reach)
-                found.append(at[(lo < len(near)) & (near[np.minimum(lo, max(len(near) - 1, 0))] <= at + reach)] if len(near) else at[:0])
+                near = np.clip(at[:, None] + reach, 0, len(shingles) - 1)
+                both = _among((shingles[near] * _SECOND).ravel(), second).reshape(near.shape).any(axis=1)
+                found.append(at[both])
         return np.unique(np.concatenate(found))
 
 
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def _search(ids: list[int], words: list[str], ends: list[int], index: Index) -> tuple[list[int], list[int]]:
+    """Documents and the items in them; ``words`` holds the documents one after another, each up to its place in ``ends``."""
+    length, width = index.length, index.width
+    if len(words) < length:
+        return [], []
+    h = _hashes(words)
+    at = index.candidates(_rolled(h, width))
+    if not len(at):
+        return [], []
+    stops = np.array(ends)
+    # a passage holding the shingle begins at most length - width words earlier, and ends in the same document
+    starts = np.unique((at[:, None] - np.arange(length - width + 1)).ravel())
+    starts = starts[starts >= 0]
+    doc = np.searchsorted(stops, starts, side="right")
+    inside = starts + length <= stops[np.minimum(doc, len(stops) - 1)]
+    starts, doc = starts[inside], doc[inside]
+    near = np.lib.stride_tricks.sliding_window_view(h, length)[starts]
+    keys = _rolled(near.T, length)[0] if len(starts) else []
+    seen = set()
+    for s, d, key in zip(starts.tolist(), doc.tolist(), np.asarray(keys).tolist(), strict=True):
+        for item, w in index.passages.get(key, ()):
+            if (d, item) not in seen and tuple(words[s : s + length]) == w:
+                seen.add((d, item))
+    return [ids[d] for d, _ in seen], [item for _, item in seen]
+
+
 def _found(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], length: int, width: int) -> Iterator[pa.RecordBatch]:
     index = Index(items, length, width)
+
+    def made(docs: list[int], hits: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
+
+    ids, ends, words = [], [], []
     for b in batches:
-        ids, docs, hits = b.column(0).to_pylist(), [], []
-        for doc, text in zip(ids, b.column(1), strict=True):
-            text = text.as_py()
-            if not text:
-                continue
-            words = words_of(text)
-            if len(words) < length:
-                continue
-            h = _hashes(words)
-            at = index.candidates(_rolled(h, width))
-            if not len(at):
-                continue
-            passages = _rolled(h, length)
-            # a passage holding the shingle begins at most length - width words earlier
-            starts = np.unique((at[:, None] - np.arange(length - width + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts < len(passages))]
-            seen = set()
-            for s in starts.tolist():
-                for item, w in index.passages.get(int(passages[s]), ()):
-                    if item not in seen and tuple(words[s : s + length]) == w:
-                        seen.add(item)
-            docs += [doc] * len(seen)
-            hits += sorted(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if text:
+                words += _WORD.findall(text.casefold())
+                ids.append(doc)
+                ends.append(len(words))
+                if len(words) > _CHUNK:
+                    yield made(*_search(ids, words, ends, index))
+                    ids, ends, words = [], [], []
+    yield made(*_search(ids, words, ends, index))
 
 
 def blocks(items: DataFrame, item_id: str, text: str, max_items: int, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
