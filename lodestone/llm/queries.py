@@ -7,11 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import leak, lines
+from lodestone.llm import body, leak, lines, mojibake, packing
 from lodestone.llm.sql import SQL  # noqa: F401
+from lodestone.session import materialise
 from lodestone.sources.tables import table
 
 REPEATED = 5
+CAPACITY = 2048
 #: Partitions of search_documents arrive in this order: crawled before (or at no known time), and since.
 DELTA = datetime(2025, 7, 1)
 
@@ -33,6 +35,54 @@ def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_lines(docs.select("stream_seq", "url", "content"), "stream_seq", "content", flagged, "cleaned").select("stream_seq", "url", "cleaned")
 
 
+def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
+    urls = table(spark, folder, "url_metadata").select(F.lit("url_metadata").alias("tab"), "stream_seq", F.col("descr").alias("field"))
+    docs = table(spark, folder, "search_documents").select(F.lit("search_documents").alias("tab"), "stream_seq", F.col("content").alias("field"))
+    return urls.unionByName(docs)
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Affected records with their restored text, the damaged tokens, and whether lost characters remain."""
+    fields = _decoded_fields(spark, folder)
+    found = mojibake.restored(fields, [F.col("tab"), F.col("stream_seq")], F.col("field"), mojibake.frequencies(fields.select("field")))
+    return found.withColumn("complete", ~F.contains("restored", F.lit("\ufffd")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_restored(spark, folder).select("tab", "stream_seq")
+
+
+def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
+    return [
+        ("pages_text", table(spark, folder, "pages_text").select("stream_seq", F.col("text").alias("content"))),
+        ("search_documents", table(spark, folder, "search_documents").select("stream_seq", "content")),
+    ]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = body.fitted(table(spark, folder, "lang_samples"))
+    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in _pages(spark, folder)]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = body.fitted(table(spark, folder, "lang_samples"))
+    parts = [body.main_body(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "body") for tab, df in _pages(spark, folder)]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Which document, or piece of one, goes into which container of ``CAPACITY`` tokens."""
+    return packing.pack(packing.token_sizes(table(spark, folder, "documents")), CAPACITY).withColumn("capacity", F.lit(CAPACITY))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and the share of their space in use, for three capacities."""
+    sizes = materialise(packing.token_sizes(table(spark, folder, "documents")), "token-sizes")
+    used = [packing.pack(sizes, c).agg(F.lit(c).alias("capacity"), F.count(F.lit(1)).alias("pieces"), (F.max("container") + 1).alias("containers"), F.sum("size").alias("tokens")) for c in (512, 2048, 8192)]
+    return used[0].unionByName(used[1]).unionByName(used[2]).withColumn("fill", F.round(F.col("tokens") / (F.col("capacity") * F.col("containers")), 6))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -44,4 +94,4 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(n, "item_id", "left").select("item_id", "suite", "lang", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p7_found, p7_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_items)}
