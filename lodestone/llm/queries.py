@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import body, leak, lines, mojibake, packing
+from lodestone.llm import body, leak, lines, mojibake, packing, truncation
 from lodestone.llm.sql import SQL  # noqa: F401
 from lodestone.session import materialise
 from lodestone.sources.tables import table
@@ -94,4 +94,23 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(n, "item_id", "left").select("item_id", "suite", "lang", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_items)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "documents"))[0].where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts, and at how many lengths it has a limit."""
+    rows, hazards = truncation.truncated(table(spark, folder, "documents"))
+    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_cut_at_limit"))
+    limits = hazards.where("limit and unit = 'chars'").groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list("length")).alias("limits"))
+    joined = per.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return joined.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+
+
+def p8_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The hazard of each length of each source, and whether it is a limit."""
+    texts, _ = truncation.endings(table(spark, folder, "documents"))
+    return truncation.length_hazards(texts)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_sources, p8_lengths)}
