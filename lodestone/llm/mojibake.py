@@ -292,6 +292,14 @@ def _spread(tokens: Counter, words: Counter, chars: Counter) -> None:
     tokens.clear()
 
 
+def counts_of(texts: list[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """The same counts of a few texts in memory."""
+    words: Counter = Counter()
+    chars: Counter = Counter()
+    _spread(Counter(t for text in texts for t in text.split() if not t.isascii()), words, chars)
+    return {w: n for w, n in words.items() if _LOST not in w}, {c: n for c, n in chars.items() if c != _LOST}
+
+
 def frequencies(texts: DataFrame, max_words: int = MAX_WORDS) -> tuple[dict[str, int], dict[str, int]]:
     """Counts of words with characters beyond ASCII, and of these characters, over all rows of a one-column table."""
     counted = texts.mapInArrow(_counts, "item string, n long, is_word boolean").groupBy("item", "is_word").agg(F.sum("n").alias("n"))
