@@ -42,8 +42,11 @@ _ADDRESS = re.compile(r"^\s*(?:https?|ftp)://[^\s/]+\.[a-z]{2,}(?::\d+)?(?:[/?#]
 _ADDRESS_LIKE = re.compile(r"^\s*(?:h|ht|htt|https?:?/{0,2}\S*|ftp:\S*)$")
 _COMMAND = re.compile(r"^\s*[$>#]?\s*[a-z][a-z0-9_.\-]*(?:\s+\S+)*\s+--?[a-z][\w\-]*(?:[ =]\S+)*$")
 _LOG = re.compile(r"^\s*\d{4}-\d\d-\d\d.*\b\w+=\S+")
-_CLAUSE = re.compile(r"([^\W\d_]+)['’]?[ ]([^\W\d_]+(?:['’\-][^\W\d_]+)*)[\"”»)]*(?=[.!?;,](?:\s|$))")
-_LAST_TWO = re.compile(r"([^\W\d_]+)['’]?[ ]([^\W\d_]+(?:['’\-][^\W\d_]+)*)[\"”»)]*$")
+_CLAUSE_END = re.compile(r"[.!?;,](?=\s|$)")
+_AROUND = "\"“”„«»‘()[]…"
+_INSIDE = str.maketrans("", "", "'’-")
+#: Characters at the end of a text in which its marks stand.
+_TAIL = 64
 
 COMPLETE, CUT, ASK, FORM = "complete", "cut", "ask", "form"
 
@@ -53,10 +56,10 @@ def ending(text: str) -> tuple[str, str | None]:
     text = text.rstrip()
     if not text:
         return COMPLETE, None
-    mark = None
-    if (m := _MARKS.search(text)) and not (text.endswith((")", "]")) and len(m.group()) > 14):
+    mark, tail = None, text[-_TAIL:]
+    if (m := _MARKS.search(tail)) and not (tail.endswith((")", "]")) and len(m.group()) > 14):
         mark = m
-        text = text[: m.start()].rstrip()
+        text = text[: len(text) - len(tail) + m.start()].rstrip()
         if not text:
             return CUT, None
     if "�" in (mark.group() if mark else ""):
@@ -68,19 +71,28 @@ def ending(text: str) -> tuple[str, str | None]:
         return FORM, None
     if _SIGNED.match(last):
         return (FORM if _SIGNATURE.match(last) else CUT), None
-    if _COMMAND.match(last) and not _END.search(last):
+    if " -" in last and not _END.search(last[-_TAIL:]) and _COMMAND.match(last):
         return (FORM if last[-1].isalnum() and re.search(r"--?[a-z][\w\-]*[ =]\S*[.\d]\S*$", last) else CUT), None
-    if _END.search(text):
+    if _END.search(text[-_TAIL:]):
         return COMPLETE, None
-    two = _LAST_TWO.search(last)
-    words = f"{two.group(1)} {two.group(2)}".lower() if two else None
+    two = last_two(last)
+    words = f"{two[0]} {two[1]}".lower() if two else None
     if _LIST.match(last) and (mark is None or mark.group(1)):
         return (ASK, words) if words else (CUT, None)
     if mark is not None and mark.group(1):
-        return (ASK, min(_keys(*two.groups()), key=lambda k: "*" not in k)) if two else (CUT, None)
+        return (ASK, min(_keys(*two), key=lambda k: "*" not in k)) if two else (CUT, None)
     return CUT, None
 
 
+def last_two(text: str) -> tuple[str, str] | None:
+    """The last two words of a text, without marks around them; None if one isn't made of letters."""
+    words = text.rsplit(None, 2)[-2:]
+    if len(words) < 2:
+        return None
+    a, b = words[0].strip(_AROUND), words[1].strip(_AROUND)
+    return (a, b) if a.translate(_INSIDE).isalpha() and b.translate(_INSIDE).isalpha() else None
+
+
 def _keys(a: str, b: str) -> list[str]:
     """Two words as they stand, and with either one that has a capital as a star."""
     out = [f"{a} {b}".lower()]
@@ -116,7 +128,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or text.isspace():
                 continue
             verdict, two = ending(text)
-            ends.update(_CLAUSE.findall(text))
+            ends.update(filter(None, map(last_two, _CLAUSE_END.split(text)[:-1])))
             ids.append(i)
             sources.append(source)
             prints.append(fp)
