@@ -64,7 +64,7 @@ def hash_at(position: Column) -> Column:
 
 def ring_distance(a: Column, b: Column) -> Column:
     """How far it is forward on the ring from ``a`` to ``b``."""
-    return F.when(b >= a, b - a).otherwise(F.lit(RING_MAX) - a + b + F.lit(1))
+    return (b - a).bitwiseAND(F.lit(RING_MAX))
 
 
 def ring_fraction(distance: Column) -> Column:
@@ -85,9 +85,7 @@ def posting_position(word: Column, url: Column, exponent: int) -> Column:
 
 def distance_from_word(position: Column, word: Column, exponent: int) -> Column:
     """How far a position is past the place of a word's postings in its partition."""
-    mask = F.lit(partition_mask(exponent))
-    p, w = position.bitwiseAND(mask), ring_position(word).bitwiseAND(mask)
-    return F.when(p >= w, p - w).otherwise(mask - w + p + F.lit(1))
+    return (position - ring_position(word)).bitwiseAND(F.lit(partition_mask(exponent)))
 
 
 def ring_sector(position: Column) -> Column:

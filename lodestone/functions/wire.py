@@ -56,12 +56,15 @@ def micro_date(text: Column) -> Column:
     return F.pmod(decimal_prefix(text), F.lit(MICRO_DATE_MODULUS)).cast("int")
 
 
-def bitfield_mask(text: Column) -> Column:
-    """The appearance mask of a bit field in symbols; null if it isn't one."""
-    raw = F.rpad(F.hex(hashing.decode64(text)), 8, F.lit("0"))
-    byte = lambda i: F.conv(F.substring(raw, 2 * i + 1, 2), 16, 10).cast("int")
-    bits = [F.shiftright(byte(b >> 3), b & 7).bitwiseAND(1) * (1 << i) for i, b in enumerate(APPEARANCE_BITS)]
-    return reduce(lambda a, b: a + b, bits)
+def bitfield_number(text: Column) -> Column:
+    """The four bytes of a bit field in symbols as a number; null if it isn't one."""
+    return F.conv(F.rpad(F.hex(hashing.decode64(text)), 8, F.lit("0")), 16, 10).cast("long")
+
+
+def bitfield_mask(number: Column) -> Column:
+    """The appearance mask of that number."""
+    bits = [F.shiftright(number, 8 * (3 - (b >> 3)) + (b & 7)).bitwiseAND(1) * (1 << i) for i, b in enumerate(APPEARANCE_BITS)]
+    return reduce(lambda a, b: a + b, bits).cast("int")
 
 
 def bitfield(mask: Column) -> Column:
@@ -87,13 +90,13 @@ def read_postings(lines: DataFrame, line: str = "line", keep: tuple[str, ...] =
     rows = lines.select(*keep, F.regexp_extract(text, r"^([^{]*)\{.*\}$", 1).alias("word_hash"), _once(properties(F.regexp_extract(text, r"^[^{]*\{(.*)\}$", 1))).alias("p"))
     get = lambda k: F.element_at("p", F.lit(k))
     kinds = F.create_map(*[x for c, t in DOCUMENT_TYPES.items() for x in (F.lit(ord(c)), F.lit(t))])
-    flags = F.when(get("z").isNull(), F.lit(0)).otherwise(bitfield_mask(get("z")))
     rows = rows.where(hashing.is_hash(F.col("word_hash")) & F.col("p").isNotNull())
-    out = rows.select(
-        *keep, "word_hash", get("h").alias("url_hash"), micro_date(get("a")).alias("last_modified"), F.element_at(kinds, cardinal(get("d"), 0xFF)).alias("document_type"),
-        F.substring(get("l"), 1, 2).alias("language"), flags.alias("appearance"), *[F.coalesce(cardinal(get(k), m), F.lit(0)).alias(n) for n, k, m in _CARDINALS],
-    )
-    return out.where(hashing.is_hash(F.col("url_hash")) & F.col("appearance").isNotNull() & (F.col("language").isNull() | (F.octet_length("language") == 2)))
+    columns = [get("h").alias("url_hash"), F.substring(get("l"), 1, 2).alias("language"), F.when(get("z").isNull(), F.lit(0).cast("long")).otherwise(bitfield_number(get("z"))).alias("flags")]
+    numbers = [micro_date(get("a")).alias("last_modified"), F.element_at(kinds, cardinal(get("d"), 0xFF)).alias("document_type"), *[F.coalesce(cardinal(get(k), m), F.lit(0)).alias(n) for n, k, m in _CARDINALS]]
+    rows = rows.select(*keep, "word_hash", _once(F.struct(*columns, *numbers)).alias("v"))
+    rows = rows.where(hashing.is_hash(F.col("v.url_hash")) & F.col("v.flags").isNotNull() & (F.col("v.language").isNull() | (F.octet_length("v.language") == 2)))
+    names = ["last_modified", "document_type", *[n for n, _, _ in _CARDINALS]]
+    return rows.select(*keep, "word_hash", "v.url_hash", "v.language", bitfield_mask(F.col("v.flags")).alias("appearance"), *[f"v.{n}" for n in names])
 
 
 def read_batch(batch: DataFrame, batch_id: str, raw: str, limit: int = BATCH) -> DataFrame:

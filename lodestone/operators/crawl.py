@@ -98,7 +98,7 @@ def retry_delay(attempt: Column) -> Column:
 def retry_after(header: Column, now: Column, default: int = 60) -> Column:
     """Seconds a server asks to wait: a number or a date, else a minute."""
     date = F.try_to_timestamp(F.regexp_extract(header, r"^\w{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.when(header.rlike(r"^\s*\d{1,9}\s*$"), F.trim(header).cast("int")), F.greatest((F.unix_timestamp(date) - F.unix_timestamp(now)).cast("int"), F.lit(0)), F.lit(default))
+    return F.coalesce(F.when(header.rlike(r"^\s*\d{1,9}\s*$"), F.trim(header).cast("int")), F.when(date.isNotNull(), F.greatest((F.unix_timestamp(date) - F.unix_timestamp(now)).cast("int"), F.lit(0))), F.lit(default))
 
 
 def fetch_status(status: Column) -> Column:
