@@ -34,7 +34,7 @@ def word_hash(word: Column) -> Column:
     """Twelve symbols of a word, case ignored. A hash never begins with five underscores: they are shifted out."""
     h = F.substring(md5_symbols(F.lower(word)), 1, 12)
     lead = F.length(h) - F.length(F.ltrim(h, F.lit("_")))
-    return F.when(lead >= 5, F.rpad(F.substr(h, lead - 3), 12, F.lit("A"))).otherwise(h)
+    return F.when(F.startswith(h, F.lit("_____")), F.rpad(F.substr(h, lead - 3), 12, F.lit("A"))).otherwise(h)
 
 
 def is_hash(text: Column) -> Column:

@@ -52,15 +52,12 @@ def page_postings(pages: DataFrame) -> DataFrame:
     A page with no word gives no postings. Hashes of addresses come from :func:`lodestone.functions.urls.url_hash`.
     """
     p = pages.select(
-        urls.url_hash(F.col("canonical_url")).alias("url_hash"), F.col("text"),
-        F.unix_date(F.col("crawled_at").cast("date")).alias("last_modified"), tokens.statistics(F.col("title"))["words"].alias("title_words"),
-        tokens.statistics(F.col("text")).alias("__s"), two_letter(F.col("language")).alias("language"), F.col("local_links"), F.col("external_links"),
+        urls.url_hash(F.col("canonical_url")).alias("url_hash"), F.col("text"), F.unix_date(F.col("crawled_at").cast("date")).alias("last_modified"),
+        tokens.statistics(F.col("title"))["words"].alias("title_words"), two_letter(F.col("language")).alias("language"), F.col("local_links"), F.col("external_links"),
         F.octet_length("canonical_url").alias("url_length"), component_count(urls.path_of(F.col("canonical_url"))).alias("url_components"),
     )
-    keys = ["url_hash", "last_modified", "title_words", "text_words", "phrases", "language", "local_links", "external_links", "url_length", "url_components"]
-    p = p.withColumns({"text_words": F.col("__s.words"), "phrases": F.col("__s.phrases")})
-    words = tokens.occurrences(p, keys, "text")
-    return words.select(hashing.word_hash(F.col("word")).alias("word_hash"), *keys, F.lit(0).alias("appearance"), "hits", "text_position", "phrase_relative_position", "phrase_position")
+    words = tokens.occurrences(p, [c for c in p.columns if c != "text"], "text")
+    return words.select(hashing.word_hash(F.col("word")).alias("word_hash"), *[c for c in words.columns if c != "word"], F.lit(0).alias("appearance"))
 
 
 def page_metadata(pages: DataFrame, byte_size: Column) -> DataFrame:

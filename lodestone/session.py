@@ -36,3 +36,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that costs far more than moving its rows, if the table has too few splits for that.
+
+    Never at scale: a table with a split for every second core is left as it is, so what is moved has fewer splits than
+    the cluster has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
