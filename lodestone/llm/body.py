@@ -26,6 +26,8 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+from lodestone.session import spread
+
 MAX_SAMPLES = 20_000
 _ALPHA = 0.2
 _TAG = -60.0
@@ -195,7 +197,7 @@ def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[
                     at += out
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["row_id", "line_no"])
 
-    return df.select(row_id.cast("long").alias("row_id"), text.alias("text")).mapInArrow(found, "row_id long, line_no long")
+    return spread(df.select(row_id.cast("long").alias("row_id"), text.alias("text"))).mapInArrow(found, "row_id long, line_no long")
 
 
 def main_body(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]]) -> DataFrame:
@@ -211,4 +213,4 @@ def main_body(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[
                 out.append(t and "\n".join(x for x, keep in zip(t.split("\n"), body_lines(t, w), strict=True) if keep))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row_id", "body"])
 
-    return df.select(row_id.cast("long").alias("row_id"), text.alias("text")).mapInArrow(cut, "row_id long, body string")
+    return spread(df.select(row_id.cast("long").alias("row_id"), text.alias("text"))).mapInArrow(cut, "row_id long, body string")

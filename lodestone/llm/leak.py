@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 LENGTH = 9
 WIDTH = 5
 MAX_ITEMS = 20_000
@@ -169,7 +171,7 @@ def blocks(items: DataFrame, item_id: str, text: str, max_items: int, max_bytes:
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = LENGTH, width: int = WIDTH, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``doc_id, item_id`` of each document and item that share ``length`` consecutive words."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    docs = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
     first = True
     for block in blocks(items, item_id, item_text, max_items, max_bytes):

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 MAX_WORDS = 50_000
 #: Encodings as which bytes of UTF-8 are read, and pairs (true encoding, read as) of one byte a character.
 _READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_15", "cp1254")
@@ -312,7 +314,7 @@ def frequencies(texts: DataFrame, max_words: int = MAX_WORDS) -> tuple[dict[str,
 
 def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
     """Key columns (strings and longs by name), ``restored`` and ``damaged`` (tokens) of each affected row."""
-    rows = df.select(*keys, text.alias("__text")).where("__text is not null")
+    rows = spread(df.select(*keys, text.alias("__text")).where("__text is not null"))
     kept = rows.schema[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", restored string, damaged long"
 

@@ -27,7 +27,7 @@ def _line_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
-    """Samples for the model; makers of the body of a page and of a repair, for the tasks to call."""
+    """The model; makers of the body of a page and of a repair, for the tasks to call."""
     clean = language.samples_of(table(spark, folder, "lang_samples"))
     labelled = tuple(body.labelled_lines() + [("B", text) for _, text in clean])
     samples = clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean)
@@ -36,23 +36,25 @@ def _language_setup(spark: SparkSession, folder: str) -> tuple:
         weights = body.weights_of(labelled)
         return lambda t: "\n".join(x for x, keep in zip(t.split("\n"), body.body_lines(t, weights), strict=True) if keep)
 
+    counts = mojibake.counts_of([text for _, text in samples])
+
     def repair():  # noqa: ANN202
-        restorer = mojibake.Restorer(*mojibake.counts_of([text for _, text in samples]))
+        restorer = mojibake.Restorer(*counts)
         return lambda t: restorer.restore(t)[0]
 
-    return samples, bodies, repair
+    return language.Model(samples), bodies, repair
 
 
 def _record_languages(spark: SparkSession, folder: str) -> DataFrame:
     """``tab, rec_id, label, langs`` of each record with a text."""
-    samples, bodies, repair = _language_setup(spark, folder)
+    model, bodies, repair = _language_setup(spark, folder)
     tab, rec_id, label = (lambda t: F.lit(t).alias("tab")), (lambda c: F.col(c).cast("long").alias("rec_id")), (lambda c: F.col(c).alias("label"))
-    docs = language.languages(table(spark, folder, "documents"), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), samples, restore=repair)
-    pages = language.languages(table(spark, folder, "pages_text"), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), samples, bodies, repair)
-    found = language.languages(table(spark, folder, "search_documents"), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), samples, bodies, repair)
+    docs = language.languages(table(spark, folder, "documents"), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model, restore=repair)
+    pages = language.languages(table(spark, folder, "pages_text"), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies, repair)
+    found = language.languages(table(spark, folder, "search_documents"), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies, repair)
     urls = table(spark, folder, "url_metadata")
-    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), samples, restore=repair)
-    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), samples, restore=repair)
+    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model, restore=repair)
+    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, restore=repair, read=False)
     both = both.select("tab", "rec_id", "label", F.array_union("of_title", "langs").alias("langs"))
     return docs.unionByName(pages).unionByName(found).unionByName(both)
 
@@ -65,11 +67,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Each text's spans with language and confidence: whole texts, bodies of pages, titles and snippets."""
-    samples, bodies, _ = _language_setup(spark, folder)
+    model, bodies, _ = _language_setup(spark, folder)
     parts = []
     for tab, key, text, look in (("documents", "doc_id", "text", None), ("pages_text", "stream_seq", "text", bodies), ("search_documents", "stream_seq", "content", bodies), ("url_metadata", "stream_seq", "descr", None), ("url_metadata", "stream_seq", "snippet", None)):
         keys = [F.lit(tab).alias("tab"), F.lit(text).alias("field"), F.col(key).cast("long").alias("rec_id")]
-        parts.append(language.segments(table(spark, folder, tab), keys, F.col(text), samples, look))
+        parts.append(language.segments(table(spark, folder, tab), keys, F.col(text), model, look))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.session import materialise, spread
+
 #: Lengths on either side that a hazard is tested against, and those next to it that share its cause (blanks trimmed).
 NEIGHBOURS, NEAR = 150, 3
 FALSE_DISCOVERIES = 0.01
@@ -145,10 +147,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def endings(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per text its source, lengths and verdict; and counts of the two words that end clauses. One reading of the texts."""
-    from lodestone.session import materialise
-
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
-    read = materialise(rows.mapInArrow(_read, _SCHEMA), "endings")
+    read = materialise(spread(rows).mapInArrow(_read, _SCHEMA), "endings")
     return read.where("kind = 'd'").select("doc_id", "source", "fp", "n_chars", "n_bytes", "verdict", "words"), read.where("kind = 'c'").groupBy("words").agg(F.sum("n").alias("ends"))
 
 

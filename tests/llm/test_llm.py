@@ -264,10 +264,11 @@ def test_mixed_texts_quotes_and_nulls(spark, samples):
     s = lambda lang, n: " ".join(sentence(rng, lang) for _ in range(n))
     texts = {1: s("en", 4) + "\n" + s("de", 3), 2: s("en", 4) + " Some said “" + s("de", 1) + "” then. " + s("en", 1), 3: None, 4: "  ", 5: "Qvxz Wqrt", 6: s("ru", 2) + " " + s("en", 1) + " " + s("ru", 2), 7: s("de", 1), 8: s("en", 5000), 9: s("en", 2) + "\nhttp://der.die.und/seiten\n2025-01-01 seiten=3 stunde=2"}
     df = spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("langs", F.lit(1))
-    got = {r.id: r.langs for r in language.languages(df, [F.col("id")], F.col("text"), samples).collect()}
+    model = language.Model(samples)
+    got = {r.id: r.langs for r in language.languages(df, [F.col("id")], F.col("text"), model).collect()}
     assert got == {1: ["de", "en"], 2: ["en"], 3: [], 4: [], 5: [], 6: ["ru"], 7: ["de"], 8: ["en"], 9: ["en"]}
     spans = defaultdict(list)
-    for r in language.segments(df, [F.col("id")], F.col("text"), samples).collect():
+    for r in language.segments(df, [F.col("id")], F.col("text"), model).collect():
         spans[r.id].append((r.segment, r.start, r.end, r.lang, r.confidence))
     assert [x[3] for x in sorted(spans[1])] == ["en", "de"]
     assert sorted(spans[1])[0][1] == 0 and sorted(spans[1])[-1][2] == len(texts[1]) and all(0.5 <= x[4] <= 1 for x in spans[1])
