@@ -36,7 +36,7 @@ def properties(body: Column) -> Column:
     return F.when(even == "", none).when(bad, None).when(twice, F.map_from_entries(last)).otherwise(F.str_to_map(even, F.lit(","), F.lit("=")))
 
 
-def _once(column: Column) -> Column:
+def once(column: Column) -> Column:
     """A column that is computed once a row, however often it is referred to: the optimizer doesn't look through a generator."""
     return F.explode(F.array(column))
 
@@ -87,13 +87,13 @@ _CARDINALS = (
 def read_postings(lines: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings of lines ``wordhash{k=v,...}``. Lines that are none, or have a bad hash, language or flags, are dropped."""
     text = F.rtrim(F.col(line), F.lit("\r"))
-    rows = lines.select(*keep, F.regexp_extract(text, r"^([^{]*)\{.*\}$", 1).alias("word_hash"), _once(properties(F.regexp_extract(text, r"^[^{]*\{(.*)\}$", 1))).alias("p"))
+    rows = lines.select(*keep, F.regexp_extract(text, r"^([^{]*)\{.*\}$", 1).alias("word_hash"), once(properties(F.regexp_extract(text, r"^[^{]*\{(.*)\}$", 1))).alias("p"))
     get = lambda k: F.element_at("p", F.lit(k))
     kinds = F.create_map(*[x for c, t in DOCUMENT_TYPES.items() for x in (F.lit(ord(c)), F.lit(t))])
     rows = rows.where(hashing.is_hash(F.col("word_hash")) & F.col("p").isNotNull())
     columns = [get("h").alias("url_hash"), F.substring(get("l"), 1, 2).alias("language"), F.when(get("z").isNull(), F.lit(0).cast("long")).otherwise(bitfield_number(get("z"))).alias("flags")]
     numbers = [micro_date(get("a")).alias("last_modified"), F.element_at(kinds, cardinal(get("d"), 0xFF)).alias("document_type"), *[F.coalesce(cardinal(get(k), m), F.lit(0)).alias(n) for n, k, m in _CARDINALS]]
-    rows = rows.select(*keep, "word_hash", _once(F.struct(*columns, *numbers)).alias("v"))
+    rows = rows.select(*keep, "word_hash", once(F.struct(*columns, *numbers)).alias("v"))
     rows = rows.where(hashing.is_hash(F.col("v.url_hash")) & F.col("v.flags").isNotNull() & (F.col("v.language").isNull() | (F.octet_length("v.language") == 2)))
     names = ["last_modified", "document_type", *[n for n, _, _ in _CARDINALS]]
     return rows.select(*keep, "word_hash", "v.url_hash", "v.language", bitfield_mask(F.col("v.flags")).alias("appearance"), *[f"v.{n}" for n in names])
@@ -187,7 +187,7 @@ def read_metadata(rows: DataFrame, row: str = "row") -> DataFrame:
     """Metadata of rows ``{k=v,...}``; rows that are none, or have no address, are dropped."""
     text = F.col(row)
     body = F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & (F.length(text) >= 2), F.substr(text, F.lit(2), F.length(text) - 2))
-    p = rows.select("*", _once(properties(body)).alias("__p")).where("__p is not null")
+    p = rows.select("*", once(properties(body)).alias("__p")).where("__p is not null")
     get = lambda k: F.element_at("__p", F.lit(k))
     degrees = {k: get(k).try_cast("double") for k in ("lat", "lon")}
     nowhere = (degrees["lat"] == 0) & (degrees["lon"] == 0)
@@ -255,7 +255,7 @@ def read_seeds(lines: DataFrame, line: str = "line", max_bytes: int = 4096) -> D
     """Seeds of framed lines; those that are too long, or have no hash, are dropped."""
     plain = lines.select(unframed(F.col(line)).alias("t")).where(F.octet_length("t") <= max_bytes)
     body = F.regexp_replace(F.regexp_replace(F.col("t"), r"^[^{]*\{", ""), r"\}[^}]*$", "")
-    p = plain.select(_once(properties(body)).alias("p")).where("p is not null")
+    p = plain.select(once(properties(body)).alias("p")).where("p is not null")
     get = lambda k: F.element_at("p", F.lit(k))
     return p.where(hashing.is_hash(get("Hash"))).select(
         get("Hash").alias("peer_hash"), F.nullif(get("Name"), F.lit("")).alias("peer_name"), get("PeerType").alias("peer_type"), get("Port").try_cast("int").alias("port"),
