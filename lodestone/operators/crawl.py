@@ -75,7 +75,7 @@ def traversal(seeds: DataFrame, links: DataFrame, p: Profile) -> DataFrame:
         if p.max_per_host:
             used = seen.groupBy(urls.host_of(F.col("url")).alias("__h")).agg(F.count(F.lit(1)).alias("__used"))
             rank = F.row_number().over(W.partitionBy("__h").orderBy("url"))
-            found = found.withColumn("__h", urls.host_of(F.col("url"))).withColumn("__n", rank).join(used, "__h", "left")
+            found = found.withColumn("__h", urls.host_of(F.col("url"))).withColumn("__n", rank).where(F.col("__n") <= p.max_per_host).join(used, "__h", "left")
             found = found.where(F.col("__n") + F.coalesce("__used", F.lit(0)) <= p.max_per_host).select("url", "depth")
         front = materialise(found, "crawl-round")
         if front.isEmpty():

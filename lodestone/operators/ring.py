@@ -114,20 +114,21 @@ def offers(postings: DataFrame, peers: DataFrame, states: DataFrame, windows: Da
     are dropped; else the nearest eligible peers that hold no unexpired copy are asked for the missing ones.
     """
     key = ["word_hash", "url_hash"]
-    of = lambda *s: F.array_sort(F.coalesce(F.collect_list(F.when(F.col("state").isin(*s), F.col("peer_hash"))), F.array()))
-    by = states.groupBy(*key).agg(of("inside").alias("inside"), of("outside").alias("outside"), of("expired").alias("expired"))
     none = F.array().cast("array<string>")
-    rows = windows.join(by, key, "left").withColumns({c: F.coalesce(c, none) for c in ("inside", "outside", "expired")})
-    # the peers asked are among those that come first: as many as required, plus unexpired holders that are passed over
-    most = redundancy + 8
-    near = nearest_peers(postings, eligible_peers, most, exponent).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer_hash"))), lambda x: x["peer_hash"]).alias("near"))
-    names = peers.select("peer_hash").distinct().agg(F.collect_set("peer_hash").alias("all"))  # a bounded roster
-    rows = rows.join(near, key, "left").join(F.broadcast(names))
+    accepting_too = states.join(peers.select("peer_hash").distinct().withColumn("__accepts", F.lit(True)), "peer_hash", "left")
+    of = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("peer_hash"))))
+    is_ = lambda *s: F.col("state").isin(*s)
+    by = accepting_too.groupBy(*key).agg(of(is_("inside")).alias("inside"), of(is_("outside")).alias("outside"), of(is_("expired")).alias("expired"), of(is_("inside", "outside") & F.coalesce("__accepts", F.lit(False))).alias("holding"))
+    rows = windows.join(by, key, "left").withColumns({c: F.coalesce(c, none) for c in ("inside", "outside", "expired", "holding")})
+    # the peers asked are the first that hold no unexpired copy: at most as many come before them as a posting has such holders
+    holders = states.where(F.col("state") != "expired").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    near = nearest_peers(postings, eligible_peers, redundancy + holders, exponent).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer_hash"))), lambda x: x["peer_hash"]).alias("near"))
+    rows = rows.join(near, key, "left")
     missing = F.col("required") - F.size("inside")
     asked = F.slice(F.array_except(F.coalesce("near", none), F.concat("inside", "outside")), 1, F.greatest(missing, F.lit(0)))
     fresh = missing <= 0
     return rows.select(
-        *key, F.when(fresh, F.array_sort(F.array_intersect("all", F.concat("inside", "outside")))).otherwise(asked).alias("peers"),
+        *key, F.when(fresh, F.col("holding")).otherwise(asked).alias("peers"),
         F.when(fresh, 0).otherwise(missing).alias("acceptances_needed"), F.when(fresh, F.concat("expired", "outside")).otherwise(F.col("expired")).alias("stale_holders"),
     )
 

@@ -134,11 +134,16 @@ def ranked(found: DataFrame, results: int = RESULTS) -> DataFrame:
 
 
 def documents(postings: DataFrame, metadata: DataFrame, c: Criteria) -> DataFrame:
-    """Metadata of the most relevant documents with ``rank``. Documents without metadata leave gaps."""
-    top = ranked(matches(postings, c), c.results)
+    """Metadata of the most relevant documents with ``rank``. Documents without metadata leave gaps.
+
+    Without a limit on the results there is no rank: one over all matches would have to pass through a single task.
+    """
+    found = matches(postings, c)
+    if c.results <= 0:
+        return metadata.join(found.withColumn("rank", F.lit(None).cast("int")), "url_hash")
     rank = F.row_number().over(W.orderBy(F.desc("occurrences"), "spread", "url_hash"))  # over the few results alone
-    top = top.withColumn("rank", rank)
-    return metadata.join(F.broadcast(top) if 0 < c.results <= 10_000 else top, "url_hash")
+    top = ranked(found, c.results).withColumn("rank", rank)
+    return metadata.join(F.broadcast(top) if c.results <= 10_000 else top, "url_hash")
 
 
 def report(postings: DataFrame, c: Criteria, mode: str, requested: tuple[str, ...] = ()) -> DataFrame:
