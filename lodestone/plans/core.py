@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, html, tokens, urls, wire
 from lodestone.operators import crawl, derive, fulltext, index, ingest, ring, search
+from lodestone.session import materialise
 from lodestone.sources.tables import table
 
 NOW = datetime(2025, 7, 1)
@@ -421,18 +422,26 @@ def holder_states(spark: SparkSession, folder: str) -> DataFrame:
 
 def _offers(spark: SparkSession, folder: str) -> DataFrame:
     ids, p = _identities(spark, folder), peers(spark, folder)
-    windows = ring.replica_windows(ids, p, SELF)
-    states = ring.holder_states(_ledger(spark, folder), windows, _reachability(spark, folder))
+    windows = materialise(ring.replica_windows(ids, p, SELF), "windows")  # both are read more than once
+    states = materialise(ring.holder_states(_ledger(spark, folder), windows, _reachability(spark, folder)), "holder-states")
     return ring.offers(ids, p, states, windows, p)
 
 
-@query()
+_OFFERS = f"""{_STATES},
+    h as (select word_hash, url_hash, count(*) filter (state = 'inside') ni, string_agg(peer_hash, ' ' order by peer_hash) filter (state in ('inside', 'outside')) holding, string_agg(peer_hash, ' ' order by peer_hash) filter (state = 'expired') ex, string_agg(peer_hash, ' ' order by peer_hash) filter (state = 'outside') ou from states group by 1, 2),
+    cand as (select i.word_hash, i.url_hash, p.peer_hash, row_number() over (partition by i.word_hash, i.url_hash order by {_dist('i.pos', 'p.pos')}, p.peer_hash) r from ids i cross join p anti join (select * from states where state <> 'expired') s on s.word_hash = i.word_hash and s.url_hash = i.url_hash and s.peer_hash = p.peer_hash),
+    asked as (select c.word_hash, c.url_hash, string_agg(peer_hash, ' ' order by r) asked from cand c join wins w using (word_hash, url_hash) left join h using (word_hash, url_hash) where r <= required - coalesce(ni, 0) group by 1, 2),
+    offers as (select w.word_hash, w.url_hash, case when required <= coalesce(ni, 0) then coalesce(holding, '') else coalesce(asked, '') end peers, cast(greatest(required - coalesce(ni, 0), 0) as int) acceptances_needed, case when required <= coalesce(ni, 0) then concat_ws(' ', ex, ou) else coalesce(ex, '') end stale_holders
+        from wins w left join h using (word_hash, url_hash) left join asked using (word_hash, url_hash))"""
+
+
+@query(f"with {_OFFERS} select * from offers")
 def offer_plan(spark: SparkSession, folder: str) -> DataFrame:
     o = _offers(spark, folder)
     return o.select("word_hash", "url_hash", F.concat_ws(" ", "peers").alias("peers"), "acceptances_needed", F.concat_ws(" ", "stale_holders").alias("stale_holders"))
 
 
-@query()
+@query(f"with {_OFFERS}, e as (select word_hash, url_hash, unnest(string_split(peers, ' ')) peer_hash from offers where peers <> '') select peer_hash, count(*) n_postings, count(distinct word_hash) n_words from e group by 1")
 def offers_by_peer(spark: SparkSession, folder: str) -> DataFrame:
     return ring.grouped_by_peer(_offers(spark, folder))
 
