@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from importlib import resources
 from math import log
@@ -181,17 +181,21 @@ def weights_of(lines: tuple[tuple[str, str], ...]) -> Weights:
     return Weights(lines)
 
 
-def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]]) -> DataFrame:
-    """``row_id, line_no`` of each line outside the main body, numbered from 1."""
+def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]], restore: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """``row_id, line_no`` of each line outside the main body, numbered from 1.
+
+    ``restore`` makes, in each task, a function that repairs a text that was garbled, keeping its lines, before it is scored.
+    """
     lines = tuple(labelled)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights_of(lines)
+        w, repair = weights_of(lines), restore() if restore else None
         for b in batches:
             ids, at = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py()
                 if t:
+                    t = repair(t) if repair else t
                     out = [n for n, body in enumerate(body_lines(t, w), 1) if body is False]
                     ids += [i] * len(out)
                     at += out

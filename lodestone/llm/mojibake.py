@@ -35,7 +35,7 @@ _SWAPPED = (
     ("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("koi8_r", "cp1252"), ("cp866", "cp1251"), ("cp866", "cp1252"), ("iso8859_5", "cp1252"), ("iso8859_5", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"),
     ("iso8859_2", "cp1252"), ("cp1250", "cp1252"), ("cp1250", "iso8859_2"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "koi8_r"), ("cp1251", "mac_roman"), ("cp1251", "cp437"),
 )
-_ENTER, _ENTER_SWAPPED, _LEAVE, _UNKNOWN, _MIXED, _DECODED = -6.0, -14.0, -1.0, -13.0, -6.0, 4.0
+_ENTER, _ENTER_SWAPPED, _LEAVE, _UNKNOWN, _MIXED, _DECODED, _UNSEEN = -6.0, -14.0, -1.0, -13.0, -6.0, 4.0, -12.0
 _WORD = re.compile(r"[^\W\d_]+")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,6});")
 _QUOTED = re.compile(r"[“”„«»\"'‘’‹›(\[`]+([^A-Za-z0-9\s]{1,12})[“”«»\"'‘’‹›)\]`]+[.,;:!?)]*$")
@@ -185,8 +185,8 @@ class Restorer:
                 spelled = channel.read(token)
                 if spelled != token and "\x00" not in spelled:
                     p = self._score(spelled)
-                    if channel.strict:  # what decodes as UTF-8 hardly does by chance
-                        p += _DECODED
+                    if channel.strict:  # what decodes as UTF-8 hardly does by chance, unless to what no text has
+                        p += _DECODED + _UNSEEN * sum(c > "\x7f" and c not in self.chars and c not in token for c in spelled)
                     else:  # letters swapped for letters prove something only by the words they make
                         new = {w.lower() for w in _WORD.findall(spelled) if not w.isascii()} - {w.lower() for w in _WORD.findall(token)}
                         longest = max((len(w) for w in new if w in self.words), default=0)

@@ -113,7 +113,13 @@ def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     labelled = body.fitted(table(spark, folder, "lang_samples"))
-    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in _pages(spark, folder)]
+    counts = mojibake.counts_of([line for _, line in labelled])
+
+    def repair():  # noqa: ANN202
+        restorer = mojibake.Restorer(*counts)
+        return lambda t: restorer.restore(t)[0]
+
+    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), labelled, repair if tab == "search_documents" else None).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in _pages(spark, folder)]
     return parts[0].unionByName(parts[1])
 
 
