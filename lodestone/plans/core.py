@@ -341,13 +341,20 @@ def url_parts(spark: SparkSession, folder: str) -> DataFrame:
     return u.select("url", host.alias("host"), urls.port_of(url).alias("port"), urls.path_of(url).alias("path"), urls.has_query(url).alias("has_query"), urls.directory_of(url).alias("directory"), urls.domain_of(host).alias("domain"), urls.subdomain_of(host).alias("subdomain"))
 
 
-@query()
+_U = r"""u as (select distinct url from url_metadata), q as (select url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) sch, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) host, regexp_extract(url, '^[A-Za-z]+://[^/?#:]*:(\d+)', 1) port, regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)?', 1) path, regexp_extract(url, '(\?[^#]*)', 1) qs from u where url is not null),
+    n as (select *, sch || '://' || host || case when port = '' or (sch = 'http' and port = '80') or (sch = 'https' and port = '443') then '' else ':' || port end || case when path = '' then '/' else path end || qs form from q)"""
+_SYM = "replace(replace(to_base64(unhex(md5({0}))), '+', '-'), '/', '_')"
+
+
+@query(f"""with {_U}, d as (select *, case when port = '' then case sch when 'https' then '443' else '80' end else port end pt, regexp_extract(host, '^(?:.*\\.)?([^.:]+)\\.[^.:]*$', 1) dom, regexp_extract(host, '^(.+)\\.[^.:]+\\.[^.:]*$', 1) sub, regexp_extract(case when path = '' then '/' else path end, '^/?([^/]+)/[^/]', 1) rt from n)
+    select url, form normal_form, substr({_SYM.format('form')}, 1, 5) || substr({_SYM.format("sub || ':' || pt || ':' || rt")}, 1, 1) || substr({_SYM.format("sch || ':' || host || ':' || pt")}, 1, 5)
+    || substr('{hashing.ALPHABET}', ((case when regexp_matches(host, '\\.(alt|example|internal|invalid|local|localhost|onion|test)$') or not contains(host, '.') then 28 else 24 end) | (case when length(dom) <= 8 then 0 when length(dom) <= 12 then 1 when length(dom) <= 16 then 2 else 3 end) | (case when sch <> 'http' then 32 else 0 end)) + 1, 1) computed_hash from d""")
 def url_hashes(spark: SparkSession, folder: str) -> DataFrame:
     u = table(spark, folder, "url_metadata").where("url is not null").select("url").distinct()
     return u.select("url", urls.normal_form_udf("url").alias("normal_form")).withColumn("computed_hash", urls.hash_of_normal_form(F.col("normal_form")))
 
 
-@query()
+@query(f"with {_U} select url, form canonical_url from n")
 def canonical_urls(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "url_metadata").select("url").distinct().withColumn("canonical_url", urls.canonical_udf("url"))
 

@@ -96,7 +96,11 @@ def chunk_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 # --- visits --------------------------------------------------------------------------------------------------------
 
 
-@query()
+_INNER, _OUTER = (bytes(b ^ pad for b in SECRET.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+_SEAL = f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(cast(expires as varchar) || chr(10) || url))))"
+
+
+@query(f"with u as (select distinct url, cast(floor(epoch(crawled_at)) as bigint) expires from search_documents where url is not null) select url, case when regexp_matches(url, '^https?://') then 'https://search.example/visit?url=' || url_encode(url) || '&expires=' || expires || '&signature=' || {_SEAL} else url end link, expires is not null genuine, 1751328000 > expires as over from u")
 def signed_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links through the recorder, whether they prove genuine, and whether they are over."""
     u = table(spark, folder, "search_documents").where("url is not null").select("url", F.unix_seconds(F.col("crawled_at").cast("timestamp")).alias("expires")).distinct()
