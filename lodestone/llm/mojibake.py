@@ -332,3 +332,19 @@ def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple[dict
             yield pa.RecordBatch.from_arrays([*chosen.columns[:-1], pa.array(out, pa.string()), pa.array(n, pa.int64())], names=[*chosen.schema.names[:-1], "restored", "damaged"])
 
     return rows.mapInArrow(run, schema)
+
+
+def repaired(df: DataFrame, texts: list[str], counts: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
+    """All rows of a table, with the columns ``texts`` restored wherever they hold damage."""
+    rows = spread(df)
+    at = [rows.columns.index(c) for c in texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Restorer(*counts)
+        for b in batches:
+            columns = list(b.columns)
+            for i in at:
+                columns[i] = pa.array([t and r.restore(t)[0] for t in columns[i].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

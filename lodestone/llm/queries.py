@@ -27,7 +27,7 @@ def _line_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
-    """The model; makers of the body of a page and of a repair, for the tasks to call."""
+    """The model; a maker of the body of a page, for the tasks to call; and the counts to repair garbled texts by."""
     clean = language.samples_of(table(spark, folder, "lang_samples"))
     labelled = tuple(body.labelled_lines() + [("B", text) for _, text in clean])
     samples = clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean)
@@ -36,25 +36,20 @@ def _language_setup(spark: SparkSession, folder: str) -> tuple:
         weights = body.weights_of(labelled)
         return lambda t: "\n".join(x for x, keep in zip(t.split("\n"), body.body_lines(t, weights), strict=True) if keep)
 
-    counts = mojibake.counts_of([text for _, text in samples])
-
-    def repair():  # noqa: ANN202
-        restorer = mojibake.Restorer(*counts)
-        return lambda t: restorer.restore(t)[0]
-
-    return language.Model(samples), bodies, repair
+    return language.Model(samples), bodies, mojibake.counts_of([text for _, text in samples])
 
 
 def _record_languages(spark: SparkSession, folder: str) -> DataFrame:
     """``tab, rec_id, label, langs`` of each record with a text."""
-    model, bodies, repair = _language_setup(spark, folder)
+    model, bodies, counts = _language_setup(spark, folder)
     tab, rec_id, label = (lambda t: F.lit(t).alias("tab")), (lambda c: F.col(c).cast("long").alias("rec_id")), (lambda c: F.col(c).alias("label"))
-    docs = language.languages(table(spark, folder, "documents"), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model, restore=repair)
-    pages = language.languages(table(spark, folder, "pages_text"), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies, repair)
-    found = language.languages(table(spark, folder, "search_documents"), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies, repair)
-    urls = table(spark, folder, "url_metadata")
-    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model, restore=repair)
-    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, restore=repair, read=False)
+    clean = lambda name, *columns, texts: mojibake.repaired(table(spark, folder, name).select(*columns, *texts), texts, counts)
+    docs = language.languages(clean("documents", "doc_id", "lang", texts=["text"]), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model)
+    pages = language.languages(clean("pages_text", "stream_seq", "language", texts=["text"]), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies)
+    found = language.languages(clean("search_documents", "stream_seq", "language", texts=["content"]), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies)
+    urls = clean("url_metadata", "stream_seq", "lang", texts=["descr", "snippet"])
+    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model)
+    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, read=False)
     both = both.select("tab", "rec_id", "label", F.array_union("of_title", "langs").alias("langs"))
     return docs.unionByName(pages).unionByName(found).unionByName(both)
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import body, language, leak, lines, mojibake, packing, truncation
+from lodestone.llm import body, language, leak, lines, mojibake, packing, queries, truncation
 
 # --- repeated lines ---
 
@@ -282,6 +282,33 @@ def test_labels(spark):
     assert [r[0] for r in df.select(language.label_language(F.col("l"))).collect()] == ["en", "pt", "de", None, None, None, None, None]
 
 
+def _tables(spark, folder, **tables):
+    """Small tables of the columns that the queries of this package read, written to a folder."""
+    shapes = {
+        "lang_samples": "sample_id long, lang string, text string", "documents": "doc_id long, lang string, source string, text string", "pages_text": "stream_seq long, language string, text string",
+        "search_documents": "stream_seq long, language string, content string", "url_metadata": "stream_seq long, lang string, descr string, snippet string",
+    }
+    for name, shape in shapes.items():
+        spark.createDataFrame(tables.get(name, []), shape).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def _sample_rows(samples):
+    return [(i, lang, text) for i, (lang, text) in enumerate(samples)]
+
+
+def test_garbled_text_with_a_language_of_its_own_is_repaired(spark, samples, tmp_path):
+    rng = random.Random(7)
+    text = " ".join(sentence(rng, "ru") for _ in range(6))
+    bad = text.encode("cp1251").decode("cp1252")
+    model = language.Model(samples)
+    mixed = " ".join(sentence(rng, "en") for _ in range(3)) + " " + bad
+    assert model.languages(*model.label([mixed])[0]) == [model.langs.index("en")]  # what is clean says something
+    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), documents=[(1, "en", "s", mixed), (2, "en", "s", None), (3, "en", "s", sentence(rng, "en"))])
+    got = {(r.tab, r.rec_id, r.lang_code) for r in queries.p1_found(spark, folder).collect()}
+    assert got == {("documents", 1, "en"), ("documents", 1, "ru")}
+
+
 # --- truncation ---
 
 
