@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from importlib import resources
 from math import log
@@ -170,6 +170,16 @@ def body_lines(text: str, weights: Weights) -> list[bool | None]:
     return [None if not line.strip() else a <= i < b and scores[i] >= 0 for i, line in enumerate(lines)]
 
 
+def body_spans(text: str, weights: Weights) -> list[tuple[int, int]]:
+    """``(start, end)`` of each line of the body."""
+    out, at = [], 0
+    for line, keep in zip(text.split("\n"), body_lines(text, weights), strict=True):
+        if keep:
+            out.append((at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
 def fitted(samples: DataFrame | None, text: str = "text", max_samples: int = MAX_SAMPLES) -> list[tuple[str, str]]:
     """Labelled lines of the package, with at most ``max_samples`` clean sentences of a table as body."""
     clean = [] if samples is None else [("B", r[0]) for r in samples.select(text).where(f"{text} is not null").limit(max_samples).collect()]
@@ -181,21 +191,17 @@ def weights_of(lines: tuple[tuple[str, str], ...]) -> Weights:
     return Weights(lines)
 
 
-def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]], restore: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
-    """``row_id, line_no`` of each line outside the main body, numbered from 1.
-
-    ``restore`` makes, in each task, a function that repairs a text that was garbled, keeping its lines, before it is scored.
-    """
+def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]]) -> DataFrame:
+    """``row_id, line_no`` of each line outside the main body, numbered from 1."""
     lines = tuple(labelled)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, repair = weights_of(lines), restore() if restore else None
+        w = weights_of(lines)
         for b in batches:
             ids, at = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 t = t.as_py()
                 if t:
-                    t = repair(t) if repair else t
                     out = [n for n, body in enumerate(body_lines(t, w), 1) if body is False]
                     ids += [i] * len(out)
                     at += out

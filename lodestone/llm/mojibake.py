@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log
 
 import pyarrow as pa
@@ -230,8 +232,13 @@ class Restorer:
 
     def restore(self, text: str) -> tuple[str, int]:
         """The restored text and the number of tokens that were damaged; the text itself and 0 if clean."""
+        found = self.damage(text)
+        return (replaced(text, found), len(found)) if found else (text, 0)
+
+    def damage(self, text: str) -> list[tuple[int, int, str]]:
+        """``(start, end, restored spelling)`` of each damaged token, in order; the spelling it has where nothing fits."""
         if not self.suspicious(text):
-            return text, 0
+            return []
         parts = _SPLIT.split(text)
         steps = [(i, self.readings(t)) for i, t in enumerate(parts) if t and _special(t)]
         # Viterbi over the tokens that have a choice: states are the clean one and the channels seen in this text
@@ -257,14 +264,41 @@ class Restorer:
             best = now
             back.append(step)
         state = max(best, key=lambda s: best[s])
-        damaged = 0
+        starts = [0, *accumulate(map(len, parts))]
+        found = []
         for (i, _), step in zip(reversed(steps), reversed(back), strict=True):
             frm, spelled, hurt = step[state]
             if hurt:
-                damaged += 1
-                parts[i] = spelled
+                found.append((starts[i], starts[i + 1], spelled))
             state = frm
-        return ("".join(parts), damaged) if damaged else (text, 0)
+        return found[::-1]
+
+
+def replaced(text: str, found: list[tuple[int, int, str]]) -> str:
+    """A text with the restored spelling of its damaged tokens."""
+    parts, at = [], 0
+    for a, z, spelled in found:
+        parts += text[at:a], spelled
+        at = z
+    return "".join(parts) + text[at:]
+
+
+def moves(found: list[tuple[int, int, str]]) -> list[int]:
+    """For each damaged token its start and end in the restored text, then those in the text as it stood; all in one list."""
+    out, shift = [], 0
+    for a, z, spelled in found:
+        out += a + shift, a + shift + len(spelled), a, z
+        shift += len(spelled) - (z - a)
+    return out
+
+
+def as_stored(moved: list[int], at: int, end: bool = False) -> int:
+    """Where a place of the restored text is in the text as it stood; within a token its start, or its end."""
+    i = bisect_right(moved[::4], at - end) - 1
+    if i < 0:
+        return at
+    start, stop, a, z = moved[4 * i : 4 * i + 4]
+    return at - stop + z if at - end >= stop else z if end else a
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,14 +27,14 @@ def _line_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
-    """The model; a maker of the body of a page, for the tasks to call; and the counts to repair garbled texts by."""
+    """The model; a maker of the spans of the lines of a page's body, for the tasks to call; and the counts to repair garbled texts by."""
     clean = language.samples_of(table(spark, folder, "lang_samples"))
     labelled = tuple(body.labelled_lines() + [("B", text) for _, text in clean])
     samples = clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean)
 
     def bodies():  # noqa: ANN202
         weights = body.weights_of(labelled)
-        return lambda t: "\n".join(x for x, keep in zip(t.split("\n"), body.body_lines(t, weights), strict=True) if keep)
+        return lambda t: body.body_spans(t, weights)
 
     return language.Model(samples), bodies, mojibake.counts_of([text for _, text in samples])
 
@@ -43,13 +43,12 @@ def _record_languages(spark: SparkSession, folder: str) -> DataFrame:
     """``tab, rec_id, label, langs`` of each record with a text."""
     model, bodies, counts = _language_setup(spark, folder)
     tab, rec_id, label = (lambda t: F.lit(t).alias("tab")), (lambda c: F.col(c).cast("long").alias("rec_id")), (lambda c: F.col(c).alias("label"))
-    clean = lambda name, *columns, texts: mojibake.repaired(table(spark, folder, name).select(*columns, *texts), texts, counts)
-    docs = language.languages(clean("documents", "doc_id", "lang", texts=["text"]), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model)
-    pages = language.languages(clean("pages_text", "stream_seq", "language", texts=["text"]), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies)
-    found = language.languages(clean("search_documents", "stream_seq", "language", texts=["content"]), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies)
-    urls = clean("url_metadata", "stream_seq", "lang", texts=["descr", "snippet"])
-    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model)
-    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, read=False)
+    docs = language.languages(table(spark, folder, "documents"), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model, counts=counts)
+    pages = language.languages(table(spark, folder, "pages_text"), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies, counts)
+    found = language.languages(table(spark, folder, "search_documents"), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies, counts)
+    urls = table(spark, folder, "url_metadata")
+    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model, counts=counts)
+    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, counts=counts, read=False)
     both = both.select("tab", "rec_id", "label", F.array_union("of_title", "langs").alias("langs"))
     return docs.unionByName(pages).unionByName(found).unionByName(both)
 
@@ -61,12 +60,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Each text's spans with language and confidence: whole texts, bodies of pages, titles and snippets."""
-    model, bodies, _ = _language_setup(spark, folder)
+    """Each text's spans with language and confidence: whole texts, bodies of pages, titles and snippets; garbled ones as repaired."""
+    model, bodies, counts = _language_setup(spark, folder)
     parts = []
     for tab, key, text, look in (("documents", "doc_id", "text", None), ("pages_text", "stream_seq", "text", bodies), ("search_documents", "stream_seq", "content", bodies), ("url_metadata", "stream_seq", "descr", None), ("url_metadata", "stream_seq", "snippet", None)):
         keys = [F.lit(tab).alias("tab"), F.lit(text).alias("field"), F.col(key).cast("long").alias("rec_id")]
-        parts.append(language.segments(table(spark, folder, tab), keys, F.col(text), model, look))
+        parts.append(language.segments(table(spark, folder, tab), keys, F.col(text), model, look, counts))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -106,21 +105,23 @@ def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
     ]
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def _page_lines(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str]], list[tuple[str, DataFrame]]]:
+    """Labelled lines; and the pages, garbled ones as repaired."""
     labelled = body.fitted(table(spark, folder, "lang_samples"))
     counts = mojibake.counts_of([line for _, line in labelled])
+    return labelled, [(tab, mojibake.repaired(df, ["content"], counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
 
-    def repair():  # noqa: ANN202
-        restorer = mojibake.Restorer(*counts)
-        return lambda t: restorer.restore(t)[0]
 
-    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), labelled, repair if tab == "search_documents" else None).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in _pages(spark, folder)]
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    labelled, pages = _page_lines(spark, folder)
+    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in pages]
     return parts[0].unionByName(parts[1])
 
 
 def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = body.fitted(table(spark, folder, "lang_samples"))
-    parts = [body.main_body(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "body") for tab, df in _pages(spark, folder)]
+    """The body of each page, garbled ones as repaired."""
+    labelled, pages = _page_lines(spark, folder)
+    parts = [body.main_body(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "body") for tab, df in pages]
     return parts[0].unionByName(parts[1])
 
 

@@ -309,6 +309,33 @@ def test_garbled_text_with_a_language_of_its_own_is_repaired(spark, samples, tmp
     assert got == {("documents", 1, "en"), ("documents", 1, "ru")}
 
 
+def test_segments_stand_in_the_stored_text(spark, samples, tmp_path):
+    rng = random.Random(11)
+    title = " ".join(sentence(rng, "ru") for _ in range(2))
+    garbled = title.encode("cp1251").decode("cp1252")
+    plain = " ".join(sentence(rng, "en") for _ in range(4))
+    page = "Home › News › Contact\n" + plain + "\n© 2025 Example. All rights reserved. Terms, Privacy, Imprint"
+    twice = sentence(rng, "ru").encode().decode("koi8-r")  # two characters for each letter
+    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), pages_text=[(1, "en", page)], search_documents=[(1, "ru", garbled)], documents=[(1, "ru", "s", twice + " " + plain)])
+    got = defaultdict(list)
+    for r in queries.p1_segments(spark, folder).orderBy("segment").collect():
+        got[r.tab].append((r.start, r.end, r.lang))
+    assert got["pages_text"] == [(page.index(plain), page.index(plain) + len(plain), "en")]
+    assert got["search_documents"] == [(0, len(garbled), "ru")]
+    assert [x[2] for x in got["documents"]] == ["ru", "en"] and got["documents"][0][0] == 0 and got["documents"][1][1] == len(twice + " " + plain)
+    assert abs(got["documents"][1][0] - len(twice)) <= 1 and got["documents"][0][1] == got["documents"][1][0]
+
+
+def test_bodies_agree_with_furniture_on_garbled_pages(spark, samples, tmp_path):
+    lines = [x for i, x in body.labelled_lines() if i == "B" and not x.isascii()] or ["Größere Übergabe."]
+    text = ("Home › News › Contact\n" + "\n".join(lines[:6])).encode().decode("cp1252", "ignore")
+    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), search_documents=[(1, "de", text), (2, "de", None)])
+    out = {r.line_no for r in queries.p4_found(spark, folder).collect()}
+    bodies = {r.stream_seq: r.body for r in queries.p4_bodies(spark, folder).collect()}
+    restored = mojibake.Restorer(*mojibake.counts_of([x for _, x in body.fitted(spark.read.parquet(f"{folder}/lang_samples.parquet"))])).restore(text)
+    assert restored[1] and bodies == {1: "\n".join(x for n, x in enumerate(restored[0].split("\n"), 1) if x.strip() and n not in out), 2: None}
+
+
 # --- truncation ---
 
 
