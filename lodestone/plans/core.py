@@ -616,7 +616,7 @@ def crawl_admission(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"with {_LINKS}, d as (select distinct regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) dir from sd where length(url) % 7 = 0) select distinct target url from links l where exists (select 1 from d where starts_with(regexp_replace(l.target, '[?#].*$', ''), dir))")
 def scope_prefix(spark: SparkSession, folder: str) -> DataFrame:
     seeds, links = _graph(spark, folder)
-    return crawl.within_scope(links.select(F.col("target").alias("url")).distinct(), seeds.where("length(url) % 7 = 0"), "subpath")
+    return crawl.within_scope(links.select(F.col("target").alias("url")).distinct(), seeds, "subpath")
 
 
 @query(f"with {META} select url from (select url, row_number() over (partition by {_HOST.format(u='url')} order by load_day nulls first, url) rn from meta) where rn <= 5")

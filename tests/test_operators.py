@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
 from lodestone.operators import crawl, derive, fulltext, index, ingest, ring, search, skew
+from lodestone.plans import core
 from lodestone.sources import archives
 from lodestone.sources.stores import Store, drift
 
@@ -229,3 +230,14 @@ def test_skew_empty(spark):
     df = spark.createDataFrame([], "k string, v string, m int, i long")
     assert skew.per_key(df, F.col("k"), F.col("v"), F.col("m"), F.col("i")).count() == 0
     assert skew.heavy_keys(df, F.col("k"), F.col("i"), 0.1).count() == 0
+
+
+def test_scope_prefix_takes_every_seed(spark, tmp_path):
+    seeds = [f"http://{'h' * n}.test/d{n}/index" for n in range(1, 9)]
+    rows = [(i, f"seed{i}", u, None) for i, u in enumerate(seeds)]
+    rows += [(10 + i, f"in{i}", u.replace("index", "sub/page?q=1"), f"seed{(i + 3) % 8}") for i, u in enumerate(seeds)]
+    rows += [(20 + i, f"out{i}", u.replace("/d", "/e"), f"seed{i}") for i, u in enumerate(seeds)]
+    spark.createDataFrame(rows, "stream_seq long, url_hash string, url string, referrer string").write.parquet(f"{tmp_path}/url_metadata.parquet")
+    dirs = [u[: u.rindex("/") + 1] for u in seeds]
+    want = {u for _, _, u, r in rows if r and any(u.split("?")[0].startswith(d) for d in dirs)}
+    assert {r.url for r in core.scope_prefix(spark, str(tmp_path)).collect()} == want and len(want) == 8
