@@ -8,7 +8,8 @@ probability, with word and character frequencies of the corpus as the source mod
 A text with a token outside the clean state is affected, and the path spells its restoration.
 
 The frequencies count every word with a character beyond ASCII in all texts; each task counts for itself, and the
-``MAX_WORDS`` most frequent are kept for the search (a bound on what every task holds; rarer words count as unknown).
+``MAX_WORDS`` most frequent are held by every task. Rarer words stay in a written table: those that the readings of a
+text's tokens depend on are joined to its row, by distinct tokens, so that no word is cut.
 
 A sequence of symbols alone between clean quotation marks is an example someone quotes, not damage. U+FFFD is damage
 even where nothing fits its place; it then stays. Null, empty and ASCII texts are never affected.
@@ -23,12 +24,13 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 from math import log
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import spread
+from lodestone.session import materialise, spread
 
 MAX_WORDS = 50_000
 #: Encodings as which bytes of UTF-8 are read, and pairs (true encoding, read as) of one byte a character.
@@ -44,6 +46,7 @@ _QUOTED = re.compile(r"[“”„«»\"'‘’‹›(\[`]+([^A-Za-z0-9\s]{1,12})
 _LOST = "�"
 #: a question mark inside a word stands for a lost character too, but not in addresses
 _MARK = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+_WITH_LOST = re.compile(rf"[^\W\d_{_LOST}]*(?:{_LOST}[^\W\d_{_LOST}]*)+|[^\W\d_]+")
 _SPLIT = re.compile(r"([ \n\t]+)")
 
 
@@ -135,28 +138,84 @@ def _special(token: str) -> bool:
     return not token.isascii() or "&" in token and _ENTITY.search(token) is not None or _odd_mark(token)
 
 
+class Counts(NamedTuple):
+    """Words held by every task, characters; occurrences of all words, and ``word, n, pattern`` of those that aren't held, if any."""
+
+    words: dict[str, int]
+    chars: dict[str, int]
+    total: int
+    rare: DataFrame | None = None
+
+
+def _pattern(word: str) -> str:
+    return re.sub(r"[^\x00-\x7f]", _LOST, word)
+
+
 class Restorer:
     """Restores texts under word and character frequencies."""
 
-    def __init__(self, words: dict[str, int], chars: dict[str, int]):
-        n, m = sum(words.values()) + 1, sum(chars.values()) + 1
-        self.words = {w: max(log(k / n), _UNKNOWN + 1) for w, k in words.items()}
+    def __init__(self, words: dict[str, int], chars: dict[str, int], total: int | None = None):
+        self.n, m = (sum(words.values()) if total is None else total) + 1, sum(chars.values()) + 1
+        self.words = {w: self._log(k) for w, k in words.items()}
+        #: no word beyond those held is more frequent
+        self.least = min(self.words.values(), default=0.0)
+        self.rare: dict[str, float] = {}
+        self.rare_lost: dict[str, str] = {}
         self.chars = {c: max(log(k / m), -12.0) for c, k in chars.items()}
         self.channels = _channels()
         self.lost: dict[str, list[str]] = {}
         for w in sorted(words, key=lambda w: -words[w]):
-            self.lost.setdefault(re.sub(r"[^\x00-\x7f]", _LOST, w), []).append(w)
-        for c in sorted((c for c in chars if not c.isalnum()), key=lambda c: -chars[c])[:8]:
-            self.lost.setdefault(_LOST, []).append(c)
+            self.lost.setdefault(_pattern(w), []).append(w)
+        self.mark = next(iter(sorted((c for c in chars if not c.isalnum()), key=lambda c: -chars[c])), None)
         self.seen: dict[str, list[tuple[int, float, str]]] = {}
 
-    def _score(self, token: str) -> float:
+    def _log(self, n: int) -> float:
+        return max(log(n / self.n), _UNKNOWN + 1)
+
+    def learn(self, found: list[dict] | None) -> None:
+        """Words beyond those held that the next text's tokens ask for: all of them that the corpus has."""
+        if len(self.rare) + len(self.rare_lost) > 200_000:
+            self.rare.clear()
+            self.rare_lost.clear()
+        for x in found or ():
+            if x["fill"]:
+                self.rare_lost[_pattern(x["word"])] = x["word"]
+            else:
+                self.rare[x["word"]] = self._log(x["n"])
+
+    def asks(self, token: str) -> tuple[set[str], set[str]]:
+        """Words, and patterns of words with lost characters, beyond those held on which the readings of a token depend."""
+        marked = _MARK.sub(_LOST, token) if _odd_mark(token) else token
+        patterns = {w.lower() for w in _WITH_LOST.findall(marked) if _LOST in w} - self.lost.keys()
+        if marked != token or self._is_quoted(token):
+            return set(), patterns
+        clean, spellings = self._score(token), []
+        for channel in self.channels:
+            spelled = channel.read(token)
+            if spelled != token and "\x00" not in spelled and self._score(spelled, self.least) + self._bonus(channel, token, spelled) > clean + 1.0:
+                spellings.append(spelled)
+        words = {w.lower() for x in [token, *spellings] for w in _WORD.findall(x) if not w.isascii()} if spellings else set()
+        return words - self.words.keys(), patterns
+
+    @staticmethod
+    def _is_quoted(token: str) -> bool:
+        quoted = _QUOTED.match(token)
+        return bool(quoted and not any("a" <= c.lower() <= "z" for c in quoted.group(1)))
+
+    def _bonus(self, channel, token: str, spelled: str) -> float:  # noqa: ANN001
+        """What decodes as UTF-8 hardly does by chance, unless to what no text has."""
+        return _DECODED + _UNSEEN * sum(c > "\x7f" and c not in self.chars and c not in token for c in spelled) if channel.strict else 0.0
+
+    def _score(self, token: str, at_most: float | None = None) -> float:
+        """``at_most``: what a word beyond those held counts, for a bound from above."""
         total = 0.0
         for w in _WORD.findall(token):
             if w.isascii():
                 total += _UNKNOWN if w.lower() not in self.words else self.words[w.lower()]
             else:
                 p = self.words.get(w.lower())
+                if p is None:
+                    p = self.rare.get(w.lower()) if at_most is None else at_most
                 if p is None:
                     p = _UNKNOWN + sum([self.chars.get(c.lower(), -14.0) for c in w if c > "\x7f"])
                     p += _MIXED * (len({_script(c) for c in w}) - 1)
@@ -179,19 +238,17 @@ class Restorer:
             filled = self._fill(marked)
             self.seen[token] = out = [(-2, clean, token if filled == marked else filled)]
             return out
-        quoted = _QUOTED.match(token)
-        if not (quoted and not any("a" <= c.lower() <= "z" for c in quoted.group(1))):
+        if not self._is_quoted(token):
             if _LOST in token:
                 out = [(-2, clean - 4.0, self._fill(token))]
             for i, channel in enumerate(self.channels):
                 spelled = channel.read(token)
                 if spelled != token and "\x00" not in spelled:
                     p = self._score(spelled)
-                    if channel.strict:  # what decodes as UTF-8 hardly does by chance, unless to what no text has
-                        p += _DECODED + _UNSEEN * sum(c > "\x7f" and c not in self.chars and c not in token for c in spelled)
-                    else:  # letters swapped for letters prove something only by the words they make
+                    p += self._bonus(channel, token, spelled)
+                    if not channel.strict:  # letters swapped for letters prove something only by the words they make
                         new = {w.lower() for w in _WORD.findall(spelled) if not w.isascii()} - {w.lower() for w in _WORD.findall(token)}
-                        longest = max((len(w) for w in new if w in self.words), default=0)
+                        longest = max((len(w) for w in new if w in self.words or w in self.rare), default=0)
                         if longest < 2:
                             continue
                         if longest < 4:
@@ -211,12 +268,12 @@ class Restorer:
             if _LOST not in w:
                 return w
             fits = self.lost.get(w.lower())
-            if not fits:
+            best = fits[0] if fits else self.rare_lost.get(w.lower()) or (self.mark if w == _LOST else None)
+            if not best:
                 return w
-            best = fits[0]
             return best.upper() if w.isupper() and len(w) > 1 else best[:1].upper() + best[1:] if w[:1].isupper() else best
 
-        return re.sub(rf"[^\W\d_{_LOST}]*(?:{_LOST}[^\W\d_{_LOST}]*)+|[^\W\d_]+", fill, token)
+        return _WITH_LOST.sub(fill, token)
 
     def suspicious(self, text: str) -> bool:
         """Whether any token has a reading besides the clean one that is not far worse."""
@@ -336,34 +393,88 @@ def counts_of(texts: list[str]) -> tuple[dict[str, int], dict[str, int]]:
     return {w: n for w, n in words.items() if _LOST not in w}, {c: n for c, n in chars.items() if c != _LOST}
 
 
-def frequencies(texts: DataFrame, max_words: int = MAX_WORDS) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of words with characters beyond ASCII, and of these characters, over all rows of a one-column table."""
+def frequencies(texts: DataFrame, max_words: int = MAX_WORDS) -> Counts:
+    """Counts of words with characters beyond ASCII, and of these characters, over all rows of a one-column table.
+
+    Of the words, the ``max_words`` most frequent are held in memory, the others stay in the written table. Characters
+    are bounded by Unicode.
+    """
     counted = texts.mapInArrow(_counts, "item string, n long, is_word boolean").groupBy("item", "is_word").agg(F.sum("n").alias("n"))
-    counted = counted.where("item <> '�'")
-    top = counted.orderBy(F.desc("is_word"), F.desc("n"), "item")
-    words = {r.item: r.n for r in top.where("is_word").limit(max_words).collect() if _LOST not in r.item}
-    chars = {r.item: r.n for r in top.where("not is_word").limit(max_words).collect()}
-    return words, chars
+    counted = materialise(counted.where("item <> '�'"), "word-counts")
+    words = counted.where("is_word")
+    top = words.orderBy(F.desc("n"), "item").limit(max_words + 1).collect()
+    chars = {r.item: r.n for r in counted.where("not is_word").orderBy(F.desc("n"), "item").collect()}
+    held = {r.item: r.n for r in top[:max_words]}
+    if len(top) <= max_words:
+        return Counts(held, chars, sum(held.values()))
+    first = top[max_words]
+    rest = words.where((F.col("n") < first.n) | (F.col("n") == first.n) & (F.col("item") >= first.item))
+    rare = rest.select(F.col("item").alias("word"), "n", F.regexp_replace("item", r"[^\x00-\x7f]", _LOST).alias("pattern"))
+    return Counts(held, chars, words.agg(F.sum("n")).first()[0], rare)
+
+
+_RARE = "array<struct<word:string,n:bigint,fill:boolean>>"
 
 
-def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
+def with_rare(df: DataFrame, text: str, counts: tuple) -> DataFrame:
+    """A column ``__rare`` more: the words beyond those held on which the readings of the tokens of ``text`` depend.
+
+    Texts meet words by their distinct tokens. Null throughout if all words are held; then nothing is shuffled.
+    """
+    rare, held = (counts.rare, counts[:3]) if isinstance(counts, Counts) else (None, None)
+    if rare is None:
+        return df.withColumn("__rare", F.lit(None).cast(_RARE))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, known = Restorer(*held), {}
+        for b in batches:
+            prints, tokens = [], []
+            for fp, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for token in {x for x in _SPLIT.split(t) if _special(x)}:
+                    if token not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[token] = any(r.asks(token))
+                    if known[token]:
+                        prints.append(fp)
+                        tokens.append(token)
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(tokens, pa.string())], names=["fp", "token"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Restorer(*held)
+        for b in batches:
+            out = [(t, w, fill) for t in b.column(0).to_pylist() for fill, items in enumerate(r.asks(t)) for w in items]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32()))], names=["token", "item", "fill"])
+
+    texts = spread(df.select(F.xxhash64(text).alias("fp"), F.col(text).alias("t")).where("t is not null"))
+    tokens = materialise(texts.mapInArrow(asking, "fp long, token string"), "rare-tokens")
+    items = materialise(tokens.select("token").distinct().mapInArrow(asked, "token string, item string, fill int"), "rare-asked")
+    words = items.where("fill = 0").join(rare, F.col("item") == F.col("word")).select("token", "word", "n", F.lit(False).alias("fill"))
+    best = rare.groupBy(F.col("pattern").alias("item")).agg(F.min(F.struct((-F.col("n")).alias("less"), "word")).alias("b"))
+    fills = items.where("fill = 1").join(best, "item").select("token", F.col("b.word").alias("word"), (-F.col("b.less")).alias("n"), F.lit(True).alias("fill"))
+    found = tokens.join(words.unionByName(fills), "token").groupBy("fp").agg(F.collect_set(F.struct("word", "n", "fill")).alias("__rare"))
+    return df.withColumn("__fp", F.xxhash64(text)).join(found.withColumnRenamed("fp", "__fp"), "__fp", "left").drop("__fp")
+
+
+def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple) -> DataFrame:
     """Key columns (strings and longs by name), ``restored`` and ``damaged`` (tokens) of each affected row."""
-    rows = spread(df.select(*keys, text.alias("__text")).where("__text is not null"))
-    kept = rows.schema[:-1]
+    rows = spread(with_rare(df.select(*keys, text.alias("__text")).where("__text is not null"), "__text", counts))
+    kept, held = rows.schema[:-2], counts[:3]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", restored string, damaged long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(*counts)
+        r = Restorer(*held)
         for b in batches:
             at, out, n = [], [], []
-            for i, t in enumerate(b.column(b.num_columns - 1)):
+            for i, (t, rare) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True)):
+                r.learn(rare.as_py())
                 text, damaged = r.restore(t.as_py())
                 if damaged:
                     at.append(i)
                     out.append(text)
                     n.append(damaged)
             chosen = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*chosen.columns[:-1], pa.array(out, pa.string()), pa.array(n, pa.int64())], names=[*chosen.schema.names[:-1], "restored", "damaged"])
+            yield pa.RecordBatch.from_arrays([*chosen.columns[:-2], pa.array(out, pa.string()), pa.array(n, pa.int64())], names=[*chosen.schema.names[:-2], "restored", "damaged"])
 
     return rows.mapInArrow(run, schema)
 

@@ -183,6 +183,16 @@ def test_restored_table(spark):
     assert mojibake.restored(df.limit(0), [F.col("id")], F.col("field"), counts).count() == 0
 
 
+def test_words_beyond_those_held_restore_too(spark):
+    rows = [(i, text) for i, text in enumerate(CLEAN * 3)]
+    rows += [(100 + 10 * i + j, text.encode(true, "ignore").decode(read, "ignore")) for i, text in enumerate(CLEAN) for j, (true, read) in enumerate(DAMAGE)]
+    rows += [(900, "die gr\ufffd\ufffdere Liste, f\ufffdr uns"), (901, "f?r uns"), (902, None), (903, "")]
+    df = spark.createDataFrame(rows, "id long, field string")
+    found = lambda n: {r.id: (r.restored, r.damaged) for r in mojibake.restored(df, [F.col("id")], F.col("field"), mojibake.frequencies(df.select("field"), n)).collect()}
+    every = found(100_000)
+    assert found(3) == every and len(every) > 20
+
+
 # --- main body ---
 
 
