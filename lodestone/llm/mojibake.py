@@ -172,12 +172,12 @@ class Restorer:
     def _log(self, n: int) -> float:
         return max(log(n / self.n), _UNKNOWN + 1)
 
-    def learn(self, found: list[dict] | None) -> None:
+    def learn(self, found: list[dict]) -> None:
         """Words beyond those held that the next text's tokens ask for: all of them that the corpus has."""
         if len(self.rare) + len(self.rare_lost) > 200_000:
             self.rare.clear()
             self.rare_lost.clear()
-        for x in found or ():
+        for x in found:
             if x["fill"]:
                 self.rare_lost[_pattern(x["word"])] = x["word"]
             else:
@@ -287,13 +287,18 @@ class Restorer:
                     return True
         return False
 
-    def restore(self, text: str) -> tuple[str, int]:
+    def restore(self, text: str, rare: list[dict] | None = None) -> tuple[str, int]:
         """The restored text and the number of tokens that were damaged; the text itself and 0 if clean."""
-        found = self.damage(text)
+        found = self.damage(text, rare)
         return (replaced(text, found), len(found)) if found else (text, 0)
 
-    def damage(self, text: str) -> list[tuple[int, int, str]]:
-        """``(start, end, restored spelling)`` of each damaged token, in order; the spelling it has where nothing fits."""
+    def damage(self, text: str, rare: list[dict] | None = None) -> list[tuple[int, int, str]]:
+        """``(start, end, restored spelling)`` of each damaged token, in order; the spelling it has where nothing fits.
+
+        ``rare``: the words that ``with_rare`` found for the text.
+        """
+        if rare:
+            self.learn(rare)
         if not self.suspicious(text):
             return []
         parts = _SPLIT.split(text)
@@ -467,8 +472,7 @@ def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple) ->
         for b in batches:
             at, out, n = [], [], []
             for i, (t, rare) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True)):
-                r.learn(rare.as_py())
-                text, damaged = r.restore(t.as_py())
+                text, damaged = r.restore(t.as_py(), rare.as_py())
                 if damaged:
                     at.append(i)
                     out.append(text)
@@ -479,17 +483,16 @@ def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple) ->
     return rows.mapInArrow(run, schema)
 
 
-def repaired(df: DataFrame, texts: list[str], counts: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
-    """All rows of a table, with the columns ``texts`` restored wherever they hold damage."""
-    rows = spread(df)
-    at = [rows.columns.index(c) for c in texts]
+def repaired(df: DataFrame, text: str, counts: tuple) -> DataFrame:
+    """All rows of a table, with the column ``text`` restored wherever it holds damage."""
+    rows = spread(with_rare(df, text, counts))
+    at, held = rows.columns.index(text), counts[:3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(*counts)
+        r = Restorer(*held)
         for b in batches:
             columns = list(b.columns)
-            for i in at:
-                columns[i] = pa.array([t and r.restore(t)[0] for t in columns[i].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+            columns[at] = pa.array([t and r.restore(t, x)[0] for t, x in zip(columns[at].to_pylist(), columns[-1].to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns[:-1], names=b.schema.names[:-1])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.drop("__rare").schema)

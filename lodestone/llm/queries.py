@@ -27,7 +27,7 @@ def _line_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
-    """The model; a maker of the spans of the lines of a page's body, for the tasks to call; and the counts to repair garbled texts by."""
+    """The model; a maker of the spans of the lines of a page's body, for the tasks to call; and the counts to repair a field's garbled texts by."""
     clean = language.samples_of(table(spark, folder, "lang_samples"))
     labelled = tuple(body.labelled_lines() + [("B", text) for _, text in clean])
     samples = clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean)
@@ -36,19 +36,22 @@ def _language_setup(spark: SparkSession, folder: str) -> tuple:
         weights = body.weights_of(labelled)
         return lambda t: body.body_spans(t, weights)
 
-    return language.Model(samples), bodies, mojibake.counts_of([text for _, text in samples])
+    others = [table(spark, folder, t).select(F.col(c).alias("field")) for t, c in (("documents", "text"), ("pages_text", "text"), ("url_metadata", "snippet"))]
+    other = _counts(spark, folder, others[0].unionByName(others[1]).unionByName(others[2]))
+    decoded = _decoded_counts(spark, folder)
+    return language.Model(samples), bodies, lambda field: decoded if field in ("content", "descr") else other
 
 
 def _record_languages(spark: SparkSession, folder: str) -> DataFrame:
     """``tab, rec_id, label, langs`` of each record with a text."""
     model, bodies, counts = _language_setup(spark, folder)
     tab, rec_id, label = (lambda t: F.lit(t).alias("tab")), (lambda c: F.col(c).cast("long").alias("rec_id")), (lambda c: F.col(c).alias("label"))
-    docs = language.languages(table(spark, folder, "documents"), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model, counts=counts)
-    pages = language.languages(table(spark, folder, "pages_text"), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies, counts)
-    found = language.languages(table(spark, folder, "search_documents"), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies, counts)
+    docs = language.languages(table(spark, folder, "documents"), [tab("documents"), rec_id("doc_id"), label("lang")], F.col("text"), model, counts=counts("text"))
+    pages = language.languages(table(spark, folder, "pages_text"), [tab("pages_text"), rec_id("stream_seq"), label("language")], F.col("text"), model, bodies, counts("text"))
+    found = language.languages(table(spark, folder, "search_documents"), [tab("search_documents"), rec_id("stream_seq"), label("language")], F.col("content"), model, bodies, counts("content"))
     urls = table(spark, folder, "url_metadata")
-    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model, counts=counts)
-    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, counts=counts, read=False)
+    titles = language.languages(urls, [tab("url_metadata"), rec_id("stream_seq"), label("lang"), F.col("snippet")], F.col("descr"), model, counts=counts("descr"))
+    both = language.languages(titles, [F.col("tab"), F.col("rec_id"), F.col("label"), F.col("langs").alias("of_title")], F.col("snippet"), model, counts=counts("snippet"), read=False)
     both = both.select("tab", "rec_id", "label", F.array_union("of_title", "langs").alias("langs"))
     return docs.unionByName(pages).unionByName(found).unionByName(both)
 
@@ -65,7 +68,7 @@ def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for tab, key, text, look in (("documents", "doc_id", "text", None), ("pages_text", "stream_seq", "text", bodies), ("search_documents", "stream_seq", "content", bodies), ("url_metadata", "stream_seq", "descr", None), ("url_metadata", "stream_seq", "snippet", None)):
         keys = [F.lit(tab).alias("tab"), F.lit(text).alias("field"), F.col(key).cast("long").alias("rec_id")]
-        parts.append(language.segments(table(spark, folder, tab), keys, F.col(text), model, look, counts))
+        parts.append(language.segments(table(spark, folder, tab), keys, F.col(text), model, look, counts(text)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -87,10 +90,21 @@ def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
     return urls.unionByName(docs)
 
 
+def _counts(spark: SparkSession, folder: str, fields: DataFrame) -> mojibake.Counts:
+    """Of all rows of one column, and of the clean sentences and labelled lines."""
+    lines = spark.createDataFrame([(line,) for _, line in body.labelled_lines()], "field string")
+    return mojibake.frequencies(fields.unionByName(table(spark, folder, "lang_samples").select(F.col("text").alias("field"))).unionByName(lines))
+
+
+def _decoded_counts(spark: SparkSession, folder: str) -> mojibake.Counts:
+    """What every repair of these fields goes by, so that all queries see the same text."""
+    return _counts(spark, folder, _decoded_fields(spark, folder).select("field"))
+
+
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Affected records with their restored text, the damaged tokens, and whether lost characters remain."""
     fields = _decoded_fields(spark, folder)
-    found = mojibake.restored(fields, [F.col("tab"), F.col("stream_seq")], F.col("field"), mojibake.frequencies(fields.select("field")))
+    found = mojibake.restored(fields, [F.col("tab"), F.col("stream_seq")], F.col("field"), _decoded_counts(spark, folder))
     return found.withColumn("complete", ~F.contains("restored", F.lit("\ufffd")))
 
 
@@ -108,8 +122,8 @@ def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
 def _page_lines(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str]], list[tuple[str, DataFrame]]]:
     """Labelled lines; and the pages, garbled ones as repaired."""
     labelled = body.fitted(table(spark, folder, "lang_samples"))
-    counts = mojibake.counts_of([line for _, line in labelled])
-    return labelled, [(tab, mojibake.repaired(df, ["content"], counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
+    counts = _decoded_counts(spark, folder)
+    return labelled, [(tab, mojibake.repaired(df, "content", counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

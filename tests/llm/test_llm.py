@@ -346,6 +346,17 @@ def test_bodies_agree_with_furniture_on_garbled_pages(spark, samples, tmp_path):
     assert restored[1] and bodies == {1: "\n".join(x for n, x in enumerate(restored[0].split("\n"), 1) if x.strip() and n not in out), 2: None}
 
 
+def test_repair_before_labels_knows_the_words_of_all_texts(spark, tmp_path, samples):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("абвгдежзиклмнопрстуфхцчшщыэюя", k=9)) for _ in range(30)]  # in no sample
+    text = " ".join(words).capitalize() + "."
+    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), search_documents=[(i, "ru", text) for i in range(5)] + [(9, "ru", text.encode("koi8-r").decode("cp1252"))])
+    assert [r.stream_seq for r in queries.p3_found(spark, folder).collect()] == [9]
+    assert {(r.start, r.end, r.lang) for r in queries.p1_segments(spark, folder).where("rec_id = 9").collect()} <= {(0, len(text), "ru")}
+    got = queries._page_lines(spark, folder)[1][1][1].where("stream_seq = 9").first().content
+    assert got == text
+
+
 # --- truncation ---
 
 
