@@ -126,11 +126,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         ids, sources, prints, chars, sizes, verdicts, words = [], [], [], [], [], [], []
-        for i, source, fp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for i, source, fp, text, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if not text or text.isspace():
                 continue
             verdict, two = ending(text)
-            ends.update(filter(None, map(last_two, _CLAUSE_END.split(text)[:-1])))
+            if not copy:
+                ends.update(filter(None, map(last_two, _CLAUSE_END.split(text)[:-1])))
             ids.append(i)
             sources.append(source)
             prints.append(fp)
@@ -146,9 +147,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def endings(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per text its source, lengths and verdict; and counts of the two words that end clauses. One reading of the texts."""
+    """Per text its source, lengths and verdict; and counts of the two words that end clauses, over distinct texts."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
-    read = materialise(spread(rows).mapInArrow(_read, _SCHEMA), "endings")
+    prints = rows.where("text is not null").select("fp", "doc_id")
+    again = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("fp", "first")
+    copies = prints.join(again, "fp").where("doc_id <> first").select("doc_id", F.lit(True).alias("copy"))
+    rows = spread(rows).join(copies, "doc_id", "left").select("doc_id", "source", "fp", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    read = materialise(rows.mapInArrow(_read, _SCHEMA), "endings")
     return read.where("kind = 'd'").select("doc_id", "source", "fp", "n_chars", "n_bytes", "verdict", "words"), read.where("kind = 'c'").groupBy("words").agg(F.sum("n").alias("ends"))
 
 
@@ -189,5 +194,5 @@ def truncated(documents: DataFrame, doc_id: str = "doc_id", source: str = "sourc
     asked = clauses.where(F.col("ends") >= CLAUSE_ENDS).select(F.col("words").alias("w"))
     rows = rows.join(asked, (F.col("verdict") == ASK) & (F.col("words") == F.col("w")), "left")
     at_limit = F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()
-    cut = F.when(F.col("verdict") == CUT, True).when(F.col("verdict") == ASK, F.col("w").isNull()).when(F.col("verdict") == FORM, at_limit).otherwise(False)
+    cut = F.when(F.col("verdict") == CUT, True).when(F.col("verdict") == ASK, F.col("w").isNull() | at_limit).when(F.col("verdict") == FORM, at_limit).otherwise(False)
     return rows.select("doc_id", "source", cut.alias("cut"), at_limit.alias("at_limit")), hazards

@@ -391,3 +391,22 @@ def test_truncated_source(spark):
     assert {(r.source, r.unit, r.length) for r in hazards.where("limit").collect()} >= {("a", "chars", 500), ("a", "bytes", 500)}
     assert not {r.source for r in hazards.where("limit").collect()} - {"a"}
     assert truncation.truncated(df.limit(0))[0].count() == 0
+
+
+def test_copies_and_limits_of_endings_in_doubt(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 7)))
+    rows = [(i, "b", "All of it stood. Then the whole ring, and more.") for i in range(5)]  # copies: their clauses count once
+    rows.append((10, "b", "Some of it stood.\n- Anna: the whole ring"))
+    rows += [(20 + i, "c", f"The {word()} {word()} blue lamp, and {word()}.") for i in range(3)]
+    head = "- Anna: the blue lamp"
+    for i in range(400):
+        text = ". ".join(" ".join(word() for _ in range(6)) for _ in range(rng.randint(4, 30))) + "."
+        rows.append((100 + i, "a", text[:499] + "." if len(text) > 500 else text))
+    filler = ". ".join(" ".join(word() for _ in range(6)) for _ in range(30))
+    rows.append((50, "a", filler[: 500 - len(head) - 2] + ".\n" + head))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found, hazards = truncation.truncated(df)
+    cut = {r.doc_id for r in found.where("cut").collect()}
+    assert ("a", "chars", 500) in {(r.source, r.unit, r.length) for r in hazards.where("limit").collect()}
+    assert 10 in cut and 50 in cut
