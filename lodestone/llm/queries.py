@@ -167,10 +167,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each source cuts, and at how many lengths it has a limit."""
+    """How often each source cuts, and the lengths at which it has a limit, in characters (``limits``) and in bytes."""
     rows, hazards = truncation.truncated(table(spark, folder, "documents"))
     per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_cut_at_limit"))
-    limits = hazards.where("limit and unit = 'chars'").groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list("length")).alias("limits"))
+    of = lambda unit: F.sort_array(F.collect_list(F.when(F.col("unit") == unit, F.col("length"))))
+    limits = hazards.where("limit").groupBy(F.col("source").alias("s")).agg(of("chars").alias("limits"), of("bytes").alias("limits_bytes"))
     joined = per.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     return joined.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6))
 

@@ -410,3 +410,15 @@ def test_copies_and_limits_of_endings_in_doubt(spark):
     cut = {r.doc_id for r in found.where("cut").collect()}
     assert ("a", "chars", 500) in {(r.source, r.unit, r.length) for r in hazards.where("limit").collect()}
     assert 10 in cut and 50 in cut
+
+
+def test_sources_show_limits_in_bytes(spark, tmp_path):
+    rng, rows = random.Random(19), []
+    word = lambda: "".join(rng.choices("abcdeföüß", k=rng.randint(2, 7)))
+    for i in range(400):
+        text = ". ".join(" ".join(word() for _ in range(6)) for _ in range(rng.randint(4, 30))) + "."
+        rows.append((i, "de", "a", text.encode()[:600].decode("utf-8", "ignore").ljust(1)))
+    rows = [(i, lang, s, x + "x" * (600 - len(x.encode())) if 597 < len(x.encode()) < 600 else x) for i, lang, s, x in rows]
+    folder = _tables(spark, tmp_path, documents=rows)
+    got = queries.p8_sources(spark, folder).first()
+    assert 600 in got.limits_bytes and 600 not in got.limits
