@@ -1,137 +1,262 @@
 """The main body of a page whose text mixes it with furniture: menus, notices, side boxes, footers.
 
-A page is a sequence of tokens: words, and tags where the text has lost its markup (line ends, separators of menus and
-paths, arrows, signs of ownership). Every token has a weight, positive for what the body is made of, negative for the
-rest: log odds of words and pairs of words from labelled pages, a fixed cost for tags. One linear scan over the summed
-weights of the lines finds the best contiguous region (maximum-scoring subsequence); lines within it whose own tokens
-score below zero interrupt it and are furniture too. A line that opens a list of links turns the headings below it
-into links, whatever their words.
-
-Nothing is shuffled: each page is scored where it is read, in one pass. Labelled lines come with the package, clean
-sentences from a table; at most ``MAX_SAMPLES`` of these are read to fit the weights.
-
-A null text has no lines; an empty or blank line belongs to neither side and is never reported, nor kept at the ends of
-a body; a page without any line of positive score has no body.
+A page is a sequence of tokens: words, and tags where the text has lost its markup (bullets, separators of menus and
+paths, arrows, marks at the end of a line, how many words stand on it). Every token has a weight, positive for what the
+body is made of, negative for the rest; a line scores the sum over its tokens, whatever its length. One linear scan over
+the scores of the lines finds the best contiguous region (maximum-scoring subsequence); lines within it that score below
+zero interrupt it and are furniture too. A line that opens a list of links turns the headings below it into links,
+whatever their words.
+
+The weights are a logistic regression over labelled pages, and the pages label themselves. In a sample of at most
+``MAX_PAGES`` pages of each table (the least by a hash of their address), names are masked: words of fewer than
+``NAME_SITES`` sites. What is the same in ``REPEATED`` pages or more is furniture, unless it mostly follows the page's
+own title (a byline); it opens a list if mostly single lines that repeat nowhere come after it. Shapes of lines that
+stand hardly ever between two paragraphs are furniture; sentences, the page's own title (or what stands before a byline), and
+what stands between paragraphs without being repeated are of the body. So nothing is written down about any site or language. The bounds
+concern the fit alone; all pages are scored.
+
+Nothing is shuffled: each page is scored where it is read, in one pass. A null text has no lines; an empty or blank line
+belongs to neither side and is never reported, nor kept at the ends of a body; a page without any line of positive score
+has no body. Without any page to learn from every line is of the body.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from importlib import resources
-from math import log
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.session import spread
 
-MAX_SAMPLES = 20_000
-_ALPHA = 0.2
-_TAG = -60.0
-_CLIP = 30.0
-_FLOOR = -8.0
+MAX_SAMPLES, MAX_PAGES, MAX_PAGE_CHARS = 20_000, 2_000, 100_000
+REPEATED, NAME_SITES = 5, 3
+#: shares by which repeated lines and shapes are told apart
+_BYLINE, _OPENER, _OUTSIDE = 0.3, 0.6, 0.05
+_WORDS_OF_PARAGRAPH = 12
+_CLIP, _FLOOR, _LEAST = 30.0, -4.0, 3
+#: in doubt a line stays
+_LEAN = 1.0
+_STEPS, _RATE, _SHRINK = 150, 0.5, 1e-6
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_TAGS = re.compile(r"(?:(?<=\s)|^)[›|·←→©](?=\s|$)|\s\s\s*(?=\S)")
-_TAG_WORDS = frozenset("›|·←→©")
+_TAG = re.compile(r"[›»|·←→©•/–…:]|\s\s+(?=\S)")
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*\s*$")
-_BULLET = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s")
-_PAIRS_UP_TO = 40
-#: lines up to so many words also count by their skeleton: all words, with those never seen in labelled lines alike
-_SKELETON_UP_TO, _SKELETON = 16, 4.0
-#: stands for a name in the labelled lines; names say nothing
+_CLOSING = re.compile(r"[\"'”»)\]]*\s*$")
+_BULLET = re.compile(r"^\s*(?:([-*•–])|(\d+)[.)])\s")
+_PLAIN = re.compile(r"[^\W_]+(?:[ '’,;.!?()\-]+[^\W_]+)*")
+_BLANKS = re.compile(r"\s+")
+#: upper ends of the classes of how many words a line has
+_SIZES = (0, 1, 2, 3, 4, 6, 9, 14, 24, 49)
 _NAME = "xxx"
-
-
-def labelled_lines() -> list[tuple[str, str]]:
-    """``(label, line)`` of the labelled pages that come with the package."""
-    text = resources.files(__package__).joinpath("labelled_lines.tsv").read_text("utf-8")
-    return [tuple(x.split("\t", 1)) for x in text.split("\n") if x and x[0] != "#"]
+_CACHED = 200
 
 
 def _words(line: str) -> list[str]:
     return ["0" if w.isdigit() else w for w in _WORD.findall(line.lower())]
 
 
-def _features(words: list[str], known: set[str] | dict) -> list:
-    out = words + list(zip(words, words[1:], strict=False)) if len(words) <= _PAIRS_UP_TO else words
-    if len(words) <= _SKELETON_UP_TO:
-        skeleton = tuple([w if w in known else _NAME for w in words])
-        if any(w is not _NAME for w in skeleton):
-            return [*out, ("", *skeleton)]
-    return out
+def _letters(line: str) -> str:
+    return "".join(_WORD.findall(line.lower()))
+
 
+def _shape(line: str) -> str:
+    """A line with each run of plain words as one sign, so that marks and tags remain."""
+    return _BLANKS.sub(" ", _PLAIN.sub("x", line.strip()))
 
-def _log_odds(yes: Iterable[str], no: Iterable[str], known: set[str]) -> dict:
-    def count(lines: Iterable[str]) -> Counter:
-        return Counter(f for x in lines for f in set(_features(_words(x), known)))
 
-    a, b = count(yes), count(no)
-    odds = {}
-    for f in a.keys() | b.keys():
-        if isinstance(f, tuple) and f[0] == "":
-            odds[f] = _SKELETON * log((a[f] + _ALPHA) / (b[f] + _ALPHA))
-        elif f != _NAME and _NAME not in f:
-            odds[f] = log((a[f] + _ALPHA) / (b[f] + _ALPHA))
-    return odds
+def _is_paragraph(line: str) -> bool:
+    return _SENTENCE_END.search(line) is not None and _BULLET.match(line) is None and len(_WORD.findall(line)) >= _WORDS_OF_PARAGRAPH
+
+
+def features(line: str) -> set:
+    """The tokens of a line: words, pairs of words, and tags as triples."""
+    s = line.strip().replace("\xa0", " ")
+    words = _words(s)
+    out = set(words)
+    out.update(zip(words, words[1:], strict=False))
+    out.add(("words", int(np.searchsorted(_SIZES, len(words))), ""))
+    last = _CLOSING.sub("", s)[-1:]
+    out.add(("end", last if not last.isalnum() else "0" if last.isdigit() else "a", ""))
+    if m := _BULLET.match(s):
+        out.add(("bullet", "0" if m.group(2) else m.group(1), ""))
+        s = s[m.end() :]
+    out.update([("tag", " " if t.isspace() else t, "") for t in set(_TAG.findall(s))])
+    if s.isupper():
+        out.add(("capitals", "", ""))
+    return out
 
 
 class Weights:
-    """Weights of tokens, fitted to labelled lines: ``B`` body, ``F`` furniture, ``L`` furniture that opens a list of links."""
-
-    def __init__(self, lines: Iterable[tuple[str, str]]):
-        lines = list(lines)
-        by: dict[str, list[str]] = {"B": [], "F": [], "L": []}
-        for label, line in lines:
-            by[label].append(line)
-        self.known = {w for x in lines for w in _words(x[1])} - {_NAME}
-        self.body = _log_odds(by["B"], by["F"] + by["L"], self.known)
-        self.opener = _log_odds(by["L"], by["B"] + by["F"], self.known)
-        phrases = sorted({re.escape(x.strip()).replace("\\ ", r"\s+") for x in by["L"] if "Xxx" not in x})
-        #: a link under an opener, on one line
-        self.inline = re.compile(rf":\s(?:{'|'.join(phrases)})\s+[–-]\s", re.IGNORECASE) if phrases else None
-        self._short: dict[str, tuple[float, bool]] = {}
+    """Weights of tokens, and which repeated lines open a list of links."""
+
+    def __init__(self, weights: dict, bias: float, known: frozenset[str], openers: frozenset[tuple[str, ...]]):
+        self.weights, self.bias, self.known, self.openers = weights, bias, known, openers
+        self._seen: dict[str, tuple[float, bool]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_seen": {}}
+
+    def skeleton(self, line: str) -> tuple[str, ...]:
+        """The words of a line, names alike."""
+        return tuple([w if w in self.known else _NAME for w in _words(line)])
 
     def line(self, line: str) -> tuple[float, bool]:
         """Summed weight of a line's tokens, and whether it opens a list of links."""
-        if len(line) > 160:
-            return self._line(line)
-        known = self._short.get(line)
+        known = self._seen.get(line)
         if known is None:
-            if len(self._short) > 200_000:
-                self._short.clear()
-            known = self._short[line] = self._line(line)
+            get = self.weights.get
+            score = self.bias + sum([get(f, 0.0) for f in features(line)])
+            known = max(_FLOOR, min(_CLIP, score)), self.skeleton(line) in self.openers
+            if len(line) <= _CACHED:  # short lines come again
+                if len(self._seen) > 200_000:
+                    self._seen.clear()
+                self._seen[line] = known
         return known
 
-    def _line(self, line: str) -> tuple[float, bool]:
-        n = len(line)
-        if n < 240 and self.inline and ":" in line and self.inline.search(line):
-            return _FLOOR, False
-        if n > 160:
-            return self._paragraph(line), False
-        features = _features(_words(line), self.known)
-        get = self.body.get
-        score = sum([get(f, 0.0) for f in features])
-        if not _BULLET.match(line):
-            score += _TAG * len(_TAGS.findall(line.strip().replace("\xa0", " ")))
-        elif "›" in line:
-            score += _TAG
-        if n > 100:
-            score += 2
-        elif len(features) <= 3:
-            score -= 1
-        opens = score < 0 and len(features) <= 16 and sum([self.opener.get(f, 0.0) for f in features]) > 0
-        return max(_FLOOR, min(_CLIP, score)), opens
-
-    def _paragraph(self, line: str) -> float:
-        """Long lines: single words as they stand between spaces are evidence enough."""
-        words = line.lower().split()
-        score = sum(filter(None, map(self.body.get, words))) + 4
-        if _TAG_WORDS.intersection(words) and not _SENTENCE_END.search(line):
-            score += _TAG * sum(w in _TAG_WORDS for w in words)
-        return max(_FLOOR, min(_CLIP, score))
+
+def _host(url: str | None) -> str:
+    m = re.match(r"\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/:?#\s]+)", (url or "").lower())
+    return m.group(1) if m else ""
+
+
+class _Labels:
+    """Labels that the lines of sampled pages ``(url, title, text)`` give each other."""
+
+    def __init__(self, pages: list[tuple[str | None, str | None, str]]):
+        sites: dict[str, set[str]] = defaultdict(set)
+        for url, _, text in pages:
+            host = _host(url)
+            for w in set(_words(text)):
+                if len(sites[w]) < NAME_SITES:
+                    sites[w].add(host)
+        self.known = frozenset(w for w, hosts in sites.items() if len(hosts) >= NAME_SITES)
+        blank = Weights({}, 0.0, self.known, frozenset())
+        self.pages = []
+        stands: dict[tuple, set] = defaultdict(set)
+        for url, title, text in pages:
+            lines = [x for x in text.split("\n") if x.strip()]
+            skeletons = [blank.skeleton(x) for x in lines]
+            own = _letters(title) if title else ""
+            is_own = [bool(own) and _letters(x) == own for x in lines]
+            self.pages.append((lines, skeletons, is_own))
+            for k in set(skeletons):
+                stands[k].add(url)
+        repeated = {k for k, urls in stands.items() if len(urls) >= REPEATED and any(w not in (_NAME, "0") for w in k)}
+        self.count: Counter = Counter()
+        self.kind = self._kinds(repeated)
+        self.openers = frozenset(k for k, v in self.kind.items() if v == "L")
+        for _, skeletons, is_own in self.pages:  # what stands before a byline is a title too
+            for i in range(len(skeletons) - 1):
+                is_own[i] = is_own[i] or skeletons[i] not in self.kind and self.kind.get(skeletons[i + 1]) == "B"
+        self.outside = self._outside()
+
+    def _kinds(self, repeated: set[tuple]) -> dict[tuple, str]:
+        """Of each repeated line: body ``B``, furniture ``F``, or furniture that opens a list ``L``."""
+        follows: Counter = Counter()
+        before: dict[tuple, Counter] = defaultdict(Counter)
+        for lines, skeletons, is_own in self.pages:
+            for i, k in enumerate(skeletons):
+                if k not in repeated:
+                    continue
+                self.count[k] += 1
+                follows[k] += i > 0 and is_own[i - 1]
+                if i + 1 < len(lines):
+                    after = "own" if is_own[i + 1] else "repeated" if skeletons[i + 1] in repeated else "text" if _SENTENCE_END.search(lines[i + 1]) and not _BULLET.match(lines[i + 1]) else "single"
+                    before[k][after] += 1
+        kind = {}
+        for k in repeated:
+            if follows[k] >= _BYLINE * self.count[k]:
+                kind[k] = "B"
+            else:
+                kind[k] = "L" if before[k]["single"] >= _OPENER * max(1, before[k].total()) else "F"
+        return kind
+
+    def _outside(self) -> set[str]:
+        """Shapes of lines that hardly ever stand between paragraphs, nor as a page's own title."""
+        between: Counter = Counter()
+        beyond: Counter = Counter()
+        for lines, skeletons, is_own in self.pages:
+            at = [i for i, x in enumerate(lines) if skeletons[i] not in self.kind and _is_paragraph(x)]
+            for i, x in enumerate(lines if at else ()):
+                if is_own[i]:
+                    between[_shape(x)] += 1
+                elif skeletons[i] not in self.kind:
+                    (between if at[0] <= i <= at[-1] else beyond)[_shape(x)] += 1
+        return {k for k, n in beyond.items() if n >= REPEATED and between[k] <= _OUTSIDE * n}
+
+    def labelled(self) -> dict[str, tuple[bool, int]]:
+        """Distinct lines, whether they are of the body, and how often their like stands."""
+        out: dict[str, tuple[bool, int]] = {}
+        for lines, skeletons, is_own in self.pages:
+            at = [i for i, x in enumerate(lines) if skeletons[i] not in self.kind and _is_paragraph(x)]
+            links = False
+            for i, (x, k) in enumerate(zip(lines, skeletons, strict=True)):
+                if is_own[i] and not links:
+                    body: bool | None = True
+                elif k in self.kind:
+                    body, links = self.kind[k] == "B", self.kind[k] == "L"
+                elif _shape(x) in self.outside:
+                    body = False
+                elif _is_paragraph(x):
+                    body, links = True, False
+                else:
+                    body = True if at and at[0] < i < at[-1] and not links else None
+                if body is not None:
+                    out.setdefault(x, (body, self.count.get(k, 1)))
+        return out
+
+
+def _regression(lines: list[str], is_body: np.ndarray, stands: np.ndarray) -> tuple[dict, float]:
+    """Weights and bias of a logistic regression over the features of lines that stand so often; both classes count alike."""
+    at, found = [], []
+    often: Counter = Counter()
+    for i, x in enumerate(lines):
+        f = features(x)
+        at += [i] * len(f)
+        found += f
+        for k in f if stands[i] > 1 else ():
+            often[k] += int(stands[i]) - 1
+    ids = {f: i for i, f in enumerate(sorted((f for f, n in Counter(found).items() if n + often[f] >= _LEAST), key=repr))}
+    pairs = [(r, ids[f]) for r, f in zip(at, found, strict=True) if f in ids]
+    row, col = np.array(pairs, np.int64).reshape(-1, 2).T
+    n, y, weight = len(lines), is_body.astype(float), np.sqrt(np.minimum(stands, 50.0))
+    weight = weight * np.where(is_body, 0.5 / weight[is_body].sum(), 0.5 / weight[~is_body].sum())
+    w, bias, moved, moved_bias = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
+    for _ in range(_STEPS):
+        error = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + bias, -30, 30))) - y) * weight
+        slope, slope_bias = np.bincount(col, error[row], len(w)) + _SHRINK * w, float(error.sum())
+        moved += slope * slope
+        moved_bias += slope_bias * slope_bias
+        w -= _RATE * slope / np.sqrt(moved)
+        bias -= _RATE * slope_bias / moved_bias**0.5
+    return {f: float(w[i]) for f, i in ids.items()}, bias + _LEAN
+
+
+def fitted(pages: list[tuple[str | None, str | None, str]], clean: list[str]) -> Weights:
+    """Weights from sampled pages ``(url, title, text)`` and clean sentences."""
+    labels = _Labels(pages)
+    lines = {x: (True, 1) for x in clean} | labels.labelled()
+    is_body = np.array([b for b, _ in lines.values()], bool)
+    if not is_body.any() or is_body.all():
+        return Weights({}, 1.0, labels.known, labels.openers)
+    weights, bias = _regression(list(lines), is_body, np.array([n for _, n in lines.values()]))
+    return Weights(weights, bias, labels.known, labels.openers)
+
+
+def sample_of(pages: DataFrame, url: str, title: str, text: str, max_pages: int = MAX_PAGES) -> list[tuple[str | None, str | None, str]]:
+    """The ``max_pages`` pages of a table that are least by a hash of their address; whole pages, very long ones left out of the fit."""
+    rows = pages.select(F.col(url).alias("u"), F.col(title).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull() & (F.length("x") <= MAX_PAGE_CHARS))
+    rows = rows.withColumn("h", F.xxhash64("u")).orderBy("h", "u", F.xxhash64("x")).limit(max_pages)
+    return [(r.u, r.t, r.x) for r in rows.select("u", "t", "x").collect()]
+
+
+def clean_lines(samples: DataFrame, text: str = "text", max_samples: int = MAX_SAMPLES) -> list[str]:
+    """At most ``max_samples`` clean sentences of a table, the least by their hash."""
+    return [r[0] for r in samples.select(text).where(f"{text} is not null").orderBy(F.xxhash64(text), text).limit(max_samples).collect()]
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -156,16 +281,15 @@ def body_lines(text: str, weights: Weights) -> list[bool | None]:
             continue
         score, opens = weights.line(line)
         if opens:
-            links = True
+            links, score = True, min(score, -1.0)
         elif links and score >= 0:
-            if len(line) <= 170 and (_BULLET.match(line) or not _SENTENCE_END.search(line)):
+            if _BULLET.match(line) or not _SENTENCE_END.search(line):
                 score = -max(score, 1.0)
             else:
                 links = False
         elif links:
-            links = score > _FLOOR and "›" in line[:3]
-            score = min(score, -1.0)
-        scores.append(score)
+            links = "›" in line[:3]
+        scores.append(max(score, _FLOOR))
     a, b = best_region(scores)
     return [None if not line.strip() else a <= i < b and scores[i] >= 0 for i, line in enumerate(lines)]
 
@@ -180,23 +304,12 @@ def body_spans(text: str, weights: Weights) -> list[tuple[int, int]]:
     return out
 
 
-def fitted(samples: DataFrame | None, text: str = "text", max_samples: int = MAX_SAMPLES) -> list[tuple[str, str]]:
-    """Labelled lines of the package, with at most ``max_samples`` clean sentences of a table as body."""
-    clean = [] if samples is None else [("B", r[0]) for r in samples.select(text).where(f"{text} is not null").limit(max_samples).collect()]
-    return labelled_lines() + clean
-
-
-@lru_cache(maxsize=4)
-def weights_of(lines: tuple[tuple[str, str], ...]) -> Weights:
-    return Weights(lines)
-
-
-def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]]) -> DataFrame:
+def furniture(df: DataFrame, row_id: Column, text: Column, weights: Weights) -> DataFrame:
     """``row_id, line_no`` of each line outside the main body, numbered from 1."""
-    lines = tuple(labelled)
+    shared = df.sparkSession.sparkContext.broadcast(weights)  # of bounded samples: a megabyte or so
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights_of(lines)
+        w = shared.value
         for b in batches:
             ids, at = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -210,12 +323,12 @@ def furniture(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[
     return spread(df.select(row_id.cast("long").alias("row_id"), text.alias("text"))).mapInArrow(found, "row_id long, line_no long")
 
 
-def main_body(df: DataFrame, row_id: Column, text: Column, labelled: list[tuple[str, str]]) -> DataFrame:
+def main_body(df: DataFrame, row_id: Column, text: Column, weights: Weights) -> DataFrame:
     """``row_id, body``: only the lines of the main body; null for a null text."""
-    lines = tuple(labelled)
+    shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights_of(lines)
+        w = shared.value
         for b in batches:
             out = []
             for t in b.column(1):

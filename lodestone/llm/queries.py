@@ -29,11 +29,12 @@ def _line_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
     """The model; a maker of the spans of the lines of a page's body, for the tasks to call; and the counts to repair a field's garbled texts by."""
     clean = language.samples_of(table(spark, folder, "lang_samples"))
-    labelled = tuple(body.labelled_lines() + [("B", text) for _, text in clean])
     samples = clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean)
 
+    shared = spark.sparkContext.broadcast(_weights(spark, folder))
+
     def bodies():  # noqa: ANN202
-        weights = body.weights_of(labelled)
+        weights = shared.value
         return lambda t: body.body_spans(t, weights)
 
     others = [table(spark, folder, t).select(F.col(c).alias("field")) for t, c in (("documents", "text"), ("pages_text", "text"), ("url_metadata", "snippet"))]
@@ -91,9 +92,8 @@ def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, folder: str, fields: DataFrame) -> mojibake.Counts:
-    """Of all rows of one column, and of the clean sentences and labelled lines."""
-    lines = spark.createDataFrame([(line,) for _, line in body.labelled_lines()], "field string")
-    return mojibake.frequencies(fields.unionByName(table(spark, folder, "lang_samples").select(F.col("text").alias("field"))).unionByName(lines))
+    """Of all rows of one column, and of the clean sentences."""
+    return mojibake.frequencies(fields.unionByName(table(spark, folder, "lang_samples").select(F.col("text").alias("field"))))
 
 
 def _decoded_counts(spark: SparkSession, folder: str) -> mojibake.Counts:
@@ -119,23 +119,28 @@ def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
     ]
 
 
-def _page_lines(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str]], list[tuple[str, DataFrame]]]:
-    """Labelled lines; and the pages, garbled ones as repaired."""
-    labelled = body.fitted(table(spark, folder, "lang_samples"))
+def _weights(spark: SparkSession, folder: str) -> body.Weights:
+    """Of body and furniture, from a bounded sample of both tables of pages."""
+    pages = body.sample_of(table(spark, folder, "pages_text"), "canonical_url", "title", "text") + body.sample_of(table(spark, folder, "search_documents"), "url", "title", "content")
+    return body.fitted(pages, body.clean_lines(table(spark, folder, "lang_samples")))
+
+
+def _page_lines(spark: SparkSession, folder: str) -> tuple[body.Weights, list[tuple[str, DataFrame]]]:
+    """Weights of the lines; and the pages, garbled ones as repaired."""
     counts = _decoded_counts(spark, folder)
-    return labelled, [(tab, mojibake.repaired(df, "content", counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
+    return _weights(spark, folder), [(tab, mojibake.repaired(df, "content", counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    labelled, pages = _page_lines(spark, folder)
-    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in pages]
+    weights, pages = _page_lines(spark, folder)
+    parts = [body.furniture(df, F.col("stream_seq"), F.col("content"), weights).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "line_no") for tab, df in pages]
     return parts[0].unionByName(parts[1])
 
 
 def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """The body of each page, garbled ones as repaired."""
-    labelled, pages = _page_lines(spark, folder)
-    parts = [body.main_body(df, F.col("stream_seq"), F.col("content"), labelled).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "body") for tab, df in pages]
+    weights, pages = _page_lines(spark, folder)
+    parts = [body.main_body(df, F.col("stream_seq"), F.col("content"), weights).select(F.lit(tab).alias("tab"), F.col("row_id").alias("stream_seq"), "body") for tab, df in pages]
     return parts[0].unionByName(parts[1])
 
 

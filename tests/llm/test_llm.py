@@ -204,35 +204,60 @@ def test_best_region_against_brute_force():
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
 
 
-PAGE = """Skip to main content
-Home › News › Contact
-Two servers: the seed lists – the replica ledger
-By Anna Bert, staff of Example, 2025-01-02
-The seed lists describe the replica ledger after the evening sweep, and the slowest mirrors share it for three neighbours at once, although nobody had asked.
-Our partners recommend
-- Anna: the nightly jobs fetch stale entries during the first hour
-The nightly jobs compare the order of the results behind a household router, so the archive teams deliver every page they were sent.
-
-Related pages
-- Berta: the archive teams share the robots rules within a few minutes
-12 comments. Log in to reply.
-© 2025 Example. All rights reserved. Terms, Privacy, Imprint"""
+def site_pages(rng, n=60, site=0):
+    """Pages of a site of our own making, with the label of each line: a heading and byline, paragraphs, a list, furniture between and around."""
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(4, 9)))
+    sentence = lambda: (" ".join(word() for _ in range(14))).capitalize() + "."
+    name = lambda: "".join(rng.choices("bdfgkpvz", k=2)).capitalize() + word()
+    title = lambda: f"{word()} {word()} {word()} – {name()}".capitalize()
+    out = []
+    for i in range(n):
+        t = title()
+        lines = [(False, "Bakery"), (False, "Opening hours"), (False, "Bakery › Bread › Rolls"), (True, t), (True, f"Written for the bakery by {name()} {name()}")]
+        for j in range(rng.randint(2, 4)):
+            lines.append((True, f"{sentence()} {sentence()}"))
+            if j == 0:
+                lines += [(True, f"- {word()} {word()} {word()}") for _ in range(2)] + [(False, "Fresh rolls at your door: order before noon.")] * rng.randint(0, 1)
+        lines += [(False, "Other pages of the bakery"), *[(False, f"- {title()}") for _ in range(3)], (False, f"{rng.randint(1, 900)} guests liked this"), (False, f"© {rng.randint(1990, 2025)} The bakers")]
+        out.append((f"http://bakery{i % 6}.test/{site}/{i}", t if i % 7 else None, lines))
+    return out
+
+
+def test_held_out_furniture():
+    """Weights from labels that pages give each other, tested on other pages of other names."""
+    rng = random.Random(23)
+    fit, held = site_pages(rng), site_pages(rng, 40, 1)
+    w = body.fitted([(u, t, "\n".join(x for _, x in lines)) for u, t, lines in fit], [])
+    right = wrong = 0
+    for _, _, lines in held:
+        for (want, _), got in zip(lines, body.body_lines("\n".join(x for _, x in lines), w), strict=True):
+            right, wrong = right + (want == got), wrong + (want != got)
+    assert right / (right + wrong) >= 0.95
 
 
 def test_furniture_of_a_page(spark):
-    samples = spark.createDataFrame([("The archive teams deliver every page they were sent, and the nightly jobs fetch stale entries during the first hour.",), (None,)], "text string")
-    labelled = body.fitted(samples)
-    df = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "\n\n"), (5, "word " * 200_000)], "i long, text string").withColumn("row_id", F.lit(0))
+    rng = random.Random(29)
+    w = body.fitted([(u, t, "\n".join(x for _, x in lines)) for u, t, lines in site_pages(rng)], [])
+    lines = site_pages(rng, 1, 2)[0][2]
+    page = "\n".join(x for _, x in lines) + "\n\n"
+    df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "\n\n"), (5, "word " * 200_000), (6, page)], "i long, text string").withColumn("row_id", F.lit(0))
     got = defaultdict(list)
-    for r in body.furniture(df, F.col("i"), F.col("text"), labelled).collect():
+    for r in body.furniture(df, F.col("i"), F.col("text"), w).collect():
         got[r.row_id].append(r.line_no)
-    assert sorted(got[1]) == [1, 2, 6, 10, 11, 12, 13]
-    assert set(got) <= {1, 5}
-    bodies = {r.row_id: r.body for r in body.main_body(df, F.col("i"), F.col("text"), labelled).collect()}
-    assert bodies[1].startswith("Two servers") and bodies[1].endswith("they were sent.") and "partners" not in bodies[1]
+    assert sorted(got[1]) == sorted(got[6]) == [n for n, (is_body, _) in enumerate(lines, 1) if not is_body]
+    assert set(got) <= {1, 5, 6}
+    bodies = {r.row_id: r.body for r in body.main_body(df, F.col("i"), F.col("text"), w).collect()}
+    assert bodies[1] == "\n".join(x for is_body, x in lines if is_body)
     assert bodies[2] is None and bodies[3] == ""
 
 
+def test_nothing_to_learn_from(spark):
+    w = body.fitted([], [])
+    assert body.body_lines("Menu\n\nSome text.", w) == [True, None, True]
+    empty = spark.createDataFrame([], "url string, title string, text string")
+    assert body.sample_of(empty, "url", "title", "text") == [] and body.furniture(empty.withColumn("i", F.lit(1)), F.col("i"), F.col("text"), w).count() == 0
+
+
 # --- languages ---
 
 WORDS = {"en": "the of and with under some many peers share pages before every hour", "de": "der die und mit unter einige viele teilen seiten vor jeder stunde nicht", "ru": "и под некоторые многие делят страницы перед каждым часом не только они"}
@@ -269,6 +294,34 @@ def test_viterbi_equals_brute_force(samples):
     assert abs(value(path) - max(value(p) for p in itertools.product(range(3), repeat=7))) < 1e-9
 
 
+def test_labels_equal_the_full_search(samples):
+    """Also where the best path never touches the language that is best throughout: 16 - 2 - 2 beats 3 x 4 at no point alone."""
+    import numpy as np
+
+    model = language.Model([("aa", "a"), ("bb", "b"), ("cc", "c")])
+    rng = np.random.default_rng(5)
+    cases = [np.array([[-1.0, 0, -2]] * 13 + [[-1.0, -2, 0]] * 13)]
+    cases += [np.repeat(rng.normal(0, 1.2, (4, 3)), rng.integers(3, 20), axis=0) for _ in range(200)]
+    searched = 0
+    for score in cases:
+        model.table = np.vstack([np.zeros((1, 3)), score]).astype(np.float32)
+        model.rows = list(model.table)
+        model.tokens = lambda t, n=len(score): [2 * (i + 1) for i in range(n)]
+        (_, path, sums) = model.label(["x"])[0]
+        value = lambda p: sum(model.table[i + 1, s] for i, s in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        best = language.Model._viterbi(model.table[1:], [0, 1, 2])
+        assert abs(value(path or [int(sums.argmax())] * len(score)) - value(best)) < 1e-3
+        searched += path is not None
+    assert model.label(["x"]) and searched > 3 and len(set(language.Model._viterbi(cases[0], [0, 1, 2]))) == 2
+
+
+def test_scripts():
+    model = language.Model([("el", "και το σπίτι είναι μεγάλο."), ("he", "הבית הזה גדול מאוד."), ("ru", "этот дом очень большой."), ("en", "this house is very large.")])
+    texts = ["μικρό δέντρο κοντά στη θάλασσα", "ספר קטן על השולחן", "маленькая книга на столе", "small trees beside lakes", "本は机の上にある", "x" * 50_000]
+    got = [[model.langs[i] for i in model.languages(*r)] for r in model.label(texts)]
+    assert got[:5] == [["el"], ["he"], ["ru"], ["en"], []]
+
+
 def test_mixed_texts_quotes_and_nulls(spark, samples):
     rng = random.Random(5)
     s = lambda lang, n: " ".join(sentence(rng, lang) for _ in range(n))
@@ -295,11 +348,12 @@ def test_labels(spark):
 def _tables(spark, folder, **tables):
     """Small tables of the columns that the queries of this package read, written to a folder."""
     shapes = {
-        "lang_samples": "sample_id long, lang string, text string", "documents": "doc_id long, lang string, source string, text string", "pages_text": "stream_seq long, language string, text string",
-        "search_documents": "stream_seq long, language string, content string", "url_metadata": "stream_seq long, lang string, descr string, snippet string",
+        "lang_samples": "sample_id long, lang string, text string", "documents": "doc_id long, lang string, source string, text string", "pages_text": "stream_seq long, language string, text string, canonical_url string, title string",
+        "search_documents": "stream_seq long, language string, content string, url string, title string", "url_metadata": "stream_seq long, lang string, descr string, snippet string",
     }
     for name, shape in shapes.items():
-        spark.createDataFrame(tables.get(name, []), shape).write.parquet(f"{folder}/{name}.parquet")
+        rows = [(*r, *[None] * (shape.count(",") + 1 - len(r))) for r in tables.get(name, [])]
+        spark.createDataFrame(rows, shape).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
@@ -324,11 +378,12 @@ def test_segments_stand_in_the_stored_text(spark, samples, tmp_path):
     title = " ".join(sentence(rng, "ru") for _ in range(2))
     garbled = title.encode("cp1251").decode("cp1252")
     plain = " ".join(sentence(rng, "en") for _ in range(4))
-    page = "Home › News › Contact\n" + plain + "\n© 2025 Example. All rights reserved. Terms, Privacy, Imprint"
+    pages = [(10 + i, None, "\n".join(x for _, x in lines), u, t) for i, (u, t, lines) in enumerate(site_pages(rng))]
+    page = "Bakery › Bread › Rolls\n" + plain + "\n© 2025 The bakers"
     twice = sentence(rng, "ru").encode().decode("koi8-r")  # two characters for each letter
-    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), pages_text=[(1, "en", page)], search_documents=[(1, "ru", garbled)], documents=[(1, "ru", "s", twice + " " + plain)])
+    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), pages_text=[(1, "en", page), *pages], search_documents=[(1, "ru", garbled)], documents=[(1, "ru", "s", twice + " " + plain)])
     got = defaultdict(list)
-    for r in queries.p1_segments(spark, folder).orderBy("segment").collect():
+    for r in queries.p1_segments(spark, folder).where("rec_id = 1").orderBy("segment").collect():
         got[r.tab].append((r.start, r.end, r.lang))
     assert got["pages_text"] == [(page.index(plain), page.index(plain) + len(plain), "en")]
     assert got["search_documents"] == [(0, len(garbled), "ru")]
@@ -337,13 +392,18 @@ def test_segments_stand_in_the_stored_text(spark, samples, tmp_path):
 
 
 def test_bodies_agree_with_furniture_on_garbled_pages(spark, samples, tmp_path):
-    lines = [x for i, x in body.labelled_lines() if i == "B" and not x.isascii()] or ["Größere Übergabe."]
-    text = ("Home › News › Contact\n" + "\n".join(lines[:6])).encode().decode("cp1252", "ignore")
-    folder = _tables(spark, tmp_path, lang_samples=_sample_rows(samples), search_documents=[(1, "de", text), (2, "de", None)])
-    out = {r.line_no for r in queries.p4_found(spark, folder).collect()}
+    rng = random.Random(31)
+    pages = [(10 + i, None, "\n".join(x for _, x in lines), u, t) for i, (u, t, lines) in enumerate(site_pages(rng))]
+    clean = "Größere Übergabe für die Prüfung läuft über das Gerät, während später größere Aufträge für später übrig bleiben."
+    text = ("Bakery › Bread › Rolls\n" + clean).encode().decode("cp1252", "ignore")
+    folder = _tables(spark, tmp_path, lang_samples=[*_sample_rows(samples), (900, "de", clean)], search_documents=[(1, "de", text), (2, "de", None), *pages])
+    out = defaultdict(set)
+    for r in queries.p4_found(spark, folder).collect():
+        out[r.stream_seq].add(r.line_no)
     bodies = {r.stream_seq: r.body for r in queries.p4_bodies(spark, folder).collect()}
-    restored = mojibake.Restorer(*mojibake.counts_of([x for _, x in body.fitted(spark.read.parquet(f"{folder}/lang_samples.parquet"))])).restore(text)
-    assert restored[1] and bodies == {1: "\n".join(x for n, x in enumerate(restored[0].split("\n"), 1) if x.strip() and n not in out), 2: None}
+    assert out[1] == {1} and bodies[1] == clean and bodies[2] is None
+    for i, _, x, *_ in pages:
+        assert bodies[i] == "\n".join(line for n, line in enumerate(x.split("\n"), 1) if n not in out[i])
 
 
 def test_repair_before_labels_knows_the_words_of_all_texts(spark, tmp_path, samples):
