@@ -172,9 +172,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each source cuts, and the lengths at which it has a limit, in characters (``limits``) and in bytes."""
+    """How often each source cuts, at a limit and in transfer, and the lengths at which it has a limit, in characters (``limits``) and in bytes."""
     rows, hazards = truncation.truncated(table(spark, folder, "documents"))
-    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_cut_at_limit"))
+    kind = lambda x: F.count_if(F.coalesce(F.col("evidence") == x, F.lit(False)))
+    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), kind(truncation.LIMIT).alias("n_cut_at_limit"), kind(truncation.TRANSFER).alias("n_cut_in_transfer"))
     of = lambda unit: F.sort_array(F.collect_list(F.when(F.col("unit") == unit, F.col("length"))))
     limits = hazards.where("limit").groupBy(F.col("source").alias("s")).agg(of("chars").alias("limits"), of("bytes").alias("limits_bytes"))
     joined = per.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
@@ -183,8 +184,8 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """The hazard of each length of each source, and whether it is a limit."""
-    texts, _ = truncation.endings(table(spark, folder, "documents"))
-    return truncation.length_hazards(texts)
+    hazards = truncation.length_hazards(truncation.endings(table(spark, folder, "documents")))
+    return hazards.withColumn("p", F.round("p", 9))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_sources, p8_lengths)}

@@ -18,6 +18,16 @@ SQL = {
     "p2_cleaned": f"""with {_LINES},
         c as (select stream_seq, coalesce(string_agg(line, chr(10) order by line_no) filter (where r.site is null), '') cleaned from k left join r on k.site = r.site and k.letters = r.letters group by 1)
         select d.stream_seq, d.url, c.cleaned from search_documents d left join c using (stream_seq)""",
+    "p8_lengths": """with t as (select distinct source, text from documents where text is not null and not regexp_full_match(text, '[\\s\\x{A0}]*')),
+        l as (select source, 'chars' unit, length(text) length from t union all select source, 'bytes', strlen(text) from t),
+        c as (select source, unit, length, count(*) n from l group by 1, 2, 3),
+        w as (select *, sum(n) over (partition by source, unit order by length desc rows between unbounded preceding and current row) at_risk,
+            sum(n) over (partition by source, unit order by length range between 150 preceding and 150 following) - sum(n) over (partition by source, unit order by length range between 3 preceding and 3 following) around from c),
+        x as (select *, n / at_risk x, least((around + 0.5) / (300.0 * at_risk + 1.0), 0.5) p0 from w),
+        p as (select *, case when x > p0 and n >= 3 then exp(-at_risk * (x * ln(x / p0) + case when x < 1 then (1 - x) * ln((1 - x) / (1 - p0)) else 0 end)) else 1 end p from x),
+        r as (select *, row_number() over (partition by source, unit order by p, length) rk, count(*) over (partition by source, unit) tests from p),
+        m as (select *, max(case when p <= 0.01 * rk / tests then p end) over (partition by source, unit) most from r)
+        select source, unit, cast(length as bigint) length, n, cast(at_risk as bigint) at_risk, round(cast(p as double), 9) p, coalesce(p <= most, false) "limit" from m""",
     "p7_found": f"with {_LEAKS} select doc_id, item_id from found",
     "p7_items": f"with {_LEAKS} select item_id, suite, lang, (select count(*) from found f where f.item_id = e.item_id) n_documents from eval_items e",
 }

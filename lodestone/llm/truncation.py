@@ -1,23 +1,25 @@
 """Texts cut off at a length limit or in transfer, and how often each source cuts.
 
-Two kinds of evidence. Lengths: per source, the discrete hazard of a length is the share of texts that end there among
-those that reach it. A limit shows as a hazard far above the hazards of the lengths around it; the tail probability of
-each is bounded (Chernoff), and lengths are significant under false-discovery control (Benjamini-Hochberg, within each
-source), for lengths in characters and in bytes. Endings: what follows the last complete unit of the text. A text that
-ends in a sentence mark is complete; one that stops in running text is cut; a list entry, or words before a mark that
-stands apart, are complete if their last two words end clauses elsewhere in the corpus (before a mark, a word with a
-capital stands for any such word). Signatures, addresses, command
-and log lines are complete if they have their form; as that can't show a cut in a last name or number, they count as cut
-at a significant length if shorter in form than others are.
+Two named kinds of evidence. ``limit``: per source, the discrete hazard of a length is the share of texts that end there
+among those that reach it. A limit shows as a hazard far above the hazards of the lengths around it; the tail probability
+of each is bounded (Chernoff), and lengths are significant under false-discovery control (Benjamini-Hochberg, within
+each source), for lengths in characters and in bytes. A text of a significant length is cut if its ending is incomplete:
+if no sentence ends there. ``transfer``: at any other length a text is cut only if the ending itself shows it.
+
+Endings: what follows the last complete unit of the text, before a mark that stands after it. A text that ends in a
+sentence mark is complete; one that stops in running text is cut. A list entry, or words before a mark that stands
+apart, are in doubt; off the limits they are cut unless their last two words end clauses elsewhere: at the rate
+``CLAUSE_RATE`` of all their occurrences in distinct texts, not counting one (before a mark, a word with a capital
+stands for any such word). Signatures, addresses, command and log lines are complete in form, and cut at limits alone,
+as their last name or number can't show a cut.
 
 Null and blank texts are never cut. A null source is a source of its own. Equal texts are judged alike, and count
-once for the hazards.
+once for the hazards and clauses.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,25 +34,50 @@ NEIGHBOURS, NEAR = 150, 3
 FALSE_DISCOVERIES = 0.01
 #: Texts at least to end at a length for it to be tested as a limit.
 LEAST = 3
-#: How often two words must end a clause elsewhere to be able to end a text.
-CLAUSE_ENDS = 2
+#: Share of the occurrences of two words that end a clause, for these to be able to end a text.
+CLAUSE_RATE = 0.1
+#: Words in doubt, and copies of texts, that tasks hold in memory; beyond, all pairs are counted and joins shuffle.
+MAX_HELD = 500_000
 
-_MARKS = re.compile(r"(\s*)(?:…|\.{3,}|\[(?:…|\.\.\.|[a-z ]{3,12})\]|\((?:…|\.\.\.)\)|�+|[-–—]|>>|»|→)\s*$")
-_END = re.compile(r"[.!?。！？][\"'”’»)\]}]*$")
+_CLOSING = "\"'”’»)]}"
+_SENTENCE_MARKS = ".!?。！？"
+_BRACKETED = re.compile(r"…|\.\.\.|[a-z ]+")
 _LIST = re.compile(r"^\s*(?:[-*•‣◦›–]|\d{1,3}[.)])\s+\S")
 _SIGNED = re.compile(r"^\s*[—–]+\s*\S")
 _SIGNATURE = re.compile(r"^\s*[—–]+\s*[^\W\d_a-z][^\W\d_]+(?:[ '\-][^\W\d_]+)+$")
 _ADDRESS = re.compile(r"^\s*(?:https?|ftp)://[^\s/]+\.[a-z]{2,}(?::\d+)?(?:[/?#]\S*)?$")
 _ADDRESS_LIKE = re.compile(r"^\s*(?:h|ht|htt|https?:?/{0,2}\S*|ftp:\S*)$")
 _COMMAND = re.compile(r"^\s*[$>#]?\s*[a-z][a-z0-9_.\-]*(?:\s+\S+)*\s+--?[a-z][\w\-]*(?:[ =]\S+)*$")
+_VALUE = re.compile(r"--?[a-z][\w\-]*[ =]\S*[.\d]\S*$")
 _LOG = re.compile(r"^\s*\d{4}-\d\d-\d\d.*\b\w+=\S+")
-_CLAUSE_END = re.compile(r"[.!?;,](?=\s|$)")
+_CLAUSE_MARKS = ".!?;,"
 _AROUND = "\"“”„«»‘()[]…"
 _INSIDE = str.maketrans("", "", "'’-")
-#: Characters at the end of a text in which its marks stand.
-_TAIL = 64
 
 COMPLETE, CUT, ASK, FORM = "complete", "cut", "ask", "form"
+LIMIT, TRANSFER = "limit", "transfer"
+
+
+def _without_mark(text: str) -> tuple[str, str]:
+    """A text without the mark at its end that shows a cut or an ending, and that mark."""
+    last = text[-1]
+    if last == "�":
+        bare = text.rstrip("�")
+    elif last == "…" or text.endswith("..."):
+        bare = text.rstrip("…") if last == "…" else text.rstrip(".")
+    elif last in "-–—→»":
+        bare = text[:-1]
+    elif text.endswith(">>"):
+        bare = text[:-2]
+    elif last in ")]" and (at := text.rfind("[" if last == "]" else "(")) >= 0 and (m := _BRACKETED.fullmatch(text, at + 1, len(text) - 1)) and (last == "]" or not m.group().isascii() or "." in m.group()):
+        bare = text[:at]
+    else:
+        return text, ""
+    return bare, text[len(bare) :]
+
+
+def _ends_sentence(text: str) -> bool:
+    return text.rstrip(_CLOSING)[-1:] in tuple(_SENTENCE_MARKS)
 
 
 def ending(text: str) -> tuple[str, str | None]:
@@ -58,13 +85,10 @@ def ending(text: str) -> tuple[str, str | None]:
     text = text.rstrip()
     if not text:
         return COMPLETE, None
-    mark, tail = None, text[-_TAIL:]
-    if (m := _MARKS.search(tail)) and not (tail.endswith((")", "]")) and len(m.group()) > 14):
-        mark = m
-        text = text[: len(text) - len(tail) + m.start()].rstrip()
-        if not text:
-            return CUT, None
-    if "�" in (mark.group() if mark else ""):
+    text, mark = _without_mark(text)
+    apart = bool(mark) and text[-1:].isspace()
+    text = text.rstrip()
+    if "�" in mark or not text:
         return CUT, None
     last = text[text.rfind("\n") + 1 :]
     if _ADDRESS_LIKE.match(last):
@@ -73,15 +97,15 @@ def ending(text: str) -> tuple[str, str | None]:
         return FORM, None
     if _SIGNED.match(last):
         return (FORM if _SIGNATURE.match(last) else CUT), None
-    if " -" in last and not _END.search(last[-_TAIL:]) and _COMMAND.match(last):
-        return (FORM if last[-1].isalnum() and re.search(r"--?[a-z][\w\-]*[ =]\S*[.\d]\S*$", last) else CUT), None
-    if _END.search(text[-_TAIL:]):
+    if " -" in last and not _ends_sentence(last) and _COMMAND.match(last):
+        return (FORM if last[-1].isalnum() and _VALUE.search(last) else CUT), None
+    if _ends_sentence(text):
         return COMPLETE, None
     two = last_two(last)
     words = f"{two[0]} {two[1]}".lower() if two else None
-    if _LIST.match(last) and (mark is None or mark.group(1)):
+    if _LIST.match(last) and (not mark or apart):
         return (ASK, words) if words else (CUT, None)
-    if mark is not None and mark.group(1):
+    if apart:
         return (ASK, min(_keys(*two), key=lambda k: "*" not in k)) if two else (CUT, None)
     return CUT, None
 
@@ -105,56 +129,88 @@ def _keys(a: str, b: str) -> list[str]:
     return out
 
 
-_SCHEMA = "kind string, doc_id long, source string, fp long, n_chars long, n_bytes long, verdict string, words string, n long"
-_TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+class Clauses:
+    """Occurrences of two words in texts, and how many of them end a clause; of ``asked`` pairs alone, if given."""
 
+    def __init__(self, asked: frozenset[str] | None):
+        self.asked, self.firsts = asked, asked and {x.split(" ")[0] for x in asked}
+        self.counts: dict[str, list[int]] = {}
+        self._tokens: dict[str, tuple[str | None, bool, bool]] = {}
+
+    def _token(self, token: str) -> tuple[str | None, bool, bool]:
+        """The word of a token, whether it can begin a pair that is asked for, and whether it ends a clause."""
+        word = token.rstrip(_CLAUSE_MARKS).strip(_AROUND)
+        word = word if word.translate(_INSIDE).isalpha() else None
+        begins = word is not None and (self.asked is None or word.lower() in self.firsts or word[0].isupper() and "*" in self.firsts)
+        if len(self._tokens) > 300_000:
+            self._tokens.clear()
+        self._tokens[token] = out = word, begins, token[-1] in _CLAUSE_MARKS
+        return out
+
+    def read(self, text: str) -> None:
+        """Pairs within a clause; where a line ends without a mark it isn't known whether a clause does."""
+        get, asked, counts = self._tokens.get, self.asked, self.counts
+        for line in text.split("\n"):
+            tokens = [get(t) or self._token(t) for t in line.split()]
+            last = len(tokens) - 1
+            for i, (word, begins, ends) in enumerate(tokens):
+                if begins and not ends and i < last:
+                    second, _, closes = tokens[i + 1]
+                    if second is not None and (closes or i + 1 < last):
+                        for k in _keys(word, second):
+                            if asked is None or k in asked:
+                                n = counts.setdefault(k, [0, 0])
+                                n[0] += closes
+                                n[1] += 1
+
+    def batch(self) -> pa.RecordBatch:
+        words, n = list(self.counts), list(self.counts.values())
+        self.counts = {}
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([x[0] for x in n], pa.int64()), pa.array([x[1] for x in n], pa.int64())], names=["words", "ends", "n"])
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends: Counter = Counter()
 
-    def made(columns: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _TYPES, strict=True)], names=["kind", "doc_id", "source", "fp", "n_chars", "n_bytes", "verdict", "words", "n"])
+_SCHEMA = "doc_id long, source string, fp long, n_chars long, n_bytes long, verdict string, words string"
+_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
-    def clauses() -> pa.RecordBatch:
-        keyed: Counter = Counter()
-        for (a, b), v in ends.items():
-            for k in _keys(a, b):
-                keyed[k] += v
-        ends.clear()
-        n, none = len(keyed), [None] * len(keyed)
-        return made([["c"] * n, none, none, none, none, none, none, list(keyed), list(keyed.values())])
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
     for b in batches:
-        ids, sources, prints, chars, sizes, verdicts, words = [], [], [], [], [], [], []
-        for i, source, fp, text, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if not text or text.isspace():
-                continue
-            verdict, two = ending(text)
-            if not copy:
-                ends.update(filter(None, map(last_two, _CLAUSE_END.split(text)[:-1])))
-            ids.append(i)
-            sources.append(source)
-            prints.append(fp)
-            chars.append(len(text))
-            sizes.append(len(text.encode("utf-8", "surrogatepass")))
-            verdicts.append(verdict)
-            words.append(two)
-        n = len(ids)
-        yield made([["d"] * n, ids, sources, prints, chars, sizes, verdicts, words, [1] * n])
-        if len(ends) > 300_000:
-            yield clauses()
-    yield clauses()
-
-
-def endings(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per text its source, lengths and verdict; and counts of the two words that end clauses, over distinct texts."""
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
-    prints = rows.where("text is not null").select("fp", "doc_id")
-    again = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("fp", "first")
-    copies = prints.join(again, "fp").where("doc_id <> first").select("doc_id", F.lit(True).alias("copy"))
-    rows = spread(rows).join(copies, "doc_id", "left").select("doc_id", "source", "fp", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-    read = materialise(rows.mapInArrow(_read, _SCHEMA), "endings")
-    return read.where("kind = 'd'").select("doc_id", "source", "fp", "n_chars", "n_bytes", "verdict", "words"), read.where("kind = 'c'").groupBy("words").agg(F.sum("n").alias("ends"))
+        rows = [(i, source, fp, len(text), len(text.encode("utf-8", "surrogatepass")), *ending(text)) for i, source, fp, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if text and not text.isspace()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_TYPES)], names=names)
+
+
+def _rows(documents: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+
+
+def endings(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """Per non-blank text its source, lengths and verdict, as a written table."""
+    return materialise(spread(_rows(documents, doc_id, source, text)).mapInArrow(_read, _SCHEMA), "endings")
+
+
+def clause_ends(documents: DataFrame, texts: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_held: int = MAX_HELD) -> DataFrame:
+    """``words, ends, n`` of each pair of words in doubt: in how many places of distinct texts it stands, and ends a clause."""
+    asked = materialise(texts.where(F.col("verdict") == ASK).select("words").distinct(), "asked-words")
+    held = asked.limit(max_held + 1).collect()
+    known = frozenset(r.words for r in held) if len(held) <= max_held else None
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    again = texts.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("fp", "first")
+    copies = materialise(texts.select("fp", "doc_id").join(again, "fp").where("doc_id <> first").select("doc_id").distinct(), "copies")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Clauses(shared.value)
+        for b in batches:
+            for t in b.column(0):
+                c.read(t.as_py())
+            if len(c.counts) > 300_000:
+                yield c.batch()
+        yield c.batch()
+
+    rows = _rows(documents, doc_id, source, text).where("text is not null")
+    rows = rows.join(F.broadcast(copies) if copies.count() <= max_held else copies, "doc_id", "left_anti").select("text")
+    counts = spread(rows).mapInArrow(count, "words string, ends long, n long").groupBy("words").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+    return asked.join(counts, "words", "left").select("words", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def length_hazards(texts: DataFrame, neighbours: int = NEIGHBOURS, near: int = NEAR, rate: float = FALSE_DISCOVERIES, least: int = LEAST) -> DataFrame:
@@ -180,19 +236,22 @@ def length_hazards(texts: DataFrame, neighbours: int = NEIGHBOURS, near: int = N
 
 
 def truncated(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``doc_id, source, cut, at_limit`` of each non-blank text, and the hazards of the lengths.
+    """``doc_id, source, cut, evidence, at_limit`` of each non-blank text, and the hazards of the lengths.
 
-    A text in doubt by its ending alone is cut if its two last words hardly end clauses, or if its length is a limit.
+    ``evidence`` is ``limit`` or ``transfer`` for a text that is cut, else null.
     """
-    texts, clauses = endings(documents, doc_id, source, text)
-    hazards = length_hazards(texts)
+    texts = endings(documents, doc_id, source, text)
+    hazards = materialise(length_hazards(texts), "hazards")
     limits = hazards.where("limit").select(F.col("source").alias("s"), "unit", F.col("length").alias("l"))
     by = lambda unit, c: limits.where(F.col("unit") == unit).select(F.col("s").alias(f"s_{unit}"), F.col("l").alias(f"l_{unit}"))
     chars, sizes = by("chars", "n_chars"), by("bytes", "n_bytes")
     rows = texts.join(chars, F.col("source").eqNullSafe(F.col("s_chars")) & (F.col("n_chars") == F.col("l_chars")), "left")
     rows = rows.join(sizes, F.col("source").eqNullSafe(F.col("s_bytes")) & (F.col("n_bytes") == F.col("l_bytes")), "left")
-    asked = clauses.where(F.col("ends") >= CLAUSE_ENDS).select(F.col("words").alias("w"))
-    rows = rows.join(asked, (F.col("verdict") == ASK) & (F.col("words") == F.col("w")), "left")
-    at_limit = F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()
-    cut = F.when(F.col("verdict") == CUT, True).when(F.col("verdict") == ASK, F.col("w").isNull() | at_limit).when(F.col("verdict") == FORM, at_limit).otherwise(False)
-    return rows.select("doc_id", "source", cut.alias("cut"), at_limit.alias("at_limit")), hazards
+    rows = rows.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull())
+    doubt = (F.col("verdict") == ASK) & ~F.col("at_limit")
+    ends = clause_ends(documents, texts, doc_id, source, text).where(F.col("ends") - 1 >= CLAUSE_RATE * F.col("n")).select("words", F.lit(True).alias("can_end"))
+    limit = F.col("at_limit") & (F.col("verdict") != COMPLETE)
+    rest = rows.where(~doubt).select("doc_id", "source", "at_limit", F.when(limit, LIMIT).when(F.col("verdict") == CUT, TRANSFER).alias("evidence"))
+    asked = rows.where(doubt).join(ends, "words", "left").select("doc_id", "source", "at_limit", F.when(F.col("can_end").isNull(), TRANSFER).alias("evidence"))
+    out = rest.unionByName(asked)
+    return out.select("doc_id", "source", F.col("evidence").isNotNull().alias("cut"), "evidence", "at_limit"), hazards

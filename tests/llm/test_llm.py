@@ -448,6 +448,7 @@ def test_truncated_source(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n", F.lit(1))
     found, hazards = truncation.truncated(df)
     assert {r.doc_id for r in found.where("cut").collect()} == cut and cut
+    assert {r.evidence for r in found.where("cut and at_limit").collect()} == {truncation.LIMIT} and found.where("not cut and evidence is not null").count() == 0
     assert {(r.source, r.unit, r.length) for r in hazards.where("limit").collect()} >= {("a", "chars", 500), ("a", "bytes", 500)}
     assert not {r.source for r in hazards.where("limit").collect()} - {"a"}
     assert truncation.truncated(df.limit(0))[0].count() == 0
@@ -472,6 +473,19 @@ def test_copies_and_limits_of_endings_in_doubt(spark):
     assert 10 in cut and 50 in cut
 
 
+def test_clauses_are_judged_by_a_rate(spark):
+    """Two words that end a clause now and then can't end a text, however large the corpus; held or counted by a shuffle alike."""
+    rows = [(i, "s", f"Here number {i} the blue lamp stood alone. And the old boat, it is told, left number {i}.") for i in range(60)]
+    rows += [(100 + i, "s", f"There {i} was the blue lamp." + " Then more." * (9 * i + 9)) for i in range(3)]
+    rows += [(200, "s", "All of it is said.\n- Anna: the blue lamp"), (201, "s", "All of it is said.\n- Anna: the old boat"), (202, "s", "All of it is said [" + "and so on " * 20 + "]"), (203, "s", "It stopped in the mid [" + "cut " * 30 + "]")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    texts = truncation.endings(df)
+    counts = {r.words: (r.ends, r.n) for r in truncation.clause_ends(df, texts).collect()}
+    assert counts["blue lamp"] == (3, 63) and counts["old boat"] == (60, 60)
+    assert {r.words: (r.ends, r.n) for r in truncation.clause_ends(df, texts, max_held=0).collect()} == counts
+    assert {r.doc_id for r in truncation.truncated(df)[0].where("cut").collect()} & {200, 201, 202, 203} == {200, 203}
+
+
 def test_sources_show_limits_in_bytes(spark, tmp_path):
     rng, rows = random.Random(19), []
     word = lambda: "".join(rng.choices("abcdeföüß", k=rng.randint(2, 7)))
