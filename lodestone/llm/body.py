@@ -8,7 +8,7 @@ zero interrupt it and are furniture too. A line that opens a list of links turns
 whatever their words.
 
 The weights are a logistic regression over labelled pages, and the pages label themselves. In a sample of at most
-``MAX_PAGES`` pages of each table (the least by a hash of their address), names are masked: words of fewer than
+``MAX_PAGES`` pages of each table (the least by a hash), names are masked: words of fewer than
 ``NAME_SITES`` sites. What is the same in ``REPEATED`` pages or more is furniture, unless it mostly follows the page's
 own title (a byline); it opens a list if mostly single lines that repeat nowhere come after it. Shapes of lines that
 stand hardly ever between two paragraphs are furniture; sentences, the page's own title (or what stands before a byline), and
@@ -23,6 +23,7 @@ has no body. Without any page to learn from every line is of the body.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.sampling import least
 from lodestone.session import spread
 
 MAX_SAMPLES, MAX_PAGES, MAX_PAGE_CHARS = 20_000, 2_000, 100_000
@@ -43,6 +45,7 @@ _CLIP, _FLOOR, _LEAST = 30.0, -4.0, 3
 _LEAN = 1.0
 _STEPS, _RATE, _SHRINK = 150, 0.5, 1e-6
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_DIGIT = re.compile(r"\d")
 _TAG = re.compile(r"[›»|·←→©•/–…:]|\s\s+(?=\S)")
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*\s*$")
 _CLOSING = re.compile(r"[\"'”»)\]]*\s*$")
@@ -56,7 +59,8 @@ _CACHED = 200
 
 
 def _words(line: str) -> list[str]:
-    return ["0" if w.isdigit() else w for w in _WORD.findall(line.lower())]
+    words = _WORD.findall(line.lower())
+    return ["0" if w.isdigit() else w for w in words] if _DIGIT.search(line) else words
 
 
 def _letters(line: str) -> str:
@@ -72,13 +76,12 @@ def _is_paragraph(line: str) -> bool:
     return _SENTENCE_END.search(line) is not None and _BULLET.match(line) is None and len(_WORD.findall(line)) >= _WORDS_OF_PARAGRAPH
 
 
-def features(line: str) -> set:
-    """The tokens of a line: words, pairs of words, and tags as triples."""
+def features(line: str, words: list[str]) -> set:
+    """The tokens of a line with these words: words, pairs of words, and tags as triples."""
     s = line.strip().replace("\xa0", " ")
-    words = _words(s)
     out = set(words)
     out.update(zip(words, words[1:], strict=False))
-    out.add(("words", int(np.searchsorted(_SIZES, len(words))), ""))
+    out.add(("words", bisect_left(_SIZES, len(words)), ""))
     last = _CLOSING.sub("", s)[-1:]
     out.add(("end", last if not last.isalnum() else "0" if last.isdigit() else "a", ""))
     if m := _BULLET.match(s):
@@ -95,22 +98,23 @@ class Weights:
 
     def __init__(self, weights: dict, bias: float, known: frozenset[str], openers: frozenset[tuple[str, ...]]):
         self.weights, self.bias, self.known, self.openers = weights, bias, known, openers
+        self.sizes = frozenset(map(len, openers))
         self._seen: dict[str, tuple[float, bool]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_seen": {}}
 
-    def skeleton(self, line: str) -> tuple[str, ...]:
+    def skeleton(self, words: list[str]) -> tuple[str, ...]:
         """The words of a line, names alike."""
-        return tuple([w if w in self.known else _NAME for w in _words(line)])
+        return tuple([w if w in self.known else _NAME for w in words])
 
     def line(self, line: str) -> tuple[float, bool]:
         """Summed weight of a line's tokens, and whether it opens a list of links."""
         known = self._seen.get(line)
         if known is None:
-            get = self.weights.get
-            score = self.bias + sum([get(f, 0.0) for f in features(line)])
-            known = max(_FLOOR, min(_CLIP, score)), self.skeleton(line) in self.openers
+            words = _words(line)
+            score = self.bias + sum(filter(None, map(self.weights.get, features(line, words))))
+            known = max(_FLOOR, min(_CLIP, score)), len(words) in self.sizes and self.skeleton(words) in self.openers
             if len(line) <= _CACHED:  # short lines come again
                 if len(self._seen) > 200_000:
                     self._seen.clear()
@@ -139,7 +143,7 @@ class _Labels:
         stands: dict[tuple, set] = defaultdict(set)
         for url, title, text in pages:
             lines = [x for x in text.split("\n") if x.strip()]
-            skeletons = [blank.skeleton(x) for x in lines]
+            skeletons = [blank.skeleton(_words(x)) for x in lines]
             own = _letters(title) if title else ""
             is_own = [bool(own) and _letters(x) == own for x in lines]
             self.pages.append((lines, skeletons, is_own))
@@ -215,7 +219,7 @@ def _regression(lines: list[str], is_body: np.ndarray, stands: np.ndarray) -> tu
     at, found = [], []
     often: Counter = Counter()
     for i, x in enumerate(lines):
-        f = features(x)
+        f = features(x, _words(x))
         at += [i] * len(f)
         found += f
         for k in f if stands[i] > 1 else ():
@@ -248,15 +252,14 @@ def fitted(pages: list[tuple[str | None, str | None, str]], clean: list[str]) ->
 
 
 def sample_of(pages: DataFrame, url: str, title: str, text: str, max_pages: int = MAX_PAGES) -> list[tuple[str | None, str | None, str]]:
-    """The ``max_pages`` pages of a table that are least by a hash of their address; whole pages, very long ones left out of the fit."""
+    """``max_pages`` pages of a table, the least by a hash; whole pages, very long ones left out of the fit."""
     rows = pages.select(F.col(url).alias("u"), F.col(title).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull() & (F.length("x") <= MAX_PAGE_CHARS))
-    rows = rows.withColumn("h", F.xxhash64("u")).orderBy("h", "u", F.xxhash64("x")).limit(max_pages)
-    return [(r.u, r.t, r.x) for r in rows.select("u", "t", "x").collect()]
+    return [tuple(r) for r in least(rows, max_pages)]
 
 
 def clean_lines(samples: DataFrame, text: str = "text", max_samples: int = MAX_SAMPLES) -> list[str]:
     """At most ``max_samples`` clean sentences of a table, the least by their hash."""
-    return [r[0] for r in samples.select(text).where(f"{text} is not null").orderBy(F.xxhash64(text), text).limit(max_samples).collect()]
+    return [r[0] for r in least(samples.select(text).where(f"{text} is not null"), max_samples)]
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
