@@ -1,63 +1,104 @@
-"""Keyed tables in a folder: versions are written beside each other, and a manifest names the one that holds."""
+"""Keyed tables in a folder: versions are written beside each other, and numbered manifests name those that hold."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.operators.index import latest
 
 
+class LostUpdate(RuntimeError):
+    """Another writer committed since this one read."""
+
+
 class Store:
-    """Named tables in ``folder``. A commit of several tables becomes visible at once, by one rename."""
+    """Named tables in ``folder``, each the union of some written parts.
+
+    A commit of several tables becomes visible at once, as a manifest of the next number is renamed into its place; a
+    crash before that changes nothing, and a reader sees the manifest before or after. Manifests are never changed. If
+    two writers commit on top of the same manifest, the later one gets ``LostUpdate`` and has to begin again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict[str, str]:
-        at = self._path(f"{self.folder}/manifest.json")
-        if not self._fs.exists(at):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path, self._rename = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Options.Rename
+        self._fs = self._path(self.folder).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), conf)
+
+    def _number(self) -> int:
+        at = self._path(f"{self.folder}/manifests")
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(x.removesuffix(".json")) for x in names if x.endswith(".json") and x[0] != "."), default=0)
+
+    def _manifest(self, number: int | None = None) -> dict[str, list[str]]:
+        number = self._number() if number is None else number
+        if not number:
             return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/manifest.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/manifests/{number:012}.json").collect()))
 
     def tables(self) -> list[str]:
         return sorted(self._manifest())
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._manifest()[name])
+        return self.spark.read.parquet(*self._manifest()[name])
+
+    def commit(self, changed: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, on: int | None = None) -> int:
+        """Writes new versions of tables, and parts to ``add`` to others; then the next manifest, whose number is returned.
 
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """Writes new versions, then swaps the manifest."""
-        manifest = self._manifest()
-        for name, df in changed.items():
+        ``on``: the number of the manifest that the rows were computed from, if not the present one.
+        """
+        number = self._number() if on is None else on
+        manifest = dict(self._manifest(number))
+        for name, df in [*changed.items(), *(added or {}).items()]:
             at = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(at)
-            manifest[name] = at
-        new = self._path(f"{self.folder}/.manifest-{uuid.uuid4().hex}")
+            manifest[name] = [at] if name in changed else [*manifest.get(name, []), at]
+        self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
+        new, final = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}"), self._path(f"{self.folder}/manifests/{number + 1:012}.json")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        old = self._path(f"{self.folder}/manifest.json")
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        none = self.spark.sparkContext._gateway.new_array(self._rename, 0)
+        try:
+            self._context.rename(new, final, none)
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            raise LostUpdate(f"{self.folder}: manifest {number + 1} is there already") from e
+        return number + 1
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
         """Merges rows into a table: the last of each key wins."""
-        both = self.read(name).unionByName(rows) if name in self._manifest() else rows
-        self.commit({name: latest(both, keys, order)})
+        number = self._number()
+        both = self.read(name).unionByName(rows) if name in self._manifest(number) else rows
+        self.commit({name: latest(both, keys, order)}, on=number)
 
     def remove(self, name: str, keys: DataFrame) -> None:
-        self.commit({name: self.read(name).join(keys, keys.columns, "left_anti")})
+        number = self._number()
+        self.commit({name: self.read(name).join(keys, keys.columns, "left_anti")}, on=number)
 
     def counts(self) -> dict[str, int]:
         """Rows of each table, from the files' footers."""
         return {n: self.read(n).count() for n in self.tables()}
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes what only manifests older than the last ``keep`` name, and these; returns how many parts went."""
+        last = self._number()
+        held = {at for n in range(max(1, last - keep + 1), last + 1) for parts in self._manifest(n).values() for at in parts}
+        gone = 0
+        for n in range(last - keep, 0, -1):
+            at = self._path(f"{self.folder}/manifests/{n:012}.json")
+            if not self._fs.exists(at):
+                break
+            for part in {p for parts in self._manifest(n).values() for p in parts} - held:
+                gone += self._fs.delete(self._path(part), True)
+            self._fs.delete(at, False)
+        return gone
+
 
 def drift(df: DataFrame, expected: dict[str, str]) -> list[str]:
     """Columns missing, surplus, or of another type than expected."""
