@@ -1,12 +1,16 @@
 """Lines repeated across the documents of one source, kept incrementally.
 
 A line's key is the 64-bit hash of its source and its letters (case, digits, marks and spaces don't count). The state
-is a line-count table: for each key the distinct documents seen, as hashes, up to the threshold ``k`` - beyond it the
-line has crossed and nothing more about it need be known, so a state row has bounded size whatever the line's count.
-A new partition of rows is a delta: its distinct ``(line, document)`` pairs, cut to ``k`` per line in every task before
-the shuffle (exact, as a union of sets each cut at ``k`` reaches ``k`` just when the whole union does), are merged into
-the table; lines that were below ``k`` and now reach it have crossed. Only documents with a newly crossed line need to
-be rebuilt.
+holds, for each key below the threshold ``k``, the distinct documents that have the line, as hashes, in a table of pairs
+that only grows; and the keys that have crossed, about which nothing more need be known. So a key has less than ``k``
+pairs, whatever the line's count. A new partition of rows is a delta: its distinct ``(line, document)`` pairs, cut to
+``k`` per line in every task before the shuffle (exact, as a union of sets each cut at ``k`` reaches ``k`` just when the
+whole union does). Only state of the delta's lines is read on, from the buckets these lines are in; new pairs are
+appended. Lines that reach ``k`` have crossed, and the pairs the state had of them name exactly the earlier documents
+that hold a newly crossed line: these and the delta's own are rebuilt, no others.
+
+The state is kept in a ``Store``: a folder that a later session opens again. A commit names the manifest it was computed
+from, so that two deltas merged at once can't be lost in each other.
 
 Null contents and rows with no source have no lines of interest; empty text has no letters; lines without a letter
 are never counted. Equal rows count once, as documents are compared by their address.
@@ -15,18 +19,20 @@ are never counted. Equal rows count once, as documents are compared by their add
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise
+from lodestone.session import materialise, partitions
+from lodestone.sources.stores import Store
 
 #: Crossed lines are broadcast while there are at most so many (8 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 _FLUSH = 1_000_000
+#: Parts of the state, by key; a delta reads those its lines are in.
+BUCKETS = 256
 
 
 def site_of(url: Column) -> Column:
@@ -40,9 +46,13 @@ def letters_of(line: Column) -> Column:
     return F.replace(F.lower(F.regexp_replace(line, r"[^\p{L}]+", "")), F.lit("ß"), F.lit("ss"))
 
 
-def keyed_lines(df: DataFrame, row_id: Column, source: Column, document: Column, text: Column) -> DataFrame:
+def rows_of(df: DataFrame, row_id: Column, source: Column, document: Column, text: Column) -> DataFrame:
+    """``row_id, source, doc, text`` of each row."""
+    return df.select(row_id.alias("row_id"), source.alias("source"), F.xxhash64(document).alias("doc"), text.alias("text"))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
     """``row_id, line_no, key, doc`` of each line with a letter."""
-    rows = df.select(row_id.alias("row_id"), source.alias("source"), F.xxhash64(document).alias("doc"), text.alias("text"))
     rows = rows.where("source is not null and doc is not null and text is not null")
     lines = rows.select("row_id", "source", "doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.select("row_id", (F.col("at") + 1).cast("long").alias("line_no"), "source", "doc", letters_of(F.col("line")).alias("letters"))
@@ -83,30 +93,82 @@ def _capped_pairs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
         yield flush()
 
 
-@dataclass
 class LineCounts:
-    """State after some deltas: ``table`` has ``key, docs`` of lines below ``k``; ``crossed`` has the keys that reached it."""
+    """Line counts in a folder, after any number of deltas."""
+
+    def __init__(self, spark: SparkSession, folder: str, k: int):
+        self.store, self.k = Store(spark, folder), k
 
-    k: int
-    table: DataFrame | None = None
-    crossed: DataFrame | None = None
-    #: keys that crossed in the last delta
-    fresh: DataFrame | None = None
+    def crossed(self) -> DataFrame:
+        """Keys of all lines that reached ``k``."""
+        return self.store.read("crossed").select("key") if "crossed" in self.store.tables() else self._none("key long")
 
-    def merge(self, lines: DataFrame) -> LineCounts:
-        """The state after a delta of keyed lines. Tables are written to the shared folder."""
-        k = self.k
+    def _none(self, schema: str) -> DataFrame:
+        return self.store.spark.createDataFrame([], schema)
+
+    def _pairs(self, buckets: list[int]) -> DataFrame:
+        """The state's pairs in some buckets; others aren't read."""
+        if "pairs" not in self.store.tables():
+            return self._none("key long, doc long")
+        return self.store.read("pairs").where(F.col("bucket").isin(buckets)).select("key", "doc")
+
+    def merge(self, lines: DataFrame) -> DataFrame:
+        """Merges a delta of keyed lines; returns ``doc`` of each earlier document that holds a line that has crossed now."""
+        k, number = self.k, self.store._number()
+        bucket = F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
         pairs = lines.select("key", "doc").mapInArrow(lambda it: _capped_pairs(it, k), "key long, doc long")
-        if self.table is not None:
-            pairs = pairs.join(self._known(pairs), "key", "left_anti").unionByName(self.table.select("key", F.explode("docs").alias("doc")))
-        sets = pairs.groupBy("key").agg(F.slice(F.collect_set("doc"), 1, k).alias("docs"))
-        merged = materialise(sets, "line-counts")
-        fresh = merged.where(F.size("docs") >= k).select("key")
-        crossed = fresh if self.crossed is None else self.crossed.unionByName(fresh)
-        return LineCounts(k, merged.where(F.size("docs") < k), crossed, fresh)
-
-    def _known(self, pairs: DataFrame) -> DataFrame:
-        return _sized(self.crossed)
+        if number:
+            pairs = pairs.join(_sized(self.crossed()), "key", "left_anti")
+        new = materialise(pairs.groupBy("key").agg(F.slice(F.collect_set("doc"), 1, k).alias("docs")).select("key", "docs", bucket), "line-delta")
+        if number:
+            buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            old = self._pairs(buckets).join(new.select("key"), "key", "left_semi").groupBy("key").agg(F.collect_set("doc").alias("old"))
+            both = new.join(old, "key", "left").withColumn("old", F.coalesce("old", F.array().cast("array<long>")))
+        else:
+            both = new.withColumn("old", F.array().cast("array<long>"))
+        both = materialise(both.select("key", "bucket", "old", F.array_except("docs", "old").alias("added")), "line-merge")
+        crosses = F.size("old") + F.size("added") >= k
+        added = both.where(~crosses).select("bucket", "key", F.explode("added").alias("doc"))
+        # rows of one bucket stand together, so that a read of some buckets skips the others
+        self.store.commit({}, {"crossed": both.where(crosses).select("key", F.lit(number + 1).alias("delta")), "pairs": added.repartitionByRange(partitions(self.store.spark), "bucket", "key").sortWithinPartitions("bucket", "key")}, on=number)
+        return both.where(crosses).select(F.explode("old").alias("doc")).distinct()
+
+    def fresh(self) -> DataFrame:
+        """Keys that crossed in the last delta."""
+        return self.store.read("crossed").where(F.col("delta") == self.store._number()).select("key")
+
+
+class RepeatedLines:
+    """Flagged lines, and texts without them, of rows ``row_id, source, doc, text`` that arrive in deltas."""
+
+    def __init__(self, spark: SparkSession, folder: str, k: int):
+        self.counts, self.spark = LineCounts(spark, folder, k), spark
+        self.flagged: DataFrame | None = None
+        self.cleaned: DataFrame | None = None
+        #: rows that the last delta caused to be rebuilt, its own among them
+        self.rebuilt: DataFrame | None = None
+
+    def advance(self, delta: DataFrame, earlier: DataFrame | None, clean: bool = True) -> RepeatedLines:
+        """Merges a delta. ``earlier``: the rows of all deltas before; of these, only rows with a newly crossed line are looked at again."""
+        touched = self.counts.merge(exploded(delta))
+        rows = delta
+        if earlier is not None:
+            rows = delta.unionByName(earlier.join(_sized(touched), "doc", "left_semi").select(delta.columns))
+        self.rebuilt = rows
+        flagged = materialise(crossed_lines(exploded(rows), self.counts.crossed()), "flagged-lines")
+        again = None if earlier is None else materialise(earlier.join(_sized(touched), "doc", "left_semi").select("row_id").distinct(), "rebuilt-rows")
+        keep = lambda df: df if again is None else df.join(_sized(again), "row_id", "left_anti")
+        self.flagged = flagged if self.flagged is None else keep(self.flagged).unionByName(flagged)
+        if clean:
+            texts = without_lines(rows.select("row_id", "text"), "row_id", "text", flagged, "cleaned").select("row_id", "cleaned")
+            self.cleaned = texts if self.cleaned is None else keep(self.cleaned).unionByName(texts)
+            self.cleaned = self.cleaned if again is not None else materialise(self.cleaned, "cleaned-texts")
+        return self
+
+
+def keyed_lines(df: DataFrame, row_id: Column, source: Column, document: Column, text: Column) -> DataFrame:
+    """The same right from a table."""
+    return exploded(rows_of(df, row_id, source, document, text))
 
 
 def _sized(keys: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import body, language, leak, lines, mojibake, packing, truncation
 from lodestone.llm.sql import SQL  # noqa: F401
-from lodestone.session import materialise
+from lodestone.session import materialise, place
 from lodestone.sources.tables import table
 
 REPEATED = 5
@@ -18,12 +18,13 @@ CAPACITY = 2048
 DELTA = datetime(2025, 7, 1)
 
 
-def _line_state(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, lines.LineCounts]:
+def _repeated(spark: SparkSession, folder: str, clean: bool) -> lines.RepeatedLines:
+    """Two deltas: rows crawled before a day (or at no known time), and since."""
     docs = table(spark, folder, "search_documents")
-    keyed = lambda df: lines.keyed_lines(df, F.col("stream_seq"), lines.site_of(F.col("url")), F.col("url"), F.col("content"))
+    rows = lambda df: lines.rows_of(df, F.col("stream_seq"), lines.site_of(F.col("url")), F.col("url"), F.col("content"))
     early = F.coalesce(F.col("crawled_at") < F.lit(DELTA).cast("timestamp_ntz"), F.lit(True))
-    state = lines.LineCounts(REPEATED).merge(keyed(docs.where(early))).merge(keyed(docs.where(~early)))
-    return docs, lines.crossed_lines(keyed(docs), state.crossed), state
+    first, second = rows(docs.where(early)), rows(docs.where(~early))
+    return lines.RepeatedLines(spark, place(spark, "line-state"), REPEATED).advance(first, None, clean).advance(second, first, clean)
 
 
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
@@ -77,12 +78,13 @@ def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _line_state(spark, folder)[1].withColumnRenamed("row_id", "stream_seq")
+    return _repeated(spark, folder, clean=False).flagged.withColumnRenamed("row_id", "stream_seq")
 
 
 def p2_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    docs, flagged, _ = _line_state(spark, folder)
-    return lines.without_lines(docs.select("stream_seq", "url", "content"), "stream_seq", "content", flagged, "cleaned").select("stream_seq", "url", "cleaned")
+    """Each content without its repeated lines: of the first delta as cleaned then, unless a line of it has crossed since."""
+    cleaned = _repeated(spark, folder, clean=True).cleaned.withColumnRenamed("row_id", "stream_seq")
+    return table(spark, folder, "search_documents").select("stream_seq", "url").join(cleaned, "stream_seq").select("stream_seq", "url", "cleaned")
 
 
 def _decoded_fields(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import body, language, leak, lines, mojibake, packing, queries, truncation
+from lodestone.sources import stores
 
 # --- repeated lines ---
 
@@ -29,31 +30,56 @@ def _brute_lines(rows, k=5):
     return {(i, n) for i, url, text in rows if url and text is not None for n, x in enumerate(text.split("\n"), 1) if key(x) and len(seen[url.split("/")[2], key(x)]) >= k}
 
 
-def test_lines_in_deltas_equal_brute_force(spark):
+def _line_rows(df):
+    return lines.rows_of(df, F.col("row_id"), lines.site_of(F.col("url")), F.col("url"), F.col("text"))
+
+
+def test_lines_in_deltas_equal_brute_force(spark, tmp_path):
     random.seed(1)
     pool = ["Share this!", "SHARE  this", "© 2025 Straße", "© 1999 STRASSE", "12 34", "", "rare"]
     rows = [(i, f"http://s{random.choice([0, 0, 0, 1])}.test/{random.randrange(12)}", "\n".join(random.choices([*pool, f"own {i}"], k=5))) for i in range(120)]
     rows += [(900, None, "Share this!"), (901, "http://s0.test/z", None), (902, "http://s0.test/z", ""), (903, "http://s0.test/z", "x" * 200_000)]
     df = spark.createDataFrame(rows, "row_id long, url string, text string").withColumn("key", F.lit("clash")).withColumn("doc", F.lit(1))
-    keyed = lambda d: lines.keyed_lines(d, F.col("row_id"), lines.site_of(F.col("url")), F.col("url"), F.col("text"))
-    state = lines.LineCounts(5)
-    for part in range(3):
-        before = set() if state.crossed is None else {r.key for r in state.crossed.collect()}
-        state = state.merge(keyed(df.where(F.col("row_id") % 3 == part)))
-        assert before.isdisjoint(r.key for r in state.fresh.collect())
-    got = {(r.row_id, r.line_no) for r in lines.crossed_lines(keyed(df), state.crossed).collect()}
+    part = lambda n: _line_rows(df.where(F.col("row_id") % 3 == n))
+    state, earlier, crossed = lines.RepeatedLines(spark, f"{tmp_path}/state", 5), None, set()
+    for n in range(3):
+        state.advance(part(n), earlier)
+        fresh = {r.key for r in state.counts.fresh().collect()}
+        assert crossed.isdisjoint(fresh)
+        crossed |= fresh
+        earlier = part(n) if earlier is None else earlier.unionByName(part(n))
+    assert {r.key for r in state.counts.crossed().collect()} == crossed
+    got = [(r.row_id, r.line_no) for r in state.flagged.collect()]
     want = _brute_lines(rows)
-    assert got == want and want
-    cleaned = {r.row_id: r.out for r in lines.without_lines(df, "row_id", "text", lines.crossed_lines(keyed(df), state.crossed), "out").collect()}
+    assert set(got) == want and len(got) == len(want) and want
+    cleaned = [(r.row_id, r.cleaned) for r in state.cleaned.collect()]
+    assert len(cleaned) == len(rows)
     for i, _, text in rows:
-        assert cleaned[i] == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n"), 1) if (i, n) not in want))
-
-
-def test_lines_of_an_empty_table(spark):
-    df = spark.createDataFrame([], "row_id long, url string, text string")
-    keyed = lines.keyed_lines(df, F.col("row_id"), lines.site_of(F.col("url")), F.col("url"), F.col("text"))
-    state = lines.LineCounts(5).merge(keyed).merge(keyed)
-    assert lines.crossed_lines(keyed, state.crossed).count() == 0
+        assert dict(cleaned)[i] == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n"), 1) if (i, n) not in want))
+
+
+def test_only_documents_with_newly_crossed_lines_are_rebuilt(spark, tmp_path):
+    """Also by a session that opens the state another one left."""
+    page = lambda i, *x: (i, f"http://a.test/{i}", "\n".join(x))
+    own = lambda i: "own " + "abcdefghi"[i]
+    first = [page(i, "often", own(i)) for i in range(6)] + [page(i, "soon", own(i)) for i in range(6, 9)] + [page(9, "own nine")]
+    second = [page(20, "soon", "often"), page(21, "soon"), page(22, "own too")]
+    make = lambda rows: _line_rows(spark.createDataFrame(rows, "row_id long, url string, text string"))
+    one = lines.RepeatedLines(spark, f"{tmp_path}/state", 5).advance(make(first), None)
+    two = lines.RepeatedLines(spark, f"{tmp_path}/state", 5)
+    two.flagged, two.cleaned = one.flagged, one.cleaned
+    two.advance(make(second), make(first))
+    assert sorted(r.row_id for r in two.rebuilt.collect()) == [6, 7, 8, 20, 21, 22]
+    assert {(r.row_id, r.line_no) for r in two.flagged.collect()} == {(i, 1) for i in [*range(9), 20, 21]} | {(20, 2)}
+    assert {r.row_id: r.cleaned for r in two.cleaned.collect()} == {**{i: own(i) for i in range(9)}, 9: "own nine", 20: "", 21: "", 22: "own too"}
+    with pytest.raises(stores.LostUpdate):
+        two.counts.store.commit({}, on=1)
+
+
+def test_lines_of_an_empty_table(spark, tmp_path):
+    rows = _line_rows(spark.createDataFrame([], "row_id long, url string, text string"))
+    state = lines.RepeatedLines(spark, f"{tmp_path}/state", 5).advance(rows, None).advance(rows, rows)
+    assert state.flagged.count() == 0 and state.cleaned.count() == 0
 
 
 # --- leaked passages ---
