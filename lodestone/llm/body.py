@@ -77,10 +77,9 @@ def _is_paragraph(line: str) -> bool:
 
 
 def features(line: str, words: list[str]) -> set:
-    """The tokens of a line with these words: words, pairs of words, and tags as triples."""
+    """The tokens of a line with these words: words, and tags as triples."""
     s = line.strip().replace("\xa0", " ")
     out = set(words)
-    out.update(zip(words, words[1:], strict=False))
     out.add(("words", bisect_left(_SIZES, len(words)), ""))
     last = _CLOSING.sub("", s)[-1:]
     out.add(("end", last if not last.isalnum() else "0" if last.isdigit() else "a", ""))
@@ -116,7 +115,7 @@ class Weights:
             score = self.bias + sum(filter(None, map(self.weights.get, features(line, words))))
             known = max(_FLOOR, min(_CLIP, score)), len(words) in self.sizes and self.skeleton(words) in self.openers
             if len(line) <= _CACHED:  # short lines come again
-                if len(self._seen) > 200_000:
+                if len(self._seen) > 50_000:
                     self._seen.clear()
                 self._seen[line] = known
         return known

@@ -168,6 +168,7 @@ class Restorer:
             self.lost.setdefault(_pattern(w), []).append(w)
         self.mark = next(iter(sorted((c for c in chars if not c.isalnum()), key=lambda c: -chars[c])), None)
         self.seen: dict[str, list[tuple[int, float, str]]] = {}
+        self.clean: set[str] = set()
 
     def _log(self, n: int) -> float:
         return max(log(n / self.n), _UNKNOWN + 1)
@@ -255,7 +256,7 @@ class Restorer:
                             p = min(p, clean + 1.5)
                     if p > clean + 1.0:
                         out.append((i, p, spelled))
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 60_000:
             self.seen.clear()
         self.seen[token] = out
         return out
@@ -279,12 +280,15 @@ class Restorer:
         """Whether any token has a reading besides the clean one that is not far worse."""
         if text.isascii() and "&" not in text and ("?" not in text or not _MARK.search(text)):
             return False
-        seen = self.seen
-        for token in text.replace("\n", " ").replace("\t", " ").split(" "):
+        if len(self.clean) > 100_000:
+            self.clean.clear()
+        # most tokens of most texts are known to have no other reading
+        for token in set(text.replace("\n", " ").replace("\t", " ").split(" ")).difference(self.clean):
             if _special(token):
-                r = seen.get(token) or self.readings(token)
+                r = self.readings(token)
                 if len(r) > 1 or r[0][0] == -2:
                     return True
+            self.clean.add(token)
         return False
 
     def restore(self, text: str, rare: list[dict] | None = None) -> tuple[str, int]:
