@@ -119,3 +119,9 @@ def numeric_key(url: Column) -> Column:
 def network_key(*parts: Column) -> Column:
     """The md5 over joined fields by which a request proves its network."""
     return F.md5(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]))
+
+
+def random_hash(seed: int | None = None) -> Column:
+    """A hash of 72 random bits; of reproducible ones with a seed."""
+    part = lambda i: F.lpad(F.hex(F.floor(F.rand(None if seed is None else seed + i) * 2**24).cast("long")), 6, F.lit("0"))
+    return encode64(F.unhex(F.concat(part(0), part(1), part(2))))

@@ -5,6 +5,7 @@ Browsers repair broken HTML in more ways than this parser does; where a page is
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -143,18 +144,104 @@ def markdown(body: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*(?![ \t]*[-1]\.? )", "\n", text)).strip()
 
 
-def article(body: str | None) -> str | None:
-    """Text of a page's article: paragraphs of the block that holds most text outside of links; null if there is none."""
+class _Node:
+    """An element, with its text and elements in order."""
+
+    __slots__ = ("tag", "attrs", "parent", "inside")
+
+    def __init__(self, tag: str, attrs: list[tuple[str, str | None]], parent: _Node | None):
+        self.tag, self.attrs, self.parent, self.inside = tag, attrs, parent, []
+
+
+class _Tree(HTMLParser):
+    """The elements of a page. An end tag closes what is open within its element; one that opens nothing is ignored."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = self.here = _Node("", [], None)
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "p" and self.here.tag == "p" or tag == "li" and self.here.tag == "li":
+            self.here = self.here.parent  # these end where the next begins
+        node = _Node(tag, attrs, self.here)
+        self.here.inside.append(node)
+        if tag not in _VOID:
+            self.here = node
+
+    def handle_endtag(self, tag: str) -> None:
+        at = self.here
+        while at is not None and at.tag != tag:
+            at = at.parent
+        if at is not None and at.parent is not None:
+            self.here = at.parent
+
+    def handle_data(self, data: str) -> None:
+        self.here.inside.append(data)
+
+
+#: Elements that are never of an article, attributes that stay, and characters of a paragraph that count.
+_ASIDE = SKIPPED | {"nav", "header", "footer", "aside", "form", "button", "iframe", "svg", "head"}
+_KEPT_ATTRIBUTES = {"a": ("href",), "img": ("src", "alt")}
+_LEAST_PARAGRAPH, _LEAST_ARTICLE = 25, 25
+
+
+def _weights(node: _Node, score: dict[int, float], in_link: bool = False) -> tuple[int, int]:
+    """Characters and those in links below a node. A paragraph gives its container its text, and the next one out half of it."""
+    text = links = 0
+    for x in node.inside:
+        if isinstance(x, str):
+            n = len(x.strip())
+            text += n
+            links += n * in_link
+        elif x.tag not in _ASIDE:
+            a, b = _weights(x, score, in_link or x.tag == "a")
+            text += a
+            links += b
+            if x.tag in ("p", "pre", "blockquote", "li", "td") and a - b >= _LEAST_PARAGRAPH:
+                score[id(node)] = score.get(id(node), 0.0) + a - b
+                if node.parent is not None:
+                    score[id(node.parent)] = score.get(id(node.parent), 0.0) + (a - b) / 2
+    return text, links
+
+
+def _written(node: _Node, out: list[str]) -> None:
+    for x in node.inside:
+        if isinstance(x, str):
+            out.append(html.escape(x, quote=False))
+        elif x.tag not in _ASIDE:
+            kept = "".join(f' {k}="{html.escape(v or "")}"' for k, v in x.attrs if k in _KEPT_ATTRIBUTES.get(x.tag, ()))
+            out.append(f"<{x.tag}{kept}>")
+            if x.tag not in _VOID:
+                _written(x, out)
+                out.append(f"</{x.tag}>")
+
+
+def readable(body: str | None) -> str | None:
+    """The article of a page as HTML: the element whose paragraphs hold most text outside of links; null if there is none.
+
+    Navigation, headers, footers, side boxes, forms and scripts are left out; of the attributes links and images stay.
+    """
     if body is None:
         return None
-    per: dict[str, int] = {}
-    for path, text in _scan(body).paragraphs:
-        parent = path.rpartition("/")[0]
-        per[parent] = per.get(parent, 0) + len(text)
-    if not per or max(per.values()) < 25:
+    tree = _Tree()
+    tree.feed(body)
+    tree.close()
+    score: dict[int, float] = {}
+    try:
+        _weights(tree.root, score)
+        best, open_ = None, [tree.root]
+        while open_:
+            node = open_.pop()
+            if score.get(id(node), 0.0) > (score[id(best)] if best is not None else 0.0):
+                best = node
+            open_ += [x for x in reversed(node.inside) if isinstance(x, _Node)]
+        if best is None or score[id(best)] < _LEAST_ARTICLE:
+            return None
+        out: list[str] = []
+        _written(best, out)
+    except RecursionError:  # nested beyond all measure: nothing to read
         return None
-    best = max(per, key=lambda p: per[p])
-    return "\n".join(t for p, t in _scan(body).paragraphs if t and (p == best or p.startswith(best))) or None
+    return f"<article>{''.join(out).strip()}</article>"
 
 
 def decoded(data: bytes | None, content_type: str | None) -> str | None:
@@ -184,7 +271,7 @@ def _text_udf(f: Callable[[str | None], str | None]):  # noqa: ANN202
 
 flatten = _text_udf(flattened)
 to_markdown = _text_udf(markdown)
-to_article = _text_udf(article)
+to_readable = _text_udf(readable)
 
 
 @F.pandas_udf(EXTRACTION)

@@ -64,14 +64,10 @@ def positions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     Places in the text count from 0, phrases from 100, places in a phrase from 1. Null and empty texts give no rows.
     """
     rows = df.select(*keys, phrases(F.col(text)).alias("__p")).where(F.size("__p") > 0)
-    sizes = F.transform("__p", F.size)
-    starts = F.aggregate(sizes, F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")), lambda a, n: F.struct(F.concat(a["at"], F.array(a["n"])).alias("at"), (a["n"] + n).alias("n")))["at"]
-    one = rows.select(*keys, F.posexplode(F.arrays_zip(starts.alias("start"), F.col("__p").alias("words"))).alias("phrase", "z"))
-    each = one.select(*keys, "phrase", F.col("z.start").alias("start"), F.posexplode("z.words").alias("at", "word"))
-    return each.select(
-        *keys, "word", (F.col("start") + F.col("at")).alias("text_position"), (F.col("phrase") + FIRST_PHRASE).alias("phrase_position"),
-        (F.col("at") + 1).alias("phrase_relative_position"),
-    )
+    phrase = F.flatten(F.transform("__p", lambda s, i: F.array_repeat(i + FIRST_PHRASE, F.size(s))))
+    place = F.flatten(F.transform("__p", lambda s: F.sequence(F.lit(1), F.size(s))))
+    each = rows.select(*keys, F.posexplode(F.arrays_zip(F.flatten("__p").alias("word"), phrase.alias("phrase"), place.alias("place"))).alias("text_position", "z"))
+    return each.select(*keys, F.col("z.word").alias("word"), "text_position", F.col("z.phrase").cast("int").alias("phrase_position"), F.col("z.place").cast("int").alias("phrase_relative_position"))
 
 
 def occurrences(df: DataFrame, keys: list[str], text: str) -> DataFrame:

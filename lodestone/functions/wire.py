@@ -183,7 +183,7 @@ def metadata_row(flags: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def read_metadata(rows: DataFrame, row: str = "row") -> DataFrame:
+def read_metadata(rows: DataFrame, row: str = "row", keep: tuple[str, ...] = ()) -> DataFrame:
     """Metadata of rows ``{k=v,...}``; rows that are none, or have no address, are dropped."""
     text = F.col(row)
     body = F.when(F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")) & (F.length(text) >= 2), F.substr(text, F.lit(2), F.length(text) - 2))
@@ -192,7 +192,7 @@ def read_metadata(rows: DataFrame, row: str = "row") -> DataFrame:
     degrees = {k: get(k).try_cast("double") for k in ("lat", "lon")}
     nowhere = (degrees["lat"] == 0) & (degrees["lon"] == 0)
     return p.select(
-        *[unframed(get(k)).alias(k) for k in _METADATA_TEXTS], *[F.when(~nowhere, v).alias(k) for k, v in degrees.items()],
+        *keep, *[unframed(get(k)).alias(k) for k in _METADATA_TEXTS], *[F.when(~nowhere, v).alias(k) for k, v in degrees.items()],
         *[read_short_day(get(k)).alias(c) for k, c in (("mod", "mod_day"), ("load", "load_day"), ("fresh", "fresh_day"))], F.nullif(get("referrer"), F.lit("")).alias("referrer"),
         *[F.coalesce(get(k).try_cast("int"), F.lit(0)).alias(c) for k, c in _METADATA_NUMBERS], F.substring(get("dt"), 1, 1).alias("dt"), F.when(F.octet_length(get("lang")) == 2, get("lang")).alias("lang"),
     ).where("url <> ''")
@@ -272,3 +272,25 @@ def abstract(hashes: Column) -> Column:
     paths = lambda s: F.array_join(F.transform(F.array_sort(F.transform(F.filter(hashes, lambda h: F.substring(h, 7, 6) == s), lambda h: F.struct(by(F.substring(h, 1, 6)).alias("o"), F.substring(h, 1, 6).alias("p")))), lambda x: x["p"]), "")
     return F.concat(F.lit("{"), F.array_join(F.transform(sites, lambda s: F.concat(s, F.lit(":"), paths(s))), ","), F.lit("}"))
 
+
+
+def constraint_mask(text: Column) -> Column:
+    """The appearance a search asks for, as a mask; null for none: an empty field, or one with no flag or with every flag set."""
+    number = bitfield_number(F.nullif(F.trim(text), F.lit("")))
+    every = sum(1 << b for b in APPEARANCE_BITS)
+    mask = bitfield_mask(number)
+    return F.when(number.isNotNull() & (mask != 0) & (number.bitwiseAND(F.lit(every)) != every), mask)
+
+
+def client_address(peer: Column, forwarded: Column, trusted: list[str]) -> Column:
+    """Address a request comes from: the first that was forwarded, if the peer is in a trusted network (IPv4, ``a.b.c.d/n``)."""
+    number = lambda ip: F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long"))
+    v4 = peer.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
+    within = F.lit(False)
+    for network in trusted:
+        base, _, bits = network.partition("/")
+        shift = 32 - int(bits or 32)
+        at = sum(int(x) << 8 * (3 - i) for i, x in enumerate(base.split(".")))
+        within = within | (F.shiftright(number(peer), shift) == at >> shift)
+    first = F.nullif(F.trim(F.element_at(F.split(forwarded, ","), 1)), F.lit(""))
+    return F.when(v4 & within, F.coalesce(first, peer)).otherwise(peer)

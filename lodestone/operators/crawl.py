@@ -102,17 +102,40 @@ def retry_after(header: Column, now: Column, default: int = 60) -> Column:
 
 
 def fetch_status(status: Column) -> Column:
-    """Outcome of a response by its status."""
-    return F.when(status.between(200, 299), "fetched").when(status == 304, "unmodified").when(status.isin(429, 503), "deferred").when(status.between(500, 599), "failed").when(status.isin(404, 410), "gone").otherwise("refused")
+    """Outcome of a response by its status: ``ceased`` where access is refused for good, ``not-a-page`` for other faults of the request."""
+    deferred, ceased = status.isin(429, 503), status.isin(401, 403, 451)
+    return F.when(status.between(200, 299), "fetched").when(status == 304, "unmodified").when(deferred, "deferred").when(ceased, "ceased").when(status.between(400, 499), "not-a-page").otherwise("failed")
 
 
 def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(content_type, ";"), 1)))
 
 
+def media_type_allowed(content_type: Column, allowed: list[str]) -> Column:
+    """Whether pages of a type are taken; an empty list allows all."""
+    kind = media_type(content_type)
+    return F.coalesce(kind.isin([a.lower() for a in allowed]), F.lit(False)) if allowed else F.lit(True)
+
+
+# Disposals by the error of an extraction; any other is the last.
+EXTRACTION_DISPOSALS = {"unsupported media type": "unsupported-media-type", "nested too deep": "nesting-too-deep", "document budget exhausted": "document-budget-exhausted"}
+UNEXTRACTABLE = "unextractable"
+
+
+def extraction_disposal(error: Column) -> Column:
+    """Why a page is disposed of whose content could not be extracted; null without an error."""
+    known = F.create_map(*[x for k, v in EXTRACTION_DISPOSALS.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(error.isNotNull(), F.coalesce(F.element_at(known, F.lower(F.trim(error))), F.lit(UNEXTRACTABLE)))
+
+
+def always_due(visit: DataFrame) -> DataFrame:
+    """The rule by which every page is due."""
+    return visit.withColumn("due", F.lit(True))
+
+
 def robots_directives(header: Column) -> Column:
-    """``noindex`` and ``nofollow`` of robots directives; ``none`` means both."""
-    words = F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), lambda w: F.trim(F.regexp_replace(w, r"^[^:,]*:", "")))
+    """``noindex`` and ``nofollow`` of robots directives; ``none`` means both. A directive for a named robot is none of ours."""
+    words = F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), lambda w: F.trim(w))
     has = lambda x: F.arrays_overlap(words, F.array(F.lit(x), F.lit("none")))
     return F.struct(has("noindex").alias("noindex"), has("nofollow").alias("nofollow"))
 

@@ -20,12 +20,12 @@ class Derivation:
 
 #: In the order in which they are tried: the readable form of a page before the full one.
 CATALOGUE = (
-    Derivation("html", "readable_text", lambda c: html.to_article(c)),
     Derivation("html", "full_text", lambda c: html.flatten(c)),
+    Derivation("html", "readable_html", lambda c: html.to_readable(c)),
+    Derivation("readable_html", "readable_text", lambda c: html.flatten(c)),
     Derivation("full_text", "readable_text", lambda c: c),
+    Derivation("readable_html", "markdown", lambda c: html.to_markdown(c)),
     Derivation("html", "markdown", lambda c: html.to_markdown(c)),
-    Derivation("readable_text", "text", lambda c: c),
-    Derivation("full_text", "text", lambda c: c),
 )
 
 
@@ -66,3 +66,14 @@ def formats(pages: DataFrame, source: str, column: str, targets: list[str], cata
     if missing:
         raise ValueError(f"nothing leads to {missing}")
     return pages.withColumns({t: known[t] for t in targets})
+
+
+def published(pages: DataFrame, targets: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A row ``keys, kind, body`` for each format that could be made of a page; and per page what couldn't.
+
+    ``underivable`` counts them; ``failed`` says that none could, which is an error of the page.
+    """
+    kinds = F.array(*[F.struct(F.lit(t).alias("kind"), F.col(t).alias("body")) for t in targets])
+    made = pages.select(*keys, F.explode(F.filter(kinds, lambda k: k["body"].isNotNull())).alias("k")).select(*keys, "k.kind", "k.body")
+    n = F.size(F.filter(kinds, lambda k: k["body"].isNull()))
+    return made, pages.select(*keys, n.alias("underivable"), (n == len(targets)).alias("failed"))

@@ -16,10 +16,13 @@ APPEARANCE = (
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key, as a keyed table holds after all puts. Rows shrink to one a key before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("__last")).select(*keys, "__last.*")
+    """The last row of each key, as a keyed table holds after all puts.
+
+    A window limited to one row a key: each task cuts its rows to that before the shuffle, so that a key with a third
+    of all rows moves one row a task. For reads over and over, keep the result (``sources.compacted``).
+    """
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order]))
+    return df.withColumn("__n", n).where("__n = 1").drop("__n")
 
 
 def appearance_flags(mask: Column) -> Column:
@@ -123,3 +126,37 @@ def media_flags(metadata: DataFrame) -> DataFrame:
     for name, bit in bits.items():
         total = total + F.col(name).cast("int") * (1 << bit)
     return out.withColumn("flags", total)
+
+
+def page_chunks(metadata: DataFrame, postings: DataFrame, key: str, order: list[str], size: int = CHUNK) -> DataFrame:
+    """``key, chunk, kind, postings``: of each page first its one metadata chunk, numbered 0, then its postings from 1 on."""
+    first = metadata.select(key).distinct().select(key, F.lit(0).alias("chunk"), F.lit("metadata").alias("kind"))
+    rest = chunks(postings, key, order, size)
+    return rest.select(key, (F.col("chunk") + 1).alias("chunk"), F.lit("postings").alias("kind"), "postings").unionByName(first, allowMissingColumns=True)
+
+
+def reassembled_pages(parts: DataFrame, transfer: str, key: str) -> DataFrame:
+    """``transfer, key, n_postings, fault``: pages from the chunks of each transfer.
+
+    A chunk that came twice counts once. The fault is null for a whole page; else why the transfer is no page: without a
+    metadata chunk, with more than one, or with a chunk of another page.
+    """
+    once = parts.dropDuplicates([transfer, key, "kind", "chunk"])
+    meta = F.col("kind") == "metadata"
+    page = F.min(F.when(meta, F.col(key)))
+    each = once.groupBy(transfer).agg(page.alias(key), F.count_if(meta).alias("__m"), F.count_distinct(F.when(~meta, F.col(key))).alias("__k"), F.max(F.when(~meta, F.col(key))).alias("__p"), F.sum(F.when(~meta, F.size("postings")).otherwise(0)).alias("n_postings"))
+    fault = F.when(F.col("__m") == 0, "no metadata chunk").when(F.col("__m") > 1, "more than one metadata chunk").when((F.col("__k") > 1) | (F.col("__k") == 1) & (F.col("__p") != F.col(key)), "a chunk of another page")
+    return each.select(transfer, key, "n_postings", fault.alias("fault"))
+
+
+def distinct_words(postings: DataFrame, batch: str) -> DataFrame:
+    """Distinct words of each batch."""
+    return postings.groupBy(batch).agg(F.count_distinct("word_hash").alias("words"))
+
+
+def self_seed(base: dict[str, Column], postings: DataFrame, metadata: DataFrame, now: Column, started: Column) -> DataFrame:
+    """This node's own seed, one row: its settings with live counts and the time it has been up."""
+    n = postings.agg(F.count(F.lit(1)).alias("indexed_words"))
+    up = ((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(started.cast("timestamp"))) / 60).cast("int")
+    rows = n.select("indexed_words", metadata.agg(F.count_distinct("url_hash").alias("n")).scalar().alias("stored_urls"))
+    return rows.select(*[c.alias(k) for k, c in base.items()], up.alias("uptime_minutes"), now.alias("last_seen"), "indexed_words", "stored_urls")

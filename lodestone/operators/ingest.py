@@ -5,16 +5,26 @@ These are the state machines as batch plans; :mod:`lodestone.streaming` runs the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import hashing
 from lodestone.operators.index import freshness, latest
+from lodestone.session import materialise, partitions
 
 # Postings of a batch, waiting postings, seconds they wait, and share of the quota at which eviction begins.
 BATCH, WAITING, HOLD_SECONDS, HIGH_WATER, EVICTED_AT_ONCE = 1000, 8192, 300, 0.9, 256
 
 
+# Why a batch is refused.
+TOO_LARGE, STORAGE_FULL, ESCROW_FULL = "request-too-large", "storage-full", "escrow-full"
+
+
 def admission(batches: DataFrame, metadata: DataFrame, batch: str, batch_cap: int = BATCH) -> DataFrame:
     """Each posting with ``route``: ``refused`` in a batch beyond the cap, ``held`` until its metadata comes, or ``stored``."""
     size = batches.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
@@ -24,6 +34,45 @@ def admission(batches: DataFrame, metadata: DataFrame, batch: str, batch_cap: in
     return rows.withColumn("route", route).drop("__n", "__known")
 
 
+def receipts(batches: DataFrame, metadata: DataFrame, waiting: DataFrame, batch: str, at_capacity: bool = False, batch_cap: int = BATCH, capacity: int = WAITING) -> DataFrame:
+    """``batch, n, n_stored, n_held, refusal`` of batches that arrive in their order.
+
+    ``waiting`` has the ``word_hash, url_hash`` held already. A batch is refused as a whole if it is too large, if the
+    store is full, or if the postings that it would newly hold don't fit beside those waiting and those of batches
+    before. A posting held already is held again and takes no more room.
+
+    Batches are summed up to one row each before their order matters. Room is counted as if each batch before that is
+    not too large were held, so once the escrow is full it stays so for those that need room.
+    """
+    key = ["word_hash", "url_hash"]
+    routed = admission(batches, metadata, batch, batch_cap)
+    held = routed.where("route = 'held'").select(batch, *key).distinct()
+    new = held.join(waiting.select(*key).distinct(), key, "left_anti").groupBy(*key).agg(F.min(batch).alias(batch)).groupBy(batch).agg(F.count(F.lit(1)).alias("__new"))
+    per = routed.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("route") == "stored").alias("n_stored"), F.count_if(F.col("route") == "held").alias("n_held"))
+    rows = per.join(new, batch, "left").withColumn("__new", F.coalesce("__new", F.lit(0)))
+    room = capacity - waiting.select(*key).distinct().count()
+    fits = F.sum(F.when(F.col("n") <= batch_cap, F.col("__new")).otherwise(0)).over(W.orderBy(batch).rowsBetween(W.unboundedPreceding, W.currentRow)) <= room
+    refusal = F.when(F.col("n") > batch_cap, TOO_LARGE).when(F.lit(at_capacity), STORAGE_FULL).when((F.col("__new") > 0) & ~fits, ESCROW_FULL)
+    none = lambda c: F.when(F.col("refusal").isNull(), F.col(c)).otherwise(0).alias(c)
+    return rows.withColumn("refusal", refusal).select(batch, "n", none("n_stored"), none("n_held"), "refusal")
+
+
+def refused_by_reason(receipts_: DataFrame) -> DataFrame:
+    """Postings of refused batches by reason."""
+    return receipts_.where("refusal is not null").groupBy("refusal").agg(F.sum("n").alias("postings"))
+
+
+def intake(table: DataFrame, rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Metadata after new rows, the rows rejected one by one, and how many were there before.
+
+    A row is rejected alone: if its hash is none, or its address is empty; the others are stored.
+    """
+    good = F.coalesce(hashing.is_hash(F.col("url_hash")) & (F.coalesce("url", F.lit("")) != ""), F.lit(False))
+    stored = rows.where(good)
+    known = duplicates(table, stored, "url_hash").first().duplicates
+    return upsert(table, stored, ["url_hash"], order), rows.where(~good), known
+
+
 def escrow(postings: DataFrame, arrivals: DataFrame, hold_seconds: int = HOLD_SECONDS) -> DataFrame:
     """Each posting ``word_hash, url_hash, held_at`` with the time its metadata came, and what became of it.
 
@@ -62,17 +111,31 @@ def stalest(metadata: DataFrame, limit: int) -> DataFrame:
 def evicted(metadata: DataFrame, sizes: DataFrame, quota_bytes: int, high_water: float = HIGH_WATER) -> DataFrame:
     """The stalest documents that have to go until less than the high-water mark is used.
 
-    ``sizes`` has ``url_hash, bytes``. Days are summed first, so that the order within a day alone is per row: the
-    window over all rows is over days, and the one over documents within a day.
+    ``sizes`` has ``url_hash, bytes``. Documents are range-partitioned by day and hash, so that a day of any size, such
+    as the unknown one, is spread over tasks. Each part adds up its bytes; the sums of the parts before it, one row a
+    part, are added to the sums within it.
     """
+    spark = metadata.sparkSession
     rows = metadata.select("url_hash", F.coalesce(freshness(metadata), F.to_date(F.lit("0001-01-01"))).alias("day")).join(sizes, "url_hash")
-    days = rows.groupBy("day").agg(F.sum("bytes").alias("day_bytes"))
-    before = F.coalesce(F.sum("day_bytes").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = days.select("day", before.alias("before"), F.sum("day_bytes").over(W.partitionBy()).alias("used"))
+    # written once, so that both passes see the same parts
+    rows = materialise(rows.repartitionByRange(partitions(spark), "day", "url_hash").sortWithinPartitions("day", "url_hash").mapInArrow(_sums_within, "url_hash string, day date, bytes long, part int, before long"), "by-age")
+    parts = rows.groupBy("part").agg(F.sum("bytes").alias("n"), F.min(F.struct("day", "url_hash")).alias("first"))
+    # one row a part
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("n").over(W.partitionBy()).alias("used"))
     excess = F.col("used") - F.lit(int(quota_bytes * high_water)) + 1
-    days = days.where(F.col("before") < excess)
-    within = F.coalesce(F.sum("bytes").over(W.partitionBy("day").orderBy("url_hash").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(days), "day").withColumn("__w", within).where(F.col("before") + F.col("__w") < excess).select("url_hash", F.nullif("day", F.to_date(F.lit("0001-01-01"))).alias("fresh_on"), "bytes")
+    return rows.join(F.broadcast(offsets), "part").where(F.col("earlier") + F.col("before") < excess).select("url_hash", F.nullif("day", F.to_date(F.lit("0001-01-01"))).alias("fresh_on"), "bytes")
+
+
+def _sums_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the part they are in and the bytes of those before them there."""
+    from pyspark import TaskContext
+
+    part, total = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column(2).to_numpy(zero_copy_only=False)
+        after = np.cumsum(n) + total
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part), pa.int32()), pa.array(after - n, pa.int64())], names=["url_hash", "day", "bytes", "part", "before"])
+        total = int(after[-1]) if len(n) else total
 
 
 def roster(sightings: DataFrame, capacity: int) -> DataFrame:
@@ -92,9 +155,11 @@ def known_sample(peers: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def transfer_outcome(answers: DataFrame) -> DataFrame:
-    """What a peer's answer to an offer means: ``accepted``, ``busy`` or ``failed``."""
-    ok = F.when(F.col("status") != 200, "failed").when(F.lower("result") == "ok", "accepted").when(F.lower("result").isin("busy", "not_granted", "too high load"), "busy").otherwise("failed")
-    return answers.withColumn("outcome", ok)
+    """What came of an offer to a peer: ``address`` (null if it has none), HTTP ``status`` (null if it can't be reached) and ``result``."""
+    said = F.lower(F.trim("result"))
+    kind = F.when(said == "ok", "accepted").when(said.isin("busy", "not_granted"), "deferred").when(said == "too high load", "overloaded").otherwise("refused")
+    reached = F.coalesce(F.col("status") == 200, F.lit(False))
+    return answers.withColumn("outcome", F.when(F.col("address").isNull(), "unaddressable").when(~reached, "unreachable").otherwise(kind))
 
 
 def delivered(rows: DataFrame, key: str, order: str, failed: str, batch: int = 50) -> DataFrame:

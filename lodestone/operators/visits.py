@@ -26,7 +26,7 @@ def outcomes(visits: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
     )
     refused = c("refuses_indexing") & ~c("ignores_refusal")
     disposal = (
-        F.when(~c("due"), "not-due").when(c("status") == "unmodified", "not-modified").when(c("status").isin("refused", "gone"), "refused").when(c("status") == "not-a-page", "not-a-page")
+        F.when(~c("due"), "not-due").when(c("status") == "unmodified", "not-modified").when(c("status") == "ceased", "refused").when(c("status") == "not-a-page", "not-a-page")
         .when((c("status") == "deferred") & (c("deferrals") >= DEFERRALS), "deferrals-exhausted").when((c("status") == "failed") & (c("attempts") >= ATTEMPTS), "fetch-abandoned").when(c("status").isin("deferred", "failed"), None)
         .when(c("body_bytes") > max_body, "oversized").when(~c("media_supported"), "unsupported-media-type").when(~c("extractable"), "unextractable").when(refused, "indexing-refused")
     )

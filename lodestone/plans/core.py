@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashing, html, tokens, urls, wire
 from lodestone.operators import crawl, derive, fulltext, index, ingest, ring, search
 from lodestone.session import materialise
+from lodestone.sources import compacted
 from lodestone.sources.tables import table
 
 NOW = datetime(2025, 7, 1)
@@ -32,17 +33,16 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """Postings as the index holds them: the last delivery of each word and document."""
-    return index.latest(table(spark, folder, "postings"), ["word_hash", "url_hash"], ["stream_seq"])
+    return compacted.postings(spark, folder)
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
-    return index.latest(table(spark, folder, "url_metadata"), ["url_hash"], ["stream_seq"])
+    return compacted.metadata(spark, folder)
 
 
 def terms(spark: SparkSession, folder: str, n: int) -> tuple[str, ...]:
     """The words with most documents: the terms of the example requests."""
-    rows = current(spark, folder).groupBy("word_hash").count().orderBy(F.desc("count"), "word_hash").limit(n).collect()
-    return tuple(r.word_hash for r in rows)
+    return tuple(r.word_hash for r in compacted.words(spark, folder).orderBy(F.desc("n"), "word_hash").limit(n).collect())
 
 
 def peers(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,12 +104,10 @@ def _latest_pages(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("canonical_url", "title", "text", fulltext.primary_language(F.col("language")).alias("language"), "crawled_at", F.lit(0).alias("local_links"), F.lit(0).alias("external_links"))
 
 
-@query()
 def page_postings(spark: SparkSession, folder: str) -> DataFrame:
     return index.page_postings(_latest_pages(spark, folder))
 
 
-@query()
 def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return index.page_metadata(_latest_pages(spark, folder), F.octet_length("text"))
 
@@ -143,7 +141,7 @@ def _matches_sql(n: int = 2, where: str = "true", excluded: int | None = None, s
 @query(f"with {CUR}, {TOP} select word_hash, url_hash, hits, text_position, phrase_position from cur join top using (word_hash) where k = 2")
 def term_scan(spark: SparkSession, folder: str) -> DataFrame:
     word = terms(spark, folder, 2)[1]
-    return index.latest(table(spark, folder, "postings").where(F.col("word_hash") == word), ["word_hash", "url_hash"], ["stream_seq"]).select("word_hash", "url_hash", "hits", "text_position", "phrase_position")
+    return current(spark, folder).where(F.col("word_hash") == word).select("word_hash", "url_hash", "hits", "text_position", "phrase_position")
 
 
 @query(f"with {_matches_sql(2, _ENGLISH, 3)}, n as (select word_hash, count(*) held from cur join top using (word_hash) where k <= 2 group by 1), a as (select word_hash, count(*) accepted from f group by 1) select word_hash, held, coalesce(accepted, 0) accepted, least(coalesce(accepted, 0), 1000) kept from n left join a using (word_hash)")
@@ -341,19 +339,38 @@ def url_parts(spark: SparkSession, folder: str) -> DataFrame:
     return u.select("url", host.alias("host"), urls.port_of(url).alias("port"), urls.path_of(url).alias("path"), urls.has_query(url).alias("has_query"), urls.directory_of(url).alias("directory"), urls.domain_of(host).alias("domain"), urls.subdomain_of(host).alias("subdomain"))
 
 
-_U = r"""u as (select distinct url from url_metadata), q as (select url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) sch, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) host, regexp_extract(url, '^[A-Za-z]+://[^/?#:]*:(\d+)', 1) port, regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)?', 1) path, regexp_extract(url, '(\?[^#]*)', 1) qs from u where url is not null),
+_N = r"""q as (select url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) sch, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) host, regexp_extract(url, '^[A-Za-z]+://[^/?#:]*:(\d+)', 1) port, regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)?', 1) path, regexp_extract(url, '(\?[^#]*)', 1) qs from u where url is not null),
     n as (select *, sch || '://' || host || case when port = '' or (sch = 'http' and port = '80') or (sch = 'https' and port = '443') then '' else ':' || port end || case when path = '' then '/' else path end || qs form from q)"""
+_U = "u as (select distinct url from url_metadata), " + _N
 _SYM = "replace(replace(to_base64(unhex(md5({0}))), '+', '-'), '/', '_')"
 
 
-@query(f"""with {_U}, d as (select *, case when port = '' then case sch when 'https' then '443' else '80' end else port end pt, regexp_extract(host, '^(?:.*\\.)?([^.:]+)\\.[^.:]*$', 1) dom, regexp_extract(host, '^(.+)\\.[^.:]+\\.[^.:]*$', 1) sub, regexp_extract(case when path = '' then '/' else path end, '^/?([^/]+)/[^/]', 1) rt from n)
-    select url, form normal_form, substr({_SYM.format('form')}, 1, 5) || substr({_SYM.format("sub || ':' || pt || ':' || rt")}, 1, 1) || substr({_SYM.format("sch || ':' || host || ':' || pt")}, 1, 5)
-    || substr('{hashing.ALPHABET}', ((case when regexp_matches(host, '\\.(alt|example|internal|invalid|local|localhost|onion|test)$') or not contains(host, '.') then 28 else 24 end) | (case when length(dom) <= 8 then 0 when length(dom) <= 12 then 1 when length(dom) <= 16 then 2 else 3 end) | (case when sch <> 'http' then 32 else 0 end)) + 1, 1) computed_hash from d""")
+_HASHED = f"""d as (select *, case when port = '' then case sch when 'https' then '443' else '80' end else port end pt, regexp_extract(host, '^(?:.*\\.)?([^.:]+)\\.[^.:]*$', 1) dom, regexp_extract(host, '^(.+)\\.[^.:]+\\.[^.:]*$', 1) sub, regexp_extract(case when path = '' then '/' else path end, '^/?([^/]+)/[^/]', 1) rt from n),
+    hashed as (select url, path, form normal_form, substr({_SYM.format('form')}, 1, 5) || substr({_SYM.format("sub || ':' || pt || ':' || rt")}, 1, 1) || substr({_SYM.format("sch || ':' || host || ':' || pt")}, 1, 5)
+    || substr('{hashing.ALPHABET}', ((case when regexp_matches(host, '\\.(alt|example|internal|invalid|local|localhost|onion|test)$') or not contains(host, '.') then 28 else 24 end) | (case when length(dom) <= 8 then 0 when length(dom) <= 12 then 1 when length(dom) <= 16 then 2 else 3 end) | (case when sch <> 'http' then 32 else 0 end)) + 1, 1) computed_hash from d)"""
+
+
+@query(f"with {_U}, {_HASHED} select url, normal_form, computed_hash from hashed")
 def url_hashes(spark: SparkSession, folder: str) -> DataFrame:
     u = table(spark, folder, "url_metadata").where("url is not null").select("url").distinct()
     return u.select("url", urls.normal_form_udf("url").alias("normal_form")).withColumn("computed_hash", urls.hash_of_normal_form(F.col("normal_form")))
 
 
+_PAGES = r"""pg as (select * exclude rn from (select *, row_number() over (partition by canonical_url order by crawled_at desc, stream_seq desc) rn from pages_text) where rn = 1),
+    pl as (select *, case when strlen(regexp_split_to_array(lower(trim(language)), '[-_]')[1]) = 2 then regexp_split_to_array(lower(trim(language)), '[-_]')[1] end lang from pg), u as (select distinct canonical_url url from pg)"""
+_PAGE_TOKENS = _TOKENS.replace("doc_id", "canonical_url").replace("from documents", "from pg")
+_TITLE_WORDS = r"len(list_filter(regexp_extract_all(coalesce(title, ''), '(?:-?\p{L}|-?\p{Nd}(?:[.,]\p{Nd})*)+|[.!?]'), lambda x: length(x) >= 2))"
+
+QUERIES["page_postings"], QUERIES["page_metadata"] = page_postings, page_metadata
+SQL["page_postings"] = f"""with {_PAGES}, {_N}, {_HASHED}, {_PAGE_TOKENS}, tx as (select canonical_url, count(*) text_words, count(distinct phrase_position) phrases from p group by 1),
+    o as (select canonical_url, {_HASH.format(w='word')} word_hash, cast(count(*) as int) hits, arg_min(text_position, text_position) text_position, arg_min(phrase_position, text_position) phrase_position, arg_min(phrase_relative_position, text_position) phrase_relative_position from p group by 1, 2, word)
+    select o.word_hash, h.computed_hash url_hash, cast(date_diff('day', date '1970-01-01', cast(crawled_at as date)) as int) last_modified, cast({_TITLE_WORDS} as int) title_words, lang as language, 0 local_links, 0 external_links, cast(strlen(canonical_url) as int) url_length,
+    cast(case when trim(h.path, '/') = '' then 0 else len(string_split(trim(h.path, '/'), '/')) end as int) url_components, hits, text_position, phrase_position, phrase_relative_position, cast(text_words as int) text_words, cast(phrases as int) phrases, 0 appearance
+    from o join pl using (canonical_url) join tx using (canonical_url) join hashed h on h.url = canonical_url"""
+SQL["page_metadata"] = f"""with {_PAGES}, {_N}, {_HASHED}, {_PAGE_TOKENS}, tx as (select canonical_url, count(*) wc from p group by 1)
+    select h.computed_hash url_hash, canonical_url url, title descr, cast(crawled_at as date) load_day, cast(strlen(text) as int) byte_size, cast(coalesce(wc, 0) as int) wc, 't' dt, lang, 0 llocal, 0 lother from pl left join tx using (canonical_url) join hashed h on h.url = canonical_url"""
+
+
 @query(f"with {_U} select url, form canonical_url from n")
 def canonical_urls(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "url_metadata").select("url").distinct().withColumn("canonical_url", urls.canonical_udf("url"))
@@ -613,7 +630,9 @@ def crawl_admission(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.admissible(links.select(F.col("target").alias("url")).distinct(), seeds, crawl.Profile(scope="domain"))
 
 
-@query(f"with {_LINKS}, d as (select distinct regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) dir from sd where length(url) % 7 = 0) select distinct target url from links l where exists (select 1 from d where starts_with(regexp_replace(l.target, '[?#].*$', ''), dir))")
+@query(f"""with {_LINKS}, d as (select distinct regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) dir from sd),
+    t as (select distinct target url, regexp_replace(target, '[?#].*$', '') bare from links), p as (select url, substr(bare, 1, unnest(list_filter(range(1, length(bare) + 1), lambda i: substr(bare, i, 1) = '/'))) dir from t)
+    select distinct url from p join d using (dir) where dir <> ''""")
 def scope_prefix(spark: SparkSession, folder: str) -> DataFrame:
     seeds, links = _graph(spark, folder)
     return crawl.within_scope(links.select(F.col("target").alias("url")).distinct(), seeds, "subpath")
@@ -663,7 +682,12 @@ _LANGS = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru")
 
 
 def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return index.latest(table(spark, folder, "search_documents"), ["url"], ["crawled_at", "stream_seq"])
+    return compacted.documents(spark, folder)
+
+
+def _words_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of titles and contents, kept by word."""
+    return compacted.kept(spark, folder, "search_documents", "document-words", lambda: fulltext.postings(_corpus(spark, folder)), ["word", "url"])
 
 
 @query(f"with {_CORPUS} select url, stream_seq, title, sha256(url) object_key, cast(('0x' || substr(sha256(url), 1, 15))::bigint as hugeint) * 8 + ('0x' || substr(sha256(url), 16, 1))::int // 2 numeric_key from d".replace("cast(('0x' || substr(sha256(url), 1, 15))::bigint as hugeint) * 8 + ('0x' || substr(sha256(url), 16, 1))::int // 2", "cast(cast(('0x' || substr(sha256(url), 1, 15))::bigint as hugeint) * 8 + ('0x' || substr(sha256(url), 16, 1))::int // 2 as bigint)"))
@@ -678,22 +702,23 @@ def language_routing(spark: SparkSession, folder: str) -> DataFrame:
 
 _FT = rf"""{_CORPUS}, k as (select url, title, list_transform(regexp_extract_all(coalesce(title, ''), '{tokens.TOKEN}'), lambda x: lower(x)) t, list_transform(regexp_extract_all(coalesce(content, ''), '{tokens.TOKEN}'), lambda x: lower(x)) c, language from d where coalesce(title, '') <> ''),
     s as (select url, language, len(list_filter(t, lambda x: x = 'replica')) * 3 + len(list_filter(c, lambda x: x = 'replica')) a, len(list_filter(t, lambda x: x = 'peers')) * 3 + len(list_filter(c, lambda x: x = 'peers')) b from k),
-    found as (select url, cast(a + b as int) score from s where a > 0 and b > 0 and regexp_split_to_array(lower(trim(language)), '[-_]')[1] = 'en')"""
+    found as (select url, cast(a + b as bigint) score from s where a > 0 and b > 0 and regexp_split_to_array(lower(trim(language)), '[-_]')[1] = 'en')"""
 
 
 @query(f"with {_FT} select * from found")
 def fulltext_and(spark: SparkSession, folder: str) -> DataFrame:
-    return fulltext.search(_corpus(spark, folder), ["replica", "peers"], "en").select("url", "score")
+    return fulltext.search(_words_index(spark, folder), ["replica", "peers"], "en")
 
 
 @query(f"with {_FT} select * from found order by score desc, url limit 10 offset 10")
 def fulltext_paged(spark: SparkSession, folder: str) -> DataFrame:
-    return fulltext.page_of(fulltext.search(_corpus(spark, folder), ["replica", "peers"], "en").select("url", "score"), 2)
+    return fulltext.page_of(fulltext.search(_words_index(spark, folder), ["replica", "peers"], "en"), 2)
 
 
-@query()
+@query(rf"""with {_FT.replace("a > 0 and b > 0 and regexp_split_to_array(lower(trim(language)), '[-_]')[1] = 'en'", "a > 0")}, x as (select url, content, list_slice(regexp_extract_all(content, '(?is)\b.{{0,60}}(?:\breplica\b).{{0,60}}'), 1, 3) parts from found join d using (url))
+    select url, case when len(parts) > 0 then array_to_string(parts, ' … ') else left(content, 300) end excerpt from x""")
 def fulltext_excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    found = fulltext.search(_corpus(spark, folder), ["replica"])
+    found = _corpus(spark, folder).join(fulltext.search(_words_index(spark, folder), ["replica"]), "url")
     return found.select("url", fulltext.excerpt(F.col("content"), ["replica"]).alias("excerpt"))
 
 
@@ -719,7 +744,7 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def page_formats(spark: SparkSession, folder: str) -> DataFrame:
-    return derive.formats(_html_pages(spark, folder), "html", "html", ["full_text", "readable_text", "markdown", "text"]).drop("html")
+    return derive.formats(_html_pages(spark, folder), "html", "html", ["full_text", "readable_html", "readable_text", "markdown"]).drop("html")
 
 
 # --- extension -----------------------------------------------------------------------------------------------------

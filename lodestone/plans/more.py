@@ -108,16 +108,16 @@ def signed_links(spark: SparkSession, folder: str) -> DataFrame:
     return signed.select("url", "link", visits.genuine(SECRET, F.col("expires"), F.col("url"), F.col("signature")).alias("genuine"), visits.expired(F.col("expires"), F.lit(1751328000)).alias("over"))
 
 
-_VISITS = """v as (select stream_seq, stream_seq % 5 <> 0 due, list_element(['fetched', 'unmodified', 'deferred', 'failed', 'gone', 'not-a-page', 'fetched'], cast(stream_seq % 7 as int) + 1) status, cast(stream_seq % 4 as int) deferrals, cast(stream_seq % 6 as int) attempts,
+_VISITS = """v as (select stream_seq, stream_seq % 5 <> 0 due, list_element(['fetched', 'unmodified', 'deferred', 'failed', 'ceased', 'not-a-page', 'fetched'], cast(stream_seq % 7 as int) + 1) status, cast(stream_seq % 4 as int) deferrals, cast(stream_seq % 6 as int) attempts,
     length(coalesce(content, '')) body_bytes, stream_seq % 11 <> 0 media_supported, coalesce(content, '') <> '' extractable, stream_seq % 13 = 0 refuses_indexing, stream_seq % 2 = 0 ignores_refusal from search_documents),
     o as (select stream_seq, case when not due then 'completed' when status = 'deferred' and deferrals < 3 then 'deferred' when status = 'failed' and attempts < 4 then 'retryable' when status in ('deferred', 'failed') then 'abandoned' else 'completed' end conclusion,
-    case when not due then 'not-due' when status = 'unmodified' then 'not-modified' when status in ('refused', 'gone') then 'refused' when status = 'not-a-page' then 'not-a-page' when status = 'deferred' and deferrals >= 3 then 'deferrals-exhausted'
+    case when not due then 'not-due' when status = 'unmodified' then 'not-modified' when status = 'ceased' then 'refused' when status = 'not-a-page' then 'not-a-page' when status = 'deferred' and deferrals >= 3 then 'deferrals-exhausted'
     when status = 'failed' and attempts >= 4 then 'fetch-abandoned' when status in ('deferred', 'failed') then null when body_bytes > 4000 then 'oversized' when not media_supported then 'unsupported-media-type' when not extractable then 'unextractable' when refuses_indexing and not ignores_refusal then 'indexing-refused' end disposal from v)"""
 
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("stream_seq")
-    statuses = F.array(*[F.lit(x) for x in ("fetched", "unmodified", "deferred", "failed", "gone", "not-a-page", "fetched")])
+    statuses = F.array(*[F.lit(x) for x in ("fetched", "unmodified", "deferred", "failed", "ceased", "not-a-page", "fetched")])
     text = F.coalesce("content", F.lit(""))
     v = table(spark, folder, "search_documents").select(
         n, (n % 5 != 0).alias("due"), F.element_at(statuses, (n % 7 + 1).cast("int")).alias("status"), (n % 4).cast("int").alias("deferrals"), (n % 6).cast("int").alias("attempts"), F.length(text).alias("body_bytes"),

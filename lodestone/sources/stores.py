@@ -30,13 +30,14 @@ class Store:
         self._fs = self._path(self.folder).getFileSystem(conf)
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), conf)
 
-    def _number(self) -> int:
+    def version(self) -> int:
+        """Number of the last manifest, 0 for an empty store."""
         at = self._path(f"{self.folder}/manifests")
         names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return max((int(x.removesuffix(".json")) for x in names if x.endswith(".json") and x[0] != "."), default=0)
 
-    def _manifest(self, number: int | None = None) -> dict[str, list[str]]:
-        number = self._number() if number is None else number
+    def _manifest(self, number: int | None = None) -> dict[str, list[dict]]:
+        number = self.version() if number is None else number
         if not number:
             return {}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/manifests/{number:012}.json").collect()))
@@ -45,19 +46,20 @@ class Store:
         return sorted(self._manifest())
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*self._manifest()[name])
+        return self.spark.read.parquet(*[p["at"] for p in self._manifest()[name]])
 
     def commit(self, changed: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, on: int | None = None) -> int:
         """Writes new versions of tables, and parts to ``add`` to others; then the next manifest, whose number is returned.
 
         ``on``: the number of the manifest that the rows were computed from, if not the present one.
         """
-        number = self._number() if on is None else on
+        number = self.version() if on is None else on
         manifest = dict(self._manifest(number))
         for name, df in [*changed.items(), *(added or {}).items()]:
             at = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(at)
-            manifest[name] = [at] if name in changed else [*manifest.get(name, []), at]
+            part = {"at": at, "rows": self.spark.read.parquet(at).count()}
+            manifest[name] = [part] if name in changed else [*manifest.get(name, []), part]
         self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
         new, final = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}"), self._path(f"{self.folder}/manifests/{number + 1:012}.json")
         out = self._fs.create(new)
@@ -73,28 +75,30 @@ class Store:
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
         """Merges rows into a table: the last of each key wins."""
-        number = self._number()
+        number = self.version()
         both = self.read(name).unionByName(rows) if name in self._manifest(number) else rows
         self.commit({name: latest(both, keys, order)}, on=number)
 
     def remove(self, name: str, keys: DataFrame) -> None:
-        number = self._number()
+        number = self.version()
         self.commit({name: self.read(name).join(keys, keys.columns, "left_anti")}, on=number)
 
-    def counts(self) -> dict[str, int]:
-        """Rows of each table, from the files' footers."""
-        return {n: self.read(n).count() for n in self.tables()}
+    def lengths(self) -> dict[str, int]:
+        """Rows of each table, as the manifest keeps them: each commit counts the parts it wrote, by their footers, and no others."""
+        return {n: sum(p["rows"] for p in parts) for n, parts in sorted(self._manifest().items())}
+
+    counts = lengths
 
     def vacuum(self, keep: int = 2) -> int:
         """Removes what only manifests older than the last ``keep`` name, and these; returns how many parts went."""
-        last = self._number()
-        held = {at for n in range(max(1, last - keep + 1), last + 1) for parts in self._manifest(n).values() for at in parts}
+        last = self.version()
+        held = {p["at"] for n in range(max(1, last - keep + 1), last + 1) for parts in self._manifest(n).values() for p in parts}
         gone = 0
         for n in range(last - keep, 0, -1):
             at = self._path(f"{self.folder}/manifests/{n:012}.json")
             if not self._fs.exists(at):
                 break
-            for part in {p for parts in self._manifest(n).values() for p in parts} - held:
+            for part in {p["at"] for parts in self._manifest(n).values() for p in parts} - held:
                 gone += self._fs.delete(self._path(part), True)
             self._fs.delete(at, False)
         return gone

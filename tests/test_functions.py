@@ -147,12 +147,12 @@ PAGE = """<html lang="en-GB"><head><title> A  page </title><base href="http://x.
 
 
 def test_html(spark):
-    r = spark.createDataFrame([("http://x.test/d/a", PAGE), (None, None)], "url string, body string").select(html.extract("url", "body").alias("x"), html.flatten("body").alias("t"), html.to_markdown("body").alias("m"), html.to_article("body").alias("a")).collect()
+    r = spark.createDataFrame([("http://x.test/d/a", PAGE), (None, None)], "url string, body string").select(html.extract("url", "body").alias("x"), html.flatten("body").alias("t"), html.to_markdown("body").alias("m"), html.to_readable("body").alias("a")).collect()
     x = r[0].x
     assert (x.title, x.language, x.local_links, x.external_links, x.refuses_indexing, x.refuses_following) == ("A page", "en", 2, 1, True, False)
     assert x.links == ["http://x.test/", "http://x.test/d/p?q", "http://y.test/"]
     assert "Some bold text, long enough for an article to be found." in r[0].t.split("\n")
     assert "no()" not in r[0].t
     assert "# Head" in r[0].m and "**bold**" in r[0].m and "- one" in r[0].m
-    assert "Some" in r[0].a and "Home" not in r[0].a
+    assert r[0].a.startswith("<article>") and "Some <b>bold</b> text" in r[0].a and "Home" not in r[0].a and "no()" not in r[0].a
     assert r[1].t is None

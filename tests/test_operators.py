@@ -12,7 +12,7 @@ from lodestone.functions import hashing
 from lodestone.operators import crawl, derive, fulltext, index, ingest, ring, search, skew
 from lodestone.plans import core
 from lodestone.sources import archives
-from lodestone.sources.stores import Store, drift
+from lodestone.sources.stores import LostUpdate, Store, drift
 
 POSTING = "word_hash string, url_hash string, hits int, text_position int, language string, document_type int, appearance int"
 
@@ -165,26 +165,37 @@ def test_http_values(spark):
     df = spark.createDataFrame([("120",), ("Wed, 01 Jan 2025 00:02:00 GMT",), ("soon",), (None,)], "h string")
     now = F.lit("2025-01-01 00:00:00").cast("timestamp")
     assert [r[0] for r in df.select(crawl.retry_after(F.col("h"), now)).collect()] == [120, 120, 60, 60]
-    r = spark.range(1).select(crawl.robots_directives(F.lit("bot: NoIndex, x")).alias("a"), crawl.robots_directives(F.lit("none")).alias("b"), crawl.media_type(F.lit("Text/HTML; charset=x")).alias("m"), crawl.retry_delay(F.lit(3)).alias("d")).first()
-    assert (tuple(r.a), tuple(r.b), r.m, r.d) == ((True, False), (True, True), "text/html", 1.125)
+    r = spark.range(1).select(crawl.robots_directives(F.lit("bot: NoIndex, nofollow , x")).alias("a"), crawl.robots_directives(F.lit("none")).alias("b"), crawl.media_type(F.lit("Text/HTML; charset=x")).alias("m"), crawl.retry_delay(F.lit(3)).alias("d")).first()
+    assert (tuple(r.a), tuple(r.b), r.m, r.d) == ((False, True), (True, True), "text/html", 1.125)
 
 
 def test_fulltext(spark):
     d = spark.createDataFrame([("u1", "Red fox", "the fox runs", "en-GB"), ("u2", "Blue", "red fox", "en"), ("u3", "", "red fox", "en"), ("u4", "Red", "fox", "de"), ("u5", "Foxes", "red", None)], "url string, title string, content string, language string")
-    assert [(r.url, r.score) for r in fulltext.page_of(fulltext.search(d, ["Fox", "red"], "en"), 1).collect()] == [("u1", 7), ("u2", 2)]
-    assert fulltext.search(d, []).count() == 0
+    words = fulltext.postings(d)
+    assert [(r.url, r.score) for r in fulltext.page_of(fulltext.search(words, ["Fox", "red"], "en"), 1).collect()] == [("u1", 7), ("u2", 2)]
+    assert fulltext.search(words, []).count() == 0 and fulltext.postings(d.limit(0)).count() == 0
+    stems = fulltext.postings(d, analysed=True)
+    assert {r.url for r in fulltext.search(stems, ["foxes"], analysed=True).collect()} == {"u1", "u2", "u4", "u5"} and {r.url for r in fulltext.search(stems, ["fox"], analysed=True).collect()} == {"u1", "u2", "u4"}
+    over = fulltext.search_over({"en": words.where("language = 'en'"), "de": words.where("language = 'de'")}, ["red", "fox"])
+    assert {(r.url, r.language_index) for r in over.collect()} == {("u1", "en"), ("u2", "en"), ("u4", "de")}
     assert {r.url: r.language_index for r in fulltext.routed(d, ["en"]).collect()} == {"u1": "en", "u2": "en", "u3": "en", "u4": "und", "u5": "und"}
     with pytest.raises(ValueError, match="twice"):
         fulltext.index_names("x", ["en", "en-GB"])
 
 
 def test_derivations(spark):
-    assert derive.derivable("html", "text") and not derive.derivable("text", "html")
-    derive.check({"html"}, {"text", "markdown"})
+    assert derive.derivable("html", "readable_text") and not derive.derivable("markdown", "html")
+    derive.check({"html"}, {"readable_text", "markdown"})
     with pytest.raises(ValueError, match="nothing leads"):
         derive.check({"pdf"}, {"text"})
-    r = derive.formats(spark.createDataFrame([("<p>hello world, this is a text</p>",)], "html string"), "html", "html", ["text", "markdown"]).first()
-    assert r.text == r.markdown == "hello world, this is a text"
+    page = "<nav><a href='/'>Home</a></nav><div><p>hello world, this is a text</p></div>"
+    pages = derive.formats(spark.createDataFrame([(1, page), (2, "<p>short</p>"), (3, None)], "id int, html string"), "html", "html", ["readable_html", "readable_text", "markdown"])
+    r = {x.id: x for x in pages.collect()}
+    assert r[1].readable_text == r[1].markdown == "hello world, this is a text" and r[1].readable_html == "<article><p>hello world, this is a text</p></article>"
+    assert (r[2].readable_html, r[2].readable_text, r[2].markdown) == (None, "short", "short") and r[3].markdown is None
+    made, count = derive.published(pages, ["readable_html", "markdown"], ["id"])
+    assert {(x.id, x.kind) for x in made.collect()} == {(1, "readable_html"), (1, "markdown"), (2, "markdown")}
+    assert {(x.id, x.underivable, x.failed) for x in count.collect()} == {(1, 0, False), (2, 1, False), (3, 2, True)}
 
 
 def test_archives(spark):
@@ -207,6 +218,13 @@ def test_store(spark, tmp_path):
     assert sorted((r.k, r.v) for r in s.read("t").collect()) == [(1, "c"), (2, "b")]
     s.remove("t", spark.createDataFrame([(2,)], "k int"))
     assert s.counts() == {"t": 1}
+    before = s.version()
+    s.commit({}, {"t": s.read("t"), "u": df([(9, 9, None)])})
+    assert s.lengths() == {"t": 2, "u": 1} and s.read("t").count() == 2
+    with pytest.raises(LostUpdate):
+        s.commit({"t": df([(5, 5, "e")])}, on=before)
+    assert s.lengths() == {"t": 2, "u": 1}
+    assert s.vacuum(keep=1) > 0 and s.read("t").count() == 2 and s.read("u").count() == 1
     assert drift(s.read("t"), {"k": "int", "v": "int", "x": "int"}) == ["missing x", "surplus s", "v: string, not int"]
 
 
