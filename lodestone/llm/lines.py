@@ -114,7 +114,7 @@ class LineCounts:
 
     def merge(self, lines: DataFrame) -> DataFrame:
         """Merges a delta of keyed lines; returns ``doc`` of each earlier document that holds a line that has crossed now."""
-        k, number = self.k, self.store._number()
+        k, number = self.k, self.store.version()
         bucket = F.pmod(F.col("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
         pairs = lines.select("key", "doc").mapInArrow(lambda it: _capped_pairs(it, k), "key long, doc long")
         if number:
@@ -135,7 +135,7 @@ class LineCounts:
 
     def fresh(self) -> DataFrame:
         """Keys that crossed in the last delta."""
-        return self.store.read("crossed").where(F.col("delta") == self.store._number()).select("key")
+        return self.store.read("crossed").where(F.col("delta") == self.store.version()).select("key")
 
 
 class RepeatedLines:
