@@ -1,13 +1,17 @@
-"""Evaluation items that stand, wholly or in part, in the documents of a large corpus.
+"""Evaluation items that stand, wholly or in part, in the documents of a large corpus, and how much of each does.
 
 A passage of ``LENGTH`` consecutive words of an item is a short test item of its own: a set of ``LENGTH - WIDTH + 1``
 shingles of ``WIDTH`` words. Contained in a document means that the document has each of these shingles, in particular
 the ones that are least under the hash functions of a MinHash. The index therefore keeps, per size class of items, only
 the MinHash values of all passages; a document is a candidate for an item if its shingles hold the values of one of
 its passages under every hash function. That misses no passage, and what it finds is verified by comparing the words.
+The share of an item's distinct shingles that the document holds is then counted exactly. As a passage alone is enough,
+the least share that counts falls with the item's size: a class of items of up to ``n`` words has the threshold
+``(LENGTH - WIDTH + 1) / (n - WIDTH + 1)``, which every passage reaches; ``share`` asks for more of an item.
 
 Items are few (``max_items`` and ``max_bytes`` bound a block); more items are searched block by block, each block
-against all documents. Documents are read once per block and never shuffled; only found pairs are.
+against all documents. A block is broadcast once and indexed once in each Python worker. Documents are read once per
+block and never shuffled; only found pairs are.
 
 Null, empty and blank texts have no words and give no rows; equal documents each give their rows; an item with fewer
 words than ``LENGTH`` is never found; equal items are each found.
@@ -16,6 +20,7 @@ words than ``LENGTH`` is never found; equal items are each found.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,12 +73,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], length: int, width: int):
         self.length, self.width = length, width
         self.passages: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        self.shingles: dict[int, set[tuple[str, ...]]] = {}
         classes: dict[int, list[np.ndarray]] = {}
         for item, text in items:
             w = words_of(text)
             if len(w) < length:
                 continue
             h = _hashes(w)
+            self.shingles[item] = self.shingles.get(item, set()) | _shingles(w, width)
             shingles = _rolled(h, width)
             per = length - width + 1
             sig = np.stack([_windowed_min(shingles, per), _windowed_min(shingles * _SECOND, per)])
@@ -107,19 +114,23 @@ class Index:
         return np.unique(np.concatenate(found))
 
 
+def _shingles(words: list[str], width: int) -> set[tuple[str, ...]]:
+    return set(zip(*(words[i:] for i in range(width)), strict=False))
+
+
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def _search(ids: list[int], words: list[str], ends: list[int], index: Index) -> tuple[list[int], list[int]]:
-    """Documents and the items in them; ``words`` holds the documents one after another, each up to its place in ``ends``."""
+def _search(ids: list[int], words: list[str], ends: list[int], index: Index) -> tuple[list[int], list[int], list[float]]:
+    """Documents, the items in them and the share they hold; ``words`` holds the documents one after another, each up to its place in ``ends``."""
     length, width = index.length, index.width
     if len(words) < length:
-        return [], []
+        return [], [], []
     h = _hashes(words)
     at = index.candidates(_rolled(h, width))
     if not len(at):
-        return [], []
+        return [], [], []
     stops = np.array(ends)
     # a passage holding the shingle begins at most length - width words earlier, and ends in the same document
     starts = np.unique((at[:, None] - np.arange(length - width + 1)).ravel())
@@ -134,14 +145,25 @@ def _search(ids: list[int], words: list[str], ends: list[int], index: Index) ->
         for item, w in index.passages.get(key, ()):
             if (d, item) not in seen and tuple(words[s : s + length]) == w:
                 seen.add((d, item))
-    return [ids[d] for d, _ in seen], [item for _, item in seen]
+    own = {d: _shingles(words[ends[d - 1] if d else 0 : ends[d]], width) for d in {d for d, _ in seen}}
+    shares = [len(index.shingles[item] & own[d]) / len(index.shingles[item]) for d, item in seen]
+    return [ids[d] for d, _ in seen], [item for _, item in seen], shares
+
 
+_INDEXES: dict[str, Index] = {}
 
-def _found(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], length: int, width: int) -> Iterator[pa.RecordBatch]:
-    index = Index(items, length, width)
 
-    def made(docs: list[int], hits: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
+def _index(name: str, items: list[tuple[int, str]], length: int, width: int) -> Index:
+    """The index of a block, made once in a worker; the one before is forgotten."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Index(items, length, width)
+    return _INDEXES[name]
+
+
+def _found(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    def made(docs: list[int], hits: list[int], shares: list[float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "contained"])
 
     ids, ends, words = [], [], []
     for b in batches:
@@ -169,12 +191,19 @@ def blocks(items: DataFrame, item_id: str, text: str, max_items: int, max_bytes:
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = LENGTH, width: int = WIDTH, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``doc_id, item_id`` of each document and item that share ``length`` consecutive words."""
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = LENGTH, width: int = WIDTH, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES, share: float = 0.0) -> DataFrame:
+    """``doc_id, item_id, contained`` of each document and item that share ``length`` consecutive words.
+
+    ``contained`` is the share of the item's distinct shingles that the document holds; pairs below ``share`` are left out.
+    """
     docs = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
-    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    first = True
+    schema = "doc_id long, item_id long, contained double"
+    found = None
     for block in blocks(items, item_id, item_text, max_items, max_bytes):
-        part = docs.mapInArrow(lambda it, block=block: _found(it, block, length, width), "doc_id long, item_id long")
-        found, first = (part, False) if first else (found.unionByName(part), False)
-    return found.distinct() if not first else found
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+        part = docs.mapInArrow(lambda it, shared=shared, name=name: _found(it, _index(name, shared.value, length, width)), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    # a document that stands in several rows under one id counts once
+    return found.groupBy("doc_id", "item_id").agg(F.max("contained").alias("contained")).where(F.col("contained") >= share)

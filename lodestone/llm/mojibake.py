@@ -133,6 +133,11 @@ def _odd_mark(token: str) -> bool:
     return "?" in token and "/" not in token and "=" not in token and _MARK.search(token) is not None
 
 
+def _marked(token: str) -> list[str]:
+    """A token with wildcards for question marks inside of words, and for all of them."""
+    return [_MARK.sub(_LOST, token), token.replace("?", _LOST)]
+
+
 def _special(token: str) -> bool:
     """Whether a token can be damaged at all."""
     return not token.isascii() or "&" in token and _ENTITY.search(token) is not None or _odd_mark(token)
@@ -186,9 +191,9 @@ class Restorer:
 
     def asks(self, token: str) -> tuple[set[str], set[str]]:
         """Words, and patterns of words with lost characters, beyond those held on which the readings of a token depend."""
-        marked = _MARK.sub(_LOST, token) if _odd_mark(token) else token
-        patterns = {w.lower() for w in _WITH_LOST.findall(marked) if _LOST in w} - self.lost.keys()
-        if marked != token or self._is_quoted(token):
+        odd = _odd_mark(token)
+        patterns = {w.lower() for m in (_marked(token) if odd else [token]) for w in _WITH_LOST.findall(m) if _LOST in w} - self.lost.keys()
+        if odd or self._is_quoted(token):
             return set(), patterns
         clean, spellings = self._score(token), []
         for channel in self.channels:
@@ -235,9 +240,9 @@ class Restorer:
         clean = self._score(token)
         out = [(-1, clean, token)]
         if _odd_mark(token):
-            marked = _MARK.sub(_LOST, token)
-            filled = self._fill(marked)
-            self.seen[token] = out = [(-2, clean, token if filled == marked else filled)]
+            # a mark at the end of the word may be a lost letter too, if that makes a word of the corpus
+            filled = next((f for m in _marked(token) if (f := self._fill(m)) != m and _LOST not in f), token)
+            self.seen[token] = out = [(-2, clean, filled)]
             return out
         if not self._is_quoted(token):
             if _LOST in token:
@@ -386,7 +391,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spread(tokens: Counter, words: Counter, chars: Counter) -> None:
     for token, n in tokens.items():
         for w in _WORD.findall(token):
-            if not w.isascii() and len(w) <= 40:
+            if not w.isascii():
                 words[w.lower()] += n
         for c in token:
             if c > "\x7f":

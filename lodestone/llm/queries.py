@@ -159,7 +159,13 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return p7_contained(spark, folder).select("doc_id", "item_id")
+
+
+def p7_contained(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leak with the share of the item's distinct five-word shingles that the document holds."""
+    found = leak.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id", F.round("contained", 9).alias("contained"))
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,4 +196,4 @@ def p8_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return hazards.withColumn("p", F.round("p", 9))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_items, p8_found, p8_sources, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_contained, p7_items, p8_found, p8_sources, p8_lengths)}

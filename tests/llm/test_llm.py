@@ -106,8 +106,12 @@ def test_leaks_against_brute_force(spark):
     held = {i: windows(t) for i, t in items}
     want = {(d, i) for d, t in docs for i in held if windows(t) & held[i]}
     a, b = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0)), spark.createDataFrame(items, "item_id long, text string")
-    assert {tuple(r) for r in leak.leaks(a, b).collect()} == want and want
-    assert {tuple(r) for r in leak.leaks(a, b, max_items=7).collect()} == want
+    grams = lambda t: {tuple(leak.words_of(t or "")[i : i + 5]) for i in range(len(leak.words_of(t or "")) - 4)}
+    texts, item_texts = dict(docs), dict(items)
+    shares = {(d, i): len(grams(item_texts[i]) & grams(texts[d])) / len(grams(item_texts[i])) for d, i in want}
+    for got in (leak.leaks(a, b), leak.leaks(a, b, max_items=7)):
+        assert {(r.doc_id, r.item_id): r.contained for r in got.collect()} == pytest.approx(shares) and want
+    assert {(r.doc_id, r.item_id) for r in leak.leaks(a, b, share=0.5).collect()} == {k for k, v in shares.items() if v >= 0.5}
     assert leak.leaks(a.limit(0), b).count() == 0 and leak.leaks(a, b.limit(0)).count() == 0
 
 
