@@ -1,12 +1,15 @@
 """Documents, sized in tokens, packed into containers of a fixed capacity with little space unused.
 
-Best fit in decreasing order, bulk-synchronously. Documents are range-sorted by size, and a document's rank within its
-size is its place in that order. Gaps (the free space of open containers) are kept sorted too. A round takes all
-documents of one size at once, sweeps to the successor gap - the least that holds the size -, lets the lowest ranks have
-the containers of that gap, updates their gaps and goes on with the rest: to the next gap, and at last to new
-containers. As sizes and gaps are whole numbers up to the capacity, a sorted list of either is held as runs of equal
-values, of which there are at most as many as the capacity; the sweeps over these runs need no document, and what they
-decide is a list of rank intervals with the containers they got. Documents are matched to it where they are.
+Bulk-synchronous best fit. Documents are range-sorted by size, and a document's rank within its size is its place in that
+order. Sizes and gaps (the free space of open containers) are whole numbers up to the capacity, so both sorted lists are
+held as runs of equal values. A round range-partitions the runs of documents and of gaps by their values; each task
+sweeps over its part in ascending order, and every gap is given the largest documents of its part that fit, the lowest
+ranks first. What no task could match meets in a last sweep over the parts, where a gap gets the next documents below.
+Containers take one document a round, small ones (an eighth of the capacity at most) as many as fit. The gaps are then
+updated, and the next round begins; where nothing fits, as many containers are opened as the rest needs at least. No
+sweep reads a document: it decides on rank intervals, and tasks then place the documents where they are.
+
+The number of runs depends on the capacity, not on the documents. README has the rounds and intervals measured.
 
 A document larger than the capacity is cut into pieces of exactly the capacity and a remainder. Null and blank texts
 are left out; a text of no tokens takes no space and still gets a container. Equal rows are separate items.
@@ -16,13 +19,12 @@ from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import materialise, partitions, spread
@@ -32,6 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rank intervals that tasks may hold in memory (32 bytes each); beyond, a shuffled join matches them.
 MAX_INTERVALS = 1_000_000
+#: Runs that a task sweeps at least, if there are more.
+RUNS_OF_A_PART = 256
 #: Runs of spaces, which tokens may share out among them: such a text is encoded as a whole.
 _SPACES = re.compile(r" \s|\s ")
 
@@ -89,52 +93,75 @@ def token_sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", token
     return spread(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, size long")
 
 
-def sweep(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rank intervals ``(size, from, to, container, per)`` and the number of containers.
+def swept(rows: list[tuple[int, int, int, int]], small: int) -> tuple[list[tuple], list[tuple], list[tuple], list[tuple]]:
+    """One sweep over runs ``(value, kind, n, first)`` in ascending order; of kind 0 are documents, of kind 1 gaps.
+
+    Returns rank intervals ``(size, from, to, container, per)``, the gaps made, the documents left and the gaps left.
+    """
+    placed, made, documents, left = [], [], [], []
+    for value, kind, n, first in rows:
+        if kind == 0:
+            documents.append((value, n, first))
+            continue
+        while n and documents:
+            size, many, rank = documents[-1]
+            per = 1 if size > small else value // size
+            used = min(n, -(-many // per))
+            took = min(many, used * per)
+            placed.append((size, rank, rank + took, first, per))
+            full, rest = divmod(took, per)
+            made += [(value - per * size, full, first)] if full else []
+            made += [(value - rest * size, 1, first + full)] if rest else []
+            first, n = first + used, n - used
+            documents.pop()
+            if took < many:
+                documents.append((size, many - took, rank + took))
+        if n:
+            left.append((value, n, first))
+    return placed, made, documents, left
+
+
+_RUNS = "value long, kind int, n long, first long"
+_SWEPT = "what string, a long, b long, c long, d long, e long"
+
+
+def _swept_part(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    out = [(what, *r, *[None] * (5 - len(r))) for what, part in zip(("placed", "made", "documents", "left"), swept(rows, small), strict=True) for r in part]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i == 0 else pa.int64()) for i in range(6)], names=["what", "a", "b", "c", "d", "e"])
+
+
+def sweep(spark: SparkSession, histogram: dict[int, int], capacity: int, parts: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
+    """Rank intervals ``(size, from, to, container, per)``, the number of containers, and that of rounds.
 
     A document of that size with rank ``r`` in ``[from, to)`` goes into ``container + (r - from) // per``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-    out, opened = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if n and gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for size in sorted(histogram, reverse=True):
-        left, rank = histogram[size], 0
-        while left:
-            at = bisect_left(order, size) if size else len(order)
-            if at < len(order):
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                    order.pop(at)
-            else:
-                gap, first, n = capacity, opened, -1
-            per = gap // size if size else left
-            used = -(-left // per)
-            if n < 0:
-                n = used
-                opened += used
-            elif used < n:
-                add(gap, first + used, n - used)
-            else:
-                used = n
-            placed = min(left, used * per)
-            out.append((size, rank, rank + placed, first, per))
-            full, rest = divmod(placed, per)
-            add(gap - per * size, first, full)
-            if rest:
-                add(gap - rest * size, first + full, 1)
-            rank += placed
-            left -= placed
-    return out, opened
+    small = capacity // 8
+    documents = [(s, n, 0) for s, n in histogram.items() if s and n]
+    gaps: list[tuple[int, int, int]] = []
+    out, opened, rounds = [], 0, 0
+    while documents:
+        least = min(s for s, _, _ in documents)
+        gaps = [g for g in gaps if g[0] >= least]
+        if not gaps:
+            n = -(-sum(s * n for s, n, _ in documents) // capacity)
+            gaps.append((capacity, n, opened))
+            opened += n
+        rounds += 1
+        runs = spark.createDataFrame([(s, 0, n, r) for s, n, r in documents] + [(g, 1, n, c) for g, n, c in gaps], _RUNS)
+        order = ["value", "kind", "first"]
+        n_parts = parts or max(2, min(partitions(spark), (len(documents) + len(gaps)) // RUNS_OF_A_PART))
+        found = runs.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _swept_part(it, small), _SWEPT).collect()
+        of = lambda what: [tuple(x for x in r[1:] if x is not None) for r in found if r.what == what]  # noqa: B023, E731
+        # what is left of the parts, in the order of the values: at most the runs there are
+        across = sorted([(s, 0, n, r) for s, n, r in of("documents")] + [(g, 1, n, c) for g, n, c in of("left")])
+        placed, made, documents, left = swept(across, small)
+        out += of("placed") + placed
+        gaps = of("made") + made + left
+    if histogram.get(0):
+        opened = max(opened, 1)
+        out.append((0, 0, histogram[0], 0, histogram[0]))
+    return out, opened, rounds
 
 
 def _local_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +201,7 @@ def pack(sizes: DataFrame, capacity: int, max_intervals: int = MAX_INTERVALS) ->
     for size, part, n in counts:
         offsets[size, part] = histogram.get(size, 0)
         histogram[size] = offsets[size, part] + n
-    intervals, _ = sweep(histogram, capacity)
+    intervals, _, _ = sweep(spark, histogram, capacity)
     moved = {k: v for k, v in offsets.items() if v}
     if len(intervals) > max_intervals:
         return _joined(ranked, intervals, moved)

