@@ -3,26 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _seal(secret: str):  # noqa: ANN202
-    @F.pandas_udf(T.StringType())
-    def run(expires: pd.Series, page: pd.Series) -> pd.Series:
-        sign = lambda e, p: None if pd.isna(e) or p is None else hmac.new(secret.encode(), f"{int(e)}\n{p}".encode(), hashlib.sha256).hexdigest()
-        return pd.Series([sign(e, p) for e, p in zip(expires, page, strict=True)], dtype=object)
-
-    return run
 
 
 def signature(secret: str, expires: Column, page: Column) -> Column:
-    """Hex of the HMAC-SHA256 over the expiry (seconds) and the page."""
-    return _seal(secret)(expires, page)
+    """Hex of the HMAC-SHA256 over the expiry (seconds) and the page: two hashes behind the padded key, in the JVM."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in key).hex())) for pad in (0x36, 0x5C))
+    said = F.encode(F.concat(expires.cast("long").cast("string"), F.lit("\n"), page), "utf-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256)
 
 
 def link(secret: str, origin: str, expires: Column, page: Column, disabled: Column | None = None) -> Column:

@@ -275,11 +275,10 @@ def abstract(hashes: Column) -> Column:
 
 
 def constraint_mask(text: Column) -> Column:
-    """The appearance a search asks for, as a mask; null for none: an empty field, or one with no flag or with every flag set."""
+    """The appearance a search asks for, as a mask; null for none: an empty field, or one without a flag or with all its 32 bits set."""
     number = bitfield_number(F.nullif(F.trim(text), F.lit("")))
-    every = sum(1 << b for b in APPEARANCE_BITS)
     mask = bitfield_mask(number)
-    return F.when(number.isNotNull() & (mask != 0) & (number.bitwiseAND(F.lit(every)) != every), mask)
+    return F.when(number.isNotNull() & (mask != 0) & (number != 0xFFFFFFFF), mask)
 
 
 def client_address(peer: Column, forwarded: Column, trusted: list[str]) -> Column:

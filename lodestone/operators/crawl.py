@@ -25,7 +25,8 @@ class Profile:
     max_depth: int = 3
     allow_query: bool = False
     max_per_host: int | None = None
-    max_pages: int = 10_000
+    #: pages of a run at most; None for any number
+    max_pages: int | None = 10_000
 
 
 def within_scope(candidates: DataFrame, seeds: DataFrame, scope: str, url: str = "url") -> DataFrame:
@@ -62,14 +63,19 @@ def capped_per_host(candidates: DataFrame, limit: int, order: list[str], url: st
 def traversal(seeds: DataFrame, links: DataFrame, p: Profile) -> DataFrame:
     """``url, depth`` of the pages a crawl visits: rounds from the seeds over ``source, target`` until the depth.
 
-    Within a round addresses are admitted in their own order, as arrival is not defined. Each round is written out, so
-    that lineage stays short and a lost executor costs one round.
+    Within a round addresses are admitted in their own order, as arrival is not defined. The budget of pages counts while
+    the crawl goes on: the round that exceeds it is cut, and what is cut is not walked on from. Each round is written
+    out, so that lineage stays short and a lost executor costs one round; so are the links, which every round reads.
     """
+    links = materialise(links.select("source", "target"), "crawl-links")
     front = admissible(seeds.select("url").distinct(), seeds, p).withColumn("depth", F.lit(0))
     if p.max_per_host:
         front = capped_per_host(front, p.max_per_host, ["url"])
-    seen = front = materialise(front, "crawl-round")
+    seen = front = materialise(front.orderBy("url").limit(p.max_pages) if p.max_pages else front, "crawl-round")
+    visited = front.count()
     for depth in range(1, p.max_depth + 1):
+        if p.max_pages and visited >= p.max_pages:
+            break
         found = links.join(front.select(F.col("url").alias("source")), "source", "left_semi").select(F.col("target").alias("url")).distinct()
         found = admissible(found.join(seen.select("url"), "url", "left_anti"), seeds, p).withColumn("depth", F.lit(depth))
         if p.max_per_host:
@@ -78,10 +84,14 @@ def traversal(seeds: DataFrame, links: DataFrame, p: Profile) -> DataFrame:
             found = found.withColumn("__h", urls.host_of(F.col("url"))).withColumn("__n", rank).where(F.col("__n") <= p.max_per_host).join(used, "__h", "left")
             found = found.where(F.col("__n") + F.coalesce("__used", F.lit(0)) <= p.max_per_host).select("url", "depth")
         front = materialise(found, "crawl-round")
-        if front.isEmpty():
+        n = front.count()
+        if p.max_pages and visited + n > p.max_pages:
+            front = materialise(front.orderBy("url").limit(p.max_pages - visited), "crawl-cut")
+            n = p.max_pages - visited
+        if not n:
             break
-        seen = seen.unionByName(front)
-    return seen.orderBy("depth", "url").limit(p.max_pages)
+        seen, visited = seen.unionByName(front), visited + n
+    return seen
 
 
 def recrawl_due(visit: DataFrame, now: Column, grace_seconds: int = GRACE_SECONDS) -> DataFrame:

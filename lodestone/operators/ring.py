@@ -81,13 +81,44 @@ def closer_than(postings: DataFrame, peers: DataFrame, self_hash: str, exponent:
     return rows.mapInArrow(run, "word_hash string, url_hash string, closer_peers long")
 
 
+def with_nearest(rows: DataFrame, peers: DataFrame, want: Column, out: str = "near", self_hash: str | None = None, exponent: int = EXPONENT) -> DataFrame:
+    """Rows with ``out``, the ``(peer_hash, distance)`` that come first forward from each posting, as many as it wants.
+
+    With ``self_hash`` also ``closer_peers``, how many come before it. Nothing is shuffled; rows without a position are left out.
+    """
+    places, names = _roster(peers)
+    here = hashing.posting_position(F.col("word_hash"), F.col("url_hash"), exponent)
+    me = hashing.ring_position(F.lit(self_hash)) if self_hash is not None else F.lit(0).cast("long")
+    given = rows.withColumns({"__at": here, "__me": me, "__want": F.least(F.coalesce(want, F.lit(0)).cast("int"), F.lit(len(names)))}).where("__at is not null")
+    kept = given.drop("__at", "__me", "__want").schema
+    near = "array<struct<peer_hash:string,distance:bigint>>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` {near}", *(["closer_peers long"] if self_hash is not None else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = pa.array(names, pa.string())
+        for b in batches:
+            at, me, k = (b.column(i).to_numpy() for i in range(len(kept), len(kept) + 3))
+            first = np.searchsorted(places, at, side="left")
+            stops = np.concatenate([[0], np.cumsum(k)])
+            row = np.repeat(np.arange(len(at)), k)
+            index = (first[row] + np.arange(len(row)) - stops[row]) % max(len(places), 1)
+            distance = (places[index] - at[row]) & np.int64(hashing.RING_MAX) if len(row) else np.zeros(0, np.int64)
+            pairs = pa.StructArray.from_arrays([array.take(pa.array(index)), pa.array(distance, pa.int64())], ["peer_hash", "distance"])
+            columns = [*b.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pairs)]
+            if self_hash is not None:
+                high = np.searchsorted(places, me, side="left")
+                columns.append(pa.array(np.where(me >= at, high - first, len(places) - first + high), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), out, *(["closer_peers"] if self_hash is not None else [])])
+
+    return given.mapInArrow(run, schema)
+
+
 def replica_windows(postings: DataFrame, peers: DataFrame, self_hash: str, redundancy: int = REDUNDANCY, exponent: int = EXPONENT) -> DataFrame:
     """``word_hash, url_hash, required, closest, farthest``: the peers that should hold a posting, and how far the last one is.
 
     A node that is itself among the closest keeps one copy, so one fewer is required of others.
     """
-    near = nearest_peers(postings, peers, redundancy, exponent).groupBy("word_hash", "url_hash").agg(F.array_sort(F.collect_list(F.struct("rank", "peer_hash", "distance"))).alias("n"))
-    both = near.join(closer_than(postings, peers, self_hash, exponent), ["word_hash", "url_hash"])
+    both = with_nearest(postings.select("word_hash", "url_hash"), peers, F.lit(redundancy), "n", self_hash, exponent)
     required = F.when(F.col("closer_peers") < redundancy, redundancy - 1).otherwise(redundancy)
     closest = F.slice("n", 1, required)
     return both.select("word_hash", "url_hash", required.alias("required"), F.transform(closest, lambda x: x["peer_hash"]).alias("closest"), F.when(F.size(closest) > 0, F.element_at(closest, -1)["distance"]).alias("farthest"))
@@ -120,10 +151,8 @@ def offers(postings: DataFrame, peers: DataFrame, states: DataFrame, windows: Da
     is_ = lambda *s: F.col("state").isin(*s)
     by = accepting_too.groupBy(*key).agg(of(is_("inside")).alias("inside"), of(is_("outside")).alias("outside"), of(is_("expired")).alias("expired"), of(is_("inside", "outside") & F.coalesce("__accepts", F.lit(False))).alias("holding"))
     rows = windows.join(by, key, "left").withColumns({c: F.coalesce(c, none) for c in ("inside", "outside", "expired", "holding")})
-    # the peers asked are the first that hold no unexpired copy: at most as many come before them as a posting has such holders
-    holders = states.where(F.col("state") != "expired").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
-    near = nearest_peers(postings, eligible_peers, redundancy + holders, exponent).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer_hash"))), lambda x: x["peer_hash"]).alias("near"))
-    rows = rows.join(near, key, "left")
+    # the peers asked are the first that hold no unexpired copy: at most as many come before them as the posting has such holders
+    rows = with_nearest(rows, eligible_peers, F.lit(redundancy) + F.size("inside") + F.size("outside"), "near", None, exponent).withColumn("near", F.transform("near", lambda x: x["peer_hash"]))
     missing = F.col("required") - F.size("inside")
     asked = F.slice(F.array_except(F.coalesce("near", none), F.concat("inside", "outside")), 1, F.greatest(missing, F.lit(0)))
     fresh = missing <= 0

@@ -621,7 +621,7 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 @query(f"with recursive {_LINKS}, walk as (select distinct url, 0 as depth from sd where not contains(url, '?') union select l.target, w.depth + 1 from walk w join links l on l.source = w.url where w.depth < 3 and not contains(l.target, '?')) select url, cast(min(depth) as int) depth from walk group by 1")
 def crawl_rounds(spark: SparkSession, folder: str) -> DataFrame:
     seeds, links = _graph(spark, folder)
-    return crawl.traversal(seeds, links, crawl.Profile(max_pages=100_000_000))
+    return crawl.traversal(seeds, links, crawl.Profile(max_pages=None))
 
 
 @query(f"with {_LINKS} select distinct l.target url from links l where {_HOST.format(u='l.target')} in (select {_HOST.format(u='url')} from sd) and not contains(l.target, '?')")

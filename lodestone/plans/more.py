@@ -151,7 +151,13 @@ def text_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""with p as (select url_hash, word_hash, received_at t from postings), pages as (select canonical_url url, min(received_at) t from pages_text group by 1),
+    m as (select url_hash, min(t) came from (select distinct url, url_hash from url_metadata) join pages using (url) group by 1), w as (select max(t) wm from (select t from p union all select t from pages join url_metadata using (url))),
+    e as (select p.*, came, came is not null and p.t >= came stored from p left join m using (url_hash)),
+    h as (select word_hash, url_hash, came, max(t) held from e where not stored group by 1, 2, 3),
+    o as (select word_hash, url_hash, 'stored' outcome from e where stored
+        union all select word_hash, url_hash, case when came is not null and came - held <= interval 10 day then 'released' else 'expired' end from h, w where came is not null or held + interval 10 day <= wm)
+    select outcome, count(*) n, count(distinct word_hash || url_hash) postings from o group by 1""")
 def stream_escrow(spark: SparkSession, folder: str) -> DataFrame:
     """Postings that wait for the first text of their page, as a stream with timers, run to its present end."""
     posting = table(spark, folder, "postings").select(F.lit("posting").alias("kind"), "url_hash", "word_hash", F.col("received_at").cast("timestamp").alias("at"))

@@ -17,10 +17,25 @@ DEPTH, MEMBERS = 4, 1024
 _CONTAINERS = {"application/zip": "zip", "application/x-tar": "tar", "application/gzip": "gzip", "application/x-gzip": "gzip"}
 
 
+#: Bytes of a member, and of all members of one page, that are read at most.
+MEMBER_BYTES, PAGE_BYTES = 64 << 20, 512 << 20
+
+
 class TooManyMembers(ValueError):
     pass
 
 
+class TooLarge(ValueError):
+    """A member beyond the bound, whatever its header says: no more than the bound is ever unpacked."""
+
+
+def _bounded(stream, limit: int) -> bytes:  # noqa: ANN001
+    out = stream.read(limit + 1)
+    if len(out) > limit:
+        raise TooLarge
+    return out
+
+
 def _kind(name: str, media_type: str | None) -> str | None:
     if media_type in _CONTAINERS:
         return _CONTAINERS[media_type]
@@ -34,13 +49,13 @@ def members(url: str, media_type: str | None, body: bytes) -> Iterator[tuple[str
     seen: set[str] = set()
     if kind == "gzip" and not url.lower().endswith((".tar.gz", ".tgz")):
         name = url.rsplit("/", 1)[-1].removesuffix(".gz") or "member"
-        entries = [(name, lambda: gzip.decompress(body))]
+        entries = [(name, lambda: _bounded(gzip.GzipFile(fileobj=io.BytesIO(body)), MEMBER_BYTES))]
     elif kind == "zip":
         z = zipfile.ZipFile(io.BytesIO(body))
-        entries = [(i.filename, lambda i=i: z.read(i)) for i in z.infolist() if not i.is_dir()]
+        entries = [(i.filename, lambda i=i: _bounded(z.open(i), MEMBER_BYTES)) for i in z.infolist() if not i.is_dir()]
     else:
         t = tarfile.open(fileobj=io.BytesIO(body))  # noqa: SIM115
-        entries = [(i.name, lambda i=i: t.extractfile(i).read()) for i in t.getmembers() if i.isfile()]
+        entries = [(i.name, lambda i=i: _bounded(t.extractfile(i), MEMBER_BYTES)) for i in t.getmembers() if i.isfile()]
     for name, read in entries:
         if name not in seen:
             seen.add(name)
@@ -50,22 +65,38 @@ def members(url: str, media_type: str | None, body: bytes) -> Iterator[tuple[str
 
 
 def expanded(url: str, media_type: str | None, body: bytes, depth: int = DEPTH, budget: int = MEMBERS) -> list[tuple[str, str, bytes | None, str | None]]:
-    """``(url, media type, body, error)`` of all documents in a page; a member that fails is reported, the others go on."""
-    out: list = []
+    """``(url, media type, body, error)`` of all documents in a page; a member that fails is reported, the others go on.
 
-    def walk(url: str, media_type: str | None, body: bytes, level: int) -> None:
-        if len(out) >= budget:
-            return
+    Where the budget of documents or of bytes ends, that is reported once, for the first that has no place.
+    """
+    out: list = []
+    held = 0
+
+    def full(url: str, media_type: str | None) -> bool:
+        if len(out) < budget and held <= PAGE_BYTES:
+            return False
+        if not out or out[-1][3] != "document budget exhausted":
+            out.append((url, media_type, None, "document budget exhausted"))
+        return True
+
+    def walk(url: str, media_type: str | None, body: bytes, level: int) -> bool:
+        """Whether there is room for more."""
+        nonlocal held
+        if full(url, media_type):
+            return False
         if _kind(url, media_type) is None:
+            held += len(body)
             out.append((url, media_type or "application/octet-stream", body, None))
         elif level >= depth:
             out.append((url, media_type, None, "nested too deep"))
         else:
             try:
                 for m in members(url, media_type, body):
-                    walk(*m, level + 1)
-            except (OSError, EOFError, ValueError, zipfile.BadZipFile, tarfile.TarError) as e:
+                    if not walk(*m, level + 1):
+                        return False
+            except (OSError, EOFError, ValueError, RuntimeError, zipfile.BadZipFile, tarfile.TarError) as e:
                 out.append((url, media_type, None, type(e).__name__))
+        return True
 
     walk(url, media_type, body, 0)
     return out

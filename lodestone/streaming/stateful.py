@@ -17,11 +17,16 @@ from lodestone.operators.ingest import HOLD_SECONDS
 ESCROW_OUT = "word_hash string, url_hash string, held_at timestamp, outcome string"
 
 
+def _ms(at) -> int:  # noqa: ANN001
+    """Whole milliseconds, as timers count."""
+    return int(at.timestamp() * 1000)
+
+
 class _Escrow(StatefulProcessor):
-    """Per document: whether its metadata came, and the words that wait for it. A timer ends the wait."""
+    """Per document: whether its metadata came, and the words that wait for it. A timer ends the wait, another the memory."""
 
-    def __init__(self, hold_seconds: int):
-        self.hold_ms = hold_seconds * 1000
+    def __init__(self, hold_seconds: int, remember_seconds: int | None):
+        self.hold_ms, self.remember_ms = hold_seconds * 1000, remember_seconds and remember_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,22 +41,30 @@ class _Escrow(StatefulProcessor):
             if kind == "metadata":
                 if not self.arrived.exists():
                     self.arrived.update((at,))
+                    if self.remember_ms:
+                        self.handle.registerTimer(_ms(at) + self.remember_ms)
                 for (w,), (held,) in list(self.waiting.iterator()):
                     late = (at - held).total_seconds() * 1000 > self.hold_ms
                     out.append((w, key[0], held, "expired" if late else "released"))
                 if self.waiting.exists():
                     self.waiting.clear()
-            elif self.arrived.exists():
+            elif self._remembered(at):
                 out.append((word, key[0], at, "stored"))
             else:
                 self.waiting.updateValue((word,), (at,))
-                self.handle.registerTimer(int(at.timestamp() * 1000) + self.hold_ms)
+                self.handle.registerTimer(_ms(at) + self.hold_ms)
         if out:
             yield pd.DataFrame(out, columns=["word_hash", "url_hash", "held_at", "outcome"])
 
+    def _remembered(self, at) -> bool:  # noqa: ANN001
+        """Whether the metadata came, and not too long before."""
+        return self.arrived.exists() and (not self.remember_ms or _ms(at) <= _ms(self.arrived.get()[0]) + self.remember_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
-        gone = [(w, held) for (w,), (held,) in self.waiting.iterator() if held.timestamp() * 1000 + self.hold_ms <= now]
+        if self.remember_ms and self.arrived.exists() and _ms(self.arrived.get()[0]) + self.remember_ms <= now:
+            self.arrived.clear()
+        gone = [(w, held) for (w,), (held,) in self.waiting.iterator() if _ms(held) + self.hold_ms <= now]
         for w, _ in gone:
             self.waiting.removeKey((w,))
         if gone:
@@ -61,10 +74,22 @@ class _Escrow(StatefulProcessor):
         pass
 
 
-def escrow_stream(events: DataFrame, hold_seconds: int = HOLD_SECONDS, watermark: str = "0 seconds") -> DataFrame:
-    """Outcomes of a stream ``kind (posting or metadata), url_hash, word_hash, at``, by event time."""
+def escrow_stream(events: DataFrame, hold_seconds: int = HOLD_SECONDS, watermark: str = "0 seconds", remember_seconds: int | None = None) -> DataFrame:
+    """Outcomes of a stream ``kind (posting or metadata), url_hash, word_hash, at``, by event time.
+
+    With ``remember_seconds`` a document's arrival is forgotten after that time, so that the state is bounded by what
+    came in it; postings of documents that came before have to be told by the metadata table (``known_first``).
+    """
     keyed = events.withWatermark("at", watermark).groupBy("url_hash")
-    return keyed.transformWithStateInPandas(_Escrow(hold_seconds), ESCROW_OUT, "Append", "EventTime")
+    return keyed.transformWithStateInPandas(_Escrow(hold_seconds, remember_seconds), ESCROW_OUT, "Append", "EventTime")
+
+
+def known_first(events: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of a stream whose document the metadata table holds, as stored; and the other events, for the escrow."""
+    known = metadata.select("url_hash").distinct().withColumn("__known", F.lit(True))
+    rows = events.join(known, "url_hash", "left")
+    here = (F.col("kind") == "posting") & F.coalesce("__known", F.lit(False))
+    return rows.where(here).select("word_hash", "url_hash", F.col("at").alias("held_at"), F.lit("stored").alias("outcome")), rows.where(~here).drop("__known")
 
 
 def first_visits(visits: DataFrame, key: str, at: str, grace: str) -> DataFrame:

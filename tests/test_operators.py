@@ -210,6 +210,27 @@ def test_archives(spark):
     assert got == {"/a.txt": ("text/plain", None), "/in.zip!/x.html": ("text/html", None), "/bad.gz": ("application/gzip", "BadGzipFile")} or set(got) == {"/a.txt", "/in.zip!/x.html", "/bad.gz"}
 
 
+def test_archive_budgets(monkeypatch):
+    many = io.BytesIO()
+    with zipfile.ZipFile(many, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(6):
+            z.writestr(f"{i}.txt", "x")
+        z.writestr("bomb.txt", "0" * 300_000)
+    got = archives.expanded("http://h.test/o.zip", None, many.getvalue(), budget=3)
+    assert [e for *_, e in got] == [None, None, None, "document budget exhausted"]
+    monkeypatch.setattr(archives, "MEMBER_BYTES", 1000)
+    assert [e for *_, e in archives.expanded("http://h.test/o.zip", None, many.getvalue())] == [None] * 6 + ["TooLarge"]
+
+
+def test_crawl_budget(spark):
+    links = spark.createDataFrame([(f"http://a.test/{i}", f"http://a.test/{j}") for i in range(6) for j in (2 * i + 1, 2 * i + 2)], "source string, target string")
+    seeds = spark.createDataFrame([("http://a.test/0",)], "url string")
+    full = {r.url[-1]: r.depth for r in crawl.traversal(seeds, links, crawl.Profile(max_pages=None, max_depth=2)).collect()}
+    assert full == {"0": 0, "1": 1, "2": 1, "3": 2, "4": 2, "5": 2, "6": 2}
+    cut = {r.url[-1]: r.depth for r in crawl.traversal(seeds, links, crawl.Profile(max_pages=4, max_depth=3)).collect()}
+    assert cut == {"0": 0, "1": 1, "2": 1, "3": 2}
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}")
     df = lambda rows: spark.createDataFrame(rows, "k int, s int, v string")

@@ -29,6 +29,20 @@ def test_escrow_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_escrow_forgets_arrivals(spark, tmp_path):
+    """A posting after the memory ended waits again, unless the metadata table tells."""
+    schema = "kind string, url_hash string, word_hash string, at timestamp"
+    batches = [[("metadata", "u1", None, at(0)), ("posting", "u1", "w1", at(1))], [("posting", "u9", "w9", at(900))], [("posting", "u1", "w2", at(950))], [("posting", "u9", "w8", at(5000))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = sorted((r.word_hash, r.outcome) for r in run(spark, stateful.escrow_stream(stream, 300, remember_seconds=600), "forgets"))
+    assert ("w1", "stored") in got and ("w2", "stored") not in got and ("w2", "expired") in got
+    events = spark.createDataFrame([r for b in batches for r in b], schema)
+    stored, rest = stateful.known_first(events, spark.createDataFrame([("u1",)], "url_hash string"))
+    assert sorted(r.word_hash for r in stored.collect()) == ["w1", "w2"] and rest.count() == 3
+
+
 def test_first_visits(spark, tmp_path):
     schema = "url string, at timestamp"
     spark.createDataFrame([("a", at(0)), ("a", at(5)), ("b", at(1))], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
