@@ -72,8 +72,8 @@ def _shape(line: str) -> str:
     return _BLANKS.sub(" ", _PLAIN.sub("x", line.strip()))
 
 
-def _is_paragraph(line: str) -> bool:
-    return _SENTENCE_END.search(line) is not None and _BULLET.match(line) is None and len(_WORD.findall(line)) >= _WORDS_OF_PARAGRAPH
+def _is_paragraph(line: str, words: list[str] | tuple[str, ...]) -> bool:
+    return len(words) >= _WORDS_OF_PARAGRAPH and _SENTENCE_END.search(line) is not None and _BULLET.match(line) is None
 
 
 def features(line: str, words: list[str]) -> set:
@@ -131,20 +131,28 @@ class _Labels:
 
     def __init__(self, pages: list[tuple[str | None, str | None, str]]):
         sites: dict[str, set[str]] = defaultdict(set)
+        self.words: dict[str, list[str]] = {}
+        split = []
         for url, _, text in pages:
             host = _host(url)
-            for w in set(_words(text)):
+            lines = [x for x in text.split("\n") if x.strip()]
+            split.append(lines)
+            for x in lines:
+                if x not in self.words:
+                    self.words[x] = _words(x)
+            for w in set().union(*(self.words[x] for x in lines)):
                 if len(sites[w]) < NAME_SITES:
                     sites[w].add(host)
         self.known = frozenset(w for w, hosts in sites.items() if len(hosts) >= NAME_SITES)
         blank = Weights({}, 0.0, self.known, frozenset())
         self.pages = []
         stands: dict[tuple, set] = defaultdict(set)
-        for url, title, text in pages:
-            lines = [x for x in text.split("\n") if x.strip()]
-            skeletons = [blank.skeleton(_words(x)) for x in lines]
+        skeleton_of = {x: blank.skeleton(w) for x, w in self.words.items()}
+        for (url, title, _), lines in zip(pages, split, strict=True):
+            skeletons = [skeleton_of[x] for x in lines]
             own = _letters(title) if title else ""
-            is_own = [bool(own) and _letters(x) == own for x in lines]
+            # equal letters have equal lengths but for what is no letter
+            is_own = [bool(own) and len(x) >= len(own) and _letters(x) == own for x in lines]
             self.pages.append((lines, skeletons, is_own))
             for k in set(skeletons):
                 stands[k].add(url)
@@ -183,7 +191,7 @@ class _Labels:
         between: Counter = Counter()
         beyond: Counter = Counter()
         for lines, skeletons, is_own in self.pages:
-            at = [i for i, x in enumerate(lines) if skeletons[i] not in self.kind and _is_paragraph(x)]
+            at = [i for i, x in enumerate(lines) if skeletons[i] not in self.kind and _is_paragraph(x, self.words[x])]
             for i, x in enumerate(lines if at else ()):
                 if is_own[i]:
                     between[_shape(x)] += 1
@@ -195,7 +203,7 @@ class _Labels:
         """Distinct lines, whether they are of the body, and how often their like stands."""
         out: dict[str, tuple[bool, int]] = {}
         for lines, skeletons, is_own in self.pages:
-            at = [i for i, x in enumerate(lines) if skeletons[i] not in self.kind and _is_paragraph(x)]
+            at = [i for i, x in enumerate(lines) if skeletons[i] not in self.kind and _is_paragraph(x, self.words[x])]
             links = False
             for i, (x, k) in enumerate(zip(lines, skeletons, strict=True)):
                 if is_own[i] and not links:
@@ -204,7 +212,7 @@ class _Labels:
                     body, links = self.kind[k] == "B", self.kind[k] == "L"
                 elif _shape(x) in self.outside:
                     body = False
-                elif _is_paragraph(x):
+                elif _is_paragraph(x, self.words[x]):
                     body, links = True, False
                 else:
                     body = True if at and at[0] < i < at[-1] and not links else None
@@ -213,12 +221,12 @@ class _Labels:
         return out
 
 
-def _regression(lines: list[str], is_body: np.ndarray, stands: np.ndarray) -> tuple[dict, float]:
+def _regression(lines: list[str], words: dict[str, list[str]], is_body: np.ndarray, stands: np.ndarray) -> tuple[dict, float]:
     """Weights and bias of a logistic regression over the features of lines that stand so often; both classes count alike."""
     at, found = [], []
     often: Counter = Counter()
     for i, x in enumerate(lines):
-        f = features(x, _words(x))
+        f = features(x, words[x] if x in words else _words(x))
         at += [i] * len(f)
         found += f
         for k in f if stands[i] > 1 else ():
@@ -246,7 +254,7 @@ def fitted(pages: list[tuple[str | None, str | None, str]], clean: list[str]) ->
     is_body = np.array([b for b, _ in lines.values()], bool)
     if not is_body.any() or is_body.all():
         return Weights({}, 1.0, labels.known, labels.openers)
-    weights, bias = _regression(list(lines), is_body, np.array([n for _, n in lines.values()]))
+    weights, bias = _regression(list(lines), labels.words, is_body, np.array([n for _, n in lines.values()]))
     return Weights(weights, bias, labels.known, labels.openers)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +29,30 @@ def _repeated(spark: SparkSession, folder: str, clean: bool) -> lines.RepeatedLi
     return lines.RepeatedLines(spark, place(spark, "line-state"), REPEATED).advance(first, None, clean).advance(second, first, clean)
 
 
+def _together(*made: Callable[[], object]) -> list:
+    """What some functions make that don't need each other: their jobs share the cluster."""
+    with ThreadPoolExecutor(len(made)) as pool:
+        return [f.result() for f in [pool.submit(m) for m in made]]
+
+
 def _language_setup(spark: SparkSession, folder: str) -> tuple:
     """The model; a maker of the spans of the lines of a page's body, for the tasks to call; and the counts to repair a field's garbled texts by."""
-    clean = language.samples_of(table(spark, folder, "lang_samples"))
-    samples = clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean)
+    others = [table(spark, folder, t).select(F.col(c).alias("field")) for t, c in (("documents", "text"), ("pages_text", "text"), ("url_metadata", "snippet"))]
 
-    shared = spark.sparkContext.broadcast(_weights(spark, folder))
+    def model() -> language.Model:
+        clean = language.samples_of(table(spark, folder, "lang_samples"))
+        return language.Model(clean + language.confirmed(table(spark, folder, "documents"), F.col("lang"), F.col("text"), clean))
+
+    fitted, weights, other, decoded = _together(
+        model, lambda: _weights(spark, folder), lambda: _counts(spark, folder, others[0].unionByName(others[1]).unionByName(others[2])), lambda: _decoded_counts(spark, folder)
+    )
+    shared = spark.sparkContext.broadcast(weights)
 
     def bodies():  # noqa: ANN202
         weights = shared.value
         return lambda t: body.body_spans(t, weights)
 
-    others = [table(spark, folder, t).select(F.col(c).alias("field")) for t, c in (("documents", "text"), ("pages_text", "text"), ("url_metadata", "snippet"))]
-    other = _counts(spark, folder, others[0].unionByName(others[1]).unionByName(others[2]))
-    decoded = _decoded_counts(spark, folder)
-    return language.Model(samples), bodies, lambda field: decoded if field in ("content", "descr") else other
+    return fitted, bodies, lambda field: decoded if field in ("content", "descr") else other
 
 
 def _record_languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,14 +134,17 @@ def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
 
 def _weights(spark: SparkSession, folder: str) -> body.Weights:
     """Of body and furniture, from a bounded sample of both tables of pages."""
-    pages = body.sample_of(table(spark, folder, "pages_text"), "canonical_url", "title", "text") + body.sample_of(table(spark, folder, "search_documents"), "url", "title", "content")
-    return body.fitted(pages, body.clean_lines(table(spark, folder, "lang_samples")))
+    texts, documents, clean = _together(
+        lambda: body.sample_of(table(spark, folder, "pages_text"), "canonical_url", "title", "text"), lambda: body.sample_of(table(spark, folder, "search_documents"), "url", "title", "content"),
+        lambda: body.clean_lines(table(spark, folder, "lang_samples")),
+    )
+    return body.fitted(texts + documents, clean)
 
 
 def _page_lines(spark: SparkSession, folder: str) -> tuple[body.Weights, list[tuple[str, DataFrame]]]:
     """Weights of the lines; and the pages, garbled ones as repaired."""
-    counts = _decoded_counts(spark, folder)
-    return _weights(spark, folder), [(tab, mojibake.repaired(df, "content", counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
+    weights, counts = _together(lambda: _weights(spark, folder), lambda: _decoded_counts(spark, folder))
+    return weights, [(tab, mojibake.repaired(df, "content", counts) if tab == "search_documents" else df) for tab, df in _pages(spark, folder)]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
