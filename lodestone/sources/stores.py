@@ -89,6 +89,13 @@ class Store:
 
     counts = lengths
 
+    def used_bytes(self) -> int:
+        """Bytes of the parts that the last manifest names."""
+        return sum(self._fs.getContentSummary(self._path(p["at"])).getLength() for parts in self._manifest().values() for p in parts)
+
+    def at_capacity(self, quota_bytes: int) -> bool:
+        return self.used_bytes() >= quota_bytes
+
     def vacuum(self, keep: int = 2) -> int:
         """Removes what only manifests older than the last ``keep`` name, and these; returns how many parts went."""
         last = self.version()

@@ -2,8 +2,12 @@
 
 from datetime import datetime, timedelta
 
-from lodestone.operators import ingest
-from lodestone.streaming import stateful
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import fulltext, ingest
+from lodestone.sources.stores import LostUpdate, Store
+from lodestone.streaming import consumers, stateful
 
 
 def at(s):
@@ -55,3 +59,43 @@ def test_dead_letters(spark):
     good, bad = stateful.split_bad(df, "a int")
     assert [r.a for r in good.collect()] == [1]
     assert bad.count() == 2
+
+
+def test_page_consumers(spark, tmp_path):
+    schema = "canonical_url string, title string, text string, markdown string, language string, crawled_at timestamp"
+    store = Store(spark, f"file://{tmp_path}/store")
+    for i, rows in enumerate([[("u1", "t", "old", "# old", "en", at(0)), ("u2", None, "two", None, "de", at(0))], [("u1", "t", "new", "# new", "en", at(9)), ("u3", "t", " ", "x", "en", at(1))], [("u1", "t", "late", "# late", "en", at(5))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        consumers.text_pages(stream, store, f"{tmp_path}/c1").awaitTermination()
+        consumers.page_objects(stream, store, f"{tmp_path}/c2").awaitTermination()
+    assert {r.url: r.content for r in store.read("documents").collect()} == {"u1": "new", "u2": "two"}
+    assert {r.url: r.body for r in store.read("objects").collect()} == {"u1": "# new", "u3": "x"}
+    assert store.used_bytes() > 0 and store.at_capacity(1) and not store.at_capacity(1 << 40)
+    names = fulltext.index_names("x", ["en", "de"])
+    assert consumers.index_tables(store, names, "url string") == ["x_v1_de", "x_v1_en", "x_v1_und"] and consumers.index_tables(store, names, "url string") == []
+
+
+def test_retries_settlements_and_recalls(spark, tmp_path):
+    tries, slept = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise LostUpdate
+        return "done"
+
+    assert consumers.with_retries(flaky, sleep=slept.append) == "done" and slept == [0.5, 0.75]
+    with pytest.raises(OSError, match="gone"):
+        consumers.with_retries(lambda: (_ for _ in ()).throw(OSError("gone")), attempts=2, sleep=slept.append)
+    orders = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "b")], "order_id int, url string")
+    visits = spark.createDataFrame([(1, "a", "completed"), (1, "b", "abandoned"), (3, "a", "completed"), (3, "b", "lost")], "order_id int, url string, conclusion string")
+    assert {r.order_id: r.settlement for r in consumers.settled(orders, visits).collect()} == {1: "done", 2: "open", 3: "redeliver"}
+    bodies, log, clock = spark.createDataFrame([("u", "body")], "url string, body string"), spark.createDataFrame([("v", 7)], "url string, revision int"), iter(range(100))
+    look = lambda url, mark: consumers.recalled(url, "text", lambda: {"text": bodies}, lambda: log, mark, 3, now=lambda: next(clock), sleep=slept.append)
+    assert look("u", 0) == ("found", "body") and look("v", 6) == ("disposed", None) and look("v", 7) == ("deadline", None)
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert consumers.settled_identity(store, None, lambda: "A" * 12) == consumers.settled_identity(store, "A" * 12, str) == "A" * 12
+    with pytest.raises(ValueError, match="belongs"):
+        consumers.settled_identity(store, "B" * 12, str)
+    assert fulltext.kinds(F.lit(None).cast("array<string>")) is not None
