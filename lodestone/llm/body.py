@@ -26,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,7 @@ class _Labels:
             split.append(lines)
             for x in lines:
                 if x not in self.words:
-                    self.words[x] = _words(x)
+                    self.words[x] = [intern(w) for w in _words(x)]  # each word is held once
             for w in set().union(*(self.words[x] for x in lines)):
                 if len(sites[w]) < NAME_SITES:
                     sites[w].add(host)
@@ -232,8 +233,9 @@ def _regression(lines: list[str], words: dict[str, list[str]], is_body: np.ndarr
         for k in f if stands[i] > 1 else ():
             often[k] += int(stands[i]) - 1
     ids = {f: i for i, f in enumerate(sorted((f for f, n in Counter(found).items() if n + often[f] >= _LEAST), key=repr))}
-    pairs = [(r, ids[f]) for r, f in zip(at, found, strict=True) if f in ids]
-    row, col = np.array(pairs, np.int64).reshape(-1, 2).T
+    row, col = np.array(at, np.int64), np.fromiter((ids.get(f, -1) for f in found), np.int64, len(found))
+    row, col = row[col >= 0], col[col >= 0]
+    del at, found
     n, y, weight = len(lines), is_body.astype(float), np.sqrt(np.minimum(stands, 50.0))
     weight = weight * np.where(is_body, 0.5 / weight[is_body].sum(), 0.5 / weight[~is_body].sum())
     w, bias, moved, moved_bias = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
