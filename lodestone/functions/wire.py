@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gzip
 import io
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,19 +86,58 @@ _CARDINALS = (
 )
 
 
+#: Keys of a posting line that are read.
+_KEYS = ("h", "l", "z", "a", "d", *(k for _, k, _ in _CARDINALS))
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def _pairs(body: str) -> dict[str, str] | None:
+    """What ``properties`` gives, for one text."""
+    out = {}
+    for part in body.strip(" ").split(","):
+        if part := part.strip(_BLANKS):
+            k, eq, v = part.partition("=")
+            k = k.rstrip(_BLANKS)
+            if not eq or not k:
+                return None
+            out[k] = v.lstrip(_BLANKS)
+    return out
+
+
+def _fields(lines: DataFrame, line: str, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns, ``word_hash``, and the fields of each line that is one, as texts: taken apart once, batch by batch."""
+    rows = lines.select(*keep, F.rtrim(F.col(line), F.lit("\r")).alias("__line")).where("__line like '%{%}'")
+    kept = rows.schema[:-1]
+    names = [*(f.name for f in kept), "word_hash", *(f"__{k}" for k in _KEYS)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "word_hash string", *(f"__{k} string" for k in _KEYS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, words, found = [], [], []
+            for i, text in enumerate(b.column(len(kept)).to_pylist()):
+                word, _, rest = text.partition("{")
+                fields = _pairs(rest[:-1])
+                if fields is not None:
+                    at.append(i)
+                    words.append(word)
+                    found.append(fields)
+            taken = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(words, pa.string()), *(pa.array([f.get(k) for f in found], pa.string()) for k in _KEYS)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def read_postings(lines: DataFrame, line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings of lines ``wordhash{k=v,...}``. Lines that are none, or have a bad hash, language or flags, are dropped."""
-    text = F.rtrim(F.col(line), F.lit("\r"))
-    rows = lines.select(*keep, F.regexp_extract(text, r"^([^{]*)\{.*\}$", 1).alias("word_hash"), once(properties(F.regexp_extract(text, r"^[^{]*\{(.*)\}$", 1))).alias("p"))
-    get = lambda k: F.element_at("p", F.lit(k))
+    get = lambda k: F.col(f"__{k}")
     kinds = F.create_map(*[x for c, t in DOCUMENT_TYPES.items() for x in (F.lit(ord(c)), F.lit(t))])
-    rows = rows.where(hashing.is_hash(F.col("word_hash")) & F.col("p").isNotNull())
+    rows = _fields(lines, line, keep).where(hashing.is_hash(F.col("word_hash")))
     columns = [get("h").alias("url_hash"), F.substring(get("l"), 1, 2).alias("language"), F.when(get("z").isNull(), F.lit(0).cast("long")).otherwise(bitfield_number(get("z"))).alias("flags")]
     numbers = [micro_date(get("a")).alias("last_modified"), F.element_at(kinds, cardinal(get("d"), 0xFF)).alias("document_type"), *[F.coalesce(cardinal(get(k), m), F.lit(0)).alias(n) for n, k, m in _CARDINALS]]
-    rows = rows.select(*keep, "word_hash", once(F.struct(*columns, *numbers)).alias("v"))
-    rows = rows.where(hashing.is_hash(F.col("v.url_hash")) & F.col("v.flags").isNotNull() & (F.col("v.language").isNull() | (F.octet_length("v.language") == 2)))
+    rows = rows.select(*keep, "word_hash", *columns, *numbers)
+    rows = rows.where(hashing.is_hash(F.col("url_hash")) & F.col("flags").isNotNull() & (F.col("language").isNull() | (F.octet_length("language") == 2)))
     names = ["last_modified", "document_type", *[n for n, _, _ in _CARDINALS]]
-    return rows.select(*keep, "word_hash", "v.url_hash", "v.language", bitfield_mask(F.col("v.flags")).alias("appearance"), *[f"v.{n}" for n in names])
+    return rows.select(*keep, "word_hash", "url_hash", "language", bitfield_mask(F.col("flags")).alias("appearance"), *names)
 
 
 def read_batch(batch: DataFrame, batch_id: str, raw: str, limit: int = BATCH) -> DataFrame:
