@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, tokens, urls
+from lodestone.operators import skew
 
 CHUNK = 1000
 # Flags of a posting's appearance, from the lowest bit on.
@@ -73,9 +74,8 @@ def page_metadata(pages: DataFrame, byte_size: Column) -> DataFrame:
 
 
 def chunks(postings: DataFrame, key: str, order: list[str], size: int = CHUNK) -> DataFrame:
-    """``key, chunk, postings``: a document's postings in groups of at most ``size``."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    numbered = postings.withColumn("chunk", F.floor((n - 1) / size).cast("int"))
+    """``key, chunk, postings``: a document's postings in groups of at most ``size``, a document of any size over many tasks."""
+    numbered = skew.ranked(postings, [key], order, "__n").withColumn("chunk", F.floor(F.col("__n") / size).cast("int")).drop("__n")
     return numbered.groupBy(key, "chunk").agg(F.collect_list(F.struct(*[c for c in postings.columns if c != key])).alias("postings"))
 
 

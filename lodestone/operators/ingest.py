@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
+from lodestone.operators import skew
 from lodestone.operators.index import freshness, latest
 from lodestone.session import materialise, partitions
 
@@ -164,7 +165,6 @@ def transfer_outcome(answers: DataFrame) -> DataFrame:
 
 def delivered(rows: DataFrame, key: str, order: str, failed: str, batch: int = 50) -> DataFrame:
     """Rows with the number of their batch, and whether it was delivered: after a failed batch of a peer none is."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(order))
-    numbered = rows.withColumn("batch", F.floor((n - 1) / batch).cast("int"))
-    bad = F.min(F.when(F.col(failed), F.col("batch"))).over(W.partitionBy(key))
-    return numbered.withColumn("delivered", F.coalesce(F.col("batch") < bad, F.lit(True)))
+    numbered = skew.ranked(rows, [key], [order], "__n").withColumn("batch", F.floor(F.col("__n") / batch).cast("int")).drop("__n")
+    bad = numbered.where(F.col(failed)).groupBy(F.col(key).alias("__k")).agg(F.min("batch").alias("__bad"))
+    return numbered.join(bad, F.col(key).eqNullSafe(F.col("__k")), "left").withColumn("delivered", F.coalesce(F.col("batch") < F.col("__bad"), F.lit(True))).drop("__k", "__bad")

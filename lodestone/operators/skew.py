@@ -15,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.session import partitions
+from lodestone.session import materialise, partitions
 
 _STATE = (
     "key string, part int, n_rows long, n_distinct long, total long, first_value string, last_value string, "
@@ -137,3 +138,45 @@ def heavy_keys(df: DataFrame, key: Column, row_id: Column, share: float, width:
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()  # from the files' footers
     counts = per_key(df, key, none, none, row_id, 0, width).select("key", "n_rows")
     return counts.where(F.col("n_rows") >= F.lit(share) * total).select("key", "n_rows", (F.col("n_rows") / total).alias("share"))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Rows with ``out``, their place from 0 on among the rows of their key, in the given order, nulls first.
+
+    Rows are range-partitioned by key and order, so a key of any size is spread over parts. Each part numbers the rows
+    of its keys; only the first key of a part can have begun in parts before, and how many rows it has there is known
+    from one row a part. Equal rows are numbered in any order.
+    """
+    spark = df.sparkSession
+    plain = df.schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain), "__place long", "__part int"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        at = [plain.names.index(k) for k in keys]
+        for b in batches:
+            places = []
+            for key in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                seen = seen + 1 if key == last else 0
+                last = key
+                places.append(seen)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places, pa.int64()), pa.array([part] * len(places), pa.int32())], names=[*plain.names, "__place", "__part"])
+
+    by = [*keys, *order]
+    rows = materialise(df.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(number, schema), "ranked")
+    key = F.struct(*keys)
+    ends = rows.groupBy("__part").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("k"), "__place")).alias("last")).collect()  # one row a part
+    offsets, held = [], (None, 0)
+    for r in sorted(ends, key=lambda r: r["__part"]):
+        before = held[1] if held[0] == r.first else 0
+        offsets.append((r["__part"], r.first, before))
+        held = r.last.k, r.last["__place"] + 1 + (before if r.last.k == r.first else 0)
+    wanted = [o for o in offsets if o[2]]
+    if not wanted:
+        return rows.withColumnRenamed("__place", out).drop("__part")
+    fields = T.StructType([T.StructField("__part", T.IntegerType()), T.StructField("__first", T.StructType([plain[k] for k in keys])), T.StructField("__before", T.LongType())])
+    moved = rows.join(F.broadcast(spark.createDataFrame(wanted, fields)), "__part", "left")
+    rank = F.col("__place") + F.when(key == F.col("__first"), F.col("__before")).otherwise(0)
+    return moved.withColumn(out, F.coalesce(rank, F.col("__place"))).drop("__place", "__part", "__first", "__before")

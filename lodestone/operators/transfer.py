@@ -39,7 +39,10 @@ def transfer_key(entry_count: Column) -> Column:
 
 
 def posting_requests(lines: DataFrame, transfer: str, sender: Column, receiver: Column, line: str = "line") -> DataFrame:
-    """``transfer, form``: requests with the postings of each transfer, a line each in their own order."""
+    """``transfer, form``: requests with the postings of each transfer, a line each in their own order.
+
+    Transfers are bounded groups, such as those of ``index.chunks``: a request is one value.
+    """
     rows = lines.groupBy(transfer).agg(F.sort_array(F.collect_list(line)).alias("__l"), F.count_distinct(F.substring(line, 1, 12)).alias("__w"))
     n = F.size("__l")
     return rows.select(transfer, _form(**{_UNIT: F.lit(NETWORK)}, iam=sender, youare=receiver, wordc=F.col("__w"), entryc=n, indexes=F.array_join("__l", "\n"), key=transfer_key(n)).alias("form"))

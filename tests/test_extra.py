@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import extensions
 from lodestone.functions import codecs, hashing, urls, wire
-from lodestone.operators import crawl, distribution, frontier, index, ingest, transfer
+from lodestone.operators import crawl, distribution, frontier, index, ingest, skew, transfer
 from lodestone.sources import compacted
 from lodestone.sources.stores import Store
 
@@ -155,6 +155,23 @@ def test_compacted_tables_follow_their_files(spark, tmp_path):
     assert compacted.postings(spark, str(tmp_path)).count() == 10
 
 
+@pytest.mark.parametrize("width", [1, 3, 8])
+def test_ranks_over_parts(spark, width):
+    random.seed(width)
+    rows = [(random.choice(["hot"] * 7 + ["a", "z", None]), random.choice([1, 2, 3, 9, None]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o int, i long").withColumn("rank", F.lit("clash"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        got = {r.i: r.n for r in skew.ranked(df, ["k"], ["o", "i"], "n").collect()}
+        assert skew.ranked(df.limit(0), ["k"], ["o"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[i] for _, _, i in own] == list(range(len(own)))
+
+
 def test_page_chunks_of_nothing(spark):
     p = spark.createDataFrame([], "url_hash string, word_hash string, hits int")
     assert index.page_chunks(p.select("url_hash"), p, "url_hash", ["word_hash"]).count() == 0
