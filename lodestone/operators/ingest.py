@@ -152,7 +152,7 @@ def unreachable(peers: DataFrame, limit: int) -> DataFrame:
 
 def known_sample(peers: DataFrame, n: int, seed: int) -> DataFrame:
     """A random sample of peers: a sampling operator, with its seed."""
-    return peers.orderBy(F.xxhash64(F.lit(seed), "peer_hash")).limit(n)
+    return peers.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "peer_hash")), "peer_hash").limit(n)
 
 
 def transfer_outcome(answers: DataFrame) -> DataFrame:

@@ -595,7 +595,7 @@ def unreachable_peers(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.unreachable(s, 50).select("peer_hash")
 
 
-@query()
+@query("select peer_hash, peer_name from seeds order by md5('7:' || peer_hash), peer_hash limit 100")
 def known_peers_sample(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.known_sample(table(spark, folder, "seeds"), 100, 7).select("peer_hash", "peer_name")
 
@@ -737,11 +737,21 @@ def _html_pages(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(F.col("canonical_url").alias("url"), html.page_of_text(F.col("title"), F.col("text"), F.col("language")).alias("html"))
 
 
-@query()
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(rf"with {_PAGES} select canonical_url url, regexp_replace(regexp_replace(coalesce(title, ''), '^{_SPACE}|{_SPACE}$', '', 'g'), '{_SPACE}', ' ', 'g') title, case when regexp_full_match(l, '[a-z]{{2}}') then l end as language, cast(0 as int) local_links, cast(0 as int) external_links, false refuses_indexing from (select *, regexp_split_to_array(lower(trim(language)), '[-_]')[1] l from pg)")
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return _html_pages(spark, folder).select("url", html.extract("url", "html").alias("x")).select("url", "x.title", "x.language", "x.local_links", "x.external_links", "x.refuses_indexing")
 
 
+@query(rf"""with {_PAGES}, t as (select canonical_url url, list_transform(string_split(coalesce(title, '') || coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^{_SPACE}|{_SPACE}$', '', 'g'), '{_SPACE}', ' ', 'g')) lines from pg)
+    select url, array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) full_text from t""")
+def page_full_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages made of texts, flattened again: a line for each block, the title before the first."""
+    return _html_pages(spark, folder).select("url", html.flatten("html").alias("full_text"))
+
+
 @query()
 def page_formats(spark: SparkSession, folder: str) -> DataFrame:
     return derive.formats(_html_pages(spark, folder), "html", "html", ["full_text", "readable_html", "readable_text", "markdown"]).drop("html")
