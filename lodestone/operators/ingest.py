@@ -5,10 +5,6 @@ These are the state machines as batch plans; :mod:`lodestone.streaming` runs the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +12,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashing
 from lodestone.operators import skew
 from lodestone.operators.index import freshness, latest
-from lodestone.session import materialise, partitions
 
 # Postings of a batch, waiting postings, seconds they wait, and share of the quota at which eviction begins.
 BATCH, WAITING, HOLD_SECONDS, HIGH_WATER, EVICTED_AT_ONCE = 1000, 8192, 300, 0.9, 256
@@ -42,7 +37,7 @@ def receipts(batches: DataFrame, metadata: DataFrame, waiting: DataFrame, batch:
     store is full, or if the postings that it would newly hold don't fit beside those waiting and those of batches
     before. A posting held already is held again and takes no more room.
 
-    Batches are summed up to one row each before their order matters. Room is counted as if each batch before that is
+    Batches are summed up to one row each before their order matters, and running sums are made over ranges of them. Room is counted as if each batch before that is
     not too large were held, so once the escrow is full it stays so for those that need room.
     """
     key = ["word_hash", "url_hash"]
@@ -52,7 +47,8 @@ def receipts(batches: DataFrame, metadata: DataFrame, waiting: DataFrame, batch:
     per = routed.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("route") == "stored").alias("n_stored"), F.count_if(F.col("route") == "held").alias("n_held"))
     rows = per.join(new, batch, "left").withColumn("__new", F.coalesce("__new", F.lit(0)))
     room = capacity - waiting.select(*key).distinct().count()
-    fits = F.sum(F.when(F.col("n") <= batch_cap, F.col("__new")).otherwise(0)).over(W.orderBy(batch).rowsBetween(W.unboundedPreceding, W.currentRow)) <= room
+    rows = skew.running(rows.withColumn("__asks", F.when(F.col("n") <= batch_cap, F.col("__new")).otherwise(0).cast("long")), [batch], "__asks", "__sum")
+    fits = F.col("__sum") + F.col("__asks") <= room
     refusal = F.when(F.col("n") > batch_cap, TOO_LARGE).when(F.lit(at_capacity), STORAGE_FULL).when((F.col("__new") > 0) & ~fits, ESCROW_FULL)
     none = lambda c: F.when(F.col("refusal").isNull(), F.col(c)).otherwise(0).alias(c)
     return rows.withColumn("refusal", refusal).select(batch, "n", none("n_stored"), none("n_held"), "refusal")
@@ -112,31 +108,14 @@ def stalest(metadata: DataFrame, limit: int) -> DataFrame:
 def evicted(metadata: DataFrame, sizes: DataFrame, quota_bytes: int, high_water: float = HIGH_WATER) -> DataFrame:
     """The stalest documents that have to go until less than the high-water mark is used.
 
-    ``sizes`` has ``url_hash, bytes``. Documents are range-partitioned by day and hash, so that a day of any size, such
-    as the unknown one, is spread over tasks. Each part adds up its bytes; the sums of the parts before it, one row a
-    part, are added to the sums within it.
+    ``sizes`` has ``url_hash, bytes``. Running sums are made over ranges of day and hash, so that a day of any size, such
+    as the unknown one, is spread over tasks.
     """
-    spark = metadata.sparkSession
     rows = metadata.select("url_hash", F.coalesce(freshness(metadata), F.to_date(F.lit("0001-01-01"))).alias("day")).join(sizes, "url_hash")
-    # written once, so that both passes see the same parts
-    rows = materialise(rows.repartitionByRange(partitions(spark), "day", "url_hash").sortWithinPartitions("day", "url_hash").mapInArrow(_sums_within, "url_hash string, day date, bytes long, part int, before long"), "by-age")
-    parts = rows.groupBy("part").agg(F.sum("bytes").alias("n"), F.min(F.struct("day", "url_hash")).alias("first"))
-    # one row a part
-    offsets = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("n").over(W.partitionBy()).alias("used"))
-    excess = F.col("used") - F.lit(int(quota_bytes * high_water)) + 1
-    return rows.join(F.broadcast(offsets), "part").where(F.col("earlier") + F.col("before") < excess).select("url_hash", F.nullif("day", F.to_date(F.lit("0001-01-01"))).alias("fresh_on"), "bytes")
-
-
-def _sums_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the part they are in and the bytes of those before them there."""
-    from pyspark import TaskContext
-
-    part, total = TaskContext.get().partitionId(), 0
-    for b in batches:
-        n = b.column(2).to_numpy(zero_copy_only=False)
-        after = np.cumsum(n) + total
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part), pa.int32()), pa.array(after - n, pa.int64())], names=["url_hash", "day", "bytes", "part", "before"])
-        total = int(after[-1]) if len(n) else total
+    rows = skew.running(rows.select("url_hash", "day", "bytes"), ["day", "url_hash"], "bytes", "before")
+    used = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).scalar()
+    excess = used - F.lit(int(quota_bytes * high_water)) + 1
+    return rows.where(F.col("before") < excess).select("url_hash", F.nullif("day", F.to_date(F.lit("0001-01-01"))).alias("fresh_on"), "bytes")
 
 
 def roster(sightings: DataFrame, capacity: int) -> DataFrame:

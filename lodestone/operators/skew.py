@@ -180,3 +180,35 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank")
     moved = rows.join(F.broadcast(spark.createDataFrame(wanted, fields)), "__part", "left")
     rank = F.col("__place") + F.when(key == F.col("__first"), F.col("__before")).otherwise(0)
     return moved.withColumn(out, F.coalesce(rank, F.col("__place"))).drop("__place", "__part", "__first", "__before")
+
+
+def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Rows with ``out``, the sum of a whole number over all rows before, in the given order; a null counts as 0.
+
+    Rows are range-partitioned by the order and each part adds up its own; the sums of the parts before it, one row a
+    part, are added then. No task sees more than its part.
+    """
+    plain = df.schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain), "__local long", "__part int"])
+    at = plain.names.index(value)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = np.asarray(pc.fill_null(b.column(at).cast(pa.int64()), 0))
+            after = np.cumsum(n) + total
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(after - n, pa.int64()), pa.array(np.full(len(n), part), pa.int32())], names=[*plain.names, "__local", "__part"])
+            total = int(after[-1]) if len(n) else total
+
+    spark = df.sparkSession
+    # written once, so that both reads see the same parts
+    rows = materialise(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(add, schema), "running")
+    sums = sorted((r["__part"], r.n or 0) for r in rows.groupBy("__part").agg(F.sum(value).alias("n")).collect())  # one row a part
+    earlier, total = [], 0
+    for part, n in sums:
+        earlier.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(earlier, "__part int, __earlier long")
+    return rows.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__earlier") + F.col("__local")).drop("__part", "__earlier", "__local")
