@@ -28,9 +28,12 @@ def state_of(spark: SparkSession, path: str) -> tuple:
 
 
 def kept(spark: SparkSession, folder: str, name: str, what: str, make: Callable[[], DataFrame], sort: list[str]) -> DataFrame:
-    """A table made of table ``name`` of a folder, written once in the order of ``sort`` for a state of its files."""
+    """A table made of table ``name`` of a folder, written once in the order of ``sort`` for a state of its files.
+
+    If what was written is gone, as the shared folder was cleared, it is written again.
+    """
     key = (spark.sparkContext.applicationId, folder, what, state_of(spark, f"{folder}/{name}.parquet"))
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not state_of(spark, f"{_WRITTEN[key][0]}/_SUCCESS"):
         df, at = make(), place(spark, what)
         df.repartitionByRange(partitions(spark), *sort).sortWithinPartitions(*sort).write.parquet(at)
         _WRITTEN[key] = at, df.schema

@@ -1,6 +1,7 @@
 """Codecs, transfers, distribution, frontier, extension points and regions, against small cases."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,9 @@ def test_compacted_tables_follow_their_files(spark, tmp_path):
     want = {(w, u): h for _, w, u, h in rows}
     assert {(r.word_hash, r.url_hash): r.hits for r in compacted.postings(spark, str(tmp_path)).collect()} == want
     assert {r.word_hash: r.n for r in compacted.words(spark, str(tmp_path)).collect()} == {w: len({u for x, u in want if x == w}) for w, _ in want}
+    at = compacted.postings(spark, str(tmp_path)).inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    shutil.rmtree("/" + at.lstrip("/"))
+    assert compacted.postings(spark, str(tmp_path)).count() == len(want)
     write([(i, w, u, h + 1) for i, w, u, h in rows[:10]])
     assert compacted.postings(spark, str(tmp_path)).count() == 10
 
