@@ -52,20 +52,34 @@ def check(sources: set[str], targets: set[str], catalogue: tuple[Derivation, ...
 
 
 def formats(pages: DataFrame, source: str, column: str, targets: list[str], catalogue: tuple[Derivation, ...] = CATALOGUE) -> DataFrame:
-    """Pages with a column for each wanted format; each step is a column of its own, the first that isn't null counts."""
-    known: dict[str, Column] = {source: F.col(column)}
+    """Pages with a column for each wanted format; each format is made once, the first derivation that isn't null counts.
+
+    A later derivation is given only the pages for which those before it made nothing. Formats that no wanted one needs
+    aren't made.
+    """
+    wanted, open_ = set(), list(targets)
+    while open_:
+        t = open_.pop()
+        if t not in wanted:
+            wanted.add(t)
+            open_ += [d.source for d in catalogue if d.target == t and derivable(source, d.source, catalogue)]
+    known, rows = {source: column}, pages
     changed = True
     while changed:
         changed = False
-        for d in catalogue:
-            if d.target not in known and d.source in known and all(o.source in known for o in catalogue if o.target == d.target and derivable(source, o.source, catalogue)):
-                made = [o.derive(known[o.source]) for o in catalogue if o.target == d.target and o.source in known]
-                known[d.target] = F.coalesce(*made) if len(made) > 1 else made[0]
-                changed = True
+        for target in dict.fromkeys(d.target for d in catalogue):
+            ways = [o for o in catalogue if o.target == target and derivable(source, o.source, catalogue)]
+            if target in known or target not in wanted or not ways or any(o.source not in known for o in ways):
+                continue
+            name = f"__{target}"
+            for n, o in enumerate(ways):
+                given = F.col(known[o.source])
+                rows = rows.withColumn(name, o.derive(given) if n == 0 else F.coalesce(name, o.derive(F.when(F.col(name).isNull(), given))))
+            known[target], changed = name, True
     missing = [t for t in targets if t not in known]
     if missing:
         raise ValueError(f"nothing leads to {missing}")
-    return pages.withColumns({t: known[t] for t in targets})
+    return rows.select(*[c for c in pages.columns if c not in targets], *[F.col(known[t]).alias(t) for t in targets])
 
 
 def published(pages: DataFrame, targets: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
