@@ -1,7 +1,10 @@
 """Streams give what the batch plans give."""
 
+import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +36,58 @@ def test_escrow_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("remember", [None, 40])
+def test_escrow_works_on_all_documents_of_a_page_at_once(remember):
+    """As if row by row, in a few calls to the state however many documents a batch has."""
+
+    class State:
+        kept, calls, timers = None, 0, ()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls, self.kept = self.calls + 1, value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls, self.timers = self.calls + 1, (*self.timers, at)
+
+    rng, state, hold, got, want = random.Random(5), State(), 30, [], []
+    arrived, waiting = {}, {}
+    escrow = stateful._Escrow(hold, remember)
+    escrow.init(state)
+    for batch in range(6):
+        rows = [(rng.choice(["posting"] * 5 + ["metadata"]), f"u{rng.randrange(60)}", f"w{rng.randrange(3)}", (batch * 20 + rng.randrange(20)) * 1_000_000) for _ in range(200)]
+        events = pd.DataFrame(rows, columns=["kind", "url_hash", "word_hash", "us"])
+        events.loc[events.kind == "metadata", "word_hash"] = None
+        before = state.calls
+        for out in escrow.handleInputRows((0,), iter([events[:90], events[90:]]), None):
+            got += [(batch, *r) for r in out.itertuples(index=False)]
+        assert state.calls - before <= 3
+        for kind, u, w, t in sorted(rows, key=lambda r: (r[3], r[0])):
+            if kind == "metadata":
+                arrived.setdefault(u, t)
+                want += [(batch, k, u, h, "expired" if t - h > hold * 1e6 else "released") for k, h in waiting.pop(u, {}).items()]
+            elif u in arrived and (not remember or t <= arrived[u] + remember * 1e6):
+                want.append((batch, w, u, t, "stored"))
+            else:
+                waiting.setdefault(u, {})[w] = t
+        now = (batch * 20 + 19) * 1000
+        fired, state.timers = [t for t in state.timers if t <= now], tuple(t for t in state.timers if t > now)
+        for _ in fired:
+            for out in escrow.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None):
+                got += [(batch, *r) for r in out.itertuples(index=False)]
+        for u, words in waiting.items():
+            want += [(batch, w, u, h, "expired") for w, h in words.items() if h / 1000 + hold * 1000 <= now]
+            waiting[u] = {w: h for w, h in words.items() if h / 1000 + hold * 1000 > now}
+        arrived = {u: t for u, t in arrived.items() if not remember or t / 1000 + remember * 1000 > now}
+    assert sorted(got) == sorted(want) and {o for *_, o in got} == {"stored", "released", "expired"}
+
+
 def test_escrow_forgets_arrivals(spark, tmp_path):
     """A posting after the memory ended waits again, unless the metadata table tells."""
     schema = "kind string, url_hash string, word_hash string, at timestamp"
