@@ -7,13 +7,11 @@ the scores of the lines finds the best contiguous region (maximum-scoring subseq
 zero interrupt it and are furniture too. A line that opens a list of links turns the headings below it into links,
 whatever their words.
 
-The weights are a logistic regression over labelled pages, and the pages label themselves. In a sample of at most
-``MAX_PAGES`` pages of each table (the least by a hash), names are masked: words of fewer than
-``NAME_SITES`` sites. What is the same in ``REPEATED`` pages or more is furniture, unless it mostly follows the page's
+The weights are a logistic regression over labelled pages, and the pages label themselves: those at hand (``fitted``), or
+all of some tables (``bodyfit.fitted``). Names are masked: words of fewer than ``NAME_SITES`` sites. What is the same in ``REPEATED`` pages or more is furniture, unless it mostly follows the page's
 own title (a byline); it opens a list if mostly single lines that repeat nowhere come after it. Shapes of lines that
 stand hardly ever between two paragraphs are furniture; sentences, the page's own title (or what stands before a byline), and
-what stands between paragraphs without being repeated are of the body. So nothing is written down about any site or language. The bounds
-concern the fit alone; all pages are scored.
+what stands between paragraphs without being repeated are of the body. So nothing is written down about any site or language.
 
 Nothing is shuffled: each page is scored where it is read, in one pass. A null text has no lines; an empty or blank line
 belongs to neither side and is never reported, nor kept at the ends of a body; a page without any line of positive score
@@ -261,7 +259,7 @@ def fitted(pages: list[tuple[str | None, str | None, str]], clean: list[str]) ->
 
 
 def sample_of(pages: DataFrame, url: str, title: str, text: str, max_pages: int = MAX_PAGES) -> list[tuple[str | None, str | None, str]]:
-    """``max_pages`` pages of a table, the least by a hash; whole pages, very long ones left out of the fit."""
+    """``max_pages`` pages of a table, the least by a hash, for trials; very long ones left out. No query goes by it."""
     rows = pages.select(F.col(url).alias("u"), F.col(title).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull() & (F.length("x") <= MAX_PAGE_CHARS))
     return [tuple(r) for r in least(rows, max_pages)]
 

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import body, language, leak, lines, mojibake, packing, truncation
+from lodestone.llm import body, bodyfit, language, leak, lines, mojibake, packing, truncation
 from lodestone.llm.sql import SQL  # noqa: F401
 from lodestone.session import materialise, place
 from lodestone.sources.tables import table
@@ -133,12 +133,12 @@ def _pages(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
 
 
 def _weights(spark: SparkSession, folder: str) -> body.Weights:
-    """Of body and furniture, from a bounded sample of both tables of pages."""
-    texts, documents, clean = _together(
-        lambda: body.sample_of(table(spark, folder, "pages_text"), "canonical_url", "title", "text"), lambda: body.sample_of(table(spark, folder, "search_documents"), "url", "title", "content"),
-        lambda: body.clean_lines(table(spark, folder, "lang_samples")),
-    )
-    return body.fitted(texts + documents, clean)
+    """Of body and furniture, from all pages of both tables."""
+    pages = [
+        table(spark, folder, t).select(F.col(url).alias("u"), F.col("title").alias("t"), F.col(text).alias("x"))
+        for t, url, text in (("pages_text", "canonical_url", "text"), ("search_documents", "url", "content"))
+    ]
+    return bodyfit.fitted(pages, body.clean_lines(table(spark, folder, "lang_samples")))
 
 
 def _page_lines(spark: SparkSession, folder: str) -> tuple[body.Weights, list[tuple[str, DataFrame]]]:

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import body, language, leak, lines, mojibake, packing, queries, truncation
+from lodestone.llm import body, bodyfit, language, leak, lines, mojibake, packing, queries, truncation
 from lodestone.sources import stores
 
 # --- repeated lines ---
@@ -318,6 +318,33 @@ def test_nothing_to_learn_from(spark):
     assert body.sample_of(empty, "url", "title", "text") == [] and body.furniture(empty.withColumn("i", F.lit(1)), F.col("i"), F.col("text"), w).count() == 0
 
 
+def test_weights_of_all_pages_of_a_table(spark):
+    """With one shard they are those of the pages at hand; with more, bodies are the same."""
+    rows = [(u, t, "\n".join(x for _, x in lines)) for u, t, lines in site_pages(random.Random(29))]
+    clean = ["One clean sentence stands here.", "And here another one, as clean."]
+    df = spark.createDataFrame([*rows, ("u", None, None), (None, None, " \n ")], "u string, t string, x string").repartition(5)
+    got, want = bodyfit.fitted([df.where("length(x) % 2 = 0 or x is null"), df.where("length(x) % 2 = 1")], clean), body.fitted(rows, clean)
+    assert (got.known, got.openers) == (want.known, want.openers) and got.weights.keys() == want.weights.keys()
+    for _, _, text in rows:
+        assert body.body_lines(text, got) == body.body_lines(text, want)
+    shards = bodyfit.fitted([df], clean, len(rows) // 2)
+    assert (shards.known, shards.openers) == (want.known, want.openers)
+    lines = [(a, b) for _, _, x in rows for a, b in zip(body.body_lines(x, shards), body.body_lines(x, want), strict=True)]
+    assert sum(a == b for a, b in lines) > 0.99 * len(lines)
+    assert body.body_lines("a\nb", bodyfit.fitted([df.where("false")], [])) == [True, True]
+
+
+def test_no_page_is_left_out_of_the_weights(spark, tmp_path):
+    """Each of the rare words stands on three of 6,000 pages, each of another site; one of them is a very long page."""
+    rare = ["rare" + a + b for a in "abcdef" for b in "vwxyz"]
+    word = lambda i: rare[i % 2000] if i % 2000 < len(rare) else "more"
+    rows = [(f"https://s{i % 9}.example/{i}", "t", f"Some words of page {i} and {word(i)} too." + " long" * (30_000 * (i == 0))) for i in range(6000)]
+    spark.createDataFrame(rows, "canonical_url string, title string, text string").write.parquet(str(tmp_path / "pages_text.parquet"))
+    spark.createDataFrame(rows[:3], "url string, title string, content string").write.parquet(str(tmp_path / "search_documents.parquet"))
+    spark.createDataFrame([("A clean sentence.",)], "text string").write.parquet(str(tmp_path / "lang_samples.parquet"))
+    assert set(rare) <= queries._weights(spark, str(tmp_path)).known
+
+
 # --- languages ---
 
 WORDS = {"en": "the of and with under some many peers share pages before every hour", "de": "der die und mit unter einige viele teilen seiten vor jeder stunde nicht", "ru": "и под некоторые многие делят страницы перед каждым часом не только они"}
@@ -556,3 +583,4 @@ def test_sources_show_limits_in_bytes(spark, tmp_path):
     folder = _tables(spark, tmp_path, documents=rows)
     got = queries.p8_sources(spark, folder).first()
     assert 600 in got.limits_bytes and 600 not in got.limits
+
