@@ -23,11 +23,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
+from itertools import chain
 from sys import intern
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,58 +48,166 @@ _LEAN = 1.0
 _STEPS, _RATE, _SHRINK = 150, 0.5, 1e-6
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _DIGIT = re.compile(r"\d")
-_TAG = re.compile(r"[›»|·←→©•/–…:]|\s\s+(?=\S)")
-_SENTENCE_END = re.compile(r"[.!?…][\"'”»)\]]*\s*$")
-_CLOSING = re.compile(r"[\"'”»)\]]*\s*$")
+_TAG = re.compile(r"[›»|·←→©•/–…:]")
+_TWO_BLANKS = re.compile(r"\s\s")
+_CLOSING = "\"'”»)]"
 _BULLET = re.compile(r"^\s*(?:([-*•–])|(\d+)[.)])\s")
-_PLAIN = re.compile(r"[^\W_]+(?:[ '’,;.!?()\-]+[^\W_]+)*")
+_ALPHANUMERIC = re.compile(r"[^\W_]+")
+_PLAIN = re.compile(r"x(?:[ '’,;.!?()\-]+x)*")
 _BLANKS = re.compile(r"\s+")
 #: upper ends of the classes of how many words a line has
 _SIZES = (0, 1, 2, 3, 4, 6, 9, 14, 24, 49)
 _NAME = "xxx"
 _CACHED = 200
+_HELD = 50_000
+#: odd, for the hash of a word at a place of a line
+_PLACE = 0x9E3779B97F4A7C15
+#: characters worked on at once
+_AT_ONCE = 2_000_000
+
+
+class _Tokens(dict):
+    """What is made of a token, once; a bounded number of them is held."""
+
+    def __init__(self, make):  # noqa: ANN001
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str):  # noqa: ANN204
+        if len(self) > 100_000:
+            self.clear()
+        self[token] = made = self.make(token)
+        return made
+
+
+#: No word or number spans a blank, so a line's are those of its tokens.
+_words_of = _Tokens(lambda token: tuple(_WORD.findall(token))).__getitem__
+_masked_of = _Tokens(lambda token: tuple(["0" if w.isdigit() else w for w in _WORD.findall(token)])).__getitem__
+_signs_of = _Tokens(lambda token: _ALPHANUMERIC.sub("x", token)).__getitem__
 
 
 def _words(line: str) -> list[str]:
-    words = _WORD.findall(line.lower())
-    return ["0" if w.isdigit() else w for w in words] if _DIGIT.search(line) else words
+    """The words of a line in small letters; where it has a digit, its numbers are alike."""
+    return list(chain.from_iterable(map(_masked_of if _DIGIT.search(line) else _words_of, line.lower().split())))
+
+
+def worded(lines: list[str], alike: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of each word of some texts, in order, the number of its text and of itself; and the words by number: those of ``_words``, or with all numbers as they are."""
+    parts = pc.ascii_split_whitespace(pa.array([x.lower() for x in lines], pa.string()))
+    tokens = parts.flatten().dictionary_encode()
+    made = list(map(_words_of, tokens.dictionary.to_pylist()))
+    numbers: dict[str, int] = {}
+    of_tokens = np.array([numbers.setdefault(w, len(numbers)) for ws in made for w in ws], np.int64)
+    sizes = np.array([len(ws) for ws in made], np.int64)
+    token = tokens.indices.to_numpy()
+    n = sizes[token]
+    line = np.repeat(np.repeat(np.arange(len(lines)), parts.value_lengths().to_numpy()), n)
+    word = of_tokens[np.repeat((np.cumsum(sizes) - sizes)[token] - (np.cumsum(n) - n), n) + np.arange(len(line))]
+    digits = np.array([w.isdigit() for w in numbers], bool)
+    if alike and digits.any():
+        zero = numbers.setdefault("0", len(numbers))
+        decimal, digits = (np.array([f(w) for w in numbers], bool) for f in (str.isdecimal, str.isdigit))
+        has = np.zeros(len(lines), bool)
+        has[line[decimal[word]]] = True
+        word = np.where(digits[word] & has[line], zero, word)
+    return line, word, list(numbers)
+
+
+def distinct(line: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``n`` words once in each line, in order of lines."""
+    bits = n.bit_length()
+    both = np.sort(line << bits | word)
+    both = both[np.diff(both, prepend=-1) != 0]
+    return both >> bits, both & (1 << bits) - 1
+
+
+def hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def skeletons(line: np.ndarray, word: np.ndarray, words: list[str], known: frozenset[str], n: int) -> np.ndarray:
+    """Hashes of the skeletons of ``n`` lines of these words; 0 for one of names and numbers alone."""
+    of_words = np.array([hashed(w if w in known else _NAME) for w in words], np.int64).view(np.uint64)
+    tells = np.array([w in known and w not in (_NAME, "0") for w in words], bool)
+    out = np.zeros(n, np.uint64)
+    if len(line):
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        place = np.arange(len(line)) - np.repeat(first, np.diff(first, append=len(line)))
+        powers = np.cumprod(np.full(place.max() + 1, _PLACE, np.uint64), dtype=np.uint64)
+        told = np.logical_or.reduceat(tells[word], first)
+        out[line[first]] = np.where(told, np.maximum(np.add.reduceat(of_words[word] * powers[place], first), np.uint64(1)), np.uint64(0))
+    return out.view(np.int64)
+
+
+def slices(texts: list[str | None]) -> Iterator[slice]:
+    """Texts that are worked on at once."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held > _AT_ONCE:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def _letters(line: str) -> str:
-    return "".join(_WORD.findall(line.lower()))
+    return "".join(chain.from_iterable(map(_words_of, line.lower().split())))
+
+
+def is_title(line: str, title: str) -> bool:
+    """Whether the letters of a line that isn't blank are these, of the page's title."""
+    # equal letters have equal lengths but for what is no letter
+    return title != "" and len(line) >= len(title) and title.startswith("".join(_words_of(line.split(None, 1)[0].lower()))) and _letters(line) == title
 
 
 def _shape(line: str) -> str:
     """A line with each run of plain words as one sign, so that marks and tags remain."""
-    return _BLANKS.sub(" ", _PLAIN.sub("x", line.strip()))
+    return _BLANKS.sub(" ", _PLAIN.sub("x", " ".join(map(_signs_of, line.strip().split(" ")))))
+
+
+def ends_sentence(line: str) -> bool:
+    last = line.rstrip().rstrip(_CLOSING)[-1:]
+    return last != "" and last in ".!?…"
 
 
 def _is_paragraph(line: str, words: list[str] | tuple[str, ...]) -> bool:
-    return len(words) >= _WORDS_OF_PARAGRAPH and _SENTENCE_END.search(line) is not None and _BULLET.match(line) is None
+    return len(words) >= _WORDS_OF_PARAGRAPH and ends_sentence(line) and _BULLET.match(line) is None
 
 
-def features(line: str, words: list[str]) -> set:
-    """The tokens of a line with these words: words, and tags as triples."""
+def _tags(line: str, n: int) -> list[tuple[str, object, str]]:
+    """The tags of a line of ``n`` words, each once."""
     s = line.strip().replace("\xa0", " ")
-    out = set(words)
-    out.add(("words", bisect_left(_SIZES, len(words)), ""))
-    last = _CLOSING.sub("", s)[-1:]
-    out.add(("end", last if not last.isalnum() else "0" if last.isdigit() else "a", ""))
-    if m := _BULLET.match(s):
-        out.add(("bullet", "0" if m.group(2) else m.group(1), ""))
+    last = s.rstrip(_CLOSING)[-1:]
+    out = [("words", bisect_left(_SIZES, n), ""), ("end", last if not last.isalnum() else "0" if last.isdigit() else "a", "")]
+    if (s[:1] in "-*•–" or s[:1].isdecimal()) and (m := _BULLET.match(s)):
+        out.append(("bullet", "0" if m.group(2) else m.group(1), ""))
         s = s[m.end() :]
-    out.update([("tag", " " if t.isspace() else t, "") for t in set(_TAG.findall(s))])
+    out += [("tag", t, "") for t in set(_TAG.findall(s))]
+    if "  " in s or not s.isprintable() and _TWO_BLANKS.search(s):
+        out.append(("tag", " ", ""))
     if s.isupper():
-        out.add(("capitals", "", ""))
+        out.append(("capitals", "", ""))
     return out
 
 
+def features(line: str, words: list[str]) -> set:
+    """The tokens of a line with these words: words, and tags as triples."""
+    return {*words, *_tags(line, len(words))}
+
+
 class Weights:
     """Weights of tokens, and which repeated lines open a list of links."""
 
     def __init__(self, weights: dict, bias: float, known: frozenset[str], openers: frozenset[tuple[str, ...]]):
         self.weights, self.bias, self.known, self.openers = weights, bias, known, openers
         self.sizes = frozenset(map(len, openers))
+        openers_ = [(i, w) for i, k in enumerate(openers) for w in k]
+        words = list({w: None for _, w in openers_})
+        at = {w: i for i, w in enumerate(words)}
+        line, word = (np.array(x, np.int64) for x in ([i for i, _ in openers_], [at[w] for _, w in openers_]))
+        #: hashes of those skeletons with more than names and numbers
+        self.openers_hashed = frozenset(skeletons(line, word, words, frozenset(words) - {_NAME}, len(openers)).tolist()) - {0}
         self._seen: dict[str, tuple[float, bool]] = {}
 
     def __getstate__(self) -> dict:
@@ -114,11 +225,25 @@ class Weights:
             score = self.bias + sum(filter(None, map(self.weights.get, features(line, words))))
             known = max(_FLOOR, min(_CLIP, score)), len(words) in self.sizes and self.skeleton(words) in self.openers
             if len(line) <= _CACHED:  # short lines come again
-                if len(self._seen) > 50_000:
+                if len(self._seen) > _HELD:
                     self._seen.clear()
                 self._seen[line] = known
         return known
 
+    def look(self, texts: list[str]) -> None:
+        """The same of all lines of some texts, at once: ``line`` finds them made."""
+        if len(self._seen) > _HELD:
+            self._seen.clear()
+        new = [x for x in dict.fromkeys(chain.from_iterable(t.split("\n") for t in texts)) if x not in self._seen and x.strip()]
+        at, word, words = worded(new)
+        counts, opens = np.bincount(at, minlength=len(new)), skeletons(at, word, words, self.known, len(new))
+        at, word = distinct(at, word, len(words))
+        get = self.weights.get
+        scores = np.bincount(at, np.array([get(w, 0.0) for w in words])[word], len(new)) if len(at) else np.zeros(len(new))
+        for x, n, k, score in zip(new, counts.tolist(), opens.tolist(), scores.tolist(), strict=True):
+            score += self.bias + sum([get(t, 0.0) for t in _tags(x, n)])
+            self._seen[x] = max(_FLOOR, min(_CLIP, score)), k in self.openers_hashed
+
 
 def _host(url: str | None) -> str:
     m = re.match(r"\s*[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(?:www\.)?([^/:?#\s]+)", (url or "").lower())
@@ -150,9 +275,7 @@ class _Labels:
         for (url, title, _), lines in zip(pages, split, strict=True):
             skeletons = [skeleton_of[x] for x in lines]
             own = _letters(title) if title else ""
-            # equal letters have equal lengths but for what is no letter
-            is_own = [bool(own) and len(x) >= len(own) and _letters(x) == own for x in lines]
-            self.pages.append((lines, skeletons, is_own))
+            self.pages.append((lines, skeletons, [is_title(x, own) for x in lines]))
             for k in set(skeletons):
                 stands[k].add(url)
         repeated = {k for k, urls in stands.items() if len(urls) >= REPEATED and any(w not in (_NAME, "0") for w in k)}
@@ -175,7 +298,7 @@ class _Labels:
                 self.count[k] += 1
                 follows[k] += i > 0 and is_own[i - 1]
                 if i + 1 < len(lines):
-                    after = "own" if is_own[i + 1] else "repeated" if skeletons[i + 1] in repeated else "text" if _SENTENCE_END.search(lines[i + 1]) and not _BULLET.match(lines[i + 1]) else "single"
+                    after = "own" if is_own[i + 1] else "repeated" if skeletons[i + 1] in repeated else "text" if ends_sentence(lines[i + 1]) and not _BULLET.match(lines[i + 1]) else "single"
                     before[k][after] += 1
         kind = {}
         for k in repeated:
@@ -220,26 +343,47 @@ class _Labels:
         return out
 
 
-def _regression(lines: list[str], words: dict[str, list[str]], is_body: np.ndarray, stands: np.ndarray) -> tuple[dict, float]:
+def _by_column(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(col, kind="stable")
+    return col[order], row[order]
+
+
+def _sums(group: np.ndarray, item: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Sums over the items of each of ``n`` groups, of values by item; ``group`` ascends."""
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    some, values = group[first], np.empty(len(item))
+
+    def sums(of: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(item):
+            out[some] = np.add.reduceat(np.take(of, item, out=values, mode="clip"), first)
+        return out
+
+    return sums
+
+
+def _regression(lines: list[str], is_body: np.ndarray, stands: np.ndarray) -> tuple[dict, float]:
     """Weights and bias of a logistic regression over the features of lines that stand so often; both classes count alike."""
-    at, found = [], []
-    often: Counter = Counter()
-    for i, x in enumerate(lines):
-        f = features(x, words[x] if x in words else _words(x))
-        at += [i] * len(f)
-        found += f
-        for k in f if stands[i] > 1 else ():
-            often[k] += int(stands[i]) - 1
-    ids = {f: i for i, f in enumerate(sorted((f for f, n in Counter(found).items() if n + often[f] >= _LEAST), key=repr))}
-    row, col = np.array(at, np.int64), np.fromiter((ids.get(f, -1) for f in found), np.int64, len(found))
-    row, col = row[col >= 0], col[col >= 0]
-    del at, found
-    n, y, weight = len(lines), is_body.astype(float), np.sqrt(np.minimum(stands, 50.0))
+    at, word, words = worded(lines)
+    counts = np.bincount(at, minlength=len(lines)).tolist()
+    tags: defaultdict = defaultdict(lambda: len(words) + len(tags))
+    of_tags = [[tags[t] for t in _tags(x, n)] for x, n in zip(lines, counts, strict=True)]
+    row, col = distinct(at, word, len(words))
+    row = np.concatenate([row, np.repeat(np.arange(len(lines)), list(map(len, of_tags)))])
+    col = np.concatenate([col, np.fromiter(chain.from_iterable(of_tags), np.int64)])
+    names = [*words, *tags]
+    often = np.bincount(col, np.maximum(stands, 1)[row], len(names)).tolist()
+    ids = {f: i for i, f in enumerate(sorted((f for f, n in zip(names, often, strict=True) if n >= _LEAST), key=repr))}
+    col = np.array([ids.get(f, -1) for f in names], np.int64)[col]
+    order = np.argsort(row[col >= 0], kind="stable")
+    row, col = row[col >= 0][order], col[col >= 0][order]
+    sum_rows, sum_columns = _sums(row, col, len(lines)), _sums(*_by_column(row, col), len(ids))
+    y, weight = is_body.astype(float), np.sqrt(np.minimum(stands, 50.0))
     weight = weight * np.where(is_body, 0.5 / weight[is_body].sum(), 0.5 / weight[~is_body].sum())
     w, bias, moved, moved_bias = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
     for _ in range(_STEPS):
-        error = (1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + bias, -30, 30))) - y) * weight
-        slope, slope_bias = np.bincount(col, error[row], len(w)) + _SHRINK * w, float(error.sum())
+        error = (1 / (1 + np.exp(-np.clip(sum_rows(w) + bias, -30, 30))) - y) * weight
+        slope, slope_bias = sum_columns(error) + _SHRINK * w, float(error.sum())
         moved += slope * slope
         moved_bias += slope_bias * slope_bias
         w -= _RATE * slope / np.sqrt(moved)
@@ -254,7 +398,7 @@ def fitted(pages: list[tuple[str | None, str | None, str]], clean: list[str]) ->
     is_body = np.array([b for b, _ in lines.values()], bool)
     if not is_body.any() or is_body.all():
         return Weights({}, 1.0, labels.known, labels.openers)
-    weights, bias = _regression(list(lines), labels.words, is_body, np.array([n for _, n in lines.values()]))
+    weights, bias = _regression(list(lines), is_body, np.array([n for _, n in lines.values()]))
     return Weights(weights, bias, labels.known, labels.openers)
 
 
@@ -293,7 +437,7 @@ def body_lines(text: str, weights: Weights) -> list[bool | None]:
         if opens:
             links, score = True, min(score, -1.0)
         elif links and score >= 0:
-            if _BULLET.match(line) or not _SENTENCE_END.search(line):
+            if _BULLET.match(line) or not ends_sentence(line):
                 score = -max(score, 1.0)
             else:
                 links = False
@@ -314,6 +458,16 @@ def body_spans(text: str, weights: Weights) -> list[tuple[int, int]]:
     return out
 
 
+class Bodies:
+    """``body_spans`` under some weights; ``look`` gets many texts ready at once."""
+
+    def __init__(self, weights: Weights):
+        self.weights, self.look = weights, weights.look
+
+    def __call__(self, text: str) -> list[tuple[int, int]]:
+        return body_spans(text, self.weights)
+
+
 def furniture(df: DataFrame, row_id: Column, text: Column, weights: Weights) -> DataFrame:
     """``row_id, line_no`` of each line outside the main body, numbered from 1."""
     shared = df.sparkSession.sparkContext.broadcast(weights)  # of bounded samples: a megabyte or so
@@ -322,9 +476,11 @@ def furniture(df: DataFrame, row_id: Column, text: Column, weights: Weights) ->
         w = shared.value
         for b in batches:
             ids, at = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = t.as_py()
-                if t:
+            b = b.filter(pc.greater(pc.binary_length(b.column(1)), 0))
+            of, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for some in slices(texts):
+                w.look(texts[some])
+                for i, t in zip(of[some], texts[some], strict=True):
                     out = [n for n, body in enumerate(body_lines(t, w), 1) if body is False]
                     ids += [i] * len(out)
                     at += out
@@ -340,10 +496,10 @@ def main_body(df: DataFrame, row_id: Column, text: Column, weights: Weights) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            out = []
-            for t in b.column(1):
-                t = t.as_py()
-                out.append(t and "\n".join(x for x, keep in zip(t.split("\n"), body_lines(t, w), strict=True) if keep))
+            out, texts = [], b.column(1).to_pylist()
+            for some in slices(texts):
+                w.look([t for t in texts[some] if t])
+                out += [t and "\n".join(x for x, keep in zip(t.split("\n"), body_lines(t, w), strict=True) if keep) for t in texts[some]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row_id", "body"])
 
     return spread(df.select(row_id.cast("long").alias("row_id"), text.alias("text"))).mapInArrow(cut, "row_id long, body string")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import ast
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +26,30 @@ from lodestone.session import materialise, spread
 #: Pages of a shard of the regression.
 PAGES = 4_000
 _OWN, _PARAGRAPH, _TEXT = 1, 2, 4
+#: sums held by a task
 _HELD = 300_000
 _ONE = 1e9
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def _known(pages: DataFrame) -> frozenset[str]:
-    """Words of ``NAME_SITES`` sites or more. A task passes on no more sites of a word than that, which is exact for the threshold."""
+    """Words of ``NAME_SITES`` sites or more. No more sites of a word than that are passed on from pages at hand, which is exact for the threshold."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sites: dict[str, set[int]] = defaultdict(set)
-
-        def out() -> pa.RecordBatch:
-            rows = [(w, h) for w, hosts in sites.items() for h in hosts]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([h for _, h in rows], pa.int64())], names=["w", "h"])
-
+        full: set[str] = set()
         for b in batches:
-            for u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host = _hash(body._host(u))
-                for w in {w if not w.isdigit() else "0" for w in set(body._WORD.findall(x.lower()))}:
-                    if len(sites[w]) < body.NAME_SITES:
-                        sites[w].add(host)
-            if len(sites) > _HELD:
-                yield out()
-                sites.clear()
-        yield out()
+            texts = b.column(1).to_pylist()
+            hosts = np.array([body.hashed(body._host(u)) for u in b.column(0).to_pylist()], np.int64)
+            for some in body.slices(texts):
+                at, word, words = body.worded(texts[some], alike=False)
+                here, site = np.unique(hosts[some], return_inverse=True)
+                numbers: dict[str, int] = {}
+                word = np.array([numbers.setdefault("0" if w.isdigit() else w, len(numbers)) for w in words], np.int64)[word]
+                word, site = body.distinct(word, site[at], len(here))
+                rank = np.arange(len(word)) - np.searchsorted(word, np.arange(len(numbers)))[word]
+                names = list(numbers)
+                few = (rank < body.NAME_SITES) & np.array([w not in full for w in names], bool)[word]
+                full.update([names[i] for i in word[rank == body.NAME_SITES - 1].tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(word[few])), pa.array(here[site[few]])], names=["w", "h"])
 
     pairs = spread(pages.select("u", "x")).mapInArrow(found, "w string, h long").dropDuplicates(["w", "h"])
     return frozenset(r[0] for r in pairs.groupBy("w").count().where(F.col("count") >= body.NAME_SITES).select("w").collect())
@@ -61,38 +57,46 @@ def _known(pages: DataFrame) -> frozenset[str]:
 
 def _lined(pages: DataFrame, known: frozenset[str]) -> DataFrame:
     """Of each page its lines that aren't blank, as hashes ``k`` (0: names and numbers alone) and ``shape``, and what they are, as ``flags``."""
-    shared = pages.sparkSession.sparkContext.broadcast(body.Weights({}, 0.0, known, frozenset()))
+    shared = pages.sparkSession.sparkContext.broadcast(known)
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = shared.value, {}
-
-        def line(x: str) -> tuple[int, int, int]:
-            if (got := seen.get(x)) is None:
-                words = body._words(x)
-                skeleton = w.skeleton(words)
-                k = _hash("\0".join(skeleton)) or 1 if any(s not in (body._NAME, "0") for s in skeleton) else 0
-                text = body._SENTENCE_END.search(x) is not None and body._BULLET.match(x) is None
-                got = k, _hash(body._shape(x)), (_TEXT if text else 0) | (_PARAGRAPH if text and len(words) >= body._WORDS_OF_PARAGRAPH else 0)
-                if len(x) <= body._CACHED:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[x] = got
-            return got
+        known, seen = shared.value, {}
+
+        def learn(lines: list[str]) -> None:
+            at, word, words = body.worded(lines)
+            counts = np.bincount(at, minlength=len(lines)).tolist()
+            for x, k, n in zip(lines, body.skeletons(at, word, words, known, len(lines)).tolist(), counts, strict=True):
+                text = body.ends_sentence(x) and body._BULLET.match(x) is None
+                seen[x] = k, body.hashed(body._shape(x)), (_TEXT if text else 0) | (_PARAGRAPH if text and n >= body._WORDS_OF_PARAGRAPH else 0)
 
         for b in batches:
-            ks, shapes, flags = [], [], []
-            for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = body._letters(t) if t else ""
-                lines = [y for y in x.split("\n") if y.strip()]
-                got = [line(y) for y in lines]
-                ks.append([k for k, _, _ in got])
-                shapes.append([s for _, s, _ in got])
-                flags.append([f | (_OWN if own and len(y) >= len(own) and body._letters(y) == own else 0) for y, (_, _, f) in zip(lines, got, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ks, pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.int64())), pa.array(flags, pa.list_(pa.int32()))], names=["u", "x", "k", "shape", "flags"])
+            titles, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for some in body.slices(texts):
+                if len(seen) > body._HELD:
+                    seen.clear()
+                pages = [[y for y in x.split("\n") if y.strip()] for x in texts[some]]
+                learn([y for y in dict.fromkeys(chain.from_iterable(pages)) if y not in seen])
+                got = [seen[y] for lines in pages for y in lines]
+                own = [t and body._letters(t) for t in titles[some]]
+                title = [bool(t) and body.is_title(y, t) for lines, t in zip(pages, own, strict=True) for y in lines]
+                ends = pa.array(np.cumsum([0, *map(len, pages)]), pa.int32())
+                ks, shapes = (pa.ListArray.from_arrays(ends, pa.array([g[i] for g in got], pa.int64())) for i in (0, 1))
+                flags = pa.ListArray.from_arrays(ends, pa.array([g[2] | (_OWN if t else 0) for g, t in zip(got, title, strict=True)], pa.int32()))
+                page = b.slice(some.start, some.stop - some.start)
+                yield pa.RecordBatch.from_arrays([page.column(0), page.column(2), ks, shapes, flags], names=["u", "x", "k", "shape", "flags"])
 
     return materialise(spread(pages).mapInArrow(taken, "u string, x string, k array<long>, shape array<long>, flags array<int>"), "page-lines")
 
 
+def _values(column: pa.Array) -> list:
+    """Of each row its value, or its list of numbers."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends = np.cumsum(column.value_lengths().to_numpy()).tolist()
+    flat = column.flatten().to_numpy().tolist()
+    return [flat[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
 def _summed(df: DataFrame, columns: list[str], n: int, add: Callable[[dict, tuple], None]) -> DataFrame:
     """``key, s0, s1, ...``: sums over all pages of what ``add`` puts into a dict of lists of ``n`` counts."""
     names = ["key", *(f"s{i}" for i in range(n))]
@@ -104,7 +108,7 @@ def _summed(df: DataFrame, columns: list[str], n: int, add: Callable[[dict, tupl
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(n))], names=names)
 
         for b in batches:
-            for page in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            for page in zip(*(_values(b.column(c)) for c in columns), strict=True):
                 add(sums, page)
             if len(sums) > _HELD:
                 yield out()
@@ -207,7 +211,7 @@ def fitted(tables: list[DataFrame], clean: list[str], pages_of_shard: int = PAGE
     outside, known_words, sentences = share(_outside(lines, kinds)), share(known), share(clean)
 
     def regression(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pages = sorted(p for b in batches for p in zip(*(c.to_pylist() for c in b.columns), strict=True))  # always the same order
+        pages = sorted(p for b in batches for p in zip(*map(_values, b.columns), strict=True))  # always the same order
         labelled, openers = _labelled(pages, kinds.value, outside.value)
         del pages
         skeleton = body.Weights({}, 0.0, known_words.value, frozenset()).skeleton
@@ -215,7 +219,7 @@ def fitted(tables: list[DataFrame], clean: list[str], pages_of_shard: int = PAGE
         labelled = {x: (True, 1) for x in sentences.value} | labelled
         is_body = np.array([b for b, _ in labelled.values()], bool)
         if is_body.any() and not is_body.all():
-            weights, bias = body._regression(list(labelled), {}, is_body, np.array([n for _, n in labelled.values()]))
+            weights, bias = body._regression(list(labelled), is_body, np.array([n for _, n in labelled.values()]))
             rows += [("weight", repr(f), round(w * _ONE)) for f, w in weights.items()] + [("bias", "", round(bias * _ONE))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["what", "key", "n"])
 

@@ -342,6 +342,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
             yield b.slice(start), texts
 
 
+def _get_ready(look, texts: list[str]) -> None:  # noqa: ANN001
+    """A ``look`` that has a method of this name gets many texts ready at once."""
+    if hasattr(look, "look"):
+        look.look(texts)
+
+
 def _looked_at(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(text[a:z] for a, z in spans)
 
@@ -371,6 +377,7 @@ def segments(df: DataFrame, keys: list[Column], text: Column, model: Model, clea
         for b, texts in _chunks(batches, len(kept)):
             damage = [r.damage(t, x) if r else [] for t, x in zip(texts, b.column(len(kept) + 1).to_pylist(), strict=True)]
             texts = [replaced(t, x) if x else t for t, x in zip(texts, damage, strict=True)]
+            _get_ready(look, texts)
             lines = [look(t) if look else [(0, len(t))] for t in texts]
             seen = [model.prepared(_looked_at(t, x)) for t, x in zip(texts, lines, strict=True)]
             shifts = [moves(x) for x in damage]
@@ -409,6 +416,7 @@ def languages(df: DataFrame, keys: list[Column], text: Column, model: Model, cle
         model, look, r = shared.value, clean() if clean else None, Restorer(*held) if held else None
 
         def labelled(texts: list[str]) -> list[list[str]]:
+            _get_ready(look, texts)
             return [[model.langs[x] for x in model.languages(*r)] for r in model.label([model.prepared(_looked_at(t, look(t)) if look else t) for t in texts])]
 
         for b, texts in _chunks(batches, len(kept)):

@@ -47,6 +47,7 @@ _LOST = "�"
 #: a question mark inside a word stands for a lost character too, but not in addresses
 _MARK = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 _WITH_LOST = re.compile(rf"[^\W\d_{_LOST}]*(?:{_LOST}[^\W\d_{_LOST}]*)+|[^\W\d_]+")
+_ADJACENT = re.compile(r"[^\x00-\x7f][^\x00-\x7f]")
 _SPLIT = re.compile(r"([ \n\t]+)")
 
 
@@ -73,6 +74,8 @@ class _Utf8As:
         self.back = {}
         for c, b in self.table.items():
             self.back.setdefault(b, c)
+        #: characters that come back as others where they stand alone
+        self.changed = frozenset(c for c, b in self.table.items() if self.back[b] != c)
 
     def read(self, token: str) -> str:
         def run(m: re.Match) -> str:
@@ -102,6 +105,7 @@ class _Twice:
 
     def __init__(self, a: _Utf8As, b: _Utf8As):
         self.name, self.a, self.b = f"{a.name}, {b.name}", a, b
+        self.changed = a.changed | b.changed
 
     def read(self, token: str) -> str:
         return self.b.read(self.a.read(token))
@@ -113,7 +117,7 @@ class _Spelled:
     strict = True
 
     def __init__(self, inner):
-        self.name, self.inner = f"entities, {inner.name}", inner
+        self.name, self.inner, self.changed = f"entities, {inner.name}", inner, inner.changed
 
     def read(self, token: str) -> str:
         return self.inner.read(html.unescape(token)) if "&" in token else token
@@ -168,6 +172,7 @@ class Restorer:
         self.rare_lost: dict[str, str] = {}
         self.chars = {c: max(log(k / m), -12.0) for c, k in chars.items()}
         self.channels = _channels()
+        self.changed = frozenset().union(*(c.changed for c in self.channels if c.strict))
         self.lost: dict[str, list[str]] = {}
         for w in sorted(words, key=lambda w: -words[w]):
             self.lost.setdefault(_pattern(w), []).append(w)
@@ -195,8 +200,10 @@ class Restorer:
         patterns = {w.lower() for m in (_marked(token) if odd else [token]) for w in _WITH_LOST.findall(m) if _LOST in w} - self.lost.keys()
         if odd or self._is_quoted(token):
             return set(), patterns
-        clean, spellings = self._score(token), []
+        clean, spellings, alone = self._score(token), [], self._stand_alone(token)
         for channel in self.channels:
+            if alone and channel.strict:
+                continue
             spelled = channel.read(token)
             if spelled != token and "\x00" not in spelled and self._score(spelled, self.least) + self._bonus(channel, token, spelled) > clean + 1.0:
                 spellings.append(spelled)
@@ -208,6 +215,10 @@ class Restorer:
         quoted = _QUOTED.match(token)
         return bool(quoted and not any("a" <= c.lower() <= "z" for c in quoted.group(1)))
 
+    def _stand_alone(self, token: str) -> bool:
+        """Whether no channel of UTF-8 changes a token: no byte beyond ASCII is a character by itself, and none comes back as another."""
+        return _ADJACENT.search(token) is None and "&" not in token and self.changed.isdisjoint(token)
+
     def _bonus(self, channel, token: str, spelled: str) -> float:  # noqa: ANN001
         """What decodes as UTF-8 hardly does by chance, unless to what no text has."""
         return _DECODED + _UNSEEN * sum(c > "\x7f" and c not in self.chars and c not in token for c in spelled) if channel.strict else 0.0
@@ -247,18 +258,24 @@ class Restorer:
         if not self._is_quoted(token):
             if _LOST in token:
                 out = [(-2, clean - 4.0, self._fill(token))]
+            alone = self._stand_alone(token)
+            of_token = {w.lower() for w in _WORD.findall(token)}
             for i, channel in enumerate(self.channels):
+                if alone and channel.strict:
+                    continue
                 spelled = channel.read(token)
                 if spelled != token and "\x00" not in spelled:
-                    p = self._score(spelled)
-                    p += self._bonus(channel, token, spelled)
+                    longest = 0
                     if not channel.strict:  # letters swapped for letters prove something only by the words they make
-                        new = {w.lower() for w in _WORD.findall(spelled) if not w.isascii()} - {w.lower() for w in _WORD.findall(token)}
-                        longest = max((len(w) for w in new if w in self.words or w in self.rare), default=0)
+                        for w in _WORD.findall(spelled):
+                            if not w.isascii() and len(w := w.lower()) > longest and (w in self.words or w in self.rare) and w not in of_token:
+                                longest = len(w)
                         if longest < 2:
                             continue
-                        if longest < 4:
-                            p = min(p, clean + 1.5)
+                    p = self._score(spelled)
+                    p += self._bonus(channel, token, spelled)
+                    if not channel.strict and longest < 4:
+                        p = min(p, clean + 1.5)
                     if p > clean + 1.0:
                         out.append((i, p, spelled))
         if len(self.seen) > 60_000:

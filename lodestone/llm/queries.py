@@ -48,11 +48,7 @@ def _language_setup(spark: SparkSession, folder: str) -> tuple:
     )
     shared = spark.sparkContext.broadcast(weights)
 
-    def bodies():  # noqa: ANN202
-        weights = shared.value
-        return lambda t: body.body_spans(t, weights)
-
-    return fitted, bodies, lambda field: decoded if field in ("content", "descr") else other
+    return fitted, lambda: body.Bodies(shared.value), lambda field: decoded if field in ("content", "descr") else other
 
 
 def _record_languages(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-text operators on small cases, against brute force, round trips and held-out accuracy."""
 
 import random
+import re
 import string
 from collections import defaultdict
 
@@ -318,6 +319,51 @@ def test_nothing_to_learn_from(spark):
     assert body.sample_of(empty, "url", "title", "text") == [] and body.furniture(empty.withColumn("i", F.lit(1)), F.col("i"), F.col("text"), w).count() == 0
 
 
+def test_many_lines_at_once_are_taken_apart_as_each_by_itself(monkeypatch):
+    """A token is taken apart once however often it stands, and lines at once get the words, hashes and weights of lines by themselves."""
+    rng, signs = random.Random(4), "abx ΣςσΑ'’,;.!?()-_»”\")]  \t\xa0\u3000\x1f 019²①٣•*–›|/:…©éİ"
+    lines = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(3000)] + ["one two, ² three", "one two, ² 3"] * 2
+    plain = [["0" if w.isdigit() and re.search(r"\d", x) else w for w in re.findall(r"[^\W\d_]+|\d+", x.lower())] for x in lines]
+    at, word, words = body.worded(lines)
+    got = [[] for _ in lines]
+    for i, w in zip(at.tolist(), word.tolist(), strict=True):
+        got[i].append(words[w])
+    assert got == plain == [body._words(x) for x in lines]
+    for x in lines:
+        assert body._shape(x) == re.sub(r"\s+", " ", re.sub(r"[^\W_]+(?:[ '’,;.!?()\-]+[^\W_]+)*", "x", x.strip()))
+        assert body.ends_sentence(x) == (re.search(r"[.!?…][\"'”»)\]]*\s*$", x) is not None)
+        s = x.strip().replace("\xa0", " ")
+        s = s[m.end() :] if (m := re.match(r"^\s*(?:([-*•–])|(\d+)[.)])\s", s)) else s
+        assert {t for kind, t, _ in body._tags(x, 1) if kind == "tag"} == {" " if t.isspace() else t for t in re.findall(r"[›»|·←→©•/–…:]|\s\s+(?=\S)", s)}
+    known = frozenset(["a", "b", "ab", "0", "x"])
+    by_itself, at_once = (body.Weights({"a": 1.5, "0": -2.0, ("tag", "›", ""): -1.0, ("bullet", "*", ""): 0.5}, 0.25, known, frozenset([("a", "xxx"), ("b",), ("0", "x")])) for _ in range(2))
+    hashes = body.skeletons(at, word, words, known, len(lines)).tolist()
+    of: dict = {}
+    for x, k in zip(lines, hashes, strict=True):
+        skeleton = by_itself.skeleton(body._words(x))
+        assert (k == 0) == (not any(w not in ("xxx", "0") for w in skeleton)) and (k == 0 or of.setdefault(k, skeleton) == skeleton)
+    assert len(of) == len(set(of.values()))
+    at_once.look(["\n".join(lines)])
+    calls: list = []
+    monkeypatch.setattr(body, "_tags", lambda *a: calls.append(a) or [])
+    told = [at_once.line(x) for x in lines if x.strip()]
+    assert not calls
+    monkeypatch.undo()
+    want = [by_itself.line(x) for x in lines if x.strip()]
+    assert [b for _, b in told] == [b for _, b in want] and all(abs(a - b) < 1e-9 for (a, _), (b, _) in zip(told, want, strict=True))
+
+
+def test_readings_without_channels_that_change_nothing():
+    r = mojibake.Restorer({"größe": 5, "été": 9}, {"ö": 5, "ß": 5, "é": 18})
+    rng, alone = random.Random(3), 0
+    for _ in range(5000):
+        token = "".join(rng.choices("aéöß€\x80Ã©жñ\xa0&;", k=rng.randrange(1, 6)))
+        if r._stand_alone(token):
+            alone += 1
+            assert all(c.read(token) == token for c in r.channels if c.strict)
+    assert alone > 500
+
+
 def test_weights_of_all_pages_of_a_table(spark):
     """With one shard they are those of the pages at hand; with more, bodies are the same."""
     rows = [(u, t, "\n".join(x for _, x in lines)) for u, t, lines in site_pages(random.Random(29))]
