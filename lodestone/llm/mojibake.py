@@ -27,6 +27,7 @@ from math import log
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,6});")
 _QUOTED = re.compile(r"[“”„«»\"'‘’‹›(\[`]+([^A-Za-z0-9\s]{1,12})[“”«»\"'‘’‹›)\]`]+[.,;:!?)]*$")
 _LOST = "�"
+#: texts whose tokens are counted at once
+_ROWS = 1_000
 #: a question mark inside a word stands for a lost character too, but not in addresses
 _MARK = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 _WITH_LOST = re.compile(rf"[^\W\d_{_LOST}]*(?:{_LOST}[^\W\d_{_LOST}]*)+|[^\W\d_]+")
@@ -394,12 +397,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens: Counter = Counter()
     chars: Counter = Counter()
     for b in batches:
-        for text in b.column(0):
-            text = text.as_py()
-            if text and not text.isascii():
-                tokens.update([t for t in text.replace("\n", " ").split(" ") if not t.isascii()])
-        if len(tokens) > 200_000:
-            _spread(tokens, words, chars)
+        for start in range(0, b.num_rows, _ROWS):
+            # no word spans a blank, so tokens may be cut at any
+            split = pc.ascii_split_whitespace(b.column(0).slice(start, _ROWS)).flatten()
+            found = pc.value_counts(split.filter(pc.invert(pc.string_is_ascii(split))))
+            tokens.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True)))
+            if len(tokens) > 200_000:
+                _spread(tokens, words, chars)
     _spread(tokens, words, chars)
     rows = [(w, n, True) for w, n in words.items()] + [(c, n, False) for c, n in chars.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=["item", "n", "is_word"])

@@ -5,6 +5,7 @@ import re
 import string
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,19 @@ def test_many_lines_at_once_are_taken_apart_as_each_by_itself(monkeypatch):
     assert [b for _, b in told] == [b for _, b in want] and all(abs(a - b) < 1e-9 for (a, _), (b, _) in zip(told, want, strict=True))
 
 
+def test_counts_of_tokens_at_once(monkeypatch):
+    """However many texts are counted at once, and whatever blanks stand between words."""
+    texts = ["été Été\tgröße\nété", None, "", "plain words", "жук\x1fжук\xa0жук  é", "�x «été»"] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["field"])
+    words, chars = mojibake.Counter(), mojibake.Counter()
+    mojibake._spread(mojibake.Counter(t for x in texts if x for t in x.split(" ") if not t.isascii()), words, chars)
+    want = {(w, n, True) for w, n in words.items()} | {(c, n, False) for c, n in chars.items()}
+    for rows in (1, 4, 1_000):
+        monkeypatch.setattr(mojibake, "_ROWS", rows)
+        got = [tuple(r.values()) for b in mojibake._counts(iter([batch])) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_readings_without_channels_that_change_nothing():
     r = mojibake.Restorer({"größe": 5, "été": 9}, {"ö": 5, "ß": 5, "é": 18})
     rng, alone = random.Random(3), 0
