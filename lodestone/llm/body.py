@@ -23,9 +23,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, islice
 from sys import intern
 
 import numpy as np
@@ -60,6 +60,7 @@ _SIZES = (0, 1, 2, 3, 4, 6, 9, 14, 24, 49)
 _NAME = "xxx"
 _CACHED = 200
 _HELD = 50_000
+_TOKENS = 60_000
 #: odd, for the hash of a word at a place of a line
 _PLACE = 0x9E3779B97F4A7C15
 #: characters worked on at once
@@ -91,26 +92,86 @@ def _words(line: str) -> list[str]:
     return list(chain.from_iterable(map(_masked_of if _DIGIT.search(line) else _words_of, line.lower().split())))
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column that has no null; several times as fast as ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class Vocabulary:
+    """Words by number, and those of tokens; a token is taken apart once as long as it is held."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.of_token: dict[str, list[int]] = {}
+        #: words that are numbers, and those that make a line's numbers alike
+        self.digits, self.decimal = np.zeros(0, bool), np.zeros(0, bool)
+        self.zero = self._number("0")
+
+    def _number(self, word: str) -> int:
+        return self.numbers.setdefault(word, len(self.numbers))
+
+    def taken(self, lines: list[str], alike: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word of some texts, in order, the number of its text and of itself: words of ``_words``, or with all numbers as they are."""
+        parts = pc.ascii_split_whitespace(pa.array(lines, pa.string()))
+        tokens = parts.flatten().dictionary_encode()
+        of_token, of_tokens = self.of_token, []
+        for t in strings(tokens.dictionary):
+            ws = of_token.get(t)
+            if ws is None:
+                small = t.lower()
+                of_token[t] = ws = [self._number(small)] if small.isalpha() else list(map(self._number, _WORD.findall(small)))
+            of_tokens.append(ws)
+        sizes = np.array(list(map(len, of_tokens)), np.int64)
+        flat = np.array(list(chain.from_iterable(of_tokens)), np.int64)
+        token = tokens.indices.to_numpy()
+        n = sizes[token]
+        line = np.repeat(np.repeat(np.arange(len(lines)), parts.value_lengths().to_numpy()), n)
+        word = flat[np.repeat((np.cumsum(sizes) - sizes)[token] - (np.cumsum(n) - n), n) + np.arange(len(line))]
+        if alike:
+            digits, has = self.are_digits(), np.zeros(len(lines), bool)
+            has[line[self.decimal[word]]] = True
+            word = np.where(digits[word] & has[line], self.zero, word)
+        return line, word
+
+    def are_digits(self) -> np.ndarray:
+        new = list(islice(self.numbers, len(self.digits), None))
+        self.digits, self.decimal = (np.concatenate([have, np.array([f(w) for w in new], bool)]) for have, f in ((self.digits, str.isdigit), (self.decimal, str.isdecimal)))
+        return self.digits
+
+    def bounded(self) -> Vocabulary:
+        """This one, or an empty one if it holds many tokens."""
+        return self if len(self.of_token) <= _TOKENS else Vocabulary()
+
+
+class Told:
+    """A vocabulary with what is ``told`` of its words, and their weights."""
+
+    def __init__(self, known: frozenset[str], weights: dict | None = None):
+        self.known, self.weights = known, weights or {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.vocabulary, self.hashes, self.tells, self.scores = Vocabulary(), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0)
+
+    def taken(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``Vocabulary.taken``; all is known of the words then."""
+        if self.vocabulary.bounded() is not self.vocabulary:
+            self._forget()
+        line, word = self.vocabulary.taken(lines)
+        if new := list(islice(self.vocabulary.numbers, len(self.scores), None)):
+            made = *told(new, self.known), np.array([self.weights.get(w, 0.0) for w in new])
+            self.hashes, self.tells, self.scores = (np.concatenate(x) for x in zip((self.hashes, self.tells, self.scores), made, strict=True))
+        return line, word
+
+    def skeletons(self, line: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        return skeletons_of(line, word, self.hashes, self.tells, n)
+
+
 def worded(lines: list[str], alike: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Of each word of some texts, in order, the number of its text and of itself; and the words by number: those of ``_words``, or with all numbers as they are."""
-    parts = pc.ascii_split_whitespace(pa.array([x.lower() for x in lines], pa.string()))
-    tokens = parts.flatten().dictionary_encode()
-    made = list(map(_words_of, tokens.dictionary.to_pylist()))
-    numbers: dict[str, int] = {}
-    of_tokens = np.array([numbers.setdefault(w, len(numbers)) for ws in made for w in ws], np.int64)
-    sizes = np.array([len(ws) for ws in made], np.int64)
-    token = tokens.indices.to_numpy()
-    n = sizes[token]
-    line = np.repeat(np.repeat(np.arange(len(lines)), parts.value_lengths().to_numpy()), n)
-    word = of_tokens[np.repeat((np.cumsum(sizes) - sizes)[token] - (np.cumsum(n) - n), n) + np.arange(len(line))]
-    digits = np.array([w.isdigit() for w in numbers], bool)
-    if alike and digits.any():
-        zero = numbers.setdefault("0", len(numbers))
-        decimal, digits = (np.array([f(w) for w in numbers], bool) for f in (str.isdecimal, str.isdigit))
-        has = np.zeros(len(lines), bool)
-        has[line[decimal[word]]] = True
-        word = np.where(digits[word] & has[line], zero, word)
-    return line, word, list(numbers)
+    """What ``Vocabulary.taken`` says of some texts by themselves; and the words by number."""
+    v = Vocabulary()
+    line, word = v.taken(lines, alike)
+    return line, word, list(v.numbers)
 
 
 def distinct(line: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +186,26 @@ def hashed(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def told(words: Iterable[str], known: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, names alike; and which of them tell a line from one of names and numbers."""
+    of_name, words = hashed(_NAME), list(words)
+    return np.array([hashed(w) if w in known else of_name for w in words], np.int64).view(np.uint64), np.array([w in known and w not in (_NAME, "0") for w in words], bool)
+
+
 def skeletons(line: np.ndarray, word: np.ndarray, words: list[str], known: frozenset[str], n: int) -> np.ndarray:
     """Hashes of the skeletons of ``n`` lines of these words; 0 for one of names and numbers alone."""
-    of_words = np.array([hashed(w if w in known else _NAME) for w in words], np.int64).view(np.uint64)
-    tells = np.array([w in known and w not in (_NAME, "0") for w in words], bool)
+    return skeletons_of(line, word, *told(words, known), n)
+
+
+def skeletons_of(line: np.ndarray, word: np.ndarray, of_words: np.ndarray, tells: np.ndarray, n: int) -> np.ndarray:
+    """The same, by what is ``told`` of the words."""
     out = np.zeros(n, np.uint64)
     if len(line):
         first = np.flatnonzero(np.diff(line, prepend=-1))
         place = np.arange(len(line)) - np.repeat(first, np.diff(first, append=len(line)))
         powers = np.cumprod(np.full(place.max() + 1, _PLACE, np.uint64), dtype=np.uint64)
-        told = np.logical_or.reduceat(tells[word], first)
-        out[line[first]] = np.where(told, np.maximum(np.add.reduceat(of_words[word] * powers[place], first), np.uint64(1)), np.uint64(0))
+        some = np.logical_or.reduceat(tells[word], first)
+        out[line[first]] = np.where(some, np.maximum(np.add.reduceat(of_words[word] * powers[place], first), np.uint64(1)), np.uint64(0))
     return out.view(np.int64)
 
 
@@ -157,6 +227,9 @@ def _letters(line: str) -> str:
 
 def is_title(line: str, title: str) -> bool:
     """Whether the letters of a line that isn't blank are these, of the page's title."""
+    first = line[:1]
+    if first.isalpha() and first.lower()[:1] != title[:1]:  # most lines
+        return False
     # equal letters have equal lengths but for what is no letter
     return title != "" and len(line) >= len(title) and title.startswith("".join(_words_of(line.split(None, 1)[0].lower()))) and _letters(line) == title
 
@@ -209,9 +282,13 @@ class Weights:
         #: hashes of those skeletons with more than names and numbers
         self.openers_hashed = frozenset(skeletons(line, word, words, frozenset(words) - {_NAME}, len(openers)).tolist()) - {0}
         self._seen: dict[str, tuple[float, bool]] = {}
+        self._words = Told(known, weights)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_seen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_seen", "_words")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"_seen": {}, "_words": Told(state["known"], state["weights"])}
 
     def skeleton(self, words: list[str]) -> tuple[str, ...]:
         """The words of a line, names alike."""
@@ -235,11 +312,11 @@ class Weights:
         if len(self._seen) > _HELD:
             self._seen.clear()
         new = [x for x in dict.fromkeys(chain.from_iterable(t.split("\n") for t in texts)) if x not in self._seen and x.strip()]
-        at, word, words = worded(new)
-        counts, opens = np.bincount(at, minlength=len(new)), skeletons(at, word, words, self.known, len(new))
-        at, word = distinct(at, word, len(words))
+        at, word = self._words.taken(new)
+        counts, opens = np.bincount(at, minlength=len(new)), self._words.skeletons(at, word, len(new))
+        at, word = distinct(at, word, len(self._words.scores))
         get = self.weights.get
-        scores = np.bincount(at, np.array([get(w, 0.0) for w in words])[word], len(new)) if len(at) else np.zeros(len(new))
+        scores = np.bincount(at, self._words.scores[word], len(new)) if len(at) else np.zeros(len(new))
         for x, n, k, score in zip(new, counts.tolist(), opens.tolist(), scores.tolist(), strict=True):
             score += self.bias + sum([get(t, 0.0) for t in _tags(x, n)])
             self._seen[x] = max(_FLOOR, min(_CLIP, score)), k in self.openers_hashed

@@ -36,20 +36,23 @@ def _known(pages: DataFrame) -> frozenset[str]:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full: set[str] = set()
+        vocabulary = body.Vocabulary()
         for b in batches:
             texts = b.column(1).to_pylist()
             hosts = np.array([body.hashed(body._host(u)) for u in b.column(0).to_pylist()], np.int64)
             for some in body.slices(texts):
-                at, word, words = body.worded(texts[some], alike=False)
+                vocabulary = vocabulary.bounded()
+                at, word = vocabulary.taken(texts[some], alike=False)
                 here, site = np.unique(hosts[some], return_inverse=True)
-                numbers: dict[str, int] = {}
-                word = np.array([numbers.setdefault("0" if w.isdigit() else w, len(numbers)) for w in words], np.int64)[word]
+                word = np.where(vocabulary.are_digits()[word], vocabulary.zero, word)
                 word, site = body.distinct(word, site[at], len(here))
-                rank = np.arange(len(word)) - np.searchsorted(word, np.arange(len(numbers)))[word]
-                names = list(numbers)
-                few = (rank < body.NAME_SITES) & np.array([w not in full for w in names], bool)[word]
+                first, names = np.flatnonzero(np.diff(word, prepend=-1)), list(vocabulary.numbers)
+                n = np.diff(first, append=len(word))
+                rank = np.arange(len(word)) - np.repeat(first, n)
+                done = np.array([names[i] in full for i in word[first].tolist()], bool)
+                few = (rank < body.NAME_SITES) & ~np.repeat(done, n)
                 full.update([names[i] for i in word[rank == body.NAME_SITES - 1].tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(word[few])), pa.array(here[site[few]])], names=["w", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in word[few].tolist()], pa.string()), pa.array(here[site[few]])], names=["w", "h"])
 
     pairs = spread(pages.select("u", "x")).mapInArrow(found, "w string, h long").dropDuplicates(["w", "h"])
     return frozenset(r[0] for r in pairs.groupBy("w").count().where(F.col("count") >= body.NAME_SITES).select("w").collect())
@@ -60,12 +63,12 @@ def _lined(pages: DataFrame, known: frozenset[str]) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value, {}
+        words, seen = body.Told(shared.value), {}
 
         def learn(lines: list[str]) -> None:
-            at, word, words = body.worded(lines)
+            at, word = words.taken(lines)
             counts = np.bincount(at, minlength=len(lines)).tolist()
-            for x, k, n in zip(lines, body.skeletons(at, word, words, known, len(lines)).tolist(), counts, strict=True):
+            for x, k, n in zip(lines, words.skeletons(at, word, len(lines)).tolist(), counts, strict=True):
                 text = body.ends_sentence(x) and body._BULLET.match(x) is None
                 seen[x] = k, body.hashed(body._shape(x)), (_TEXT if text else 0) | (_PARAGRAPH if text and n >= body._WORDS_OF_PARAGRAPH else 0)
 

@@ -25,15 +25,18 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 from math import exp, log
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.mojibake import Restorer, as_stored, moves, replaced, with_rare
+from lodestone.llm.body import strings
+from lodestone.llm.mojibake import as_stored, moves, replaced, restorers, with_rare
 from lodestone.llm.sampling import least
 from lodestone.session import spread
 
@@ -45,14 +48,14 @@ MIN_TEXTS = 4
 _WORST, _WORST_UNKNOWN = 5.0, 2.0
 _ALPHA = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
-_ENDS = re.compile(r"[.!?…]+[”\"'»)\]]*$")
+_CLOSING = "”\"'»)]"
 _QUOTED = re.compile(r"[“„«][^”“„«»\n]+[”“»]|\"[^\"\n]+\"")
 _NOT_TEXT = re.compile(r"(?m)^[^\n]*\s--?[a-z][\w\-]*[ =][^\n]*$|^\d{4}-\d\d-\d\d\s[^\n]*=[^\n]*$|\S*(?:://|www\.)\S*|\S*\w=\w\S*")
 _MAYBE_NOT_TEXT = ("://", "--", "=", "www.")
 #: words and tokens remembered between chunks
 MAX_ROWS = 120_000
 #: characters handled at once
-_CHUNK = 250_000
+_CHUNK = 1_000_000
 
 
 def samples_of(table: DataFrame, lang: str = "lang", text: str = "text", max_samples: int = MAX_SAMPLES) -> list[tuple[str, str]]:
@@ -66,6 +69,12 @@ def _script_of(c: str) -> str:
     return "LATIN" if c < "ɐ" else unicodedata.name(c, "NONE").split(" ", 1)[0].split("-", 1)[0]
 
 
+def _ends(token: str) -> bool:
+    """Whether a token ends a sentence."""
+    last = token.rstrip(_CLOSING)[-1:]
+    return last != "" and last in ".!?…"
+
+
 def script(word: str) -> str:
     """The script of most letters of a word, the first of equals."""
     if word.isascii():
@@ -97,7 +106,7 @@ class Model:
                         elif not first:
                             in_text.add(w.lower())
                         first = False
-                    first = first or _ENDS.search(token) is not None
+                    first = first or _ends(token)
             for w in in_text:
                 capital.setdefault(w, [0] * k)[at[lang]] += 1
         for w, n in capital.items():
@@ -107,6 +116,7 @@ class Model:
         most = np.max(list(scripts.values()), axis=0) if scripts else np.zeros(k)
         #: for each script the languages that are mostly written in it
         self.scripts = {x: (n == most) & (n > 0) for x, n in scripts.items()}
+        self.told = frozenset(x for x, n in self.scripts.items() if n.any())
         totals = np.array([1.0 + sum(n[i] for n in small.values()) for i in range(k)])
         self._grams(small, k)
         self.ids: dict[str, int] = {}
@@ -121,6 +131,7 @@ class Model:
         self.known = frozenset(self.ids)
         #: tokens as they stand between spaces: twice the row, and one more if the token ends a sentence
         self.cache: dict[str, int] = {}
+        self._made: dict[str, np.ndarray] = {}
 
     def _grams(self, words: dict[str, list[int]], k: int) -> None:
         grams: dict[str, np.ndarray] = {}
@@ -147,7 +158,7 @@ class Model:
             return i
         here = script(w)
         latin = here == "LATIN"
-        if here not in self.scripts or not self.scripts[here].any() or len(w) < (4 if latin else 2) or latin and not word.islower():
+        if here not in self.told or len(w) < (4 if latin else 2) or latin and not word.islower():
             return 0
         if len(w) < 4:
             return self._add(w, self._script(w))
@@ -157,7 +168,7 @@ class Model:
     def _id_of(self, token: str) -> int:
         rows = [i for i in map(self._row_of, _WORD.findall(token)) if i]
         row = rows[0] if len(rows) == 1 else self._add("\0" + token, sum(self.rows[i] for i in rows)) if rows else 0
-        i = 2 * row + (_ENDS.search(token) is not None)
+        i = 2 * row + _ends(token)
         if len(self.cache) < MAX_ROWS:
             self.cache[token] = i
         return i
@@ -177,18 +188,33 @@ class Model:
             text = "\n".join(_NOT_TEXT.sub(blank, x) if any(y in x for y in _MAYBE_NOT_TEXT) else x for x in text.split("\n"))
         return text
 
-    def tokens(self, text: str) -> list[int]:
+    def tokens(self, text: str) -> np.ndarray:
         """Ids of the tokens; an end of a line is a token that ends a sentence."""
-        out: list[int] = []
+        made = self._made.get(text)
+        return self._tokens([text])[0] if made is None else made
+
+    def _tokens(self, texts: list[str]) -> list[np.ndarray]:
+        """The tokens of many texts: each distinct one is looked up once."""
+        lines = pc.split_pattern(pa.array(texts, pa.string()), "\n")
+        parts = pc.ascii_split_whitespace(lines.flatten())
+        found = parts.flatten().dictionary_encode()
         get, id_of = self.cache.get, self._id_of
-        for line in text.split("\n"):
-            tokens = line.split()
-            ids = list(map(get, tokens))
-            if None in ids:
-                ids = [id_of(t) if i is None else i for t, i in zip(tokens, ids, strict=True)]
-            out += ids
-            out.append(1)
-        return out
+        of_found = []
+        for token in strings(found.dictionary):
+            i = get(token)
+            # what stands between blanks of ASCII may be nothing, or hold other blanks
+            of_found.append([i] if i is not None else [id_of(t) if (n := get(t)) is None else n for t in token.split()])
+        sizes = np.array(list(map(len, of_found)), np.int64)
+        flat = np.array(list(chain.from_iterable(of_found)), np.int64)
+        token = found.indices.to_numpy()
+        n = sizes[token]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[token] - (ends - n), n) + np.arange(n.sum())]
+        # where each line ends, among the tokens
+        ends = np.concatenate([[0], ends])[np.cumsum(parts.value_lengths().to_numpy())]
+        ids = np.insert(ids, ends, 1)
+        of_texts = np.cumsum(lines.value_lengths().to_numpy())
+        return np.split(ids, (ends[of_texts - 1] + of_texts)[:-1]) if texts else []
 
     def _refresh(self) -> None:
         """Between chunks: forget words beyond the samples' when they are many; their rows would pile up."""
@@ -197,52 +223,50 @@ class Model:
             self.ids = {w: i for w, i in self.ids.items() if w in self.known}
             self.table = np.stack(self.rows)
 
-    def label(self, texts: list[str]) -> list[tuple[list[int], list[int] | None, np.ndarray]]:
+    def label(self, texts: list[str]) -> list[tuple[np.ndarray, list[int] | None, np.ndarray]]:
         """For each text its token ids, the path (None if constant), and the summed scores."""
         self._refresh()
-        ids = [self.tokens(t) for t in texts]
+        self._made = dict(zip(texts, self._tokens(texts), strict=True))
+        ids = [np.asarray(self.tokens(t), np.int64) for t in texts]
+        self._made = {}
         if len(self.rows) != len(self.table):
             self.table = np.concatenate([self.table, np.stack(self.rows[len(self.table) :])])
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.int64) >> 1
-        score = self.table[flat]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        some = lengths > 0
         sums = np.zeros((len(ids), len(self.langs)))
-        if some.any():
-            sums[some] = np.add.reduceat(score, starts[some], axis=0)
+        flat = np.concatenate([*ids, np.zeros(0, np.int64)]) >> 1
+        says = np.flatnonzero(flat)  # the others change no sum
+        counts = np.bincount(np.repeat(np.arange(len(ids)), list(map(len, ids)))[says], minlength=len(ids))
+        some = np.flatnonzero(counts)
+        if not len(some):
+            return [(x, None, sums[i]) for i, x in enumerate(ids)]
+        score, counts = self.table[flat[says]], counts[some]
+        first = np.cumsum(counts) - counts
+        sums[some] = np.add.reduceat(score, first, axis=0)
         best = sums.argmax(axis=1)
         # gain of each language over the best one of the text on its best span
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        gain = score - score[np.arange(len(flat)), best[doc]][:, None] if len(flat) else score
-        c = np.cumsum(gain, axis=0, dtype=np.float64)
-        span = float(np.ptp(c)) + 1.0 if len(flat) else 1.0
-        c -= (doc * span)[:, None]
-        before = np.vstack([np.zeros((1, c.shape[1])), c[:-1]]) if len(flat) else c
-        if len(flat):
-            first = starts[some]
-            before[first] = np.where(first[:, None] > 0, c[np.maximum(first - 1, 0)] - span, 0.0)
-            low = np.minimum.accumulate(before, axis=0)
-            most = np.maximum.reduceat(c - low, first, axis=0)
-        out: list = []
-        j = 0
-        for i, x in enumerate(ids):
-            if not some[i]:
-                out.append((x, None, sums[i]))
-                continue
-            first, second = (np.sort(most[j])[::-1][:2] if len(self.langs) > 1 else (0.0, 0.0))
-            if first <= SWITCH and first + second <= SWITCH:
-                out.append((x, None, sums[i]))
-            else:
-                a, rivals = starts[i], np.flatnonzero(most[j] > max(0.0, SWITCH - first))
-                path = self._path(flat[a : a + len(x)] != 0, score[a : a + len(x)], sorted({int(best[i]), *rivals.tolist()}))
-                out.append((x, path if path[0] != best[i] or len(set(path)) > 1 else None, sums[i]))
-            j += 1
+        of_best = score[np.arange(len(score)), np.repeat(best[some], counts)]
+        doc = np.repeat(np.arange(len(some)), counts)
+        most = np.empty((len(some), len(self.langs)))
+        for lang in range(len(self.langs)):
+            c = np.cumsum(score[:, lang] - of_best, dtype=np.float64)
+            span = float(np.ptp(c)) + 1.0
+            c -= doc * span
+            before = np.concatenate([[0.0], c[:-1]])
+            before[first[1:]] -= span
+            c -= np.minimum.accumulate(before)
+            most[:, lang] = np.maximum.reduceat(c, first)
+        out: list = [(x, None, sums[i]) for i, x in enumerate(ids)]
+        top = np.sort(np.column_stack([most, np.zeros(len(some))]), axis=1)[:, :-3:-1]
+        for j in np.flatnonzero((top[:, 0] > SWITCH) | (top.sum(axis=1) > SWITCH)).tolist():
+            i, a = int(some[j]), first[j]
+            rivals = np.flatnonzero(most[j] > max(0.0, SWITCH - top[j, 0]))
+            path = self._path(ids[i] > 1, score[a : a + counts[j]], sorted({int(best[i]), *rivals.tolist()}))
+            if path[0] != best[i] or len(set(path)) > 1:
+                out[i] = ids[i], path, sums[i]
         return out
 
     def _path(self, says: np.ndarray, score: np.ndarray, states: list[int]) -> list[int]:
-        """The best path; tokens that say nothing stay in the language before them, at the beginning in the one after."""
-        told = self._viterbi(score[says], states)
+        """The best path, by the scores of the tokens that say something; the others stay in the language before them, at the beginning in the one after."""
+        told = self._viterbi(score, states)
         return [told[max(i, 0)] for i in (np.cumsum(says) - 1).tolist()]
 
     @staticmethod
@@ -251,28 +275,31 @@ class Model:
         columns = score[:, states].tolist()
         k = range(len(states))
         now = [0.0] * len(states)
-        back = []
+        back: list[list[int] | None] = []
         for row in columns:
-            top = max(k, key=now.__getitem__)
-            least = now[top] - SWITCH
-            step = [s if now[s] >= least else top for s in k]
-            back.append(step)
-            now = [(now[s] if now[s] >= least else least) + row[s] for s in k]
+            least = max(now) - SWITCH
+            if min(now) >= least:  # none comes from another
+                back.append(None)
+            else:
+                top = now.index(max(now))
+                back.append([s if now[s] >= least else top for s in k])
+                now = [x if x >= least else least for x in now]
+            now = list(map(add, now, row))
         s = max(k, key=now.__getitem__)
         path = []
         for step in reversed(back):
             path.append(states[s])
-            s = step[s]
+            s = step[s] if step else s
         return path[::-1]
 
-    def languages(self, ids: list[int], path: list[int] | None, sums: np.ndarray) -> list[int]:
+    def languages(self, ids: np.ndarray, path: list[int] | None, sums: np.ndarray) -> list[int]:
         """The languages a text has."""
         if path is None:
             return [int(sums.argmax())] if self._evidence(sums) else []
         counts: Counter = Counter()
         votes: Counter = Counter()
         sentences = 0
-        for i, lang in zip(ids, path, strict=True):
+        for i, lang in zip(ids.tolist(), path, strict=True):
             if i > 1:
                 votes[lang] += 1
             if i & 1 and votes:
@@ -285,17 +312,17 @@ class Model:
 
     @staticmethod
     def _evidence(sums: np.ndarray) -> bool:
-        a = np.sort(sums)
-        return bool(a[-1] - a[-2] > 0.5)
+        a = sorted(sums.tolist())
+        return a[-1] - a[-2] > 0.5
 
     def confidence(self, sums: np.ndarray, words: int) -> float:
         """Of the best language against the next, tempered as words of a text depend on each other."""
         a = np.sort(sums)
         return 1.0 / (1.0 + exp(-min(50.0, (a[-1] - a[-2]) / (1.0 + 0.1 * words**0.5)))) if words else 0.0
 
-    def segments(self, text: str, ids: list[int], path: list[int] | None, sums: np.ndarray) -> list[tuple[int, int, str, float]]:
+    def segments(self, text: str, ids: np.ndarray, path: list[int] | None, sums: np.ndarray) -> list[tuple[int, int, str, float]]:
         """``(start, end, language, confidence)`` of the spans of a text; none for a text without a language."""
-        words = sum(i > 1 for i in ids)
+        words = int((ids > 1).sum())
         if path is None:
             return [(0, len(text), self.langs[int(sums.argmax())], self.confidence(sums, words))] if self._evidence(sums) else []
         spans = [m.span() for m in re.finditer(r"[^\s]+|\n|$(?<!\n)|(?<=\n)$", text)]
@@ -303,8 +330,8 @@ class Model:
         out, start = [], 0
         for a, b in zip(cuts, cuts[1:], strict=False):
             end = len(text) if b == len(path) else min(spans[b][0], len(text))
-            part = self.table[[i >> 1 for i in ids[a:b]]].sum(axis=0)
-            out.append((start, end, self.langs[path[a]], self.confidence(part, sum(i > 1 for i in ids[a:b]))))
+            part = self.table[ids[a:b] >> 1].sum(axis=0)
+            out.append((start, end, self.langs[path[a]], self.confidence(part, int((ids[a:b] > 1).sum()))))
             start = end
         return out
 
@@ -367,15 +394,15 @@ def segments(df: DataFrame, keys: list[Column], text: Column, model: Model, clea
     ``mojibake.Restorer``, if given.
     """
     rows = spread(with_rare(df.select(*keys, text.alias("__text")).where("__text is not null"), "__text", counts))
-    kept, held = rows.schema[:-2], counts and counts[:3]
+    kept, restorer = rows.schema[:-2], counts and restorers(df.sparkSession, counts)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", segment int, start int, end int, lang string, confidence double, sentences int"
 
     shared = df.sparkSession.sparkContext.broadcast(model)  # words of bounded samples: a megabyte or so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, look, r = shared.value, clean() if clean else None, Restorer(*held) if held else None
+        model, look, r = shared.value, clean() if clean else None, restorer() if restorer else None
         for b, texts in _chunks(batches, len(kept)):
-            damage = [r.damage(t, x) if r else [] for t, x in zip(texts, b.column(len(kept) + 1).to_pylist(), strict=True)]
+            damage = r.damages(texts, b.column(len(kept) + 1).to_pylist()) if r else [[]] * len(texts)
             texts = [replaced(t, x) if x else t for t, x in zip(texts, damage, strict=True)]
             _get_ready(look, texts)
             lines = [look(t) if look else [(0, len(t))] for t in texts]
@@ -407,20 +434,21 @@ def languages(df: DataFrame, keys: list[Column], text: Column, model: Model, cle
     """
     rows = with_rare(df.select(*keys, text.alias("__text")), "__text", counts)
     rows = spread(rows) if read else rows
-    kept, held = rows.schema[:-2], counts and counts[:3]
+    kept, restorer = rows.schema[:-2], counts and restorers(df.sparkSession, counts)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", langs array<string>"
 
     shared = df.sparkSession.sparkContext.broadcast(model)  # words of bounded samples: a megabyte or so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, look, r = shared.value, clean() if clean else None, Restorer(*held) if held else None
+        model, look, r = shared.value, clean() if clean else None, restorer() if restorer else None
 
         def labelled(texts: list[str]) -> list[list[str]]:
             _get_ready(look, texts)
             return [[model.langs[x] for x in model.languages(*r)] for r in model.label([model.prepared(_looked_at(t, look(t)) if look else t) for t in texts])]
 
         for b, texts in _chunks(batches, len(kept)):
-            found = labelled([(r.restore(t, x)[0] if r else t) if t else "" for t, x in zip(texts, b.column(len(kept) + 1).to_pylist(), strict=True)])
+            damage = r.damages(texts, b.column(len(kept) + 1).to_pylist()) if r else [[]] * len(texts)
+            found = labelled([replaced(t, x) if x else t or "" for t, x in zip(texts, damage, strict=True)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.list_(pa.string()))], names=[f.name for f in kept] + ["langs"])
 
     return rows.mapInArrow(run, schema)

@@ -18,17 +18,20 @@ even where nothing fits its place; it then stays. Null, empty and ASCII texts ar
 from __future__ import annotations
 
 import html
+import pickle
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
+from itertools import chain
 from math import log
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import materialise, spread
@@ -52,6 +55,11 @@ _MARK = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 _WITH_LOST = re.compile(rf"[^\W\d_{_LOST}]*(?:{_LOST}[^\W\d_{_LOST}]*)+|[^\W\d_]+")
 _ADJACENT = re.compile(r"[^\x00-\x7f][^\x00-\x7f]")
 _SPLIT = re.compile(r"([ \n\t]+)")
+#: tokens with a character that a damaged one has
+_CANDIDATE = re.compile(r"(?<![^ \n\t])[\x00-\x08\x0b-\x1f!-%'->@-\x7f]*+[^ \n\t]++")
+_OTHER_BLANKS = re.compile(r"[\x0b\x0c\r]")
+#: restorers that a worker holds
+_RESTORERS = 2
 
 
 def _bytes_of(encoding: str) -> dict[str, int]:
@@ -186,8 +194,8 @@ class Restorer:
     def _log(self, n: int) -> float:
         return max(log(n / self.n), _UNKNOWN + 1)
 
-    def learn(self, found: list[dict]) -> None:
-        """Words beyond those held that the next text's tokens ask for: all of them that the corpus has."""
+    def learn(self, found: Iterable[dict]) -> None:
+        """Words beyond those held that the next texts' tokens ask for: all of them that the corpus has."""
         if len(self.rare) + len(self.rare_lost) > 200_000:
             self.rare.clear()
             self.rare_lost.clear()
@@ -308,7 +316,11 @@ class Restorer:
         if len(self.clean) > 100_000:
             self.clean.clear()
         # most tokens of most texts are known to have no other reading
-        for token in set(text.replace("\n", " ").replace("\t", " ").split(" ")).difference(self.clean):
+        return any(map(self._told, set(text.replace("\n", " ").replace("\t", " ").split(" ")).difference(self.clean)))
+
+    def _told(self, token: str) -> bool:
+        """Whether a token has a reading besides the clean one."""
+        if token not in self.clean:
             if _special(token):
                 r = self.readings(token)
                 if len(r) > 1 or r[0][0] == -2:
@@ -316,6 +328,19 @@ class Restorer:
             self.clean.add(token)
         return False
 
+    def _suspicious(self, texts: list[str]) -> list[bool]:
+        """``suspicious`` of many texts: each distinct token is looked at once."""
+        if len(self.clean) > 100_000:
+            self.clean.clear()
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        tokens = parts.flatten()
+        at = pc.or_(pc.invert(pc.string_is_ascii(tokens)), pc.or_(pc.match_substring(tokens, "&"), pc.match_substring(tokens, "?"))).to_numpy(zero_copy_only=False)
+        some = tokens.filter(pa.array(at)).dictionary_encode()
+        told = np.array(list(map(self._told, some.dictionary.to_pylist())), bool)[some.indices.to_numpy()]
+        out = np.zeros(len(texts), bool)
+        out[np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())[np.flatnonzero(at)[told]]] = True
+        return [self.suspicious(t) if _OTHER_BLANKS.search(t) else x for t, x in zip(texts, out.tolist(), strict=True)]
+
     def restore(self, text: str, rare: list[dict] | None = None) -> tuple[str, int]:
         """The restored text and the number of tokens that were damaged; the text itself and 0 if clean."""
         found = self.damage(text, rare)
@@ -328,16 +353,34 @@ class Restorer:
         """
         if rare:
             self.learn(rare)
-        if not self.suspicious(text):
-            return []
-        parts = _SPLIT.split(text)
-        steps = [(i, self.readings(t)) for i, t in enumerate(parts) if t and _special(t)]
+        return self._found(text) if self.suspicious(text) else []
+
+    def damages(self, texts: list[str | None], rare: list[list[dict] | None]) -> list[list[tuple[int, int, str]]]:
+        """The same of many texts; nothing for null ones."""
+        self.learn(chain.from_iterable(filter(None, rare)))
+        suspicious = iter(self._suspicious([t for t in texts if t]))
+        return [self._found(t) if t and next(suspicious) else [] for t in texts]
+
+    def _found(self, text: str) -> list[tuple[int, int, str]]:
+        """``damage`` of a text that is suspicious."""
+        steps: list[tuple[int, int, list[tuple[int, float, str]]]] = []
+        single = False
+        for m in _CANDIDATE.finditer(text):
+            if _special(t := m.group()):
+                r = self.readings(t)
+                # a clean token changes no choice, but that a state may be left before the next
+                if len(r) > 1 or r[0][0] == -2:
+                    steps.append((*m.span(), r))
+                    single = False
+                elif not single:
+                    steps.append((*m.span(), [(-1, 0.0, t)]))
+                    single = True
         # Viterbi over the tokens that have a choice: states are the clean one and the channels seen in this text
-        states = sorted({s for _, r in steps for s, _, _ in r if s >= 0})
+        states = sorted({s for *_, r in steps for s, _, _ in r if s >= 0})
         cost = {s: _ENTER if self.channels[s].strict else _ENTER_SWAPPED for s in states}
         best: dict[int, float] = {-1: 0.0} | cost
         back: list[dict[int, tuple[int, str, bool]]] = []
-        for _, readings in steps:
+        for *_, readings in steps:
             here = {s: (p, spelled) for s, p, spelled in readings}
             base = here.get(-1) or here[-2]
             damaged_always = -2 in here
@@ -355,16 +398,33 @@ class Restorer:
             best = now
             back.append(step)
         state = max(best, key=lambda s: best[s])
-        starts = [0, *accumulate(map(len, parts))]
         found = []
-        for (i, _), step in zip(reversed(steps), reversed(back), strict=True):
+        for (start, end, _), step in zip(reversed(steps), reversed(back), strict=True):
             frm, spelled, hurt = step[state]
             if hurt:
-                found.append((starts[i], starts[i + 1], spelled))
+                found.append((start, end, spelled))
             state = frm
         return found[::-1]
 
 
+_RESTORER_OF: dict[str, Restorer] = {}
+
+
+def restorers(spark: SparkSession, counts: tuple) -> Callable[[], Restorer]:
+    """A maker, for tasks to call, of the restorer under some counts; all tasks of a worker share it, so that a token is read once."""
+    held = tuple(counts[:3])
+    shared, key = spark.sparkContext.broadcast(held), blake2b(pickle.dumps(held), digest_size=16).hexdigest()
+
+    def restorer() -> Restorer:
+        if key not in _RESTORER_OF:
+            if len(_RESTORER_OF) >= _RESTORERS:
+                _RESTORER_OF.pop(next(iter(_RESTORER_OF)))
+            _RESTORER_OF[key] = Restorer(*shared.value)
+        return _RESTORER_OF[key]
+
+    return restorer
+
+
 def replaced(text: str, found: list[tuple[int, int, str]]) -> str:
     """A text with the restored spelling of its damaged tokens."""
     parts, at = [], 0
@@ -494,19 +554,19 @@ def with_rare(df: DataFrame, text: str, counts: tuple) -> DataFrame:
 def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple) -> DataFrame:
     """Key columns (strings and longs by name), ``restored`` and ``damaged`` (tokens) of each affected row."""
     rows = spread(with_rare(df.select(*keys, text.alias("__text")).where("__text is not null"), "__text", counts))
-    kept, held = rows.schema[:-2], counts[:3]
+    kept, restorer = rows.schema[:-2], restorers(df.sparkSession, counts)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", restored string, damaged long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(*held)
+        r = restorer()
         for b in batches:
             at, out, n = [], [], []
-            for i, (t, rare) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True)):
-                text, damaged = r.restore(t.as_py(), rare.as_py())
-                if damaged:
+            texts = b.column(b.num_columns - 2).to_pylist()
+            for i, (t, found) in enumerate(zip(texts, r.damages(texts, b.column(b.num_columns - 1).to_pylist()), strict=True)):
+                if found:
                     at.append(i)
-                    out.append(text)
-                    n.append(damaged)
+                    out.append(replaced(t, found))
+                    n.append(len(found))
             chosen = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*chosen.columns[:-2], pa.array(out, pa.string()), pa.array(n, pa.int64())], names=[*chosen.schema.names[:-2], "restored", "damaged"])
 
@@ -516,13 +576,13 @@ def restored(df: DataFrame, keys: list[Column], text: Column, counts: tuple) ->
 def repaired(df: DataFrame, text: str, counts: tuple) -> DataFrame:
     """All rows of a table, with the column ``text`` restored wherever it holds damage."""
     rows = spread(with_rare(df, text, counts))
-    at, held = rows.columns.index(text), counts[:3]
+    at, restorer = rows.columns.index(text), restorers(df.sparkSession, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(*held)
+        r = restorer()
         for b in batches:
-            columns = list(b.columns)
-            columns[at] = pa.array([t and r.restore(t, x)[0] for t, x in zip(columns[at].to_pylist(), columns[-1].to_pylist(), strict=True)], pa.string())
+            columns, texts = list(b.columns), b.column(at).to_pylist()
+            columns[at] = pa.array([replaced(t, found) if found else t for t, found in zip(texts, r.damages(texts, columns[-1].to_pylist()), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns[:-1], names=b.schema.names[:-1])
 
     return rows.mapInArrow(run, rows.drop("__rare").schema)

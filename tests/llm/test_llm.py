@@ -644,3 +644,53 @@ def test_sources_show_limits_in_bytes(spark, tmp_path):
     got = queries.p8_sources(spark, folder).first()
     assert 600 in got.limits_bytes and 600 not in got.limits
 
+
+
+# --- many texts at once ---
+
+
+def test_labels_of_many_texts_are_those_of_each_by_itself(samples):
+    """Each distinct token is looked up once in a chunk, and texts at once get the tokens and labels that they get alone."""
+    rng, words = random.Random(6), [w for _, t in samples for w in t.split()] + ["\xa0", "　x", "a\x1fb", "12.", "Zu", "…»"]
+    texts = ["", "\n", " \n\n x "] + ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t", "\xa0", "\x1f", "\r\n"]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    model, plain = language.Model(samples), language.Model(samples)
+    made = []
+    for t in texts:
+        ids = []
+        for line in t.split("\n"):
+            ids += [*map(plain._id_of, line.split()), 1]
+        made.append(ids)
+    assert [x.tolist() for x in model._tokens(texts)] == made == [model.tokens(t).tolist() for t in texts]
+    alone = [model.label([t])[0] for t in texts]
+    for (ids, path, sums), (ids1, path1, sums1), ids2 in zip(model.label(texts), alone, made, strict=True):
+        assert ids.tolist() == ids1.tolist() == ids2 and path == path1 and sums.tolist() == sums1.tolist()
+    calls: list = []
+    model.cache, model._id_of = {}, lambda t: calls.append(t) or 2
+    model.label(["one one one\none", "one two"])
+    assert calls == ["one", "two"]
+
+
+def test_damage_of_many_texts_is_that_of_each_by_itself():
+    rng, held = random.Random(8), mojibake.counts_of(CLEAN * 50)
+    tokens = [w for t in CLEAN for w in t.split()]
+    hurt = [w.encode().decode("cp1252", "ignore") for w in tokens] + [re.sub(r"[^\x00-\x7f]", "�", w) for w in tokens] + ["a?b", "x&amp;y", "&", "?", "\r", "é\r", "“�”"]
+    texts = ["", None] + ["".join(rng.choice(tokens if rng.random() < 0.9 else hurt) + rng.choice([" ", " ", "\n", "\t ", "\x0b"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    at_once, alone = mojibake.Restorer(*held), mojibake.Restorer(*held)
+    got = at_once.damages(texts, [None] * len(texts))
+    assert got == [alone.damage(t) if t else [] for t in texts] and 50 < sum(map(bool, got)) < 300
+
+
+def test_tasks_of_a_worker_share_a_restorer(spark):
+    """Of the same counts a worker makes one, so that its next task doesn't read the same tokens again; it holds a few."""
+    held = mojibake.counts_of(CLEAN)
+    first, again = (mojibake.restorers(spark, mojibake.Counts(*held, 9)) for _ in range(2))
+    assert first() is first() is again()
+    others = [mojibake.restorers(spark, mojibake.Counts(*held, n))() for n in (10, 11, 12)]
+    assert others[0] is not others[1] and len(mojibake._RESTORER_OF) == mojibake._RESTORERS
+
+
+def test_a_token_is_taken_apart_once(monkeypatch):
+    v, found = body.Vocabulary(), []
+    monkeypatch.setattr(body, "_WORD", type("", (), {"findall": staticmethod(lambda t: found.append(t) or [t.strip(".")])}))
+    assert v.taken(["one. two", "One. one."])[1].tolist() == v.taken(["one. two one. one."])[1].tolist()
+    assert found == ["one.", "one."] and list(v.numbers) == ["0", "one", "two"]
