@@ -60,11 +60,11 @@ _SIZES = (0, 1, 2, 3, 4, 6, 9, 14, 24, 49)
 _NAME = "xxx"
 _CACHED = 200
 _HELD = 50_000
-_TOKENS = 60_000
+_TOKENS = 30_000
 #: odd, for the hash of a word at a place of a line
 _PLACE = 0x9E3779B97F4A7C15
 #: characters worked on at once
-_AT_ONCE = 2_000_000
+_AT_ONCE = 1_000_000
 
 
 class _Tokens(dict):

@@ -55,7 +55,7 @@ _MAYBE_NOT_TEXT = ("://", "--", "=", "www.")
 #: words and tokens remembered between chunks
 MAX_ROWS = 120_000
 #: characters handled at once
-_CHUNK = 1_000_000
+_CHUNK = 400_000
 
 
 def samples_of(table: DataFrame, lang: str = "lang", text: str = "text", max_samples: int = MAX_SAMPLES) -> list[tuple[str, str]]:
